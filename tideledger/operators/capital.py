@@ -23,7 +23,7 @@ def capital_fold(trades: DataFrame, by: list[str], order: list[str], fraction: s
     """
     row = F.struct(*(F.col(c).cast("double").alias(f"o{i}") for i, c in enumerate(order)), F.col(fraction).cast("double").alias("f"), F.col(price).cast("double").alias("p"), F.col(size).cast("double").alias("s"), F.col(unit_pnl).cast("double").alias("u"), (F.col(ordinal) if quota or cooldown else F.lit(0)).cast("long").alias("i"))
     usable = trades.where(F.col(price).isNotNull() & (F.col(price) > 0) & F.col(size).isNotNull() & F.col(unit_pnl).isNotNull() & (F.col(fraction) > 0))
-    lists = usable.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("t"))
+    lists = usable.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_trades"))
     start = F.struct(F.lit(START).alias("b"), F.lit(START).alias("peak"), F.lit(0.0).alias("dd"), F.lit(0).alias("k"), F.lit(0).alias("losses"), F.lit(-1).cast("long").alias("until"), F.array().cast("array<long>").alias("taken"))
 
     def step(s, x):
@@ -48,8 +48,8 @@ def capital_fold(trades: DataFrame, by: list[str], order: list[str], fraction: s
         )
         return F.when(allowed, taken).otherwise(s)
 
-    folded = lists.withColumn("s", F.aggregate("t", start, step))
-    return folded.select(*by, F.col("s.k").cast("long").alias("trades"), F.col("s.b").alias("ending"), (F.col("s.b") / START - 1.0).alias("total_return"), F.col("s.dd").alias("max_drawdown"))
+    folded = lists.withColumn("_state", F.aggregate("_trades", start, step))
+    return folded.select(*by, F.col("_state.k").cast("long").alias("trades"), F.col("_state.b").alias("ending"), (F.col("_state.b") / START - 1.0).alias("total_return"), F.col("_state.dd").alias("max_drawdown"))
 
 
 def uncapped(trades: DataFrame, by: list[str], order: list[str], fraction: str = "fraction", price: str = "price", unit_pnl: str = "unit_pnl") -> DataFrame:
@@ -69,15 +69,19 @@ def trade_log(trades: DataFrame, by: list[str], order: list[str], columns: tuple
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
         capital = peak = START
-        worst, out = 0.0, []
-        for fraction, price, size, unit in rows[[f, p, s, u]].itertuples(index=False):
+        worst, out, taken = 0.0, [], []
+        for i, (fraction, price, size, unit) in enumerate(rows[[f, p, s, u]].itertuples(index=False)):
             cost = min(capital * fraction, capital, size * price)
+            if cost <= 0:
+                continue
             pnl = cost / price * unit
             capital += pnl
             peak = max(peak, capital)
             worst = max(worst, (peak - capital) / peak if peak > 0 else 0.0)
+            taken.append(i)
             out.append((cost, pnl, capital, worst))
-        return rows[keep].assign(**dict(zip(("cost", "pnl", "capital_after", "drawdown"), zip(*out, strict=True), strict=True)))
+        path = pd.DataFrame(out, columns=["cost", "pnl", "capital_after", "drawdown"], dtype=float)
+        return pd.concat([rows.loc[taken, keep].reset_index(drop=True), path], axis=1)
 
     schema = ", ".join([*(f"`{c}` {trades.schema[c].dataType.simpleString()}" for c in keep), "cost double, pnl double, capital_after double, drawdown double"])
     usable = trades.where(F.col(p).isNotNull() & (F.col(p) > 0) & F.col(s).isNotNull() & F.col(u).isNotNull() & (F.col(f) > 0))
