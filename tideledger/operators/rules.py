@@ -144,6 +144,28 @@ _MIXES = {
     "conservative_2": [("up", 4, "session = 'asia' and breakout and strict_up", 0.04, None, None), ("down", 2, "session = 'us_afternoon' and milddrop and qm >= 0.62", 0.045, None, None)],
 }
 
+#: Rules over probabilities and past results of the event's series: q_up and q_down from earlier rows, health_* of the base drop (fixed predicates).
+DYNAMIC = [
+    *(Rule(f"value_{b:02d}", "value", side, 2, p, 0.10, None, None, i) for b in (0, 2) for i, (side, p) in enumerate((("up", f"q_up > up2 + 0.01 + {b / 100}"), ("down", f"q_down > dn2 + 0.01 + {b / 100}")))),
+    Rule("drop_value_02", "value", "down", 2, f"{DROP} and q_down > dn2 + 0.02", 0.20),
+    Rule("drop_value_05", "value", "down", 2, f"{DROP} and q_down > dn2 + 0.05", 0.20),
+    Rule("drop_value_book", "value", "down", 2, f"{DROP} and q_down > dn2 + 0.02 and imb <= 0 and dsz2 >= 250", 0.20),
+    Rule("rise_value_02", "value", "up", 2, f"{RISE} and q_up > up2 + 0.02", 0.20),
+    Rule("drop_health_mean", "health", "down", 2, f"{DROP} and health_mean > 0.05", 0.20),
+    Rule("drop_health_win", "health", "down", 2, f"{DROP} and health_win > 0.58", 0.20),
+    Rule("drop_health_sharpe", "health", "down", 2, f"{DROP} and health_sharpe > 0.20", 0.20),
+    Rule("overlay", "model", "up", 4, "session = 'asia' and breakout and q_up - up4 > 0.08", 0.08, None, None, 0),
+    Rule("overlay", "model", "down", 2, "session = 'london' and milddrop and q_down - dn2 > 0.08", 0.06, None, None, 1),
+    Rule("overlay", "model", "down", 2, "session = 'us_afternoon' and milddrop and q_down - dn2 > 0.10", 0.08, None, None, 2),
+    Rule("gated_value", "model", "down", 2, "milddrop and gate_down and q_down - dn2 > 0.06", 0.04, None, None, 0),
+    Rule("gated_value", "model", "up", 4, "breakout and gate_up and q_up - up4 > 0.06", 0.04, None, None, 1),
+    Rule("strict_value", "model", "down", 2, "milddrop and strict_down and q_down - dn2 > 0.10", 0.035, None, None, 0),
+    Rule("strict_value", "model", "up", 4, "breakout and strict_up and q_up - up4 > 0.10", 0.035, None, None, 1),
+]
+
+#: Sizes of the session, gate and combo rules (fixed values).
+SIZES = (0.06, 0.08, 0.10, 0.12)
+
 MOVES_AT = (1, 2, 3, 4)
 
 
@@ -219,3 +241,24 @@ def best_micro(candidates: DataFrame, key: list[str], q_up: str, n_up: str, q_do
     good = rows.where(F.col("edge") > margin).withColumn("score", F.col("edge") - 0.005 * F.greatest(F.lit(0), 20 - F.col("support")))
     best = F.max_by(F.struct("micro", "side", "minute", "price", "q", "support", "edge", "score"), F.struct("score", F.col("micro")))
     return good.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")
+
+
+def with_base_health(events: DataFrame, series: list[str], order: list[str], last: int = 20, least: int = 8) -> DataFrame:
+    """Adds to every event the health of the base drop's last trades before it: only the drop's rows count, nulls in between don't."""
+    from .windows import rolling_health
+
+    drop = F.coalesce(F.col("m2") <= -10, F.lit(False))
+    base = rolling_health(events.where(drop), series, order, "pay_dn2", last, least)
+    return events.where(~drop).unionByName(base, allowMissingColumns=True)
+
+
+def state_selected(candidates: DataFrame, series: list[str], order: list[str], key: list[str], state: list[str], unit_pnl: str = "unit_pnl", half_life: float = 25, least: int = 12) -> DataFrame:
+    """Per event the candidate whose state had the best exponentially weighted profit so far, if that is above 0.
+
+    History is the earlier candidates of the same micro-trade in the same state.
+    """
+    from .windows import ew_mean
+
+    seen = ew_mean(candidates, [*series, "micro", *state], order, unit_pnl, half_life, "mean_pnl").where((F.col("mean_pnl_n") >= least) & (F.col("mean_pnl") > 0))
+    best = F.max_by(F.struct("micro", "side", "minute", "mean_pnl", F.col("mean_pnl_n").alias("support")), F.struct("mean_pnl", "micro"))
+    return seen.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")

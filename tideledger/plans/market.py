@@ -679,3 +679,92 @@ def capital_fold_quota(spark, sf):
 def capital_trade_log(spark, sf):
     log = capital.trade_log(_fold_rows(spark, sf), ["series"], X.ORDER)
     return log.select("series", *n(*X.ORDER), *d("cost", "pnl", "capital_after", "drawdown"))
+
+
+def _dynamic_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = windows.backoff_mean(label_rows(spark, sf).where("outcome is not null"), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
+    rows = rules.with_base_health(rows.withColumn("q_down", 1.0 - F.col("q_up")), ["run_name"], ["first_t", "market_id"])
+    return rules.signals(rows, rules.DYNAMIC, ["market_id"])
+
+
+def _dynamic_sql() -> str:
+    back = _backoff_sql()
+    ctes, tail = back[len("WITH ") :].rsplit(" SELECT market_id, round(", 1)
+    q = tail.split(", 6) AS q,")[0]
+    health = "h AS (SELECT market_id, count(pay_dn2) OVER w AS hc, avg(pay_dn2) OVER w AS hm, stddev_pop(pay_dn2) OVER w AS hs, avg(CASE WHEN pay_dn2 > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) OVER w AS hw FROM l WHERE outcome IS NOT NULL AND m2 <= -10 WINDOW w AS (PARTITION BY run_name ORDER BY first_t, market_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"
+    rows = f"x AS (SELECT l.*, {q} AS q_up, 1 - ({q}) AS q_down, CASE WHEN hc >= 8 THEN hm END AS health_mean, CASE WHEN hc >= 8 THEN hw END AS health_win, CASE WHEN hc >= 8 AND hs > 0 THEN hm / hs END AS health_sharpe FROM l JOIN z USING (market_id) LEFT JOIN h USING (market_id))"
+    signals = _signal_ctes(rules.DYNAMIC)[len(X.LABELS) :].replace("FROM l WHERE outcome IS NOT NULL)", "FROM x)")
+    return f"WITH {ctes}, {health}, {rows}{signals} SELECT market_id, rule, side, minute, {rd('fraction', 'price', 'unit_pnl')} FROM s"
+
+
+@query(_dynamic_sql())
+def dynamic_rule_signals(spark, sf):
+    return _dynamic_rows(spark, sf).select("market_id", "rule", "side", "minute", *d("fraction", "price", "unit_pnl"))
+
+
+_MICRO_ROWS = " UNION ALL ".join(f"SELECT market_id, run_name, first_t, regime, imb_sign, '{name}' AS micro, '{side}' AS side, CAST({minute} AS INT) AS minute, pay_{'up' if side == 'up' else 'dn'}{minute} AS unit_pnl FROM l WHERE outcome IS NOT NULL AND {p}" for name, side, minute, p in rules.MICROS)
+_W25 = "OVER (PARTITION BY run_name, micro, regime ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+
+@query(
+    with_rows(
+        X.LABELS,
+        f""", c AS ({_MICRO_ROWS}), w AS (SELECT *, power(2.0::DOUBLE, (row_number() OVER (PARTITION BY run_name, micro, regime ORDER BY first_t, market_id) - 1) / 25.0::DOUBLE) AS wt FROM c),
+        g AS (SELECT *, count(unit_pnl) {_W25} AS support, sum(wt * unit_pnl) {_W25} / sum(wt) {_W25} AS mean_pnl FROM w)
+        SELECT market_id, micro, side, minute, round(mean_pnl, 6) AS mean_pnl, CAST(support AS BIGINT) AS support FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY mean_pnl DESC, micro DESC) AS rn FROM g WHERE support >= 12 AND mean_pnl > 0) WHERE rn = 1""",
+    )
+)
+def state_selector(spark, sf):
+    rows = rules.micro_candidates(label_rows(spark, sf).where("outcome is not null"), ["market_id", "run_name", "first_t"])
+    paid = F.coalesce(*(F.when((F.col("side") == s) & (F.col("minute") == m), F.col(f"pay_{leg}{m}")) for s, leg in (("up", "up"), ("down", "dn")) for m in (1, 2, 4)))
+    best = rules.state_selected(rows.withColumn("unit_pnl", paid), ["run_name"], ["first_t", "market_id"], ["market_id"], ["regime"])
+    return best.select("market_id", "micro", "side", "minute", *d("mean_pnl"), *n("support"))
+
+
+_GRID = [r for r in rules.catalogue() if r.family == "session"]
+
+
+@query(
+    "WITH RECURSIVE "
+    + _signal_ctes(_GRID)
+    + f""", sz(sizing) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in rules.SIZES)}), tr AS (SELECT rule, sizing, size, price, unit_pnl, row_number() OVER (PARTITION BY rule, sizing ORDER BY first_t, market_id) AS k FROM s CROSS JOIN sz WHERE price > 0),
+      fold AS (SELECT DISTINCT rule, sizing, CAST(0 AS BIGINT) AS k, 100.0::DOUBLE AS b FROM tr
+      UNION ALL SELECT fold.rule, fold.sizing, tr.k, b + least(b * fold.sizing, b, size * price) / price * unit_pnl FROM fold JOIN tr ON tr.rule = fold.rule AND tr.sizing = fold.sizing AND tr.k = fold.k + 1)
+      SELECT rule, sizing, CAST(max(k) AS BIGINT) AS trades, round(max_by(b, k), 6) AS ending FROM fold GROUP BY rule, sizing HAVING max(k) > 0"""
+)
+def sizing_grid(spark, sf):
+    rows = joins.gridded(signal_rows(spark, sf, _GRID), "sizing", list(rules.SIZES)).withColumn("n", F.substring("market_id", -10, 10).cast("long"))
+    return capital.capital_fold(rows, ["rule", "sizing"], ["first_t", "n"], fraction="sizing").select("rule", "sizing", *n("trades"), *d("ending"))
+
+
+@query(
+    with_rows(
+        _signal_ctes(_BASE),
+        """, ru AS (SELECT DISTINCT rule FROM s), ev AS (SELECT market_id, run_name, first_t, rule FROM l CROSS JOIN ru WHERE outcome IS NOT NULL),
+        er AS (SELECT ev.*, s.fraction * s.unit_pnl / s.price AS r FROM ev LEFT JOIN s ON s.market_id = ev.market_id AND s.rule = ev.rule),
+        z AS (SELECT rule, run_name, count(*) OVER w AS c, product(1 + coalesce(r, 0)) OVER w - 1 AS p, count(r) OVER w AS a FROM er WINDOW w AS (PARTITION BY run_name, rule ORDER BY first_t, market_id ROWS BETWEEN 47 PRECEDING AND CURRENT ROW))
+        SELECT rule, run_name, CAST(count(*) FILTER (WHERE c = 48) AS BIGINT) AS n_windows, round(min(p) FILTER (WHERE c = 48), 6) AS worst, round(avg(CASE WHEN a > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE c = 48), 6) AS active_rate FROM z GROUP BY rule, run_name""",
+    )
+)
+def event_return_windows(spark, sf):
+    events = joins.gridded(feature_rows(spark, sf).where("outcome is not null").select("market_id", "run_name", "first_t"), "rule", sorted({r.name for r in _BASE}))
+    fired = signal_rows(spark, sf, _BASE).withColumn("r", F.col("fraction") * F.col("unit_pnl") / F.col("price"))
+    dense = capital.event_returns(events, fired, ["market_id", "rule"], "r")
+    out = windows.sliding_compound(dense, ["rule", "run_name"], ["first_t", "market_id"], "r", 48)
+    return out.select("rule", "run_name", *n("n_windows"), *d("worst", "active_rate"))
+
+
+@query(with_rows(_signal_ctes(_BASE), ", ev AS (SELECT market_id, row_number() OVER (PARTITION BY run_name ORDER BY first_t DESC, market_id DESC) <= 60 AND count(*) OVER (PARTITION BY run_name) >= 60 AS recent FROM l), rs AS (SELECT s.* FROM s SEMI JOIN (SELECT market_id FROM ev WHERE recent) USING (market_id))" + _UNCAPPED.format(by="run_name, rule", t="rs") + f" SELECT run_name, rule, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'win_rate')} FROM mt"))
+def latest_health(spark, sf):
+    recent = windows.recent_tail(feature_rows(spark, sf).select("market_id", "run_name", "first_t"), ["run_name"], ["first_t", "market_id"], 60).where("recent").select("market_id")
+    rows = signal_rows(spark, sf, _BASE).join(recent, "market_id", "left_semi")
+    return _metrics(spark, sf, ["run_name", "rule"], rows).select("run_name", "rule", *n("trades"), *d("total_return", "max_drawdown", "win_rate"))
+
+
+@query("SELECT 'lines' AS source_layer, l_linestatus AS label, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS amount, NULL::VARCHAR AS priority FROM lineitem GROUP BY l_linestatus UNION ALL SELECT 'orders', o_orderstatus, CAST(count(*) AS BIGINT), NULL, max(o_orderpriority) FROM orders GROUP BY o_orderstatus")
+def layer_union(spark, sf):
+    from ..sources.tables import united
+
+    lines = X.read(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
+    orders = X.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("label")).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("priority"))
+    return united(lines, orders, layer=["lines", "orders"]).select("source_layer", "label", "n", "amount", "priority")
