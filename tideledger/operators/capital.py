@@ -7,7 +7,7 @@ one row of state and keys run in parallel. ``trade_log`` gives the path itself.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START = 100.0
@@ -52,13 +52,16 @@ def capital_fold(trades: DataFrame, by: list[str], order: list[str], fraction: s
     return folded.select(*by, F.col("_state.k").cast("long").alias("trades"), F.col("_state.b").alias("ending"), (F.col("_state.b") / START - 1.0).alias("total_return"), F.col("_state.dd").alias("max_drawdown"))
 
 
-def uncapped(trades: DataFrame, by: list[str], order: list[str], fraction: str = "fraction", price: str = "price", unit_pnl: str = "unit_pnl") -> DataFrame:
-    """The same where no size binds: the product of 1 + f * pnl / price, with drawdown from the start or a later peak."""
+def uncapped(trades: DataFrame, by: list[str], order: list[str], fraction: str = "fraction", price: str = "price", unit_pnl: str = "unit_pnl", also: tuple[Column, ...] = ()) -> DataFrame:
+    """The same where no size binds: the product of 1 + f * pnl / price, with drawdown from the start or a later peak.
+
+    ``also`` are further aggregates of the trades, taken in the same pass.
+    """
     so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     path = trades.withColumn("_b", START * F.product(1.0 + F.col(fraction) * F.col(unit_pnl) / F.col(price)).over(so_far))
     path = path.withColumn("_peak", F.greatest(F.lit(START), F.max("_b").over(so_far)))
     last = F.max_by("_b", F.struct(*order))
-    return path.groupBy(*by).agg(F.count("*").alias("trades"), last.alias("ending"), (last / START - 1.0).alias("total_return"), F.max((F.col("_peak") - F.col("_b")) / F.col("_peak")).alias("max_drawdown"))
+    return path.groupBy(*by).agg(F.count("*").alias("trades"), last.alias("ending"), (last / START - 1.0).alias("total_return"), F.max((F.col("_peak") - F.col("_b")) / F.col("_peak")).alias("max_drawdown"), *also)
 
 
 def trade_log(trades: DataFrame, by: list[str], order: list[str], columns: tuple[str, str, str, str] = ("fraction", "price", "size", "unit_pnl")) -> DataFrame:

@@ -469,8 +469,13 @@ def drift_breakdown(spark, sf):
 def _metrics(spark: SparkSession, sf: str, by: list[str], rows: DataFrame) -> DataFrame:
     """Per key of signals: trades, win rate, profit factor and the uncapped capital path."""
     gains, losses = F.sum(F.when(F.col("unit_pnl") > 0, F.col("unit_pnl")).otherwise(0.0)), F.sum(F.when(F.col("unit_pnl") < 0, F.col("unit_pnl")).otherwise(0.0))
-    basic = rows.groupBy(*by).agg(F.avg((F.col("unit_pnl") > 0).cast("double")).alias("win_rate"), F.when(losses != 0, gains / F.abs(losses)).alias("profit_factor"), F.percentile(F.col("unit_pnl"), F.lit(0.1)).alias("p10_return"), F.min("unit_pnl").alias("worst"))
-    return capital.uncapped(rows, by, ["first_t", "market_id"]).join(basic, by)
+    also = (
+        F.avg((F.col("unit_pnl") > 0).cast("double")).alias("win_rate"),
+        F.when(losses != 0, gains / F.abs(losses)).alias("profit_factor"),
+        F.percentile(F.col("unit_pnl"), F.lit(0.1)).alias("p10_return"),
+        F.min("unit_pnl").alias("worst"),
+    )
+    return capital.uncapped(rows, by, ["first_t", "market_id"], also=also)
 
 
 _UNCAPPED = """, pth AS (SELECT {by}, unit_pnl, 100.0::DOUBLE * product(1 + fraction * unit_pnl / price) OVER w AS b, row_number() OVER (PARTITION BY {by} ORDER BY first_t DESC, market_id DESC) AS back, first_t, market_id FROM {t} WINDOW w AS (PARTITION BY {by} ORDER BY first_t, market_id ROWS UNBOUNDED PRECEDING)),
@@ -538,7 +543,8 @@ def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
     folds = validation.run_folds(runs, 2)
     rows = signal_rows(spark, sf).join(F.broadcast(folds), "run_name")
     m = _metrics(spark, sf, ["fold_id", "split", "rule"], rows).withColumnRenamed("rule", "strategy").select("fold_id", "split", "strategy", "trades", *d("total_return", "max_drawdown", "profit_factor", "worst"))
-    return validation_score(m)
+    # read for selection, for the selected rows and for the roll-up; a row for each fold, split and rule
+    return validation_score(m).persist()
 
 
 def validation_score(m: DataFrame) -> DataFrame:
