@@ -190,10 +190,10 @@ def test_op6(spark, tables, rows):
 
 
 def test_op6_longer_rules_suppress_what_they_contain(spark):
-    texts = ["Licensed under the Apache License, Version 2.0", "GNU Lesser General Public License v2.1", "SPDX-License-Identifier: GPL-3.0-or-later", "the mitigation of licences"]
+    texts = ["Licensed under the Apache License, Version 2.0", "GNU Lesser General Public License v2.1", "SPDX-License-Identifier: GPL-3.0-or-later", "the mitigation of licences", "BSD 3-clause"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
-    assert labels == {0: "apache,apache-2.0", 1: "lgpl-2.1", 2: "gpl-3.0", 3: ""}
+    assert labels == {0: "apache,apache-2.0", 1: "lgpl-2.1", 2: "gpl-3.0", 3: "", 4: "bsd-3-clause"}
 
 
 def test_op7(spark, tables, rows):
