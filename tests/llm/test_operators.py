@@ -177,8 +177,8 @@ def test_op5(spark, tables, rows):
 
 def test_op5_random_strings():
     encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    assert secrets.is_random("xK9vQ2mWzL7pRt4YbN8cJf3H", encoding)
-    for plain in ("internationalization2024", "user_profile_settings_2", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaaaaaa"):
+    assert secrets.is_random("xK9vQ2mWzL7pRt4YbN8cJf3H", encoding) and secrets.is_random("A-" * 20_000 + "1a1b", encoding)
+    for plain in ("internationalization2024", "user_profile_settings_2", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "aaaaaaaaaaaaaaaaaaaaaaaa", "A-" * 20_000 + "B", "USER_NAME-default-2024/Path"):
         assert not secrets.is_random(plain, encoding)
 
 

@@ -42,7 +42,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
-_IDENTIFIER = re.compile(r"(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]{1,8})(?:[_/=+-]+(?:[A-Za-z][a-z]*|[A-Z]+|[0-9]{1,8}))*[_/=+-]*")
+_PART = r"(?>[A-Z]{2,}(?![a-z])|[A-Za-z][a-z]*+|[0-9]{1,8}(?![0-9]))"  # tried once each, so that long runs take linear time
+_IDENTIFIER = re.compile(rf"{_PART}(?:[_/=+-]++{_PART})*+[_/=+-]*+")
 
 _HEX_BYTES = byte_table((0x30, 0x39), (0x61, 0x66))
 _RUN_BYTES = byte_table((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), *((ord(c), ord(c)) for c in "+/_=-"))
