@@ -8,13 +8,12 @@ above is a word byte), so words can be found bytewise.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C55)
@@ -90,12 +89,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=1)
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = _U(pow(int(_BASE), -1, 1 << 64))
-    up, down = np.full(size + 1, _BASE), np.full(size + 1, inverse)
-    up[0] = down[0] = _U(1)
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+    """Powers of the base and of its inverse, kept for the longest chunk so far."""
+    if not _POWERS or len(_POWERS[0][0]) <= size:
+        inverse = _U(pow(int(_BASE), -1, 1 << 64))
+        n = CHUNK_BYTES + 1 if size <= CHUNK_BYTES else 1 << size.bit_length()
+        up, down = np.full(n, _BASE), np.full(n, inverse)
+        up[0] = down[0] = _U(1)
+        _POWERS[:] = [(np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))]
+    return _POWERS[0]
 
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
@@ -105,8 +110,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    size = CHUNK_BYTES if len(data) <= CHUNK_BYTES else 1 << int(len(data)).bit_length()
-    up, down = _powers(size)
+    up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
