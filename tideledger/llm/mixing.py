@@ -9,7 +9,7 @@ r mod (number of blocks), so a source that must give more than it has goes
 round again, three times at most.
 
 A source's block is 1/512 of what it has or must give, at most ``BLOCK`` words.
-Sums along a source are taken in two steps, by the first 16 bits of the hash
+Sums along a source are taken in two steps, by the first 12 bits of the hash
 and within them, so a source with a third of all documents is still many tasks.
 
 Cases: null and blank texts have size 0 and nothing is taken from them; a null
@@ -105,7 +105,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
 
     name = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")]
     placed = sizes.select("*", *name).join(hint(sources.drop("source").join(sources.select("number", *name), "number")), ["name", "none"]).drop("name", "none")
-    placed = placed.withColumn("order", F.sha2(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)).withColumn("part", F.substring("order", 1, 4))
+    placed = placed.withColumn("order", F.sha2(F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), 256)).withColumn("part", F.substring("order", 1, 3))
     parts = placed.groupBy("number", "part").agg(F.sum("size").alias("words"))
     ahead = Window.partitionBy("number").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("number", "part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
