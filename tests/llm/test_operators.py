@@ -117,6 +117,27 @@ def test_op2_blocks_round_trip():
         assert (ngram_lm._unpack(ngram_lm._pack(a, a))[1] == a).all()
 
 
+def test_op2_a_shard_that_cannot_be_read_fails(spark, tables, monkeypatch):
+    import numpy as np
+
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    model = ngram_lm.trained(docs)
+    unseen = np.array([12345], np.uint64)
+    assert model._arrays("pairs-none", (np.uint64, np.uint32)) is None and not model.scored(unseen, unseen)[2].any()
+
+    def broken(self, name):
+        raise OSError(28, "No space left on device")
+
+    monkeypatch.setattr(ngram_lm.SharedArrays, "read", broken)
+    model._maps.clear()
+    with pytest.raises(OSError):
+        model.scored(np.array([ngram_lm.END]), np.array([ngram_lm.BEGIN]))
+    monkeypatch.undo()
+    model.files.delete()
+    with pytest.raises(OSError):
+        model.scored(np.array([ngram_lm.END]), np.array([ngram_lm.BEGIN]))
+
+
 def test_op3(spark, tables, rows):
     found = queries.op3_source_mix(spark, tables).collect()
     assert len(found) == len(rows)

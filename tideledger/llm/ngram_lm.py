@@ -91,6 +91,11 @@ class SharedArrays:
             copy.flush()
             return np.memmap(copy.name, np.uint8, "r") if copy.tell() else np.zeros(0, np.uint8)
 
+    def names(self) -> frozenset[str]:
+        """The files that were written whole."""
+        files, root = self._open()
+        return frozenset(f.base_name for f in files.get_file_info(fs.FileSelector(root)) if not f.base_name.startswith("."))
+
     def delete(self) -> None:
         files, root = self._open()
         files.delete_dir(root)
@@ -317,9 +322,10 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """A counted model: where its arrays are, and its sums."""
+    """A counted model: where its arrays are, which there are, and its sums."""
 
     files: SharedArrays
+    shards: frozenset[str]
     pair_bits: int
     word_bits: int
     totals: dict[str, int]
@@ -329,20 +335,18 @@ class KneserNey:
         return self.__dict__ | {"_maps": {}}
 
     def _arrays(self, name: str, widths: tuple[type, ...]) -> list[np.ndarray] | None:
-        """The columns of a file, mapped once for each worker; None if there is no such shard."""
+        """The columns of a file, mapped once for each worker; None if no such shard was written. A file that can't be read fails the task."""
+        if name not in self.shards:
+            return None
         if name not in self._maps:
-            try:
-                raw = self.files.read(name)
-            except (FileNotFoundError, OSError):
-                self._maps[name] = []
-            else:
-                rows, at, out = len(raw) // sum(np.dtype(w).itemsize for w in widths), 0, []
-                for w in widths:
-                    size = rows * np.dtype(w).itemsize
-                    out.append(raw[at : at + size].view(w))
-                    at += size
-                self._maps[name] = out
-        return self._maps[name] or None
+            raw = self.files.read(name)
+            rows, at, out = len(raw) // sum(np.dtype(w).itemsize for w in widths), 0, []
+            for w in widths:
+                size = rows * np.dtype(w).itemsize
+                out.append(raw[at : at + size].view(w))
+                at += size
+            self._maps[name] = out
+        return self._maps[name]
 
     def _found(self, prefix: str, widths: tuple[type, ...], keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
         """For keys sorted within their shards (shards ascending) the values that stand beside them, or 0."""
@@ -405,7 +409,7 @@ def trained(docs: DataFrame, text: str = "text") -> KneserNey:
     pairs = by_shard(texts.mapInArrow(lambda b: _counted(b, bits), _BLOCK)).mapInArrow(lambda b: _merged_pairs(b, files, word_bits), _BLOCK)
     sums = by_shard(pairs).mapInArrow(lambda b: _merged_words(b, files), ", ".join(f"{n} long" for n in _TOTALS))
     row = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _TOTALS)).first()
-    return KneserNey(files, bits, word_bits, {n: int(row[n]) for n in _TOTALS})
+    return KneserNey(files, files.names(), bits, word_bits, {n: int(row[n]) for n in _TOTALS})
 
 
 def scores(docs: DataFrame, model: KneserNey, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
