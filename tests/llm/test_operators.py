@@ -270,6 +270,16 @@ def test_op8_terms_that_give_an_entity_away(spark):
     assert all("zed@" not in clean[i] and "Zorblax" not in clean[i] for i in range(5)) and all(clean[i] == texts[i] for i in range(5, 400))
 
 
+def test_op8_terms_with_capitals_outside_ascii(spark):
+    rng = __import__("random").Random(4)
+    names = ["Østergaard", "Élodie", "Жанна", "Ωmega"]
+    rows = [(i, f"{cases.sentence(rng, 6)} {names[i % 4]} wrote to zed{i % 4}@example.org {cases.sentence(rng, 6)}") for i in range(20)]
+    rows += [(i, cases.sentence(rng, 30)) for i in range(20, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["terms"] for r in pii.personal_spans(docs).collect()}
+    assert all(names[i % 4] in [rows[i][1][t["start"] : t["end"]] for t in found[i]] for i in range(20))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab1.@+- ()29%_é", max_size=40))
 def test_op8_patterns(text):
