@@ -280,6 +280,52 @@ def test_op8_terms_with_capitals_outside_ascii(spark):
     assert all(names[i % 4] in [rows[i][1][t["start"] : t["end"]] for t in found[i]] for i in range(20))
 
 
+def disclosed(spark, texts):
+    """The terms masked in each text."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["terms"] for r in pii.personal_spans(docs).collect()}
+    return [[t[x["start"] : x["end"]] for x in found[i]] for i, t in enumerate(texts)]
+
+
+def test_op8_thousands_of_different_contexts(spark):
+    rng = __import__("random").Random(5)
+
+    def some(n):
+        return " ".join(f"w{rng.randrange(1000)}" for _ in range(n))
+
+    texts = [f"{some(7)} Zorblax zed@example.org {some(8)}" for _ in range(3000)] + [some(16) for _ in range(4000)]
+    masked = disclosed(spark, texts)
+    assert all(m == ["Zorblax"] for m in masked[:3000]) and not any(masked[3000:])
+
+
+def test_op8_near_copies_of_a_passage_are_one_context(spark):
+    rng = __import__("random").Random(6)
+    passage = [f"p{i}" for i in range(24)]
+    texts = []
+    for i in range(300):
+        words = list(passage)
+        words[rng.randrange(24)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join([*words[:12], "zed@example.org", *words[12:]]))
+    page = [f"q{i}" if i % 50 else "Zorblax" for i in range(300)]
+    for i in range(60):
+        words = list(page)
+        words[rng.randrange(300)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join([*words[:225], "page@example.org", *words[225:]]))
+    texts += [cases.sentence(rng, 20) for _ in range(20_000)]
+    assert not any(disclosed(spark, texts))
+
+
+def test_op8_disclosing_terms_are_masked_wherever_they_stand(spark):
+    rng = __import__("random").Random(7)
+
+    def some(n):
+        return " ".join(f"w{rng.randrange(1000)}" for _ in range(n))
+
+    texts = [f"Zorblax {some(40)} zed@example.org {some(30)} Zorblax." for _ in range(6)] + [f"{some(9)} (zorblax) {some(9)}"] + [some(30) for _ in range(1500)]
+    masked = disclosed(spark, texts)
+    assert masked[:7] == [["Zorblax", "Zorblax"]] * 6 + [["zorblax"]] and not any(masked[7:])
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab1.@+- ()29%_é", max_size=40))
 def test_op8_patterns(text):
