@@ -30,13 +30,13 @@ def documents(seed=5):
     texts += [long, long + " tail", texts[20], texts[20]]
     rows = []
     for i, t in enumerate(texts):
-        rows.append((i * 3 if i else 0, t, rng.choice(["en", None]), rng.choice(["a", "b", "ä", "", None, "z"]), None if t is None else len(t), i, "x", 0.5))
+        rows.append((i * 3 if i else 0, t, rng.choice(["en", None]), rng.choice(["a", "b", "ä", "", None, "z"]), None if t is None else len(t), i, "x", 0.5, "t", 1, 2, 3, 4, "s", 5))
     rows[5] = (None, *rows[5][1:])
     rows += [rows[6], rows[6], rows[1]]
     return rows
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, fp string, kept double"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, fp string, kept double, terms string, _terms int, _key int, _row int, _left_out int, size string, taken int"
 
 
 def labels(rows):

@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rows import row_key, without_rows
-from .shared import kept
+from .shared import in_batches, kept
 from .textbatch import ALNUM_WORD, LOWER, chunks, gram_hashes, span_hashes, spans, text_of, utf8
 
 WINDOW = 10
@@ -126,20 +126,24 @@ def item_marks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
     """Fingerprints of the benchmark: item_id, fp, start, len, wins, and n_words."""
     items = benchmark.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     every = list(range(1, WINDOW))
-    marks = items.mapInArrow(lambda batches: _marked(batches, every, None), _MARKS)
+    marks = in_batches(items, lambda batches: _marked(batches, every, None), _MARKS)
     # an item's own length decides: long items by winnowing, short ones as one window
     return marks.where((F.col("n_words") >= WINDOW) & (F.col("len") == WINDOW) | (F.col("n_words") < WINDOW) & (F.col("len") == F.col("n_words")))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted as strings), spans (of hit windows: start, len)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", key: Column | None = None) -> DataFrame:
+    """One row per document: key, doc_id, n_words, n_hit, items (sorted as strings), spans (of hit windows: start, len).
+
+    ``key`` names a row; rows of one key and id count as one. Without it each row is its own.
+    """
     spark = docs.sparkSession
     tests = kept(item_marks(benchmark, item_id, item_text))
     sizes = tests.agg(F.count("fp").alias("n"), F.collect_set(F.when(F.col("len") < WINDOW, F.col("len"))).alias("short")).first()
     short = sorted(sizes["short"])
     wanted = spark.sparkContext.broadcast(_fingerprint_map(tests))
 
-    marks = docs.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lambda batches: _marked(batches, short, wanted.value), _MARKS)
+    keyed = docs.select((F.monotonically_increasing_id() if key is None else key).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marks = in_batches(keyed, lambda batches: _marked(batches, short, wanted.value), _MARKS)
     side = tests.where("fp is not null").select(F.col("fp").alias("fp_key"), F.col("len").alias("i_len"), F.col("wins").alias("i_wins"), F.col("doc_id").alias("item_id")).distinct()
     if sizes["n"] <= BROADCAST_ROWS:
         side = F.broadcast(side)
@@ -164,7 +168,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         ),
         lambda acc: acc["n"],
     )
-    return per_doc.select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans")
+    return per_doc.select("key", "doc_id", "n_words", covered.alias("n_hit"), "items", "spans")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -174,6 +178,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def contamination_keys(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row_key of each document that holds a benchmark window."""
-    keyed = docs.select(row_key().alias("k"), F.col("text"))
-    return contamination(keyed, benchmark, doc_id="k").where("n_hit > 0").select(F.col("doc_id").alias("row_key")).distinct()
+    """row_key and doc_id of each document that holds a benchmark window."""
+    return contamination(docs, benchmark, key=row_key()).where("n_hit > 0").select(F.col("key").alias("row_key"), "doc_id")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import in_batches, kept
 from .textbatch import BLANK_WORD, LOWER, chunks, gram_hashes, span_hashes, spans, text_of, utf8
 
 SLOT_BITS = 9
@@ -101,7 +102,7 @@ def raw_scores(data: np.ndarray, byte_off: np.ndarray, weights: np.ndarray, inte
 
 def sparse_rows(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
     """Slots and shares of each text as lists, with the columns ``keep``."""
-    for batch in chunks(batches, limit=1 << 20):
+    for batch in chunks(batches, limit=1 << 18):
         data, byte_off = utf8(batch.column("text"))
         keys, shares = [], []
         for slots, off in slots_of(data, byte_off):
@@ -125,7 +126,8 @@ def as_vector(slots: list[int], shares: list[float]) -> SparseVector:
 def vectors(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and ``features`` of the (few) rows a model is trained on."""
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("shares", T.ArrayType(T.DoubleType()))])
-    rows = docs.select(*keep, "text").mapInArrow(lambda batches: sparse_rows(batches, keep), schema)
+    # kept before the vectors are made: a task then has one Python worker, not one for each of two steps
+    rows = kept(in_batches(docs.select(*keep, "text"), lambda batches: sparse_rows(batches, keep), schema))
     return rows.select(*keep, as_vector("slots", "shares").alias("features"))
 
 

@@ -20,9 +20,10 @@ read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import fresh, row_key
 from .shared import kept
 
 BLOCK = 4096
@@ -36,10 +37,10 @@ PHI = 0.6180339887498949
 PHI_20 = (PHI * (1 << 20)) % 1.0
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", key: Column | None = None) -> DataFrame:
     """doc_id, source and size in words of every document, with a key for the row."""
     return docs.select(
-        F.monotonically_increasing_id().alias("key"),
+        (F.monotonically_increasing_id() if key is None else key).alias("key"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
@@ -92,9 +93,12 @@ def schedule(sources: DataFrame, slots: int) -> DataFrame:
     return in_chunk.join(offsets, ["number", "chunk"]).select("slot", "number", (F.col("before") + F.col("at")).alias("rank"))
 
 
-def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """key, doc_id, source, size, source_size, target, taken of every document."""
-    sizes = kept(sized(docs, doc_id, source, text))
+def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", key: Column | None = None) -> DataFrame:
+    """key, doc_id, source, size, source_size, target, taken of every document.
+
+    ``key`` names a row; rows of one key and id are one, and ``taken`` is each one's even share. Without it each row is its own.
+    """
+    sizes = kept(sized(docs, doc_id, source, text, key))
     sources = kept(source_targets(sizes))
     total = sources.agg(F.count("*").alias("n"), F.max("hi").alias("slots")).first()
     few = total["n"] <= BROADCAST_SOURCES
@@ -116,4 +120,16 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     cut = laid.select("key", "doc_id", "source", "size", "source_size", "target", "number", "block", "from", "to", F.explode_outer(pieces).alias("piece"))
     words = F.least("to", (F.col("piece") + 1) * F.col("block")) - F.greatest("from", F.col("piece") * F.col("block"))
     got = cut.join(takes, ["number", "piece"], "left").withColumn("got", F.coalesce(words * F.col("times"), F.lit(0)))
-    return got.groupBy("key", "doc_id", "source", "size", "source_size", "target").agg(F.sum("got").cast("long").alias("taken"))
+    return got.groupBy("key", "doc_id", "source", "size", "source_size", "target").agg((F.sum("got") / (F.lit(1) if key is None else F.count_distinct("from"))).cast("long").alias("taken"))
+
+
+#: What ``mixed`` adds to the documents' columns.
+MIXED = ("size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes words of, with their texts and MIXED (columns of these names are left out of the documents)."""
+    k, i = fresh("_row_key", docs), fresh("_row_id", docs)
+    taken = kept(mixture(docs, key=row_key()).where("taken > 0").select(F.col("key").alias(k), F.col("doc_id").alias(i), *MIXED))
+    rest = docs.drop(*(c for c in docs.columns if c.lower() in MIXED))
+    return rest.join(taken, (row_key() == F.col(k)) & F.col("doc_id").eqNullSafe(F.col(i))).drop(k, i)

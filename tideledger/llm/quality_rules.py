@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashed_features import fixed, logistic_line, raw_scores, sampled, vectors
-from .shared import kept
+from .shared import in_batches, kept
 from .textbatch import BLANK_WORD, LEAD, byte_table, chunks, gram_hashes, mix, per_text, span_hashes, spans, text_of, utf8
 
 PER_CLASS = 1500
@@ -118,7 +118,7 @@ def quality_rules(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *counts, "base_failed", "probability", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, schema)
+    return in_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), score, schema)
 
 
 def passing(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -132,4 +132,4 @@ def passing(docs: DataFrame, model: QualityModel) -> DataFrame:
             good = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= MAX_REPEAT_PERCENT * counts["n_words"])
             yield batch.filter(pa.array(good & (shared.value.probability(data, byte_off) >= KEEP_AT)))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return in_batches(docs, choose, docs.schema)

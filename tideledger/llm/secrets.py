@@ -29,6 +29,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .textbatch import byte_table, chunks, spans, utf8
 
 KINDS = ("assign", "access", "hex")
@@ -123,8 +124,8 @@ def secret_spans(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_i
                 names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base", "spans"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        scan, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base string, spans string"
+    return in_batches(
+        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), scan, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base string, spans string"
     )
 
 

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import row_key, without_rows
-from .shared import kept
+from .rows import fresh, matched, row_key, without_rows
+from .shared import in_batches, kept
 from .textbatch import chunks
 
 SEED = 42
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(fps.view(np.int64))], names=[*keep, "fp"])
 
     columns = [F.col(c).cast("long").alias(c) for c in keep]
-    return docs.select(*columns, F.col(text).alias("text")).mapInArrow(prints, ", ".join(f"{c} long" for c in (*keep, "fp")))
+    return in_batches(docs.select(*columns, F.col(text).alias("text")), prints, ", ".join(f"{c} long" for c in (*keep, "fp")))
 
 
 def local_links(fps: np.ndarray, slices: np.ndarray, across: bool) -> Iterator[tuple[int, int]]:
@@ -149,7 +149,7 @@ def links(fps: DataFrame, cell: int = CELL) -> DataFrame:
     cells = members.select("c", "v", "fp", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other"))
     cells = cells.select("c", "v", F.least("slice", "other").alias("i"), F.greatest("slice", "other").alias("j"), "slice", "fp")
     dealt = cells.repartition("c", "v", "i", "j").sortWithinPartitions("c", "v", "i", "j")
-    return dealt.mapInArrow(_cell_links, "a long, b long").distinct()
+    return in_batches(dealt, _cell_links, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -195,15 +195,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat id and text are one document; of these one row stays.
     """
-    prints = kept(fingerprints(docs.select(row_key().alias("k"), "doc_id", "text"), keep=("k", "doc_id")))
-    least = kept(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("k"))).alias("least")))
+    prints = kept(fingerprints(docs.select(row_key().alias("row_key"), "doc_id", "text"), keep=("row_key", "doc_id")))
+    least = kept(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key"))).alias("least")))
     found = components(links(least.select("fp")))
     rooted = least.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    best = kept(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.k").alias("k")))
-    dropped = kept(prints.join(best, "k", "left_anti").select(F.col("k").alias("row_key")).distinct())
+    best = kept(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row_key").alias("k"), F.col("least.doc_id").alias("i")))
+    is_best = (F.col("row_key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("i"))
+    dropped = kept(prints.join(best, is_best, "left_anti").select("row_key", "doc_id").distinct())
     rest = without_rows(docs, dropped)
-    repeated = kept(prints.join(best, "k").groupBy("k").count().where("count > 1").select(F.col("k").alias("row_key")))
+    repeated = kept(prints.join(best, is_best, "left_semi").groupBy("row_key", "doc_id").count().where("count > 1").drop("count"))
     if repeated.isEmpty():
         return rest
-    once = rest.join(repeated, row_key() == F.col("row_key"), "left_semi").withColumn("_row", row_key()).dropDuplicates(["_row"]).drop("_row")
+    name = fresh("_row", docs)
+    once = matched(rest, repeated, "left_semi").withColumn(name, row_key()).dropDuplicates([name, "doc_id"]).drop(name)
     return without_rows(rest, repeated).unionByName(once)
