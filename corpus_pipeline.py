@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; all but the last return the columns of ``documents``. ``run`` writes each
-stage's rows to the shared folder as Parquet and reads them for the next. A
-stage is one of the operators, so its cases (null and empty texts, repeated
+stage's rows to the shared folder as Parquet and reads them for the next; then
+the rows before are deleted. A stage is one of the operators, so its cases (null and empty texts, repeated
 rows, empty tables) are those of the operator.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideledger.llm import decontaminate, mixing, pii, quality_rules, simhash
-from tideledger.llm.shared import new_folder, table
+from tideledger.llm.shared import delete_folder, new_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +37,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes words of: doc_id, source, size, source_size, target, taken."""
-    mixed = mixing.mixture(docs)
-    return mixed.where("taken > 0").select("doc_id", "source", "size", "source_size", "target", "taken")
+    """The documents that the mix takes words of, with size, source_size, target and taken beside their columns."""
+    return mixing.mixed(docs)
 
 
 STAGES = [
@@ -55,9 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = new_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if before:
+            delete_folder(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
