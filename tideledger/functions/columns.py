@@ -67,6 +67,7 @@ def spread_tier(x: Column, tight: float = 0.05) -> Column:
     return F.when(x <= tight, "tight").otherwise("wide")
 
 
+# thresholds of regimes, gates and quality scores are fixed values
 def regime(m1: Column, m2: Column, m4: Column) -> Column:
     """First of five moves that holds, else neutral."""
     return (
@@ -125,7 +126,7 @@ def quality_mild_drop(size: Column, spread: Column, overround: Column, imbalance
         clip(F.coalesce(size, F.lit(0.0)) / 250.0),
         clip(1.0 - F.coalesce(spread, F.lit(0.2)) / 0.08),
         clip(1.0 - F.coalesce(overround, F.lit(0.2)) / 0.06),
-        clip((-F.coalesce(imbalance, F.lit(0.0)) + (F.coalesce(pressure, F.lit(0.0)) + 1.0) / 2.0) / 2.0),
+        clip((-F.coalesce(imbalance, F.lit(1.0)) + (F.coalesce(pressure, F.lit(-1.0)) + 1.0) / 2.0) / 2.0),
     )
     return reduce(lambda a, b: a + b, parts) / 4.0
 

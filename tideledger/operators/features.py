@@ -52,6 +52,7 @@ SNAPSHOT = (
     ("move", "move"), ("mid_up_prob", "prob"), ("buy_up_cents", "up"), ("buy_down_cents", "dn"), ("sell_up_cents", "sell_up"), ("sell_down_cents", "sell_dn"),
     ("buy_up_size", "usz"), ("buy_down_size", "dsz"), ("sell_up_size", "susz"), ("sell_down_size", "sdsz"),
     ("bid_depth_up_5", "bdu"), ("ask_depth_up_5", "adu"), ("bid_depth_down_5", "bdd"), ("ask_depth_down_5", "add"),
+    ("spread_up_cents", "spu"), ("spread_down_cents", "spd"),
 )
 
 
@@ -89,6 +90,9 @@ def market_features(quotes: DataFrame, key: list[str], minute_us: int = MINUTE_U
         *(snapshot(m * minute_us).alias(f"s{m}") for m in minutes),
         F.min_by("mid_up_prob", order).alias("prob0"),
         F.median(of_early("spread_up_cents")).alias("spread"),
+        F.median(of_early("spread_down_cents")).alias("spread_dn"),
+        F.sum(of_early("trade_count_1s")).alias("trades2"),
+        F.sum(of_early("trade_volume_1s")).alias("volume2"),
         F.median(of_early("overround")).alias("overround"),
         F.min(of_early("move")).alias("low_move"),
         F.max(of_early("move")).alias("high_move"),
@@ -100,10 +104,12 @@ def market_features(quotes: DataFrame, key: list[str], minute_us: int = MINUTE_U
     for m in minutes:
         out |= {f"m{m}": F.col(f"s{m}.move"), f"up{m}": F.col(f"s{m}.up") / 100.0, f"dn{m}": F.col(f"s{m}.dn") / 100.0}
         out |= {f"usz{m}": F.col(f"s{m}.usz").cast("double"), f"dsz{m}": F.col(f"s{m}.dsz").cast("double")}
+        out |= {f"spu{m}": F.col(f"s{m}.spu") / 100.0, f"spd{m}": F.col(f"s{m}.spd") / 100.0}
     s2 = {n: F.col(f"s2.{n}") for _, n in SNAPSHOT}
     path = F.coalesce("path", F.lit(0.0))
     out |= {
         "spread": F.col("spread") / 100.0,
+        "spread_dn": F.col("spread_dn") / 100.0,
         "imb": ratio(s2["usz"], s2["dsz"]),
         "sell_imb": ratio(s2["susz"], s2["sdsz"]),
         "dep": ratio(s2["bdu"], s2["bdd"]),
@@ -127,11 +133,28 @@ def market_features(quotes: DataFrame, key: list[str], minute_us: int = MINUTE_U
     return out.withColumns(pay)
 
 
-#: Columns of the feature row and what they are (fixed text of this library).
-CATALOGUE = (
-    ("m1", "move", "price less target at minute 1"), ("m2", "move", "price less target at minute 2"), ("m4", "move", "price less target at minute 4"),
-    ("up2", "price", "price of Up at minute 2"), ("dn2", "price", "price of Down at minute 2"), ("up4", "price", "price of Up at minute 4"),
-    ("spread", "cost", "median spread of the first two minutes"), ("overround", "cost", "median of both prices less one"),
-    ("imb", "book", "size imbalance of Up against Down"), ("bp", "book", "bid against ask depth of Down"), ("bpu", "book", "bid against ask depth of Up"),
-    ("eff", "path", "net over total move"), ("chop", "path", "total over net move"), ("vol", "path", "sample deviation of steps"), ("pm", "belief", "change of probability"),
+#: Columns of the feature row by kind and meaning; {m} stands for each of the minutes 1 to 4 (text of this library).
+_MEANINGS = (
+    ("m{m}", "move", "price less target at minute {m}"), ("up{m}", "price", "price of Up at minute {m}"), ("dn{m}", "price", "price of Down at minute {m}"),
+    ("usz{m}", "liquidity", "size offered of Up at minute {m}"), ("dsz{m}", "liquidity", "size offered of Down at minute {m}"),
+    ("spu{m}", "cost", "spread of Up at minute {m}"), ("spd{m}", "cost", "spread of Down at minute {m}"),
+    ("pay_up{m}", "pay-off", "profit of a share of Up bought at minute {m}"), ("pay_dn{m}", "pay-off", "profit of a share of Down bought at minute {m}"),
+    ("spread", "cost", "median spread of Up in the first two minutes"), ("spread_dn", "cost", "median spread of Down in the first two minutes"),
+    ("overround", "cost", "median of both prices less one in the first two minutes"), ("imb", "book", "size imbalance of Up against Down"),
+    ("sell_imb", "book", "imbalance of the sizes bid for"), ("dep", "book", "bid depth of Up against Down"), ("bp", "book", "bid against ask depth of Down"),
+    ("bpu", "book", "bid against ask depth of Up"), ("press", "book", "money offered of Down against Up"), ("eff", "path", "net over total move"),
+    ("chop", "path", "total over net move"), ("vol", "path", "sample deviation of steps"), ("path", "path", "sum of absolute steps"), ("net", "path", "last less first price"),
+    ("low_move", "path", "least move"), ("high_move", "path", "largest move"), ("drawdown", "path", "size of the least move"), ("pm", "belief", "change of probability"),
+    ("prob0", "belief", "first mid probability"), ("prob2", "belief", "mid probability at minute 2"), ("bps", "move", "move at minute 2 over the target in basis points"),
+    ("trades2", "activity", "trades in the first two minutes"), ("volume2", "activity", "volume in the first two minutes"), ("n_early", "activity", "quotes in the first two minutes"),
+    ("n_quotes", "activity", "quotes of the market"), ("outcome", "label", "1 if the last price is above the target"),
 )
+
+
+def catalogue() -> list[tuple[str, str, str]]:
+    """column, kind, meaning of every feature."""
+    out = []
+    for name, kind, meaning in _MEANINGS:
+        for m in (1, 2, 3, 4) if "{m}" in name else (0,):
+            out.append((name.format(m=m), kind, meaning.format(m=m)))
+    return out

@@ -36,7 +36,7 @@ def with_columns(df: DataFrame, names: list[str], kind: str = "double") -> DataF
 
 def keep_last(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key under a total order."""
-    last = Window.partitionBy(*key).orderBy(*(F.desc(c) for c in order))
+    last = Window.partitionBy(*key).orderBy(*(F.desc_nulls_last(c) for c in order))
     return df.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
 
 
@@ -45,7 +45,10 @@ def dropped_blank(df: DataFrame) -> DataFrame:
 
 
 def prepared(raw: DataFrame) -> DataFrame:
-    """Typed quotes with ts_utc, close time, seconds to close, filled mids, probabilities, overround, move and market key."""
+    """Typed quotes with ts_utc, close time, seconds to close, filled mids, probabilities, overrounds, move and market key; the last of each market and time.
+
+    Quotes are dealt by market first: the keep-last window and the roll-ups by market that follow share that one shuffle.
+    """
     df = with_columns(raw, [c for c in NUMERIC if c not in raw.columns])
     df = df.withColumns({c: number(c) for c in NUMERIC})
     if "ts_utc" not in df.columns:
@@ -61,13 +64,18 @@ def prepared(raw: DataFrame) -> DataFrame:
         }
     )
     sides = [F.col(f"{a}_{b}_cents").isNotNull() for a in ("buy", "sell") for b in ("up", "down")]
-    return df.withColumns(
+    df = df.withColumns(
         {
             "close_bucket": close_bucket(F.col("seconds_to_close")),
             "overround": (F.col("buy_up_cents") + F.col("buy_down_cents")) / 100.0 - 1.0,
             "mid_up_prob": F.col("mid_up_cents") / 100.0,
+            "mid_down_prob": F.col("mid_down_cents") / 100.0,
+            "mid_overround_cents": F.col("mid_up_cents") + F.col("mid_down_cents") - 100.0,
             "move": F.col("final_price") - F.col("target_price"),
             "book_complete": sides[0] & sides[1] & sides[2] & sides[3],
             "can_resolve": F.col("target_price").isNotNull() & F.col("final_price").isNotNull(),
         }
     )
+    time = "ts_iso" if "ts_iso" in df.columns else "ts_utc"
+    order = [c for c in ("ts_utc", "source_file", "ord") if c in df.columns]
+    return keep_last(df.repartition("market_id"), ["market_id", time], order)

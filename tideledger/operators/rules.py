@@ -36,12 +36,14 @@ def labelled(features: DataFrame, session_minute: str = "ny_minute", weekday: st
             "regime": C.regime(f("m1"), f("m2"), f("m4")),
             "path_regime": C.path_regime(f("m2"), f("eff"), f("chop")),
             "session": C.session_of(f(session_minute), f(weekday)),
-            "gate_down": C.gate(f("spread"), f("overround"), f("dsz2")),
+            "gate_down": C.gate(f("spread_dn"), f("overround"), f("dsz2")),
             "gate_up": C.gate(f("spread"), f("overround"), f("usz4"), min_size=120),
-            "strict_down": C.gate(f("spread"), f("overround"), f("dsz2"), 0.04, 0.03, 180),
+            "strict_down": C.gate(f("spread_dn"), f("overround"), f("dsz2"), 0.04, 0.03, 180),
             "strict_up": C.gate(f("spread"), f("overround"), f("usz4"), 0.04, 0.03, 150),
+            "gate_up_2": C.gate(f("spread"), f("overround"), f("usz2"), min_size=120),
+            "strict_up_2": C.gate(f("spread"), f("overround"), f("usz2"), 0.04, 0.03, 180),
             "qb": C.quality_breakout(f("usz4"), f("spread"), f("overround"), f("m4")),
-            "qm": C.quality_mild_drop(f("dsz2"), f("spread"), f("overround"), f("imb"), f("bp")),
+            "qm": C.quality_mild_drop(f("dsz2"), f("spread_dn"), f("overround"), f("imb"), f("bp")),
             "move_bucket": C.cut(f("m2"), C.MOVE_EDGES, C.MOVE_LABELS),
             "up_bucket": C.price_bucket(f("up2")),
             "down_bucket": C.price_bucket(f("dn2")),
@@ -52,8 +54,8 @@ def labelled(features: DataFrame, session_minute: str = "ny_minute", weekday: st
             "score_down": C.additive_score(f("m2") <= -10, f("dn2") <= 0.80, f("imb") <= 0, f("dsz2") >= 250, f("dep") <= 0),
             "score_up": C.additive_score((f("m2") > 30) & (f("m2") <= 50), f("up2") <= 0.80, f("imb") >= 0, f("usz2") >= 250, f("dep") >= 0),
             "score_tier": C.additive_score(f("m2") <= -10, f("dn2") <= 0.80, f("dsz2") >= 250, f("imb") <= 0, f("press") >= 0, f("eff") >= 0.55, f("chop") <= 2),
-            "overshoot": (F.coalesce("pm", F.lit(0.0)) <= -0.10) & (F.coalesce("m2", F.lit(0.0)) > -25),
-            "squeeze": (F.coalesce("pm", F.lit(0.0)) >= 0.10) & (F.coalesce("m2", F.lit(0.0)) < 25),
+            "overshoot": F.coalesce((f("pm") <= -0.10) & (f("m2") > -25), F.lit(False)),
+            "squeeze": F.coalesce((f("pm") >= 0.10) & (f("m2") < 25), F.lit(False)),
         }
     )
     return out.withColumns(
@@ -62,19 +64,33 @@ def labelled(features: DataFrame, session_minute: str = "ny_minute", weekday: st
             "milddrop": F.expr("coalesce(m2 > -30 and m2 <= -10 and imb <= 0 and bp >= -0.2, false)"),
             "sharpdrop": F.expr("coalesce(m2 > -50 and m2 <= -30 and up2 <= 0.45 and usz2 >= 120, false)"),
             "earlydrop": F.expr("coalesce(m1 <= -20 and dsz1 >= 80, false)"),
+            "consensus_down": F.expr("coalesce(m2 > -30 and m2 <= -10 and imb <= -0.10 and bp >= 0 and trades2 >= 20, false)"),
+            "tier": F.expr("case when score_tier <= 3 then 0.10D when score_tier = 4 then 0.15D when score_tier = 5 then 0.20D else 0.25D end"),
         }
     )
 
 
 DROP, RISE = "m2 <= -10", "m2 > 30 and m2 <= 50"
+#: Predicates that several rules share (fixed values).
+BREAKOUT = "m4 > 30 and m4 <= 50 and up4 <= 0.90"
+MOMENTUM_UP = "m2 >= 20 and eff >= 0.55 and pm >= 0.02 and up2 <= 0.75"
+OVERSHOOT = "pm <= -0.10 and m2 > -25 and up2 <= 0.45 and usz2 >= 120"
+REVERSION = "m2 >= 50 and vol >= 10 and dn2 <= 0.30"
 
 
 def _filters() -> list[Rule]:
-    """Filters on the base drop and rise (fixed predicates)."""
+    """Filters on the base drop and rise (fixed predicates), named by what they ask for."""
     down = ["true", "m2 > -50", "m2 > -30", "m2 <= -20", "m2 <= -30", "dn2 <= 0.80", "dn2 <= 0.75", "imb <= 0", "imb <= -0.10", "dsz2 >= 250", "dsz2 >= 400", "dn2 <= 0.80 and imb <= 0", "dn2 <= 0.75 and imb <= 0", "dn2 <= 0.80 and dsz2 >= 250"]
     up = ["true", "up2 <= 0.80", "imb >= 0", "usz2 >= 250"]
-    out = [Rule(f"drop_{i:02d}", "filter", "down", 2, f"{DROP} and {p}", 0.20) for i, p in enumerate(down)]
-    return out + [Rule(f"rise_{i:02d}", "filter", "up", 2, f"{RISE} and {p}", 0.20) for i, p in enumerate(up)]
+    words = {" and ": "__", "true": "all", "<=": "to", ">=": "from", ">": "over", "-": "minus", ".": "p", " ": "_"}
+
+    def named(base: str, predicate: str) -> str:
+        for mark, word in words.items():
+            predicate = predicate.replace(mark, word)
+        return f"{base}_{predicate}"
+
+    out = [Rule(named("drop", p), "filter", "down", 2, f"{DROP} and {p}", 0.20) for p in down]
+    return out + [Rule(named("rise", p), "filter", "up", 2, f"{RISE} and {p}", 0.20) for p in up]
 
 
 #: Single rules (fixed predicates).
@@ -107,24 +123,34 @@ _SINGLE = [
     Rule("m2_flat_down", "latest", "down", 2, "m2 > -10 and m2 <= 10", 0.10),
     Rule("m2_extreme_fade", "latest", "down", 2, "m2 >= 50", 0.10),
     Rule("m4_breakout", "latest", "up", 4, "m4 > 30 and m4 <= 50", 0.10),
-    Rule("drop10_liquid", "systematic", "down", 2, f"{DROP} and dsz2 >= 120 and spread <= 0.06", 0.10),
+    Rule("drop10_liquid", "systematic", "down", 2, f"{DROP} and dsz2 >= 120 and spread_dn <= 0.06", 0.10),
     Rule("sharpdrop_up_liquid", "systematic", "up", 2, "m2 > -50 and m2 <= -30 and usz2 >= 120 and spread <= 0.06 and up2 <= 0.45", 0.10),
     Rule("milddrop_book", "systematic", "down", 2, "milddrop", 0.10),
     Rule("extreme_fade_cheap", "systematic", "down", 2, "m2 >= 50 and dn2 <= 0.20", 0.10),
     Rule("breakout_book", "systematic", "up", 4, "breakout", 0.10),
     Rule("gate_breakout", "session", "up", 4, "breakout and gate_up", 0.08),
     Rule("gate_milddrop", "session", "down", 2, "milddrop and gate_down", 0.08),
+    Rule("tiered_down", "extended", "down", 2, DROP, 0.0, 1.0, "tier"),
     Rule("milddrop_core", "refresh", "down", 2, "milddrop and gate_down and session in ('london', 'us_afternoon')", 0.05),
     Rule("breakout_core", "refresh", "up", 4, "breakout and gate_up and session in ('asia', 'us_open')", 0.05),
-    Rule("early_drop", "refresh", "down", 1, "earlydrop and spread <= 0.05", 0.04),
+    Rule("early_drop", "refresh", "down", 1, "session in ('london', 'us_afternoon') and earlydrop and spread_dn <= 0.05", 0.04),
     Rule("sharpdrop", "refresh", "up", 2, "sharpdrop and spread <= 0.06", 0.04),
-    Rule("overshoot_fade_up", "refresh", "up", 2, "pm <= -0.10 and m2 > -25 and up2 <= 0.45 and usz2 >= 120 and spread <= 0.05", 0.04),
-    Rule("momentum_up", "refresh", "up", 2, "m2 >= 20 and eff >= 0.55 and pm >= 0.02 and up2 <= 0.75 and gate_up", 0.04),
+    Rule("book_consensus", "refresh", "down", 2, "session in ('london', 'us_afternoon') and consensus_down and gate_down", 0.05),
+    Rule("overshoot_fade", "refresh", "up", 2, f"{OVERSHOOT} and spread <= 0.05", 0.04),
+    Rule("ts_momentum", "refresh", "up", 2, f"{MOMENTUM_UP} and gate_up", 0.04),
+    Rule("ts_reversion", "refresh", "down", 2, f"{REVERSION} and spread_dn <= 0.06", 0.04),
+    Rule("framework_milddrop", "framework", "down", 2, "milddrop and gate_down", 0.05),
+    Rule("framework_breakout", "framework", "up", 4, f"{BREAKOUT} and gate_up_2", 0.05),
+    Rule("framework_early_drop", "framework", "down", 1, "m1 <= -20 and spread_dn <= 0.06", 0.04),
+    Rule("framework_sharpdrop", "framework", "up", 2, "m2 > -50 and m2 <= -30 and up2 <= 0.45 and spread <= 0.06", 0.04),
+    Rule("framework_extreme_fade", "framework", "down", 2, "m2 >= 50 and dn2 <= 0.30 and spread_dn <= 0.06", 0.04),
+    Rule("consensus_down_any", "framework", "down", 2, "session in ('london', 'us_afternoon', 'other') and consensus_down and gate_down", 0.05),
+    Rule("consensus_up", "framework", "up", 2, "m2 >= 10 and imb >= 0.10 and bpu >= 0 and up2 <= 0.75 and gate_up_2 and session in ('asia', 'us_open', 'other')", 0.04),
+    Rule("overshoot_fade_up", "framework", "up", 2, "overshoot and spread <= 0.05 and usz2 >= 120", 0.035),
+    Rule("squeeze_fade_down", "framework", "down", 2, "squeeze and spread_dn <= 0.05 and dsz2 >= 120", 0.035),
+    Rule("framework_momentum_up", "framework", "up", 2, f"{MOMENTUM_UP} and gate_up_2", 0.04),
     Rule("momentum_down", "framework", "down", 2, "m2 <= -15 and eff >= 0.50 and pm <= -0.02 and dn2 <= 0.75 and gate_down", 0.04),
-    Rule("reversion_down", "refresh", "down", 2, "m2 >= 50 and vol >= 10 and dn2 <= 0.30 and spread <= 0.06", 0.04),
-    Rule("extreme_fade", "framework", "down", 2, "m2 >= 50 and dn2 <= 0.30 and spread <= 0.06", 0.04),
-    Rule("consensus_up", "framework", "up", 2, "m2 >= 10 and imb >= 0.10 and bpu >= 0 and up2 <= 0.75 and gate_up and session in ('asia', 'us_open', 'other')", 0.04),
-    Rule("squeeze_fade_down", "framework", "down", 2, "squeeze and spread <= 0.05 and dsz2 >= 120", 0.035),
+    Rule("reversion_down", "framework", "down", 2, "m2 >= 50 and dn2 <= 0.30", 0.035),
 ]
 
 #: Mixes: the first rule that holds (fixed predicates and sizes).
@@ -140,8 +166,18 @@ _MIXES = {
     "guarded_adaptive": [("up", 4, "session = 'asia' and breakout and strict_up", 0.03, 0.07, "qb"), ("down", 2, "session = 'london' and milddrop and strict_down", 0.03, 0.07, "qm"), ("down", 2, "session = 'us_afternoon' and milddrop and qm >= 0.62", 0.04, 0.08, "qm")],
     "shock_absorber": [("up", 4, "session = 'asia' and breakout and gate_up and qb >= 0.62", 0.06, None, None), ("down", 2, "session = 'london' and milddrop and gate_down and qm >= 0.58", 0.05, None, None), ("down", 2, "session = 'us_afternoon' and milddrop and qm >= 0.60", 0.07, None, None), ("up", 2, "session = 'other' and sharpdrop and qb >= 0.55", 0.03, None, None)],
     "asia_london": [("up", 4, "session = 'asia' and breakout and gate_up", 0.06, None, None), ("down", 2, "session = 'london' and milddrop and gate_down", 0.05, None, None)],
-    "early_and_mild": [("down", 1, "earlydrop and spread <= 0.05", 0.04, None, None), ("down", 2, "milddrop and gate_down", 0.05, None, None)],
-    "conservative_2": [("up", 4, "session = 'asia' and breakout and strict_up", 0.04, None, None), ("down", 2, "session = 'us_afternoon' and milddrop and qm >= 0.62", 0.045, None, None)],
+    "early_and_mild": [("down", 1, "session in ('london', 'us_afternoon') and earlydrop and spread_dn <= 0.05", 0.04, None, None), ("down", 2, "session in ('london', 'us_afternoon') and milddrop and gate_down", 0.05, None, None)],
+    "milddrop_core_light": [("down", 2, "session = 'london' and milddrop and gate_down", 0.05, None, None), ("down", 2, "session = 'us_afternoon' and milddrop and gate_down", 0.06, None, None)],
+    "strict_session": [("up", 4, "session = 'asia' and breakout and strict_up", 0.03, 0.07, "qb"), ("down", 2, "session = 'london' and consensus_down and strict_down", 0.03, 0.07, "qm"), ("down", 2, "session = 'us_afternoon' and milddrop and qm >= 0.62", 0.05, None, None)],
+    "micro_game": [("down", 2, "session in ('london', 'us_afternoon') and consensus_down", 0.05, None, None), ("up", 2, OVERSHOOT, 0.035, None, None), ("up", 4, "session = 'asia' and breakout and gate_up", 0.05, None, None)],
+    "time_series": [("up", 2, f"{MOMENTUM_UP} and gate_up", 0.04, None, None), ("down", 2, REVERSION, 0.04, None, None), ("down", 2, "session in ('london', 'us_afternoon') and milddrop and qm >= 0.60", 0.04, None, None)],
+    "micro_ts_mix": [("down", 2, "consensus_down and gate_down", 0.045, None, None), ("up", 2, f"{MOMENTUM_UP} and gate_up_2", 0.035, None, None), ("up", 2, "overshoot and spread <= 0.05", 0.03, None, None)],
+    "conservative_2": [("up", 4, f"session = 'asia' and {BREAKOUT} and strict_up_2", 0.04, None, None), ("down", 2, "session = 'london' and consensus_down and strict_down", 0.04, None, None), ("down", 2, "session = 'us_afternoon' and milddrop and qm >= 0.62", 0.045, None, None)],
+    "interval_best": [("down", 2, "m2 > -30 and m2 <= -10", 0.20, None, None), ("up", 2, RISE, 0.20, None, None)],
+    "combo_guarded": [("up", 4, "session in ('us_open', 'us_afternoon') and breakout and gate_up", 0.08, None, None), ("down", 2, "session in ('asia', 'london') and milddrop and gate_down", 0.08, None, None)],
+    "combo_session_mix": [("up", 4, "session = 'us_open' and breakout and gate_up", 0.08, None, None), ("down", 2, "session in ('london', 'asia') and milddrop and gate_down and qm >= 0.55", 0.08, None, None)],
+    "combo_guarded_adaptive": [("up", 4, "session in ('us_open', 'us_afternoon') and breakout and gate_up", 0.04, 0.12, "qb"), ("down", 2, "session in ('asia', 'london') and milddrop and gate_down", 0.04, 0.12, "qm")],
+    "combo_session_mix_adaptive": [("up", 4, "session = 'us_open' and breakout and gate_up", 0.04, 0.12, "qb"), ("down", 2, "session in ('london', 'asia') and milddrop and gate_down and qm >= 0.55", 0.04, 0.12, "qm")],
 }
 
 #: Rules over probabilities and past results of the event's series: q_up and q_down from earlier rows, health_* of the base drop (fixed predicates).
@@ -154,13 +190,36 @@ DYNAMIC = [
     Rule("drop_health_mean", "health", "down", 2, f"{DROP} and health_mean > 0.05", 0.20),
     Rule("drop_health_win", "health", "down", 2, f"{DROP} and health_win > 0.58", 0.20),
     Rule("drop_health_sharpe", "health", "down", 2, f"{DROP} and health_sharpe > 0.20", 0.20),
-    Rule("overlay", "model", "up", 4, "session = 'asia' and breakout and q_up - up4 > 0.08", 0.08, None, None, 0),
-    Rule("overlay", "model", "down", 2, "session = 'london' and milddrop and q_down - dn2 > 0.08", 0.06, None, None, 1),
-    Rule("overlay", "model", "down", 2, "session = 'us_afternoon' and milddrop and q_down - dn2 > 0.10", 0.08, None, None, 2),
-    Rule("gated_value", "model", "down", 2, "milddrop and gate_down and q_down - dn2 > 0.06", 0.04, None, None, 0),
-    Rule("gated_value", "model", "up", 4, "breakout and gate_up and q_up - up4 > 0.06", 0.04, None, None, 1),
-    Rule("strict_value", "model", "down", 2, "milddrop and strict_down and q_down - dn2 > 0.10", 0.035, None, None, 0),
-    Rule("strict_value", "model", "up", 4, "breakout and strict_up and q_up - up4 > 0.10", 0.035, None, None, 1),
+]
+
+
+def _model_rules() -> list[Rule]:
+    """Rules over q_up and q_down = 1 - q_up of the walk-forward regression (fixed predicates)."""
+    legs = {
+        "logit_overlay": [("up", 4, "session = 'asia' and breakout and gate_up and q_up - up4 > 0.08", 0.08), ("down", 2, "session = 'london' and milddrop and gate_down and q_down - dn2 > 0.08", 0.06), ("down", 2, "session = 'us_afternoon' and milddrop and q_down - dn2 > 0.10", 0.08)],
+        "logit_gated_session": [("up", 4, "session = 'asia' and breakout and gate_up and q_up - up4 > 0.06", 0.05), ("down", 2, "session = 'london' and milddrop and gate_down and q_down - dn2 > 0.06", 0.05), ("down", 2, "session = 'us_afternoon' and milddrop and q_down - dn2 > 0.08", 0.06)],
+        "logit_value": [("down", 2, "session in ('london', 'us_afternoon') and milddrop and q_down - dn2 > 0.06", 0.04), ("up", 4, "breakout and q_up - up4 > 0.06", 0.04)],
+        "logit_edge_06": [("up", 2, "gate_up_2 and q_up - up2 > 0.06", 0.04), ("down", 2, "gate_down and q_down - dn2 > 0.06", 0.04)],
+        "logit_edge_10": [("up", 2, "strict_up_2 and q_up - up2 > 0.10", 0.035), ("down", 2, "strict_down and q_down - dn2 > 0.10", 0.035)],
+    }
+    out = [Rule(name, "model", side, minute, p, f, None, None, i) for name, parts in legs.items() for i, (side, minute, p, f) in enumerate(parts)]
+    return out
+
+
+MODEL = _model_rules()
+
+
+def model_value(model: str, buffer: float) -> list[Rule]:
+    """Buy what a model's probability (q_up, q_down) values above its price, the fee and a buffer; Up first."""
+    return [Rule(f"value_{model}_{round(100 * buffer):02d}", "value", side, 2, p, 0.10, None, None, i) for i, (side, p) in enumerate((("up", f"q_up > up2 + 0.01 + {buffer}"), ("down", f"q_down > dn2 + 0.01 + {buffer}")))]
+
+
+#: Rules over the path regime's backoff means q_up and q_down (fixed predicates).
+REGIME_VALUE = [
+    Rule("regime_drop_value_02", "value", "down", 2, f"{DROP} and q_down > dn2 + 0.02", 0.20),
+    Rule("regime_drop_value_05", "value", "down", 2, f"{DROP} and q_down > dn2 + 0.05", 0.20),
+    Rule("regime_drop_value_book", "value", "down", 2, f"{DROP} and q_down > dn2 + 0.02 and imb <= 0 and dsz2 >= 250", 0.20),
+    Rule("regime_rise_value_02", "value", "up", 2, f"{RISE} and q_up > up2 + 0.02", 0.20),
 ]
 
 #: Sizes of the session, gate and combo rules (fixed values).
@@ -184,30 +243,44 @@ def catalogue() -> list[Rule]:
     return out
 
 
+#: The strategies of the walk-forward validation that need no model; mix_active has quota 14 and cool-down 6, the others 10 and 8 (fixed values).
+REGISTRY = (
+    "mix_active", "mix_conservative", "mix_balanced", "mix_adaptive", "framework_milddrop", "framework_breakout", "framework_early_drop", "framework_sharpdrop", "framework_extreme_fade",
+    "consensus_down_any", "consensus_up", "overshoot_fade_up", "squeeze_fade_down", "framework_momentum_up", "momentum_down", "reversion_down", "micro_ts_mix", "conservative_2",
+)
+MODEL_REGISTRY = ("logit_overlay", "logit_edge_06", "logit_edge_10")
+
+
+def registry() -> list[Rule]:
+    return [r for r in catalogue() if r.name in REGISTRY]
+
+
 def signals(events: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
     """key, rule, family, side, minute, fraction, price, size, unit_pnl: a row for each event and rule that fires.
 
-    One projection evaluates all rules; what doesn't fire is dropped before any
-    shuffle. Within a rule's name the part of least priority that holds wins.
+    One projection finds for each rule's name the number of its part of least
+    priority that holds; what doesn't fire is dropped before any shuffle. What
+    a part says (side, minute, size) is a table of fixed size, met by number.
     """
-    by_name: dict[str, list[Rule]] = {}
-    for r in rules:
-        by_name.setdefault(r.name, []).append(r)
-    fired = []
-    for parts in by_name.values():
-        choice = None
-        for r in sorted(parts, key=lambda r: r.priority):
-            base = F.lit(r.lo)
-            fraction = C.quality_fraction(base, F.lit(r.hi), F.col(r.quality)) if r.hi is not None else base
-            leg = "up" if r.side == "up" else "dn"
-            signal = F.struct(
-                F.lit(r.name).alias("rule"), F.lit(r.family).alias("family"), F.lit(r.side).alias("side"), F.lit(r.minute).alias("minute"), fraction.cast("double").alias("fraction"),
-                F.col(f"{leg}{r.minute}").alias("price"), F.col(f"{leg[0]}sz{r.minute}").alias("size"), F.col(f"pay_{leg}{r.minute}").alias("unit_pnl"),
-            )
-            choice = F.when(F.expr(r.predicate), signal) if choice is None else choice.when(F.expr(r.predicate), signal)
-        fired.append(choice)
-    rows = events.select(*key, F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("x"))
-    return rows.select(*key, "x.*")
+    by_name: dict[str, list[int]] = {}
+    for i in sorted(range(len(rules)), key=lambda i: rules[i].priority):
+        by_name.setdefault(rules[i].name, []).append(i)
+    fired = [F.expr("CASE " + " ".join(f"WHEN {rules[i].predicate} THEN {i}" for i in parts) + " END") for parts in by_name.values()]
+    qualities = sorted({r.quality for r in rules if r.hi is not None})
+    legs = [f"{leg}{m}" for leg in ("up", "dn") for m in MOVES_AT]
+    hit = events.select(
+        *key,
+        F.array(*legs).alias("_price"),
+        F.array(*(f"{leg}{m}" for leg in ("usz", "dsz") for m in MOVES_AT)).alias("_size"),
+        F.array(*(f"pay_{leg}" for leg in legs)).alias("_pay"),
+        F.array(F.lit(0.0), *(F.col(q).cast("double") for q in qualities)).alias("_quality"),
+        F.explode(F.filter(F.array(*fired), lambda i: i.isNotNull())).alias("_part"),
+    )
+    parts = [(i, r.name, r.family, r.side, r.minute, float(r.lo), float(r.lo if r.hi is None else r.hi), 0 if r.hi is None else 1 + qualities.index(r.quality), legs.index(f"{'up' if r.side == 'up' else 'dn'}{r.minute}")) for i, r in enumerate(rules)]
+    table = events.sparkSession.createDataFrame(parts, "_part int, rule string, family string, side string, minute int, _lo double, _hi double, _q int, _leg int")
+    met = hit.join(F.broadcast(table), "_part")
+    fraction = C.quality_fraction(F.col("_lo"), F.col("_hi"), F.get("_quality", F.col("_q")))
+    return met.select(*key, "rule", "family", "side", "minute", fraction.alias("fraction"), *(F.get(c, F.col("_leg")).alias(n) for c, n in (("_price", "price"), ("_size", "size"), ("_pay", "unit_pnl"))))
 
 
 #: Micro-trades an event can fire, with their price and safety margins (fixed values).

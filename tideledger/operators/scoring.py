@@ -22,12 +22,12 @@ class Part:
 SCORES = {
     "summary": (Part("ending", 0.20), Part("win_rate", 0.20), Part("profit_factor", 0.20, fill=0), Part("max_drawdown", 0.20, "low", 999), Part("loss_streak", 0.10, "low", 999), Part("p10_return", 0.10, fill=-999)),
     "robustness": (Part("ending", 0.15), Part("win_rate", 0.20), Part("profit_factor", 0.20, fill=0), Part("max_drawdown", 0.20, "low", 999), Part("loss_streak", 0.15, "low", 999), Part("p10_return", 0.10, fill=-999)),
-    "session": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst", 0.25, fill=-999), Part("share_positive", 0.20, fill=0), Part("profit_factor", 0.10, fill=0), Part("win_rate", 0.10, fill=0)),
-    "mix": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst", 0.25, fill=-999), Part("share_over_10", 0.20, fill=0), Part("active_rate", 0.10, fill=0), Part("profit_factor", 0.10, fill=0)),
-    "refresh": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst", 0.20, fill=-999), Part("worst_long", 0.15, fill=-999), Part("recent_return", 0.20, fill=-999), Part("profit_factor", 0.05, fill=0), Part("win_rate", 0.05, fill=0)),
-    "refresh_2": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst", 0.20, fill=-999), Part("worst_long", 0.15, fill=-999), Part("recent_return", 0.25, fill=-999), Part("profit_factor", 0.05, fill=0)),
-    "framework": (Part("total_return", 0.35), Part("max_drawdown", 0.25, "low", 999), Part("profit_factor", 0.20, fill=0), Part("worst", 0.20, fill=-999)),
-    "walk_forward": (Part("total_return", 0.30), Part("max_drawdown", 0.25, "low", 999), Part("profit_factor", 0.20, fill=0), Part("worst", 0.20, fill=-999)),
+    "session": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst_48", 0.25, fill=-999), Part("share_positive_48", 0.20, fill=0), Part("profit_factor", 0.10, fill=0), Part("win_rate", 0.10, fill=0)),
+    "mix": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst_144", 0.25, fill=-999), Part("share_over_10_144", 0.20, fill=0), Part("active_144", 0.10, fill=0), Part("profit_factor", 0.10, fill=0)),
+    "refresh": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst_144", 0.20, fill=-999), Part("worst_864", 0.15, fill=-999), Part("recent_return", 0.20, fill=-999), Part("profit_factor", 0.05, fill=0), Part("win_rate", 0.05, fill=0)),
+    "refresh_2": (Part("ending", 0.15), Part("max_drawdown", 0.20, "low", 999), Part("worst_144", 0.20, fill=-999), Part("worst_864", 0.15, fill=-999), Part("recent_return", 0.25, fill=-999), Part("profit_factor", 0.05, fill=0)),
+    "framework": (Part("total_return", 0.35), Part("max_drawdown", 0.25, "low", 999), Part("profit_factor", 0.20, fill=0), Part("worst_144", 0.20, fill=-999)),
+    "walk_forward": (Part("total_return", 0.30), Part("max_drawdown", 0.25, "low", 999), Part("profit_factor", 0.20, fill=0), Part("worst_144", 0.20, fill=-999)),
     "test": (Part("avg_return", 0.30), Part("share_positive", 0.25), Part("max_drawdown", 0.20, "low", 999), Part("profit_factor", 0.15, fill=0), Part("selected", 0.10)),
 }
 

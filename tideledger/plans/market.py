@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -155,7 +155,7 @@ def market_rollup(spark, sf):
     return features.market_rollup(prepared(spark, sf), ["market_id"]).select("market_id", *n("first_t", "last_t", "n_quotes"), *d(*_ROLL_D), "files")
 
 
-_FEAT = ("m1", "m2", "m4", "up2", "dn2", "up4", "dn4", "usz2", "dsz2", "spread", "overround", "low_move", "high_move", "prob2", "pm", "bps", "outcome")
+_FEAT = ("m1", "m2", "m4", "up2", "dn2", "up4", "dn4", "usz2", "dsz2", "spu2", "spd2", "spread", "spread_dn", "trades2", "overround", "low_move", "high_move", "prob2", "pm", "bps", "outcome")
 _PATH = ("path", "vol", "net", "eff", "chop", "drawdown")
 _IMB = ("imb", "sell_imb", "dep", "bpu", "bp", "press")
 _PAY = ("pay_up1", "pay_dn1", "pay_up2", "pay_dn2", "pay_up4", "pay_dn4")
@@ -378,7 +378,7 @@ def ew_backoff_mean(spark, sf):
     return windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS).select("market_id", *d("q"), *n("q_n"), "q_level")
 
 
-_BASE = [r for r in rules.catalogue() if r.name in ("drop_00", "classic_up", "m2_flat_down", "switch_1", "mix_active", "mix_adaptive", "momentum_down", "breakout_asia", "entry3_drop10", "mom_up_30", "trend_down")]
+_BASE = [r for r in rules.catalogue() if r.name in ("drop_all", "classic_up", "m2_flat_down", "switch_1", "mix_active", "mix_adaptive", "momentum_down", "breakout_asia", "entry3_drop10", "mom_up_30", "trend_down")]
 
 
 def signal_rows(spark: SparkSession, sf: str, chosen=None) -> DataFrame:
@@ -472,8 +472,6 @@ def _metrics(spark: SparkSession, sf: str, by: list[str], rows: DataFrame) -> Da
     also = (
         F.avg((F.col("unit_pnl") > 0).cast("double")).alias("win_rate"),
         F.when(losses != 0, gains / F.abs(losses)).alias("profit_factor"),
-        F.percentile(F.col("unit_pnl"), F.lit(0.1)).alias("p10_return"),
-        F.min("unit_pnl").alias("worst"),
     )
     return capital.uncapped(rows, by, ["first_t", "market_id"], also=also)
 
@@ -481,8 +479,7 @@ def _metrics(spark: SparkSession, sf: str, by: list[str], rows: DataFrame) -> Da
 _UNCAPPED = """, pth AS (SELECT {by}, unit_pnl, 100.0::DOUBLE * product(1 + fraction * unit_pnl / price) OVER w AS b, row_number() OVER (PARTITION BY {by} ORDER BY first_t DESC, market_id DESC) AS back, first_t, market_id FROM {t} WINDOW w AS (PARTITION BY {by} ORDER BY first_t, market_id ROWS UNBOUNDED PRECEDING)),
  pk AS (SELECT *, greatest(100.0::DOUBLE, max(b) OVER (PARTITION BY {by} ORDER BY first_t, market_id ROWS UNBOUNDED PRECEDING)) AS peak FROM pth),
  mt AS (SELECT {by}, count(*) AS trades, max(b) FILTER (WHERE back = 1) AS ending, max(b) FILTER (WHERE back = 1) / 100.0::DOUBLE - 1 AS total_return, max((peak - b) / peak) AS max_drawdown,
-   avg(CASE WHEN unit_pnl > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS win_rate, CASE WHEN sum(CASE WHEN unit_pnl < 0 THEN unit_pnl ELSE 0 END) <> 0 THEN sum(CASE WHEN unit_pnl > 0 THEN unit_pnl ELSE 0 END) / abs(sum(CASE WHEN unit_pnl < 0 THEN unit_pnl ELSE 0 END)) END AS profit_factor,
-   quantile_cont(unit_pnl, 0.1) AS p10_return, min(unit_pnl) AS worst FROM pk GROUP BY {by})"""
+   avg(CASE WHEN unit_pnl > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS win_rate, CASE WHEN sum(CASE WHEN unit_pnl < 0 THEN unit_pnl ELSE 0 END) <> 0 THEN sum(CASE WHEN unit_pnl > 0 THEN unit_pnl ELSE 0 END) / abs(sum(CASE WHEN unit_pnl < 0 THEN unit_pnl ELSE 0 END)) END AS profit_factor FROM pk GROUP BY {by})"""
 _PRANK = "(rank() OVER (PARTITION BY {part} ORDER BY round({x}, 12)) + (count(*) OVER (PARTITION BY {part}, round({x}, 12)) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY {part})"
 
 
@@ -492,13 +489,144 @@ def compound_uncapped(spark, sf):
     return m.select("run_name", "rule", *n("trades"), *d("log_ending", "max_drawdown", "win_rate", "profit_factor"))
 
 
-_FRAME = "0.35::DOUBLE * " + _PRANK.format(part="run_name", x="total_return") + " + 0.25::DOUBLE * " + _PRANK.format(part="run_name", x="-max_drawdown") + " + 0.2::DOUBLE * " + _PRANK.format(part="run_name", x="coalesce(profit_factor, 0)") + " + 0.2::DOUBLE * " + _PRANK.format(part="run_name", x="worst")
+#: Windows of events in the strategy metrics: events are hours here, so the longest is 288.
+_SIZES = (48, 144, 288)
+
+
+def placed(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, list[str]]:
+    """market_id, the groups an event is in and its number n there, total; and the groups' columns. Events are one row a market."""
+    ev = feature_rows(spark, sf).where("outcome is not null").select("market_id", "run_name", "first_t").withColumn("part", F.lit("all"))
+    order = ["first_t", "market_id"]
+    if kind == "split":
+        ev, by = validation.split_50_25_25(ev, ["part"], order, 100), ["split"]
+    elif kind == "fold":
+        folds = validation.run_folds(ev.select("run_name").distinct(), 2)
+        ev, by = ev.join(F.broadcast(folds), "run_name"), ["fold_id", "split"]
+    elif kind == "latest":
+        back = windows.numbered(ev, ["part"], [F.desc("first_t"), F.desc("market_id")], "back")
+        ev, by = back.where("back < 60"), ["part"]
+    else:
+        by = ["run_name"] if kind == "run" else ["part"]
+    out = windows.numbered(ev, by, order).select("market_id", *by, F.col("n").cast("long").alias("n"))
+    return out.withColumn("total", F.count("*").over(Window.partitionBy(*by))), by
+
+
+def strategy_metrics(spark: SparkSession, sf: str, kind: str, signals: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+    """Metrics of each strategy (column rule) in each group, its capital restarted and its events numbered anew; strategies without a trade have a row too."""
+    ev, by = placed(spark, sf, kind)
+    mild = F.col("rule") == "mix_active"
+    rows = signals.select("market_id", "rule", "fraction", "price", "size", "unit_pnl").join(ev, "market_id")
+    rows = rows.withColumns({"quota": F.when(mild, 14).otherwise(10), "wait": F.when(mild, 6).otherwise(8)})
+    log = capital.trade_log(rows, [*by, "rule"], ["n"], quota=F.col("quota"), cooldown=F.col("wait"))
+    groups = joins.gridded(ev.select(*by, "total").distinct(), "rule", names)
+    return capital.path_metrics(log, groups, [*by, "rule"], _SIZES, 288), by
+
+
+_EVENTS = {
+    "run": ("run_name", "SELECT market_id, run_name, first_t FROM l WHERE outcome IS NOT NULL"),
+    "part": ("part", "SELECT market_id, 'all' AS part, first_t FROM l WHERE outcome IS NOT NULL"),
+    "latest": ("part", "SELECT market_id, 'all' AS part, first_t FROM l WHERE outcome IS NOT NULL ORDER BY first_t DESC, market_id DESC LIMIT 60"),
+    "fold": ("fold_id, split", "SELECT market_id, fold_id, split, first_t FROM l JOIN fr USING (run_name) WHERE outcome IS NOT NULL"),
+    "split": ("split", "SELECT market_id, split, first_t FROM sp"),
+}
+_FOLD_RUNS = ", runs AS (SELECT run_name, row_number() OVER (ORDER BY run_name) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT run_name FROM l WHERE outcome IS NOT NULL)), fo AS (SELECT i - 1 AS fold_id, i AS pos FROM runs WHERE i >= 2 AND i < k - 1), fr AS (SELECT fold_id, CASE WHEN i < pos THEN 'train' WHEN i = pos THEN 'validation' ELSE 'test' END AS split, run_name FROM fo JOIN runs ON runs.i <= pos + 1)"
+_SPLIT_ROWS = ", sz AS (SELECT market_id, first_t, row_number() OVER (ORDER BY first_t, market_id) - 1 AS i, count(*) OVER () AS c FROM l WHERE outcome IS NOT NULL), sb AS (SELECT *, greatest(1, floor(c * 0.5)) AS i1, greatest(greatest(1, floor(c * 0.5)) + 1, floor(c * 0.75)) AS i2 FROM sz), sp AS (SELECT market_id, first_t, 'train' AS split FROM sb WHERE i < i1 UNION ALL SELECT market_id, first_t, 'validation' FROM sb WHERE i >= i1 AND i < i2 UNION ALL SELECT market_id, first_t, 'test' FROM sb WHERE i >= i2 UNION ALL SELECT market_id, first_t, 'full' FROM sb UNION ALL SELECT market_id, first_t, 'latest' FROM sb WHERE i >= greatest(0, c - 100))"
+_WIN = ("worst", "share_positive", "share_over_10", "active")
+
+
+def _metrics_sql(kind: str, chosen) -> str:
+    """CTE ``me``: the same metrics by a recursive fold and windows over every event of every strategy."""
+    by, rows = _EVENTS[kind]
+    key = f"{by}, rule"
+    on = " AND ".join(f"fold.{c} = tr.{c}" for c in key.split(", "))
+    rates = ", ".join(
+        f"CASE WHEN max(total) >= {w} THEN min(p{w}) FILTER (WHERE n >= {w - 1}) END AS worst_{w}, CASE WHEN max(total) >= {w} THEN avg(CASE WHEN p{w} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE n >= {w - 1}) END AS share_positive_{w}, CASE WHEN max(total) >= {w} THEN avg(CASE WHEN p{w} > 0.10 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE n >= {w - 1}) END AS share_over_10_{w}, CASE WHEN max(total) >= {w} THEN avg(CASE WHEN a{w} > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FILTER (WHERE n >= {w - 1}) END AS active_{w}"
+        for w in _SIZES
+    )
+    frames = ", ".join(f"product(1 + coalesce(r, 0)) OVER (PARTITION BY {key} ORDER BY n ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) - 1 AS p{w}, count(r) OVER (PARTITION BY {key} ORDER BY n ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS a{w}" for w in _SIZES)
+    names = ", ".join(f"('{x}')" for x in sorted({q.name for q in chosen}))
+    first = _signal_ctes(chosen).replace("\nl AS (", "\nl AS MATERIALIZED (").replace(", s AS (", ", s AS MATERIALIZED (")
+    extra = {"fold": _FOLD_RUNS, "split": _SPLIT_ROWS}.get(kind, "")
+    return f"""WITH RECURSIVE {first}{extra}, e0 AS ({rows}), ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY first_t, market_id) - 1 AS n, count(*) OVER (PARTITION BY {by}) AS total FROM e0),
+ tr AS MATERIALIZED (SELECT {key}, n, fraction AS f, price, size, unit_pnl, CASE WHEN rule = 'mix_active' THEN 14 ELSE 10 END AS quota, CASE WHEN rule = 'mix_active' THEN 6 ELSE 8 END AS wait, row_number() OVER (PARTITION BY {key} ORDER BY n) AS k
+   FROM (SELECT market_id, rule, fraction, price, size, unit_pnl FROM s) JOIN ev USING (market_id) WHERE price > 0 AND size IS NOT NULL AND unit_pnl IS NOT NULL AND fraction > 0),
+ fold AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS n, false AS ok, 100.0::DOUBLE AS b, 100.0::DOUBLE AS before, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS pnl, 0 AS losses, CAST(-1 AS BIGINT) AS until, CAST([] AS BIGINT[]) AS taken FROM tr
+   UNION ALL SELECT {key}, k, n, ok, CASE WHEN ok THEN b + pnl ELSE b END, b, cost, pnl, CASE WHEN NOT ok THEN losses WHEN pnl < 0 AND losses = 0 THEN 1 ELSE 0 END, CASE WHEN ok AND pnl < 0 AND losses >= 1 THEN n + wait ELSE until END, CASE WHEN ok THEN list_append(recent, n) ELSE recent END
+   FROM (SELECT *, cost > 0 AND n > until AND len(recent) < quota AS ok FROM (SELECT {', '.join('fold.' + c for c in key.split(', '))}, tr.k, tr.n, tr.quota, tr.wait, b, losses, until, least(b * f, b, size * price) AS cost, least(b * f, b, size * price) / price * unit_pnl AS pnl, [i FOR i IN taken IF i > tr.n - 144] AS recent FROM fold JOIN tr ON {on} AND tr.k = fold.k + 1))),
+ sx AS MATERIALIZED (SELECT {key}, n, cost, pnl, pnl / before AS r, b AS after FROM fold WHERE ok),
+ nm(rule) AS (VALUES {names}), gr AS (SELECT {', '.join('ev.' + c for c in by.split(', '))}, nm.rule, n, total FROM ev CROSS JOIN nm),
+ de AS (SELECT gr.*, cost, pnl, r, after FROM gr LEFT JOIN sx USING ({key}, n)),
+ pa AS (SELECT *, greatest(100.0::DOUBLE, max(after) OVER (PARTITION BY {key} ORDER BY n ROWS UNBOUNDED PRECEDING)) AS peak, sum(CASE WHEN pnl >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY n ROWS UNBOUNDED PRECEDING) AS island, {frames} FROM de),
+ sk AS (SELECT {key}, max(len) AS loss_streak FROM (SELECT {key}, island, count(*) AS len FROM pa WHERE pnl < 0 GROUP BY {key}, island) GROUP BY {key}),
+ m0 AS (SELECT {key}, count(pnl) AS trades, coalesce(max_by(after, n) FILTER (WHERE after IS NOT NULL), 100.0::DOUBLE) AS ending, coalesce(max((peak - after) / peak), 0.0::DOUBLE) AS max_drawdown, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE WHEN pnl IS NOT NULL THEN 0.0::DOUBLE END) AS win_rate,
+   CASE WHEN sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END) <> 0 THEN sum(CASE WHEN pnl > 0 THEN pnl ELSE 0 END) / abs(sum(CASE WHEN pnl < 0 THEN pnl ELSE 0 END)) END AS profit_factor, quantile_cont(pnl / cost, 0.1) AS p10_return,
+   CASE WHEN max(total) >= 288 THEN coalesce(product(1 + r) FILTER (WHERE n >= total - 288), 1.0::DOUBLE) - 1 END AS recent_return, {rates} FROM pa GROUP BY {key}),
+ me AS MATERIALIZED (SELECT {', '.join('m0.' + c for c in key.split(', '))}, trades, ending, ending / 100.0::DOUBLE - 1 AS total_return, {', '.join(f'round({c}, 9) AS {c}' for c in _EXACT)}, coalesce(loss_streak, 0) AS loss_streak FROM m0 LEFT JOIN sk USING ({key}))"""
+
+
+#: Metrics that ranks are taken of, to nine digits on both sides.
+_EXACT = ("max_drawdown", "win_rate", "profit_factor", "p10_return", "recent_return", *(f"{c}_{w}" for w in _SIZES for c in _WIN))
+
+
+def _ranked_sql(score: str, part: str) -> str:
+    """A score of ``scoring.SCORES`` over ``me`` in SQL."""
+    total = []
+    for p in scoring.SCORES[score]:
+        column = p.column.replace("864", "288")
+        x = column if p.fill is None else f"coalesce({column}, {p.fill})"
+        total.append(f"{p.weight}::DOUBLE * " + _PRANK.format(part=part, x=f"-{x}" if p.better == "low" else x))
+    return " + ".join(total)
+
+
+def _scaled(score: str) -> tuple:
+    """The score's parts with the longest window of this fixture."""
+    return tuple(scoring.Part(p.column.replace("864", "288"), p.weight, p.better, p.fill) for p in scoring.SCORES[score])
 
 
-@query(with_rows(_signal_ctes(rules.catalogue()), _UNCAPPED.format(by="run_name, rule", t="s") + f", m6 AS (SELECT run_name, rule, {', '.join(f'round({c}, 6) AS {c}' for c in ('total_return', 'max_drawdown', 'profit_factor', 'worst'))} FROM mt) SELECT run_name, rule, round({_FRAME}, 6) AS score FROM m6"))
+def _exact(m: DataFrame) -> DataFrame:
+    return m.withColumns({c: F.round(c, 9) for c in _EXACT})
+
+
+def _static_metrics(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, list[str]]:
+    m, by = strategy_metrics(spark, sf, kind, signal_rows(spark, sf, rules.registry()), sorted(rules.REGISTRY))
+    return _exact(m), by
+
+
+@query(_metrics_sql("run", rules.registry()) + f" SELECT run_name, rule, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'worst_48')}, round({_ranked_sql('framework', 'run_name').replace('worst_144', 'worst_48')}, 6) AS score FROM me")
 def rank_score(spark, sf):
-    m = _metrics(spark, sf, ["run_name", "rule"], signal_rows(spark, sf)).select("run_name", "rule", *d("total_return", "max_drawdown", "profit_factor", "worst"))
-    return scoring.rank_score(m, scoring.SCORES["framework"], ["run_name"]).select("run_name", "rule", *d("score"))
+    m, by = _static_metrics(spark, sf, "run")
+    parts = tuple(scoring.Part(p.column.replace("144", "48"), p.weight, p.better, p.fill) for p in scoring.SCORES["framework"])
+    return scoring.rank_score(m, parts, by).select("run_name", "rule", *n("trades"), *d("total_return", "worst_48", "score"))
+
+
+_TABLES = {"summary": "z1", "robustness": "z2", "session": "z3", "mix": "z4", "refresh": "z5", "refresh_2": "z6"}
+
+
+@query(
+    _metrics_sql("part", rules.registry())
+    + " SELECT rule, CAST(trades AS BIGINT) AS trades, "
+    + rd("ending", "max_drawdown", "worst_144", "share_over_10_144", "active_144", "p10_return", "recent_return")
+    + ", "
+    + ", ".join(f"round({_ranked_sql(name, 'part')}, 6) AS {z}" for name, z in _TABLES.items())
+    + ", max_drawdown < 0.30 AS calm, coalesce(worst_48 > 0, false) AS never_down, coalesce(worst_144 > 0.10, false) AS always_over_10, coalesce(recent_return > 0, false) AS recent_up FROM me WHERE trades > 0"
+)
+def score_tables(spark, sf):
+    """Strategies that traded (the robustness merge leaves the others out) with the six scores and their goal flags."""
+    m, by = _static_metrics(spark, sf, "part")
+    m = m.where("trades > 0")
+    for name, z in _TABLES.items():
+        m = scoring.rank_score(m, _scaled(name), by, z)
+    flags = {"calm": F.col("max_drawdown") < 0.30, "never_down": F.col("worst_48") > 0, "always_over_10": F.col("worst_144") > 0.10, "recent_up": F.col("recent_return") > 0}
+    return m.select("rule", *n("trades"), *d("ending", "max_drawdown", "worst_144", "share_over_10_144", "active_144", "p10_return", "recent_return", *_TABLES.values()), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
+
+
+@query(_metrics_sql("split", rules.registry()) + f", sc AS (SELECT *, round({_ranked_sql('framework', 'split')}, 9) AS score FROM me), best AS (SELECT rule FROM sc WHERE split = 'validation' ORDER BY score DESC, round(total_return, 9) DESC, rule LIMIT 1) SELECT split, rule, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'worst_144', 'score')} FROM sc SEMI JOIN best USING (rule)")
+def framework_select(spark, sf):
+    """The strategy that scores best on the validation split, on every split."""
+    m, by = _static_metrics(spark, sf, "split")
+    scored = scoring.rank_score(m, scoring.SCORES["framework"], by).withColumns({"score": F.round("score", 9), "r9": F.round("total_return", 9)})
+    best = scoring.best_of(scored.where("split = 'validation'"), ["split"], [F.desc("score"), F.desc("r9"), F.asc("rule")]).select("rule")
+    return scored.join(best, "rule", "left_semi").select("split", "rule", *n("trades"), *d("total_return", "max_drawdown", "worst_144", "score"))
 
 
 @query(with_rows(_signal_ctes(rules.catalogue()), _UNCAPPED.format(by="run_name, rule", t="s") + ", m6 AS (SELECT run_name, rule, round(total_return, 6) AS total_return, round(win_rate, 6) AS win_rate FROM mt), a AS (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY total_return DESC, rule) AS r1, row_number() OVER (PARTITION BY run_name ORDER BY win_rate DESC, rule) AS r2 FROM m6) SELECT run_name, rule, total_return, win_rate FROM a WHERE r1 <= 10 OR r2 <= 10"))
@@ -533,36 +661,31 @@ def run_folds(spark, sf):
     return validation.run_folds(validation.complete_runs(coverage(spark, sf)).where("is_complete"), 3)
 
 
-_WF = ", runs AS (SELECT run_name, row_number() OVER (ORDER BY run_name) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT run_name FROM l)), fo AS (SELECT i - 1 AS fold_id, i AS pos FROM runs WHERE i >= 2 AND i < k - 1), fr AS (SELECT fold_id, CASE WHEN i < pos THEN 'train' WHEN i = pos THEN 'validation' ELSE 'test' END AS split, run_name FROM fo JOIN runs ON runs.i <= pos + 1), fs AS (SELECT fold_id, split, s.* FROM s JOIN fr USING (run_name))" + _UNCAPPED.format(by="fold_id, split, rule", t="fs")
-_WF_SCORE = "0.3::DOUBLE * {} + 0.25::DOUBLE * {} + 0.2::DOUBLE * {} + 0.2::DOUBLE * {} + 0.05::DOUBLE * CASE WHEN trades >= 3 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END".format(*(_PRANK.format(part="fold_id, split", x=x) for x in ("total_return", "-max_drawdown", "coalesce(profit_factor, 0)", "worst")))
-_WF_ROWS = _WF + f", m6 AS (SELECT fold_id, split, rule AS strategy, trades, {', '.join(f'round({c}, 6) AS {c}' for c in ('total_return', 'max_drawdown', 'profit_factor', 'worst'))} FROM mt), sc AS (SELECT *, round({_WF_SCORE}, 9) AS score FROM m6), best AS (SELECT fold_id, strategy FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY score DESC, total_return DESC, strategy) AS rn FROM sc WHERE split = 'validation') WHERE rn = 1)"
-
-
-def fold_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    runs = feature_rows(spark, sf).select("run_name").distinct()
-    folds = validation.run_folds(runs, 2)
-    rows = signal_rows(spark, sf).join(F.broadcast(folds), "run_name")
-    m = _metrics(spark, sf, ["fold_id", "split", "rule"], rows).withColumnRenamed("rule", "strategy").select("fold_id", "split", "strategy", "trades", *d("total_return", "max_drawdown", "profit_factor", "worst"))
-    # read for selection, for the selected rows and for the roll-up; a row for each fold, split and rule
-    return validation_score(m).persist()
+def fold_metrics(spark: SparkSession, sf: str, signals: DataFrame, names: list[str]) -> DataFrame:
+    """fold_id, split, strategy, family, metrics and the validation score."""
+    m, by = strategy_metrics(spark, sf, "fold", signals, names)
+    m = _exact(m).withColumn("total_return", F.round("total_return", 9)).withColumnRenamed("rule", "strategy")
+    return scoring.walk_forward_score(m, by).withColumn("score", F.round("score", 9))
 
 
-def validation_score(m: DataFrame) -> DataFrame:
-    return scoring.walk_forward_score(m, ["fold_id", "split"]).withColumn("score", F.round("score", 9))
+_WF_SCORED = f", sc AS (SELECT * REPLACE (round(total_return, 9) AS total_return) RENAME (rule AS strategy), round({_ranked_sql('walk_forward', 'fold_id, split')} + 0.05::DOUBLE * CASE WHEN trades >= 3 THEN 1.0::DOUBLE ELSE 0.35::DOUBLE END, 9) AS score FROM me), best AS (SELECT fold_id, strategy FROM (SELECT *, row_number() OVER (PARTITION BY fold_id ORDER BY score DESC, total_return DESC, strategy) AS rn FROM sc WHERE split = 'validation') WHERE rn = 1)"
+_WF_SQL = _metrics_sql("fold", rules.registry()) + _WF_SCORED
 
 
-@query(with_rows(_signal_ctes(rules.catalogue()), _WF_ROWS + " SELECT CAST(fold_id AS BIGINT) AS fold_id, split, strategy, CAST(trades AS BIGINT) AS trades, total_return, max_drawdown FROM sc SEMI JOIN best USING (fold_id, strategy)"))
+@query(_WF_SQL + f" SELECT CAST(fold_id AS BIGINT) AS fold_id, split, strategy, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'worst_48', 'score')} FROM sc SEMI JOIN best USING (fold_id, strategy)")
 def walk_forward_select(spark, sf):
-    return validation.selected(fold_metrics(spark, sf), "score").select("fold_id", "split", "strategy", *n("trades"), "total_return", "max_drawdown")
+    m = fold_metrics(spark, sf, signal_rows(spark, sf, rules.registry()), sorted(rules.REGISTRY))
+    return validation.selected(m, "score").select("fold_id", "split", "strategy", *n("trades"), *d("total_return", "max_drawdown", "worst_48", "score"))
 
 
 _ROLLUP = ("avg_return", "median_return", "min_return", "share_positive", "avg_drawdown", "max_drawdown", "profit_factor")
 
 
-@query(with_rows(_signal_ctes(rules.catalogue()), _WF_ROWS + f", tr AS (SELECT strategy, count(DISTINCT fold_id) AS folds, avg(total_return) AS avg_return, median(total_return) AS median_return, min(total_return) AS min_return, avg(CASE WHEN total_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share_positive, avg(max_drawdown) AS avg_drawdown, max(max_drawdown) AS max_drawdown, avg(profit_factor) AS profit_factor FROM sc WHERE split = 'test' GROUP BY strategy), cn AS (SELECT strategy, count(*) AS selected FROM best GROUP BY strategy) SELECT strategy, CAST(folds AS BIGINT) AS folds, {', '.join(f'round({c}, 9) AS {c}' for c in _ROLLUP)}, CAST(coalesce(selected, 0) AS BIGINT) AS selected FROM tr LEFT JOIN cn USING (strategy)"))
+@query(_WF_SQL + f", tr2 AS (SELECT strategy, count(DISTINCT fold_id) AS folds, avg(total_return) AS avg_return, median(total_return) AS median_return, min(total_return) AS min_return, avg(CASE WHEN total_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share_positive, avg(max_drawdown) AS avg_drawdown, max(max_drawdown) AS max_drawdown, avg(profit_factor) AS profit_factor FROM sc WHERE split = 'test' GROUP BY strategy), cn AS (SELECT strategy, count(*) AS selected FROM best GROUP BY strategy), ro AS (SELECT 1 AS one, tr2.*, coalesce(selected, 0) AS selected FROM tr2 LEFT JOIN cn USING (strategy)) SELECT strategy, CAST(folds AS BIGINT) AS folds, {', '.join(f'round({c}, 6) AS {c}' for c in _ROLLUP)}, CAST(selected AS BIGINT) AS selected, round({_ranked_sql('test', 'one')}, 6) AS score FROM ro")
 def walk_forward_rollup(spark, sf):
-    m = fold_metrics(spark, sf)
-    return validation.test_rollup(m, validation.selected(m, "score")).select("strategy", *n("folds"), *(F.round(c, 9).alias(c) for c in _ROLLUP), *n("selected"))
+    m = fold_metrics(spark, sf, signal_rows(spark, sf, rules.registry()), sorted(rules.REGISTRY))
+    t = validation.test_rollup(m, validation.selected(m, "score")).withColumn("one", F.lit(1))
+    return scoring.rank_score(t, scoring.SCORES["test"], ["one"]).select("strategy", *n("folds"), *d(*_ROLLUP), *n("selected"), *d("score"))
 
 
 @query(with_rows(X.FEATURES, ", z AS (SELECT *, count(*) OVER (PARTITION BY run_name) >= 20 AND row_number() OVER (PARTITION BY run_name ORDER BY first_t, market_id) <= floor(count(*) OVER (PARTITION BY run_name) * 0.7::DOUBLE) AS train, CASE WHEN n_quotes % 3 = 0 THEN NULL ELSE vol END AS v FROM f), med AS (SELECT median(imb) FILTER (WHERE train) AS a, median(v) FILTER (WHERE train) AS b FROM z) SELECT market_id, round(coalesce(imb, a), 6) AS imb, round(coalesce(v, b), 6) AS vol FROM z CROSS JOIN med"))
@@ -681,7 +804,15 @@ def capital_fold_quota(spark, sf):
     return capital.capital_fold(_fold_rows(spark, sf), ["series"], X.ORDER, quota=10, window=24, cooldown=6).select("series", *n("trades"), *d("ending"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE "
+    + X.TRADES
+    + _ORDERED
+    + """, fold AS (SELECT DISTINCT series, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS day, CAST(0 AS BIGINT) AS l_orderkey, CAST(0 AS BIGINT) AS l_linenumber, CAST(0 AS BIGINT) AS l_partkey, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS pnl, 100.0::DOUBLE AS b, 100.0::DOUBLE AS peak, 0.0::DOUBLE AS dd FROM tr
+      UNION ALL SELECT series, k, day, l_orderkey, l_linenumber, l_partkey, cost, pnl, b + pnl, greatest(peak, b + pnl), greatest(dd, (greatest(peak, b + pnl) - b - pnl) / greatest(peak, b + pnl))
+      FROM (SELECT fold.series, tr.k, tr.day, tr.l_orderkey, tr.l_linenumber, tr.l_partkey, b, peak, dd, least(b * 0.04::DOUBLE, size * price) AS cost, least(b * 0.04::DOUBLE, size * price) / price * unit_pnl AS pnl FROM fold JOIN tr ON tr.series = fold.series AND tr.k = fold.k + 1))
+      SELECT series, day, l_orderkey, l_linenumber, l_partkey, round(cost, 6) AS cost, round(pnl, 6) AS pnl, round(b, 6) AS capital_after, round(dd, 6) AS drawdown FROM fold WHERE k > 0"""
+)
 def capital_trade_log(spark, sf):
     log = capital.trade_log(_fold_rows(spark, sf), ["series"], X.ORDER)
     return log.select("series", *n(*X.ORDER), *d("cost", "pnl", "capital_after", "drawdown"))
@@ -760,11 +891,11 @@ def event_return_windows(spark, sf):
     return out.select("rule", "run_name", *n("n_windows"), *d("worst", "active_rate"))
 
 
-@query(with_rows(_signal_ctes(_BASE), ", ev AS (SELECT market_id, row_number() OVER (PARTITION BY run_name ORDER BY first_t DESC, market_id DESC) <= 60 AND count(*) OVER (PARTITION BY run_name) >= 60 AS recent FROM l), rs AS (SELECT s.* FROM s SEMI JOIN (SELECT market_id FROM ev WHERE recent) USING (market_id))" + _UNCAPPED.format(by="run_name, rule", t="rs") + f" SELECT run_name, rule, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'win_rate')} FROM mt"))
+@query(_metrics_sql("latest", rules.registry()) + f" SELECT rule, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'win_rate', 'worst_48')} FROM me")
 def latest_health(spark, sf):
-    recent = windows.recent_tail(feature_rows(spark, sf).select("market_id", "run_name", "first_t"), ["run_name"], ["first_t", "market_id"], 60).where("recent").select("market_id")
-    rows = signal_rows(spark, sf, _BASE).join(recent, "market_id", "left_semi")
-    return _metrics(spark, sf, ["run_name", "rule"], rows).select("run_name", "rule", *n("trades"), *d("total_return", "max_drawdown", "win_rate"))
+    """Every strategy on the last events alone; a shorter series counts whole."""
+    m, _ = _static_metrics(spark, sf, "latest")
+    return m.select("rule", *n("trades"), *d("total_return", "max_drawdown", "win_rate", "worst_48"))
 
 
 @query("SELECT 'lines' AS source_layer, l_linestatus AS label, CAST(count(*) AS BIGINT) AS n, round(sum(l_extendedprice), 2) AS amount, NULL::VARCHAR AS priority FROM lineitem GROUP BY l_linestatus UNION ALL SELECT 'orders', o_orderstatus, CAST(count(*) AS BIGINT), NULL, max(o_orderpriority) FROM orders GROUP BY o_orderstatus")
