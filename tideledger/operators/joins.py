@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str], tolerance: int, prefix: str, tie: str | None = None) -> DataFrame:
     """Each left row with the last right row of its series at or before it, within ``tolerance``; values are prefixed.
 
-    Both sides are laid in one line by series and time, so it is one shuffle and
-    a running last value instead of a join that compares ranges.
+    Time falls into cells as wide as the tolerance, so a row's match is in its
+    cell or the last right row of the cell before, which is copied over. Both
+    sides are laid in one line by series and cell and a running last value is
+    taken: one series alone is still as many tasks as there are cells.
     """
+    width = max(int(tolerance), 1)
     row = F.struct(F.col(right_t).alias("t"), *(F.col(v).alias(v) for v in values))
-    a = left.select(*by, F.col(left_t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_left"))
-    b = right.select(*by, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), row.alias("_right"))
-    line = a.unionByName(b, allowMissingColumns=True)
-    along = Window.partitionBy(*by).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    cell = F.floor(F.col("_t") / width)
+    a = left.select(*by, F.col(left_t).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_tie"), F.struct(*left.columns).alias("_left")).withColumn("_cell", cell)
+    b = right.select(*by, F.col(right_t).alias("_t"), F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("long").alias("_tie"), row.alias("_right")).withColumn("_cell", cell)
+    over = b.where("_t is not null").groupBy(*by, "_cell").agg(F.max_by(F.struct("_t", "_side", "_tie", "_right"), F.struct("_t", "_tie")).alias("x")).select(*by, "x.*", (F.col("_cell") + 1).alias("_cell"))
+    line = a.unionByName(b, allowMissingColumns=True).unionByName(over, allowMissingColumns=True)
+    along = Window.partitionBy(*by, "_cell").orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     met = line.withColumn("_last", F.last("_right", ignorenulls=True).over(along)).where("_side = 1")
     near = F.col("_t") - F.col("_last.t") <= tolerance
     return met.select("_left.*", *(F.when(near, F.col(f"_last.{v}")).alias(f"{prefix}__{v}") for v in values))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -45,7 +45,10 @@ def labelled(features: DataFrame, session_minute: str = "ny_minute", weekday: st
             "qb": C.quality_breakout(f("usz4"), f("spread"), f("overround"), f("m4")),
             "qm": C.quality_mild_drop(f("dsz2"), f("spread_dn"), f("overround"), f("imb"), f("bp")),
             "move_bucket": C.cut(f("m2"), C.MOVE_EDGES, C.MOVE_LABELS),
+            "move_2": C.cut(f("m2"), C.MOVE_2_EDGES, C.MOVE_2_LABELS),
+            "move_4": C.cut(f("m4"), C.MOVE_4_EDGES, C.MOVE_4_LABELS),
             "up_bucket": C.price_bucket(f("up2")),
+            "up_bucket_4": C.price_bucket(f("up4")),
             "down_bucket": C.price_bucket(f("dn2")),
             "imb_sign": C.three_way(f("imb")),
             "liq_down": C.liquidity(f("dsz2")),
@@ -291,11 +294,11 @@ MICROS = (
 
 
 def micro_candidates(events: DataFrame, key: list[str]) -> DataFrame:
-    """Every micro-trade an event fires: key, micro, side, minute, price."""
+    """Every micro-trade an event fires: key, micro, side, minute, price, spread_at, size and unit_pnl of its side and minute."""
     items = []
     for name, side, minute, predicate in MICROS:
         leg = "up" if side == "up" else "dn"
-        items.append(F.when(F.expr(predicate), F.struct(F.lit(name).alias("micro"), F.lit(side).alias("side"), F.lit(minute).alias("minute"), F.col(f"{leg}{minute}").alias("price"))))
+        items.append(F.when(F.expr(predicate), F.struct(F.lit(name).alias("micro"), F.lit(side).alias("side"), F.lit(minute).alias("minute"), F.col(f"{leg}{minute}").alias("price"), F.col(f"sp{leg[0]}{minute}").alias("spread_at"), F.col(f"{leg[0]}sz{minute}").alias("size"), F.col(f"pay_{leg}{minute}").alias("unit_pnl"))))
     fired = events.withColumn("x", F.explode(F.filter(F.array(*items), lambda x: x.isNotNull())))
     return fired.select(*key, "x.*", *[c for c in events.columns if c not in key])
 
@@ -306,16 +309,58 @@ def best_micro(candidates: DataFrame, key: list[str], q_up: str, n_up: str, q_do
     n = F.when(F.col("side") == "up", F.col(n_up)).otherwise(F.col(n_down))
     rows = candidates.withColumns({"q": q, "support": n}).withColumn("edge", F.col("q") - F.col("price"))
     margin = (
-        fee + 0.02 + F.least(F.greatest(F.coalesce("spread", F.lit(0.0)), F.lit(0.0)), F.lit(0.05))
+        fee + 0.02 + F.least(F.greatest(F.coalesce("spu2", F.lit(0.0)), F.lit(0.0)), F.lit(0.05))
         + F.when(F.col("micro").isin("sharp_drop_reversal", "extreme_up_fade"), 0.01).otherwise(0.0)
         + F.when(F.col("support") < 15, 0.01).otherwise(0.0)
         + F.when((F.col("micro") == "late_breakout_up") & (F.col("price") > 0.90), 0.03).otherwise(0.0)
     )
     good = rows.where(F.col("edge") > margin).withColumn("score", F.col("edge") - 0.005 * F.greatest(F.lit(0), 20 - F.col("support")))
-    best = F.max_by(F.struct("micro", "side", "minute", "price", "q", "support", "edge", "score"), F.struct("score", F.col("micro")))
+    best = F.max_by(F.struct("micro", "side", "minute", "price", "size", "unit_pnl", "q", "support", "edge", "score"), F.struct("score", F.col("micro")))
     return good.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")
 
 
+#: Levels of the switches' backoff probabilities (fixed values).
+SWITCH_UP = [["regime", "move_2", "up_bucket"], ["regime", "move_4", "up_bucket_4"], ["regime", "imb_sign"], ["regime"], []]
+SWITCH_DOWN = [["regime", "move_2", "down_bucket"], ["regime", "imb_sign", "liq_down"], ["regime"], []]
+#: Modes of the switch: what they add to the margin (fixed values).
+SWITCH_MODES = (("fair", 0.0), ("conservative", 0.02), ("robust", 0.015))
+
+
+def fair_switch(candidates: DataFrame, key: list[str], q_up: str, n_up: str, q_down: str, n_down: str, fee: float = 0.01) -> DataFrame:
+    """key, mode, micro, side, minute, edge, score: for each mode the candidate (of all micro-trades but neutral_down) whose probability beats its price by the mode's margin and whose score is best."""
+    up = F.col("side") == "up"
+    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(x).alias("more")) for m, x in SWITCH_MODES))).alias("_m")
+    rows = candidates.where("micro <> 'neutral_down' and price is not null").select("*", modes).select("*", "_m.mode", "_m.more").drop("_m")
+    rows = rows.withColumns({"q": F.when(up, F.col(q_up)).otherwise(F.col(q_down)), "support": F.when(up, F.col(n_up)).otherwise(F.col(n_down))}).withColumn("edge", F.col("q") - F.col("price"))
+    margin = (
+        fee + 0.02 + F.least(F.greatest(F.coalesce("spread_at", F.lit(0.0)), F.lit(0.0)), F.lit(0.05)) + F.col("more")
+        + F.when(F.col("support") < 15, 0.01).otherwise(0.0) + F.when((F.col("micro") == "late_breakout_up") & (F.col("price") > 0.85), 0.02).otherwise(0.0)
+    )
+    known = F.least(F.col("support"), F.lit(50))
+    score = F.when(F.col("mode") == "robust", F.col("edge") + 0.002 * known - 0.05 * F.greatest(F.col("price") - 0.8, F.lit(0.0))).otherwise(F.col("edge") + 0.001 * known)
+    good = rows.where(F.col("edge") > margin).withColumn("score", score)
+    best = F.max_by(F.struct("micro", "side", "minute", "edge", "score"), F.struct("score", "micro"))
+    return good.groupBy(*key, "mode").agg(best.alias("x")).select(*key, "mode", "x.*")
+
+
+def edge_selected(candidates: DataFrame, key: list[str], q_up: str, margin: float, cap: float | None = None, fee: float = 0.01) -> DataFrame:
+    """key, micro, side, minute, edge: the candidate of the largest edge after fee and spread (at minute 2, 5 cents at most) above the margin; with ``cap`` no Up dearer than that."""
+    up = F.col("side") == "up"
+    spread = F.when(F.col("minute") == 2, F.when(up, F.col("spread")).otherwise(F.col("spread_dn")))
+    q = F.when(up, F.col(q_up)).otherwise(1.0 - F.col(q_up))
+    rows = candidates.where("micro <> 'neutral_down'").withColumn("edge", q - F.col("price") - fee - F.least(F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(0.0)), F.lit(0.05)))
+    good = rows.where((F.col("edge") > margin) & (F.lit(True) if cap is None else ~(up & (F.col("price") > cap))))
+    best = F.max_by(F.struct("micro", "side", "minute", "edge"), F.struct("edge", "micro"))
+    return good.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")
+
+
+def candidate_state(candidates: DataFrame) -> DataFrame:
+    """Adds ``state``: regime, and at minute 2 the buckets of price and size and the spread (Up) or imbalance (Down); null where a part is."""
+    two = F.when(F.col("side") == "up", F.concat_ws("|", "up_bucket", "liq_up", "spread_sign")).otherwise(F.concat_ws("|", "down_bucket", "liq_down", "imb_sign"))
+    known = F.when(F.col("side") == "up", F.col("up_bucket")).otherwise(F.col("down_bucket")).isNotNull()
+    return candidates.withColumn("state", F.when(F.col("minute") != 2, F.col("regime")).when(known, F.concat_ws("|", "regime", two)))
+
+
 def with_base_health(events: DataFrame, series: list[str], order: list[str], last: int = 20, least: int = 8) -> DataFrame:
     """Adds to every event the health of the base drop's last trades before it: only the drop's rows count, nulls in between don't."""
     from .windows import rolling_health
@@ -325,13 +370,19 @@ def with_base_health(events: DataFrame, series: list[str], order: list[str], las
     return events.where(~drop).unionByName(base, allowMissingColumns=True)
 
 
-def state_selected(candidates: DataFrame, series: list[str], order: list[str], key: list[str], state: list[str], unit_pnl: str = "unit_pnl", half_life: float = 25, least: int = 12) -> DataFrame:
+def state_selected(candidates: DataFrame, series: list[str], order: list[str], key: list[str], state: list[str], unit_pnl: str = "unit_pnl", half_life: float = 25, least: int = 12, robust: bool = False) -> DataFrame:
     """Per event the candidate whose state had the best exponentially weighted profit so far, if that is above 0.
 
     History is the earlier candidates of the same micro-trade in the same state.
+    The robust form asks for 20 of them, 55 % won and 2 cents, and rewards support.
     """
     from .windows import ew_mean
 
-    seen = ew_mean(candidates, [*series, "micro", *state], order, unit_pnl, half_life, "mean_pnl").where((F.col("mean_pnl_n") >= least) & (F.col("mean_pnl") > 0))
-    best = F.max_by(F.struct("micro", "side", "minute", "mean_pnl", F.col("mean_pnl_n").alias("support")), F.struct("mean_pnl", "micro"))
+    before = Window.partitionBy(*series, "micro", *state).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    seen = ew_mean(candidates.where(F.col(state[0]).isNotNull()), [*series, "micro", *state], order, unit_pnl, half_life, "mean_pnl").withColumn("won", F.avg((F.col(unit_pnl) > 0).cast("double")).over(before))
+    support = F.col("mean_pnl_n")
+    seen = seen.where((support >= least) & (F.col("mean_pnl") > 0)).withColumn("score", F.col("mean_pnl"))
+    if robust:
+        seen = seen.where((support >= 20) & (F.col("won") >= 0.55) & (F.col("mean_pnl") > 0.02)).withColumn("score", F.col("mean_pnl") + 0.01 * F.least(F.lit(20), support) / 20.0)
+    best = F.max_by(F.struct("micro", "side", "minute", "mean_pnl", support.alias("support")), F.struct("score", "micro"))
     return seen.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")

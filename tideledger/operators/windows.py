@@ -43,20 +43,35 @@ def _all_there(keys: list[str]) -> Column:
     return out
 
 
-def backoff_mean(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], least: int = 10, name: str = "q") -> DataFrame:
+def backoff_mean(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], least: int = 10, name: str = "q", chunk: Column | None = None) -> DataFrame:
     """Mean of y over the earlier rows that share a key, from the first level with ``least`` rows; a null key shares with none.
 
     Adds ``name``, its support (``name``_n) and level (``name``_level, 0 if none).
+    ``chunk`` cuts the order into stretches (it never falls along it): sums are
+    then taken in two steps, over the chunks before and within the chunk, so a
+    key with many rows is as many tasks as it has chunks.
     """
-    found, support, level = [], [], []
+    columns = df.columns
+    if chunk is not None:
+        df = df.withColumn("_chunk", chunk)
+    ok = []
     for i, keys in enumerate(levels, 1):
-        before = Window.partitionBy(*series, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        n = F.when(_all_there(keys), F.count(y).over(before))
-        ok = n >= least
-        found.append(F.when(ok, F.avg(y).over(before)))
-        support.append(F.when(ok, n))
-        level.append(F.when(ok, i))
-    return df.withColumns({name: F.coalesce(*found), f"{name}_n": F.coalesce(*support, F.lit(0)), f"{name}_level": F.coalesce(*level, F.lit(0))})
+        by = [*series, *keys]
+        within = Window.partitionBy(*by, *(["_chunk"] if chunk is not None else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumns({f"_n{i}": F.count(y).over(within), f"_s{i}": F.coalesce(F.sum(y).over(within), F.lit(0.0))})
+        if chunk is not None:
+            sums = df.groupBy(*by, "_chunk").agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
+            before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+            sums = sums.select(*(F.col(c).alias(f"_k{j}") for j, c in enumerate(by)), F.col("_chunk").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_bs"))
+            same = F.col("_chunk") == F.col("_at")
+            for j, c in enumerate(by):
+                same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
+            df = df.join(sums, same, "left").withColumns({f"_n{i}": F.col(f"_n{i}") + F.col("_bn"), f"_s{i}": F.col(f"_s{i}") + F.col("_bs")}).drop("_at", "_bn", "_bs", *(f"_k{j}" for j in range(len(by))))
+        ok.append(_all_there(keys) & (F.col(f"_n{i}") >= least))
+    q = F.coalesce(*(F.when(k, F.col(f"_s{i}") / F.col(f"_n{i}")) for i, k in enumerate(ok, 1)))
+    n = F.coalesce(*(F.when(k, F.col(f"_n{i}")) for i, k in enumerate(ok, 1)), F.lit(0))
+    level = F.coalesce(*(F.when(k, i) for i, k in enumerate(ok, 1)), F.lit(0))
+    return df.select(*columns, q.alias(name), n.alias(f"{name}_n"), level.alias(f"{name}_level"))
 
 
 def ew_mean(df: DataFrame, series: list[str], order: list[str], y: str, half_life: float, name: str) -> DataFrame:

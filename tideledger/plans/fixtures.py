@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+
 MINUTE_US = 12 * 60_000_000
 
 
@@ -125,11 +127,11 @@ def cut_sql(x: str, edges: tuple, labels: tuple) -> str:
     return f"CASE WHEN {x} IS NULL THEN NULL {tests} ELSE '{labels[-1]}' END"
 
 
-MOVE_CUT = cut_sql("m2", (-100, -50, -30, -10, 10, 30, 50, 100), ("<=-100", "-100~-50", "-50~-30", "-30~-10", "-10~10", "10~30", "30~50", "50~100", ">=100"))
+MOVE_CUT = cut_sql("m2", C.MOVE_EDGES, C.MOVE_LABELS)
 
 
 def price_sql(x: str) -> str:
-    inner = cut_sql(x, ("0.2::DOUBLE", "0.4::DOUBLE", "0.6::DOUBLE", "0.8::DOUBLE"), ("0.0~0.2", "0.2~0.4", "0.4~0.6", "0.6~0.8", "0.8~1.0"))
+    inner = cut_sql(x, tuple(f"{e}::DOUBLE" for e in C.PRICE_EDGES), C.PRICE_LABELS)
     return f"CASE WHEN {x} >= 0 AND {x} <= 1 THEN {inner} END"
 
 
@@ -146,7 +148,7 @@ l0 AS (SELECT *, CASE WHEN m1 <= -20 THEN 'early_drop' WHEN m2 > -50 AND m2 <= -
   {_GATE.format("spread", 0.05, 0.04, "usz2", 120)} AS gate_up_2, {_GATE.format("spread", 0.04, 0.03, "usz2", 180)} AS strict_up_2,
   {_mean("coalesce(usz4, 0) / 250.0::DOUBLE", "1.0::DOUBLE - coalesce(spread, 0.2::DOUBLE) / 0.08::DOUBLE", "1.0::DOUBLE - coalesce(overround, 0.2::DOUBLE) / 0.06::DOUBLE", "1.0::DOUBLE - abs(coalesce(m4, 0) - 40.0::DOUBLE) / 20.0::DOUBLE")} AS qb,
   {_mean("coalesce(dsz2, 0) / 250.0::DOUBLE", "1.0::DOUBLE - coalesce(spread_dn, 0.2::DOUBLE) / 0.08::DOUBLE", "1.0::DOUBLE - coalesce(overround, 0.2::DOUBLE) / 0.06::DOUBLE", "(-coalesce(imb, 1.0::DOUBLE) + (coalesce(bp, -1.0::DOUBLE) + 1.0::DOUBLE) / 2.0::DOUBLE) / 2.0::DOUBLE")} AS qm,
-  {MOVE_CUT} AS move_bucket, {price_sql("up2")} AS up_bucket, {price_sql("dn2")} AS down_bucket,
+  {MOVE_CUT} AS move_bucket, {cut_sql("m2", C.MOVE_2_EDGES, C.MOVE_2_LABELS)} AS move_2, {cut_sql("m4", C.MOVE_4_EDGES, C.MOVE_4_LABELS)} AS move_4, {price_sql("up4")} AS up_bucket_4, {price_sql("up2")} AS up_bucket, {price_sql("dn2")} AS down_bucket,
   CASE WHEN imb <= -0.1 THEN 'neg' WHEN imb >= 0.1 THEN 'pos' ELSE 'neu' END AS imb_sign,
   CASE WHEN dsz2 >= 300 THEN 'high' WHEN dsz2 >= 120 THEN 'mid' ELSE 'low' END AS liq_down, CASE WHEN usz2 >= 300 THEN 'high' WHEN usz2 >= 120 THEN 'mid' ELSE 'low' END AS liq_up,
   CASE WHEN spread <= 0.05 THEN 'tight' ELSE 'wide' END AS spread_sign,

@@ -202,6 +202,19 @@ def calibration_table(spark, sf):
     return tables.bucket_table(f, C.price_bucket(F.col("prob2")), list(C.PRICE_LABELS), "bucket", measures).select("bucket_order", "bucket", *n("n"), *d(*measures))
 
 
+_DECILES = [f"{i / 10:.1f}~{(i + 1) / 10:.1f}" for i in range(10)]
+
+
+@query(with_rows(X.FEATURES, ", b AS (SELECT least(9, greatest(0, CAST(ceil(round(prob2 * 10, 9)) AS INT) - 1)) AS i, * FROM f WHERE outcome IS NOT NULL AND prob2 >= 0 AND prob2 <= 1), s(i, bucket) AS (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_DECILES)) + ") SELECT s.i AS bucket_order, bucket, CAST(count(b.market_id) AS BIGINT) AS n, round(avg(prob2), 6) AS mean_prob, round(avg(outcome), 6) AS up_rate, round(avg(outcome - prob2), 6) AS edge, round(avg(pay_up2), 6) AS pay_up, round(avg(pay_dn2), 6) AS pay_down, CASE WHEN count(pay_up2) > 0 THEN CASE WHEN round(avg(pay_up2), 9) >= round(avg(pay_dn2), 9) THEN 'up' ELSE 'down' END END AS best_side FROM s LEFT JOIN b ON s.i = b.i GROUP BY s.i, bucket"))
+def calibration_deciles(spark, sf):
+    f = feature_rows(spark, sf).where("outcome is not null and prob2 >= 0 and prob2 <= 1")
+    measures = {"mean_prob": F.col("prob2"), "up_rate": F.col("outcome"), "edge": F.col("outcome") - F.col("prob2"), "pay_up": F.col("pay_up2"), "pay_down": F.col("pay_dn2")}
+    i = F.least(F.lit(9), F.greatest(F.lit(0), F.ceil(F.round(F.col("prob2") * 10, 9)).cast("int") - 1))
+    t = tables.bucket_table(f, F.get(F.array(*map(F.lit, _DECILES)), i), _DECILES, "bucket", measures)
+    best = F.when(F.round("pay_up", 9) >= F.round("pay_down", 9), "up").when(F.col("pay_up").isNotNull(), "down")
+    return t.select("bucket_order", "bucket", *n("n"), *d(*measures), best.alias("best_side"))
+
+
 @query(with_rows(X.FEATURES, f", b AS (SELECT {X.MOVE_CUT} AS a, {X.price_sql('up2')} AS b, outcome, pay_up2, pay_dn2 FROM f WHERE outcome IS NOT NULL), x(i, a) AS (VALUES {_MOVES}), y(i, b) AS (VALUES {_PRICES}) SELECT x.a, y.b, CAST(count(b.outcome) AS BIGINT) AS n, round(avg(outcome), 6) AS up_rate, round(avg(pay_up2), 6) AS pay_up, round(avg(pay_dn2), 6) AS pay_down FROM x CROSS JOIN y LEFT JOIN b ON x.a = b.a AND y.b = b.b GROUP BY x.a, y.b"))
 def edge_surface(spark, sf):
     f = feature_rows(spark, sf).where("outcome is not null")
@@ -339,28 +352,30 @@ def model_trade_metrics(spark, sf):
     return tables.model_trades(f, ["run_name"], "q", "outcome", "up2", "dn2", 0.01).select("run_name", *n("n", "trades"), *d("trade_ratio", "avg_pnl", "sum_pnl", "win_rate"))
 
 
+#: A week: stretches in which expanding sums are taken.
+_CHUNK_US = 7 * 86_400_000_000
 _LEVELS = [["regime", "move_bucket", "up_bucket"], ["regime", "imb_sign"], ["regime"], []]
 
 
-def _backoff_sql() -> str:
-    parts = []
-    for i, keys in enumerate(_LEVELS):
+def _backoff_sql(levels: list | None = None, y: str = "outcome") -> str:
+    levels, parts = levels or _LEVELS, []
+    for i, keys in enumerate(levels):
         by = ", ".join(["run_name", *keys])
         there = " AND ".join([f"{k} IS NOT NULL" for k in keys] or ["true"])
-        parts.append(f"CASE WHEN {there} THEN count(outcome) OVER (PARTITION BY {by} ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS n{i}, avg(outcome) OVER (PARTITION BY {by} ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q{i}")
-    pick = " ".join(f"WHEN n{i} >= 10 THEN q{i}" for i in range(len(_LEVELS)))
-    count = " ".join(f"WHEN n{i} >= 10 THEN n{i}" for i in range(len(_LEVELS)))
-    level = " ".join(f"WHEN n{i} >= 10 THEN {i + 1}" for i in range(len(_LEVELS)))
+        parts.append(f"CASE WHEN {there} THEN count(outcome) OVER (PARTITION BY {by} ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS n{i}, avg({y}) OVER (PARTITION BY {by} ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q{i}")
+    pick = " ".join(f"WHEN n{i} >= 10 THEN q{i}" for i in range(len(levels)))
+    count = " ".join(f"WHEN n{i} >= 10 THEN n{i}" for i in range(len(levels)))
+    level = " ".join(f"WHEN n{i} >= 10 THEN {i + 1}" for i in range(len(levels)))
     return with_rows(X.LABELS, f", z AS (SELECT market_id, {', '.join(parts)} FROM l WHERE outcome IS NOT NULL) SELECT market_id, round(CASE {pick} END, 6) AS q, CAST(CASE {count} ELSE 0 END AS BIGINT) AS q_n, CAST(CASE {level} ELSE 0 END AS INT) AS q_level FROM z")
 
 
 @query(_backoff_sql())
 def backoff_mean(spark, sf):
     rows = label_rows(spark, sf).where("outcome is not null")
-    return windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS).select("market_id", *d("q"), *n("q_n"), "q_level")
+    return windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, chunk=F.floor(F.col("first_t") / _CHUNK_US)).select("market_id", *d("q"), *n("q_n"), "q_level")
 
 
-def _ew_sql(levels: list[list[str]], table: str, series: str, key: str, order: str, y: str, half_life: int) -> str:
+def _ew_sql(levels: list[list[str]], table: str, series: str, key: str, order: str, y: str, half_life: int, z: str = "z", least: int = 10) -> str:
     first, second = [], []
     for i, keys in enumerate(levels):
         by = ", ".join([series, *keys])
@@ -368,8 +383,8 @@ def _ew_sql(levels: list[list[str]], table: str, series: str, key: str, order: s
         there = " AND ".join([f"{k} IS NOT NULL" for k in keys] or ["true"])
         frame = f"OVER (PARTITION BY {by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
         second.append(f"CASE WHEN {there} THEN count({y}) {frame} END AS n{i}, sum(w{i} * {y}) {frame} / sum(w{i}) {frame} AS q{i}")
-    pick, count, level = (" ".join(f"WHEN n{i} >= 10 THEN {x.format(i=i, j=i + 1)}" for i in range(len(levels))) for x in ("q{i}", "n{i}", "{j}"))
-    return f", z0 AS (SELECT *, {', '.join(first)} FROM {table}), z AS (SELECT *, {', '.join(second)} FROM z0), zz AS (SELECT {key}, round(CASE {pick} END, 6) AS q, CAST(CASE {count} ELSE 0 END AS BIGINT) AS q_n, CAST(CASE {level} ELSE 0 END AS INT) AS q_level FROM z) SELECT * FROM zz"
+    pick, count, level = (" ".join(f"WHEN n{i} >= {least} THEN {x.format(i=i, j=i + 1)}" for i in range(len(levels))) for x in ("q{i}", "n{i}", "{j}"))
+    return f", {z}0 AS (SELECT *, {', '.join(first)} FROM {table}), {z} AS (SELECT *, {', '.join(second)} FROM {z}0), {z}z AS (SELECT {key}, round(CASE {pick} END, 6) AS q, CAST(CASE {count} ELSE 0 END AS BIGINT) AS q_n, CAST(CASE {level} ELSE 0 END AS INT) AS q_level FROM {z}) SELECT * FROM {z}z"
 
 
 @query(with_rows(X.LABELS + ", r AS (SELECT * FROM l WHERE outcome IS NOT NULL)", _ew_sql(_LEVELS, "r", "run_name", "market_id", "first_t, market_id", "outcome", 20)))
@@ -419,9 +434,9 @@ def micro_candidates(spark, sf):
 def _fair_sql() -> str:
     ew = _ew_sql(_LEVELS, "r", "run_name", "market_id", "first_t, market_id", "outcome", 20).rsplit(" SELECT * FROM zz", 1)[0]
     ew = ew.replace("round(CASE", "(CASE").replace("END, 6) AS q", "END) AS q")
-    body = f""", m AS ({" UNION ALL ".join(f"SELECT market_id, '{name}' AS micro, '{side}' AS side, CAST({minute} AS INT) AS minute, {'up' if side == 'up' else 'dn'}{minute} AS price, spread FROM r WHERE {p}" for name, side, minute, p in rules.MICROS)}),
+    body = f""", m AS ({" UNION ALL ".join(f"SELECT market_id, '{name}' AS micro, '{side}' AS side, CAST({minute} AS INT) AS minute, {'up' if side == 'up' else 'dn'}{minute} AS price, spu2 FROM r WHERE {p}" for name, side, minute, p in rules.MICROS)}),
     c AS (SELECT m.*, CASE WHEN side = 'up' THEN q ELSE 1 - q END AS fair, q_n AS support FROM m JOIN zz USING (market_id)),
-    g AS (SELECT *, fair - price AS edge, 0.03::DOUBLE + least(greatest(coalesce(spread, 0), 0), 0.05::DOUBLE) + CASE WHEN micro IN ('sharp_drop_reversal', 'extreme_up_fade') THEN 0.01::DOUBLE ELSE 0 END + CASE WHEN support < 15 THEN 0.01::DOUBLE ELSE 0 END + CASE WHEN micro = 'late_breakout_up' AND price > 0.90 THEN 0.03::DOUBLE ELSE 0 END AS margin FROM c),
+    g AS (SELECT *, fair - price AS edge, 0.03::DOUBLE + least(greatest(coalesce(spu2, 0), 0), 0.05::DOUBLE) + CASE WHEN micro IN ('sharp_drop_reversal', 'extreme_up_fade') THEN 0.01::DOUBLE ELSE 0 END + CASE WHEN support < 15 THEN 0.01::DOUBLE ELSE 0 END + CASE WHEN micro = 'late_breakout_up' AND price > 0.90 THEN 0.03::DOUBLE ELSE 0 END AS margin FROM c),
     h AS (SELECT *, edge - 0.005::DOUBLE * greatest(0, 20 - support) AS score FROM g WHERE edge > margin)
     SELECT market_id, micro, side, minute, round(edge, 6) AS edge, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY score DESC, micro DESC) AS rn FROM h) WHERE rn = 1"""
     return with_rows(X.LABELS + ", r AS (SELECT * FROM l WHERE outcome IS NOT NULL)", ew + body)
@@ -635,12 +650,15 @@ def finalists_union(spark, sf):
     return scoring.finalists(m, ["run_name"], "rule", ("total_return", "win_rate"), 10)
 
 
-@query(with_rows(_signal_ctes(rules.catalogue()), _UNCAPPED.format(by="run_name, rule", t="s") + ", a AS (SELECT rule, trades, total_return, win_rate FROM mt WHERE run_name = 'run-1'), b AS (SELECT rule, trades, total_return, win_rate FROM mt WHERE run_name = 'run-2') SELECT rule, CAST(a.trades AS BIGINT) AS trades_prior, CAST(b.trades AS BIGINT) AS trades_latest, round(a.total_return, 6) AS total_return_prior, round(b.total_return, 6) AS total_return_latest, round(b.total_return - a.total_return, 6) AS total_return_delta, round(b.win_rate - a.win_rate, 6) AS win_rate_delta FROM a LEFT JOIN b USING (rule)"))
+@query(with_rows(_signal_ctes(rules.catalogue()), _UNCAPPED.format(by="run_name, rule", t="s") + ", a AS (SELECT row_number() OVER (ORDER BY round(total_return, 9) DESC, rule) AS prior_rank, rule, trades, total_return, win_rate FROM mt WHERE run_name = 'run-1' ORDER BY prior_rank LIMIT 20), b AS (SELECT rule, trades, total_return, win_rate FROM mt WHERE run_name = 'run-2') SELECT rule, CAST(prior_rank AS INT) AS prior_rank, CAST(a.trades AS BIGINT) AS trades_prior, CAST(b.trades AS BIGINT) AS trades_latest, round(a.total_return, 6) AS total_return_prior, round(b.total_return, 6) AS total_return_latest, round(b.total_return - a.total_return, 6) AS total_return_delta, round(b.win_rate - a.win_rate, 6) AS win_rate_delta FROM a LEFT JOIN b USING (rule)"))
 def prior_vs_latest(spark, sf):
     m = _metrics(spark, sf, ["run_name", "rule"], signal_rows(spark, sf)).select("run_name", "rule", "trades", "total_return", "win_rate")
     prior, latest = (m.where(F.col("run_name") == r).drop("run_name") for r in ("run-1", "run-2"))
-    t = joins.compared(prior, latest, ["rule"], ["total_return", "win_rate"], ("_prior", "_latest"))
-    return t.select("rule", *n("trades_prior", "trades_latest"), *d("total_return_prior", "total_return_latest", "total_return_delta", "win_rate_delta"))
+    # a row for each rule: the top 20 of the prior run and their numbers
+    top = prior.orderBy(F.round("total_return", 9).desc(), "rule").limit(20)
+    top = top.withColumn("prior_rank", F.row_number().over(Window.orderBy(F.round("total_return", 9).desc(), "rule")))
+    t = joins.compared(top, latest.withColumn("prior_rank", F.lit(None).cast("int")), ["rule"], ["total_return", "win_rate"], ("_prior", "_latest"))
+    return t.select("rule", F.col("prior_rank_prior").alias("prior_rank"), *n("trades_prior", "trades_latest"), *d("total_return_prior", "total_return_latest", "total_return_delta", "win_rate_delta"))
 
 
 @query(with_rows(X.FEATURES, ", z AS (SELECT market_id, run_name, row_number() OVER (PARTITION BY run_name ORDER BY first_t, market_id) - 1 AS i, count(*) OVER (PARTITION BY run_name) AS c FROM f), b AS (SELECT *, greatest(1, floor(c * 0.5)) AS i1, greatest(greatest(1, floor(c * 0.5)) + 1, floor(c * 0.75)) AS i2, greatest(0, c - 100) AS tl FROM z), u AS (SELECT market_id, 'train' AS split, i AS ordinal FROM b WHERE i < i1 UNION ALL SELECT market_id, 'validation', i - i1 FROM b WHERE i >= i1 AND i < i2 UNION ALL SELECT market_id, 'test', i - i2 FROM b WHERE i >= i2 UNION ALL SELECT market_id, 'full', i FROM b UNION ALL SELECT market_id, 'latest', i - tl FROM b WHERE i >= tl) SELECT market_id, split, CAST(ordinal AS BIGINT) AS ordinal FROM u"))
@@ -839,39 +857,201 @@ def dynamic_rule_signals(spark, sf):
     return _dynamic_rows(spark, sf).select("market_id", "rule", "side", "minute", *d("fraction", "price", "unit_pnl"))
 
 
-_MICRO_ROWS = " UNION ALL ".join(f"SELECT market_id, run_name, first_t, regime, imb_sign, '{name}' AS micro, '{side}' AS side, CAST({minute} AS INT) AS minute, pay_{'up' if side == 'up' else 'dn'}{minute} AS unit_pnl FROM l WHERE outcome IS NOT NULL AND {p}" for name, side, minute, p in rules.MICROS)
-_W25 = "OVER (PARTITION BY run_name, micro, regime ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_STATE = {"up": "CASE WHEN up_bucket IS NOT NULL THEN regime || '|' || up_bucket || '|' || liq_up || '|' || spread_sign END", "down": "CASE WHEN down_bucket IS NOT NULL THEN regime || '|' || down_bucket || '|' || liq_down || '|' || imb_sign END"}
+_MICRO_ROWS = " UNION ALL ".join(f"SELECT market_id, run_name, first_t, {_STATE[side] if minute == 2 else 'regime'} AS state, '{name}' AS micro, '{side}' AS side, CAST({minute} AS INT) AS minute, pay_{'up' if side == 'up' else 'dn'}{minute} AS unit_pnl FROM l WHERE outcome IS NOT NULL AND {p}" for name, side, minute, p in rules.MICROS)
+_W25 = "OVER (PARTITION BY run_name, micro, state ORDER BY first_t, market_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_SEEN = f""", c AS ({_MICRO_ROWS}), w AS (SELECT *, power(2.0::DOUBLE, (row_number() OVER (PARTITION BY run_name, micro, state ORDER BY first_t, market_id) - 1) / 25.0::DOUBLE) AS wt FROM c WHERE state IS NOT NULL),
+        g AS (SELECT *, count(unit_pnl) {_W25} AS support, sum(wt * unit_pnl) {_W25} / sum(wt) {_W25} AS mean_pnl, avg(CASE WHEN unit_pnl > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) {_W25} AS won FROM w)"""
 
 
-@query(
-    with_rows(
-        X.LABELS,
-        f""", c AS ({_MICRO_ROWS}), w AS (SELECT *, power(2.0::DOUBLE, (row_number() OVER (PARTITION BY run_name, micro, regime ORDER BY first_t, market_id) - 1) / 25.0::DOUBLE) AS wt FROM c),
-        g AS (SELECT *, count(unit_pnl) {_W25} AS support, sum(wt * unit_pnl) {_W25} / sum(wt) {_W25} AS mean_pnl FROM w)
-        SELECT market_id, micro, side, minute, round(mean_pnl, 6) AS mean_pnl, CAST(support AS BIGINT) AS support FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY mean_pnl DESC, micro DESC) AS rn FROM g WHERE support >= 12 AND mean_pnl > 0) WHERE rn = 1""",
-    )
-)
-def state_selector(spark, sf):
-    rows = rules.micro_candidates(label_rows(spark, sf).where("outcome is not null"), ["market_id", "run_name", "first_t"])
-    paid = F.coalesce(*(F.when((F.col("side") == s) & (F.col("minute") == m), F.col(f"pay_{leg}{m}")) for s, leg in (("up", "up"), ("down", "dn")) for m in (1, 2, 4)))
-    best = rules.state_selected(rows.withColumn("unit_pnl", paid), ["run_name"], ["first_t", "market_id"], ["market_id"], ["regime"])
-    return best.select("market_id", "micro", "side", "minute", *d("mean_pnl"), *n("support"))
+def _state_query(name: str, robust: bool) -> None:
+    def run(spark, sf):
+        rows = rules.candidate_state(rules.micro_candidates(label_rows(spark, sf).where("outcome is not null"), ["market_id", "run_name", "first_t"]))
+        best = rules.state_selected(rows, ["run_name"], ["first_t", "market_id"], ["market_id"], ["state"], robust=robust)
+        return best.select("market_id", "micro", "side", "minute", *d("mean_pnl"), *n("support"))
+
+    run.__name__ = name
+    ok = "support >= 20 AND won >= 0.55 AND mean_pnl > 0.02" if robust else "support >= 12 AND mean_pnl > 0"
+    score = "mean_pnl + 0.01::DOUBLE * least(20, support) / 20.0::DOUBLE" if robust else "mean_pnl"
+    query(with_rows(X.LABELS, f"{_SEEN} SELECT market_id, micro, side, minute, round(mean_pnl, 6) AS mean_pnl, CAST(support AS BIGINT) AS support FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY {score} DESC, micro DESC) AS rn FROM g WHERE {ok}) WHERE rn = 1"))(run)
+
+
+_state_query("state_selector", False)
+_state_query("state_selector_robust", True)
+
+
+def _micro_sql(columns: str) -> str:
+    return " UNION ALL ".join(f"SELECT market_id, '{name}' AS micro, '{side}' AS side, CAST({minute} AS INT) AS minute, {'up' if side == 'up' else 'dn'}{minute} AS price, sp{side[0]}{minute} AS spread_at{columns} FROM r WHERE {p}" for name, side, minute, p in rules.MICROS if name != "neutral_down")
+
+
+def _switch_sql() -> str:
+    table = X.LABELS + ", r AS MATERIALIZED (SELECT *, 1 - outcome AS lost FROM l WHERE outcome IS NOT NULL)"
+    up = _ew_sql(rules.SWITCH_UP, "r", "run_name", "market_id", "first_t, market_id", "outcome", 20, "u", 12).rsplit(" SELECT * FROM uz", 1)[0]
+    down = _ew_sql(rules.SWITCH_DOWN, "r", "run_name", "market_id", "first_t, market_id", "lost", 20, "w", 12).rsplit(" SELECT * FROM wz", 1)[0]
+    both = (up + down).replace("round(CASE", "(CASE").replace("END, 6) AS q", "END) AS q")
+    modes = ", ".join(f"('{m}', {x}::DOUBLE)" for m, x in rules.SWITCH_MODES)
+    return with_rows(table, both + f""", mo(mode, more) AS (VALUES {modes}), m AS ({_micro_sql('')}),
+    c AS (SELECT m.*, mode, more, CASE WHEN side = 'up' THEN uz.q ELSE wz.q END AS q, CASE WHEN side = 'up' THEN uz.q_n ELSE wz.q_n END AS support FROM m JOIN uz USING (market_id) JOIN wz USING (market_id) CROSS JOIN mo),
+    g AS (SELECT *, q - price AS edge, 0.03::DOUBLE + least(greatest(coalesce(spread_at, 0), 0), 0.05::DOUBLE) + more + CASE WHEN support < 15 THEN 0.01::DOUBLE ELSE 0 END + CASE WHEN micro = 'late_breakout_up' AND price > 0.85 THEN 0.02::DOUBLE ELSE 0 END AS margin FROM c),
+    h AS (SELECT *, CASE WHEN mode = 'robust' THEN edge + 0.002::DOUBLE * least(support, 50) - 0.05::DOUBLE * greatest(price - 0.8, 0) ELSE edge + 0.001::DOUBLE * least(support, 50) END AS score FROM g WHERE edge > margin)
+    SELECT market_id, mode, micro, side, minute, round(edge, 6) AS edge, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY market_id, mode ORDER BY score DESC, micro DESC) AS rn FROM h) WHERE rn = 1""")
+
+
+@query(_switch_sql())
+def fair_switch(spark, sf):
+    order = ["first_t", "market_id"]
+    rows = label_rows(spark, sf).where("outcome is not null").withColumn("lost", 1.0 - F.col("outcome"))
+    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", rules.SWITCH_UP, 20, 12, "q_up")
+    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "lost", rules.SWITCH_DOWN, 20, 12, "q_down")
+    best = rules.fair_switch(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_up_n", "q_down", "q_down_n")
+    return best.select("market_id", "mode", "micro", "side", "minute", *d("edge", "score"))
+
+
+def _with_q(sql_tail: str) -> str:
+    """CTEs up to ``r``: labelled events with q_up, their backoff mean, and what follows."""
+    ctes, tail = _backoff_sql()[len("WITH ") :].rsplit(" SELECT market_id, round(", 1)
+    q = tail.split(", 6) AS q,")[0]
+    return f"WITH {ctes}, r AS MATERIALIZED (SELECT l.*, {q} AS q_up, 1 - ({q}) AS q_down FROM l JOIN z USING (market_id)){sql_tail}"
+
+
+def _q_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = windows.backoff_mean(label_rows(spark, sf).where("outcome is not null"), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
+    return rows.withColumn("q_down", 1.0 - F.col("q_up"))
+
+
+_EDGES = (("edge", 0.01, None), ("edge_robust", 0.03, 0.85))
+
+
+@query(_with_q(f""", m AS ({_micro_sql(', q_up, spread, spread_dn')}), g AS (SELECT *, CASE WHEN side = 'up' THEN q_up ELSE 1 - q_up END - price - 0.01::DOUBLE - least(greatest(coalesce(CASE WHEN minute = 2 THEN CASE WHEN side = 'up' THEN spread ELSE spread_dn END END, 0), 0), 0.05::DOUBLE) AS edge FROM m),
+    mo(selector, margin, cap) AS (VALUES {', '.join(f"('{x}', {m}::DOUBLE, {'NULL' if c is None else c}::DOUBLE)" for x, m, c in _EDGES)}), h AS (SELECT * FROM g CROSS JOIN mo WHERE edge > margin AND NOT (cap IS NOT NULL AND side = 'up' AND price > cap))
+    SELECT market_id, selector, micro, side, minute, round(edge, 6) AS edge FROM (SELECT *, row_number() OVER (PARTITION BY market_id, selector ORDER BY edge DESC, micro DESC) AS rn FROM h) WHERE rn = 1"""))
+def edge_selector(spark, sf):
+    found = rules.micro_candidates(_q_rows(spark, sf), ["market_id"])
+    parts = [rules.edge_selected(found, ["market_id"], "q_up", margin, cap).withColumn("selector", F.lit(name)) for name, margin, cap in _EDGES]
+    return reduce(DataFrame.unionByName, parts).select("market_id", "selector", "micro", "side", "minute", *d("edge"))
 
 
-_GRID = [r for r in rules.catalogue() if r.family == "session"]
+_MODEL_CTES = _signal_ctes(rules.MODEL)[len(X.LABELS) :].replace("FROM l WHERE outcome IS NOT NULL)", "FROM r)")
+
+
+@query(_with_q(f"{_MODEL_CTES} SELECT market_id, rule, side, minute, {rd('fraction', 'price', 'unit_pnl')} FROM s"))
+def model_rule_predicates(spark, sf):
+    """The model rules on the backoff probability, which SQL can follow; model_rule_signals has them on the regression's."""
+    return rules.signals(_q_rows(spark, sf), rules.MODEL, ["market_id"]).select("market_id", "rule", "side", "minute", *d("fraction", "price", "unit_pnl"))
+
+
+#: What the walk-forward regression looks at.
+_INPUTS = ["m1", "m2", "m4", "prob0", "prob2", "pm", "up2", "dn2", "usz2", "dsz2", "imb", "sell_imb", "dep", "bpu", "bp", "spread", "spread_dn", "overround", "n_early", "trades2", "vol", "eff", "drawdown", "high_move"]
+
+
+def logit_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled events with q_up and q_down of the walk-forward regression: refitted every 30 events on the 1,400 before, from 120 on, weights halving in 250."""
+    rows = windows.numbered(label_rows(spark, sf).where("outcome is not null").withColumn("part", F.lit("all")), ["part"], ["first_t", "market_id"])
+    scored = models.walk_forward_logit(rows, ["part"], "n", "outcome", _INPUTS, every=30, warm_up=120, lookback=1400, half_life=250)
+    return scored.withColumnRenamed("q", "q_up").withColumn("q_down", 1.0 - F.col("q_up")).drop("n", "part")
+
+
+@query()
+def model_rule_signals(spark, sf):
+    rows = logit_rows(spark, sf)
+    fired = rules.signals(rows, rules.MODEL, ["market_id", "q_up"]).select("market_id", "q_up", "rule", "side", "minute", "price")
+    found = rules.micro_candidates(rows, ["market_id"])
+    chosen = [rules.edge_selected(found, ["market_id"], "q_up", margin, cap).withColumn("rule", F.lit(f"logit_{name}")) for name, margin, cap in _EDGES]
+    picked = reduce(DataFrame.unionByName, chosen).join(rows.select("market_id", "q_up"), "market_id").select("market_id", "q_up", "rule", "side", "minute", F.lit(None).cast("double").alias("price"))
+    return fired.unionByName(picked).select("market_id", "rule", "side", "minute", *d("q_up", "price"))
+
+
+@query()
+def walk_forward_models(spark, sf):
+    """Walk-forward selection over the whole registry, model rules included."""
+    key = ["market_id", "run_name", "first_t", "session", "outcome"]
+    both = signal_rows(spark, sf, rules.registry()).unionByName(rules.signals(logit_rows(spark, sf), [r for r in rules.MODEL if r.name in rules.MODEL_REGISTRY], key))
+    m = fold_metrics(spark, sf, both, sorted((*rules.REGISTRY, *rules.MODEL_REGISTRY)))
+    return validation.selected(m, "score").select("fold_id", "split", "strategy", *n("trades"), *d("total_return", "max_drawdown", "score"))
+
+
+@query()
+def model_value_signals(spark, sf):
+    """Base rate, regression and forest of the first 70 % against the prices of the rest, with and without a buffer."""
+    rows = validation.time_split(label_rows(spark, sf).where("outcome is not null and m2 is not null"), ["run_name"], ["first_t", "market_id"])
+    columns = ["m2", "prob2", "imb", "eff", "vol"]
+    filled = models.median_imputed(rows, columns, "train")
+    scored = models.compared_models(filled, "train", "outcome", [c for c in columns if c in filled.columns], trees=300)
+    parts = []
+    for model in ("base", "logit", "forest"):
+        at = scored.withColumns({"q_up": F.col(f"p_{model}"), "q_down": 1.0 - F.col(f"p_{model}")})
+        parts += [rules.signals(at, rules.model_value(model, b), ["market_id"]) for b in (0.0, 0.02)]
+    return reduce(DataFrame.unionByName, parts).select("market_id", "rule", "side", *d("price", "unit_pnl"))
+
+
+_REGIME = [["path_regime", "move_bucket", "{}"], ["move_bucket", "{}"], ["path_regime", "move_bucket"], ["move_bucket"], ["path_regime"], []]
+
+
+def _regime_levels(bucket: str) -> list[list[str]]:
+    return [[k.format(bucket) for k in keys] for keys in _REGIME]
+
+
+def _regime_sql() -> str:
+    parts = []
+    for name, bucket, y in (("a", "up_bucket", "outcome"), ("b", "down_bucket", "1 - outcome")):
+        ctes, tail = _backoff_sql(_regime_levels(bucket), y)[len("WITH " + X.LABELS) :].rsplit(" SELECT market_id, round(", 1)
+        parts.append(ctes.replace(", z AS (", f", z{name} AS (") + f", q{name} AS (SELECT market_id, {tail.split(', 6) AS q,')[0]} AS q FROM z{name})")
+    signals = _signal_ctes(rules.REGIME_VALUE)[len(X.LABELS) :].replace("FROM l WHERE outcome IS NOT NULL)", "FROM r)")
+    return f"WITH {X.LABELS}{''.join(parts)}, r AS (SELECT l.*, qa.q AS q_up, qb.q AS q_down FROM l JOIN qa USING (market_id) JOIN qb USING (market_id)){signals} SELECT market_id, rule, side, {rd('price', 'unit_pnl')} FROM s"
+
+
+@query(_regime_sql())
+def regime_value_signals(spark, sf):
+    rows = label_rows(spark, sf).where("outcome is not null").withColumn("lost", 1.0 - F.col("outcome"))
+    for name, bucket, y in (("q_up", "up_bucket", "outcome"), ("q_down", "down_bucket", "lost")):
+        rows = windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], y, _regime_levels(bucket), name=name)
+    return rules.signals(rows, rules.REGIME_VALUE, ["market_id"]).select("market_id", "rule", "side", *d("price", "unit_pnl"))
+
+
+_GRID = [r for r in rules.catalogue() if r.family == "session" or r.name in ("combo_guarded", "combo_session_mix")]
 
 
 @query(
     "WITH RECURSIVE "
     + _signal_ctes(_GRID)
-    + f""", sz(sizing) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in rules.SIZES)}), tr AS (SELECT rule, sizing, size, price, unit_pnl, row_number() OVER (PARTITION BY rule, sizing ORDER BY first_t, market_id) AS k FROM s CROSS JOIN sz WHERE price > 0),
-      fold AS (SELECT DISTINCT rule, sizing, CAST(0 AS BIGINT) AS k, 100.0::DOUBLE AS b FROM tr
-      UNION ALL SELECT fold.rule, fold.sizing, tr.k, b + least(b * fold.sizing, b, size * price) / price * unit_pnl FROM fold JOIN tr ON tr.rule = fold.rule AND tr.sizing = fold.sizing AND tr.k = fold.k + 1)
-      SELECT rule, sizing, CAST(max(k) AS BIGINT) AS trades, round(max_by(b, k), 6) AS ending FROM fold GROUP BY rule, sizing HAVING max(k) > 0"""
+    + f""", ev AS (SELECT market_id, row_number() OVER (ORDER BY first_t, market_id) - 1 AS n FROM l WHERE outcome IS NOT NULL), sz(sizing) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in rules.SIZES)}),
+      tr AS MATERIALIZED (SELECT rule, sizing, size, price, unit_pnl, n, CASE WHEN rule = 'combo_guarded' THEN 6 ELSE 8 END AS quota, CASE WHEN starts_with(rule, 'combo') THEN 6 ELSE 0 END AS wait, row_number() OVER (PARTITION BY rule, sizing ORDER BY n) AS k FROM s JOIN ev USING (market_id) CROSS JOIN sz WHERE price > 0),
+      fold AS (SELECT DISTINCT rule, sizing, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS c, 100.0::DOUBLE AS b, 0 AS losses, CAST(-1 AS BIGINT) AS until, CAST([] AS BIGINT[]) AS taken FROM tr
+      UNION ALL SELECT rule, sizing, k, CASE WHEN ok THEN c + 1 ELSE c END, CASE WHEN ok THEN b + pnl ELSE b END, CASE WHEN NOT ok THEN losses WHEN pnl < 0 AND losses = 0 THEN 1 ELSE 0 END, CASE WHEN ok AND pnl < 0 AND losses >= 1 THEN n + wait ELSE until END, CASE WHEN ok THEN list_append(recent, n) ELSE recent END
+        FROM (SELECT *, n > until AND len(recent) < quota AS ok FROM (SELECT fold.rule, fold.sizing, tr.k, tr.n, quota, wait, c, b, losses, until, least(b * fold.sizing, b, size * price) / price * unit_pnl AS pnl, [i FOR i IN taken IF i > tr.n - 48] AS recent FROM fold JOIN tr ON tr.rule = fold.rule AND tr.sizing = fold.sizing AND tr.k = fold.k + 1)))
+      SELECT rule, sizing, max_by(c, k) AS trades, round(max_by(b, k), 6) AS ending FROM fold GROUP BY rule, sizing HAVING max(k) > 0"""
 )
 def sizing_grid(spark, sf):
-    rows = joins.gridded(signal_rows(spark, sf, _GRID), "sizing", list(rules.SIZES)).withColumn("n", F.substring("market_id", -10, 10).cast("long"))
-    return capital.capital_fold(rows, ["rule", "sizing"], ["first_t", "n"], fraction="sizing").select("rule", "sizing", *n("trades"), *d("ending"))
+    """Session, gate and combo rules times four sizes: 8 trades in 48 events (6 when guarded), combos wait 6 events after two losses."""
+    ev, _ = placed(spark, sf, "part")
+    rows = joins.gridded(signal_rows(spark, sf, _GRID), "sizing", list(rules.SIZES)).join(ev.select("market_id", "n"), "market_id")
+    rows = rows.withColumns({"quota": F.when(F.col("rule") == "combo_guarded", 6).otherwise(8), "wait": F.when(F.col("rule").startswith("combo"), 6).otherwise(0)})
+    return capital.capital_fold(rows, ["rule", "sizing"], ["n"], fraction="sizing", quota=F.col("quota"), window=48, cooldown=F.col("wait")).select("rule", "sizing", *n("trades"), *d("ending"))
+
+
+def _selector_sql() -> str:
+    first, last = _fair_sql().rsplit(" SELECT market_id, micro, side, minute, round(edge, 6)", 1)
+    of = lambda up, dn: "CASE " + " ".join(f"WHEN side = '{s}' AND minute = {m} THEN {c}{m}" for s, c in (("up", up), ("down", dn)) for m in (1, 2, 4)) + " END"
+    return (
+        first.replace("WITH ", "WITH RECURSIVE ", 1)
+        + f""", best AS (SELECT market_id, side, minute, price FROM (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY score DESC, micro DESC) AS rn FROM h) WHERE rn = 1),
+        ev AS (SELECT *, row_number() OVER (ORDER BY first_t, market_id) - 1 AS n FROM r),
+        tr AS MATERIALIZED (SELECT n, b.price, {of('usz', 'dsz')} AS size, {of('pay_up', 'pay_dn')} AS unit_pnl, row_number() OVER (ORDER BY n) AS k FROM best b JOIN ev USING (market_id) WHERE n >= 40 AND b.price > 0 AND {of('usz', 'dsz')} IS NOT NULL),
+        fold AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS n, 100.0::DOUBLE AS b UNION ALL SELECT tr.k, tr.n, b + least(b * 0.10::DOUBLE, b, size * price) / price * unit_pnl FROM fold JOIN tr ON tr.k = fold.k + 1)
+        SELECT n, round(b, 6) AS capital_after FROM fold WHERE k > 0"""
+    )
+
+
+@query(_selector_sql())
+def selector_fold(spark, sf):
+    """The fair-value selector's choices from event 40 on, 10 % of the capital each."""
+    ev, _ = placed(spark, sf, "part")
+    order = ["first_t", "market_id"]
+    rows = label_rows(spark, sf).where("outcome is not null")
+    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", _LEVELS).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
+    best = rules.best_micro(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_n", "q_down", "q_n")
+    trades = best.join(ev.select("market_id", "n"), "market_id").where("n >= 40").withColumns({"fraction": F.lit(0.10), "part": F.lit("all")})
+    return capital.trade_log(trades, ["part"], ["n"]).select(*n("n"), *d("capital_after"))
 
 
 @query(
@@ -905,3 +1085,73 @@ def layer_union(spark, sf):
     lines = X.read(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("label")).agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("amount"))
     orders = X.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("label")).agg(F.count("*").alias("n"), F.max("o_orderpriority").alias("priority"))
     return united(lines, orders, layer=["lines", "orders"]).select("source_layer", "label", "n", "amount", "priority")
+
+
+_RAW = ("buy_up_cents", "sell_up_size", "trade_count_1s", "final_price")
+
+
+@query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k, 1 + user_id % 3 AS half, event_type, value, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600 AS hs, 'run-' || CAST(CAST(floor((day(ts) + 6) / 7) AS INT) AS VARCHAR) AS run_name FROM events)
+ SELECT run_name, 'm-' || CAST(hs + 3600 AS VARCHAR) AS slug, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts_iso, CAST(least(99, k + half) AS DOUBLE) AS buy_up_cents, CASE WHEN event_id % 11 <> 0 THEN CAST(40 + (event_id * 29) % 600 AS DOUBLE) END AS sell_up_size, CAST(event_id % 9 AS DOUBLE) AS trade_count_1s, round(value, 6) AS final_price
+ FROM e QUALIFY row_number() OVER (PARTITION BY run_name, hs, t ORDER BY event_type DESC, event_id DESC) = 1""")
+def scan_runs(spark, sf):
+    """Quotes written as CSV files, a folder for each run with text numbers, padded headers, other names, blank and repeated rows, then scanned, named, typed and cleaned."""
+    from ..sources import tables as sources
+
+    raw = X.raw_quotes(spark, sf).select("run_name", "slug", "ts_iso", "ord", *_RAW, F.when(F.col("source_file") == "aa.csv", "a").otherwise("b").alias("layer"))
+    once = raw.where("layer = 'b'").withColumn("rank", F.row_number().over(Window.partitionBy("run_name", "slug", "ts_iso").orderBy(F.desc("ord")))).where("rank = 1").drop("rank")
+    repeated = once.unionByName(once.where("ord % 10 = 0"))
+    blank = once.where("ord % 50 = 0").select("run_name", *(F.lit(None).cast("string").alias(c) for c in once.columns if c != "run_name"))
+    out = repeated.select(*(F.col(c).cast("string").alias(c) for c in repeated.columns)).unionByName(blank).drop("layer", "ord")
+    at = f"{_scratch(spark)}/quotes"
+    sources.written(out.toDF(*(f" {c} " if c in _RAW else {"slug": "Slug"}.get(c, c) for c in out.columns)), at, "csv", ["run_name"])
+    scanned = quotes.aliased(quotes.trimmed_headers(sources.run_files(spark, at)), {"slug": ["slug"]})
+    cleaned = sources.merged_run(quotes.with_columns(scanned, ["level_count_bid_up"]))
+    return cleaned.select("run_name", "slug", "ts_iso", *d(*_RAW))
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
+    import uuid
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{at.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+@query("""WITH b AS (SELECT event_id, epoch_us(ts) AS t, value FROM events), p AS (SELECT event_id, t FROM b WHERE event_id % 3 = 0), x AS (SELECT t, value, row_number() OVER (PARTITION BY t ORDER BY event_id DESC) AS rn FROM b WHERE event_id % 5 = 1), y AS (SELECT t, value * 2 AS value, row_number() OVER (PARTITION BY t ORDER BY event_id DESC) AS rn FROM b WHERE event_id % 7 = 2),
+ j AS (SELECT p.event_id, p.t, CASE WHEN p.t - x.t <= 300000000 THEN round(x.value, 6) END AS spot__value FROM p ASOF LEFT JOIN (SELECT * FROM x WHERE rn = 1) x ON p.t >= x.t)
+ SELECT j.event_id, spot__value, CASE WHEN j.t - y.t <= 300000000 THEN round(y.value, 6) END AS vol__value, 'spot:merged,vol:merged,other:missing: value' AS status FROM j ASOF LEFT JOIN (SELECT * FROM y WHERE rn = 1) y ON j.t >= y.t""")
+def provider_merge(spark, sf):
+    """Provider series written as CSV (one with ts_utc, one with timestamp, one without its value) and merged as of each event within five minutes."""
+    from ..sources import tables as sources
+
+    e = X.read(spark, sf, "events").select("event_id", "value", F.expr("cast(ts as string)").alias("time"), F.expr("unix_micros(cast(ts as timestamp))").alias("t"))
+    last = Window.partitionBy("t").orderBy(F.desc("event_id"))
+    found = {}
+    for name, step, at, time, factor in (("spot", 5, 1, "ts_utc", 1), ("vol", 7, 2, "timestamp", 2), ("other", 50, 3, "timestamp", 1)):
+        series = e.where(F.col("event_id") % step == at).withColumn("r", F.row_number().over(last)).where("r = 1")
+        path = f"{_scratch(spark)}/{name}.csv"
+        sources.written(series.select(F.col("time").alias(time), (F.col("value") * factor).alias("value" if name != "other" else "amount")), path, "csv")
+        loaded = sources.provider_series(spark, path).withColumn("t", F.unix_micros("ts_utc"))
+        found[name] = (loaded, ["value"])
+    merged, status = joins.asof_many(e.where("event_id % 3 = 0").select("event_id", "t"), found, [], "t", "t", 300_000_000)
+    return merged.select("event_id", *d("spot__value", "vol__value"), F.lit(",".join(f"{a}:{b}" for a, b in status)).alias("status"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, '{kind}' AS category, '{text}' AS meaning, (SELECT CAST(count({c}) AS BIGINT) FROM f) AS n" for c, kind, text in features.catalogue() if c not in ("volume2",)).join((f"WITH {X.FEATURES} ", "")))
+def feature_catalogue(spark, sf):
+    """Every feature with its meaning and how many markets have it."""
+    rows = [x for x in features.catalogue() if x[0] != "volume2"]
+    counts = feature_rows(spark, sf).agg(*(F.count(c).alias(c) for c, _, _ in rows))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.lit(k).alias("category"), F.lit(t).alias("meaning"), F.col(c).alias("n")) for c, k, t in rows))).alias("x")).select("x.*")
+
+
+@query(with_rows(X.QUOTES, f"SELECT run_name, CAST(count(*) FILTER (WHERE event_id_null IS NULL) AS BIGINT) AS rows, CAST(count(DISTINCT slug) AS BIGINT) AS markets FROM (SELECT *, NULL AS event_id_null FROM p) GROUP BY run_name"))
+def run_metadata(spark, sf):
+    """Counts of each run written as JSON and as Parquet, and read back."""
+    from ..sources import tables as sources
+
+    q = prepared(spark, sf)
+    at = _scratch(spark)
+    sources.metadata_written(q.groupBy("run_name").agg(F.count("*").alias("rows"), F.countDistinct("slug").alias("markets")), f"{at}/meta")
+    sources.written(spark.read.json(f"{at}/meta"), f"{at}/table")
+    return sources.loaded(spark, f"{at}/table").select("run_name", *n("rows", "markets"))

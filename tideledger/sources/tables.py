@@ -28,7 +28,7 @@ def quote_files(spark: SparkSession, path: str, schema: T.StructType | None = No
 def run_files(spark: SparkSession, root: str) -> DataFrame:
     """Every run's chunks in one scan; a run is a folder below ``root``."""
     raw = quote_files(spark, root)
-    return raw.withColumn("run_name", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    return raw.withColumn("run_name", F.regexp_replace(F.element_at(F.split(F.input_file_name(), "/"), -2), "^run_name=", ""))
 
 
 def united(*parts: DataFrame, layer: list[str] | None = None) -> DataFrame:
@@ -41,11 +41,15 @@ def united(*parts: DataFrame, layer: list[str] | None = None) -> DataFrame:
 
 
 def merged_run(raw: DataFrame) -> DataFrame:
-    """One run cleaned: blank rows dropped, numbers coerced, last row of each (slug, ts_iso) kept, rows without a time dropped."""
+    """Runs cleaned: blank rows dropped, numbers coerced, last row of each market and time kept, rows without a time dropped, times written with an offset of +00:00."""
     present = [c for c in NUMERIC if c in raw.columns]
-    typed = dropped_blank(raw).withColumns({c: number(c) for c in present})
+    blank = dropped_blank(raw.drop("source_file", "run_name")) if not {"source_file", "run_name"} & set(raw.columns) else raw.dropna("all", subset=[c for c in raw.columns if c not in ("source_file", "run_name")])
+    typed = blank.withColumns({c: number(c) for c in present})
     timed = typed.withColumn("ts_utc", F.try_to_timestamp("ts_iso")).where("ts_utc is not null")
-    return keep_last(timed, ["slug", "ts_iso"], ["source_file", "ts_utc"])
+    run = [c for c in ("run_name",) if c in raw.columns]
+    last = keep_last(timed, [*run, "slug", "ts_utc"], [c for c in ("source_file",) if c in timed.columns] or ["ts_iso"])
+    utc = F.to_utc_timestamp("ts_utc", F.current_timezone())
+    return last.withColumn("ts_iso", F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")))
 
 
 def provider_series(spark: SparkSession, path: str) -> DataFrame:
