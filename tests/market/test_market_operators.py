@@ -204,6 +204,116 @@ def test_capital_fold_equals_the_loop(spark, quota, window, cooldown):
         assert all((r["b"], r["dd"]) == (pytest.approx(got[r["s"]]["ending"]), pytest.approx(got[r["s"]]["max_drawdown"])) for r in last)
 
 
+def test_path_metrics_equal_dense_windows(spark):
+    rng = random.Random(9)
+    trades, groups = [], []
+    for g, total in (("a", 60), ("b", 9), ("c", 40)):
+        groups.append((g, total))
+        for rule in ("x", "y"):
+            for i in sorted(rng.sample(range(total), 7)) if (g, rule) != ("c", "y") else []:
+                trades.append((g, rule, i, 0.2, 0.5, 1e9, rng.choice([0.4, -0.51])))
+    df = spark.createDataFrame(trades, "g string, rule string, n int, fraction double, price double, size double, unit_pnl double")
+    log = capital.trade_log(df, ["g", "rule"], ["n"], quota=F.when(F.col("rule") == "x", 3).otherwise(5), window=20, cooldown=F.when(F.col("rule") == "x", 4).otherwise(0))
+    base = spark.createDataFrame(groups, "g string, total long").join(spark.createDataFrame([("x",), ("y",)], "rule string"))
+    got = {(r["g"], r["rule"]): r for r in capital.path_metrics(log, base, ["g", "rule"], (8, 10, 30), 30).collect()}
+    taken = {}
+    for r in log.collect():
+        taken.setdefault((r["g"], r["rule"]), {})[r["i"]] = (r["pnl"], r["before"])
+    assert len(got) == 6
+    for (g, rule), row in got.items():
+        total, mine = dict(groups)[g], taken.get((g, rule), {})
+        returns = [mine[i][0] / mine[i][1] if i in mine else 0.0 for i in range(total)]
+        assert row["trades"] == len(mine)
+        streak = best = 0
+        for i in sorted(mine):
+            streak = streak + 1 if mine[i][0] < 0 else 0
+            best = max(best, streak)
+        assert row["loss_streak"] == best
+        for w in (8, 10, 30):
+            runs = [math.prod(1 + x for x in returns[i : i + w]) - 1 for i in range(total - w + 1)]
+            active = [any(j in mine for j in range(i, i + w)) for i in range(total - w + 1)]
+            if not runs:
+                assert row[f"worst_{w}"] is None and row[f"active_{w}"] is None
+                continue
+            assert row[f"worst_{w}"] == pytest.approx(min(runs)) and row[f"active_{w}"] == pytest.approx(sum(active) / len(active))
+            assert row[f"share_positive_{w}"] == pytest.approx(sum(x > 1e-15 for x in runs) / len(runs)) and row[f"share_over_10_{w}"] == pytest.approx(sum(x > 0.10 for x in runs) / len(runs))
+        assert row["recent_return"] == (pytest.approx(math.prod(1 + x for x in returns[-30:]) - 1) if total >= 30 else None)
+
+
+def test_asof_of_one_series_over_many_cells(spark):
+    rng = random.Random(4)
+    right = sorted(rng.sample(range(5000), 60))
+    left = [rng.randrange(5000) for _ in range(300)]
+    a = spark.createDataFrame([(x,) for x in left], "t long")
+    b = spark.createDataFrame([(x, x) for x in right], "t long, v long")
+    got = sorted((r["t"], r["p__v"]) for r in joins.asof(a, b, [], "t", "t", ["v"], 50, "p").collect() if r["p__v"] is not None)
+    want = sorted((x, max(y for y in right if y <= x)) for x in left if any(x - 50 <= y <= x for y in right))
+    assert got == want
+
+
+def test_expanding_means_in_chunks(spark):
+    rng = random.Random(8)
+    rows = [("s", i, rng.choice(["a", "b", None]), float(rng.random() < 0.5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "s string, i long, k string, y double")
+    one, two = ({r["i"]: (r["q"], r["q_n"], r["q_level"]) for r in windows.backoff_mean(df, ["s"], ["i"], "y", [["k"], []], chunk=c).collect()} for c in (None, F.floor(F.col("i") / 13)))
+    assert one == two
+
+
+def test_regression_equals_newton_steps(spark):
+    rng = random.Random(11)
+    rows = [("s", i, rng.gauss(0, 1), rng.gauss(0, 2), float(rng.random() < 0.6)) for i in range(90)]
+    df = spark.createDataFrame(rows, "s string, n int, a double, b double, y double")
+    got = {r["n"]: r["q"] for r in models.walk_forward_logit(df, ["s"], "n", "y", ["a", "b"], every=1, warm_up=60, half_life=30).where("n in (60, 89)").collect()}
+    for at, q in got.items():
+        past = rows[:at]
+        columns = [[r[j] for r in past] for j in (2, 3)]
+        mean, dev = [statistics.fmean(c) for c in columns], [statistics.pstdev(c) for c in columns]
+        x = [[1.0, *((r[j + 2] - mean[j]) / dev[j] for j in (0, 1))] for r in past]
+        w = [0.5 ** ((at - 1 - r[1]) / 30) for r in past]
+        beta = [0.0, 0.0, 0.0]
+        for _ in range(20000):
+            p = [1 / (1 + math.exp(-sum(b * v for b, v in zip(beta, row, strict=True)))) for row in x]
+            grad = [sum(w[i] * (past[i][4] - p[i]) * x[i][k] for i in range(at)) - (beta[k] if k else 0.0) for k in range(3)]
+            beta = [b + 0.05 * g for b, g in zip(beta, grad, strict=True)]
+            if max(map(abs, grad)) < 1e-9:
+                break
+        now = [1.0, *((rows[at][j + 2] - mean[j]) / dev[j] for j in (0, 1))]
+        assert q == pytest.approx(1 / (1 + math.exp(-sum(b * v for b, v in zip(beta, now, strict=True)))), abs=1e-5)
+
+
+def test_model_rules_against_plain_predicates(spark):
+    rng = random.Random(12)
+    names = [f"{a}{m}" for m in (1, 2, 3, 4) for a in ("up", "dn", "usz", "dsz", "pay_up", "pay_dn")]
+    flags = ["breakout", "milddrop", "gate_up", "gate_down", "gate_up_2", "strict_up_2", "strict_down"]
+    rows = []
+    for k in range(300):
+        q = rng.choice([None, rng.random()])
+        rows.append((k, rng.choice(["asia", "london", "us_afternoon", "other"]), q, None if q is None else 1 - q, *(rng.random() < 0.6 for _ in flags), *(rng.random() for _ in names)))
+    kinds = "k int, session string, q_up double, q_down double, " + ", ".join(f"{c} boolean" for c in flags) + ", " + ", ".join(f"{c} double" for c in names)
+    got = {(r["k"], r["rule"]): (r["side"], r["minute"]) for r in rules.signals(spark.createDataFrame(rows, kinds), rules.MODEL, ["k"]).collect()}
+    want = {}
+    for row in rows:
+        f = dict(zip(["k", "session", "q_up", "q_down", *flags, *names], row, strict=True))
+        if f["q_up"] is None:
+            continue
+        up4, up2, dn2, s = f["q_up"] - f["up4"], f["q_up"] - f["up2"], f["q_down"] - f["dn2"], f["session"]
+        for name, more, last in (("logit_overlay", 0.08, 0.10), ("logit_gated_session", 0.06, 0.08)):
+            if s == "asia" and f["breakout"] and f["gate_up"] and up4 > more:
+                want[f["k"], name] = ("up", 4)
+            elif s == "london" and f["milddrop"] and f["gate_down"] and dn2 > more or s == "us_afternoon" and f["milddrop"] and dn2 > last:
+                want[f["k"], name] = ("down", 2)
+        if s in ("london", "us_afternoon") and f["milddrop"] and dn2 > 0.06:
+            want[f["k"], "logit_value"] = ("down", 2)
+        elif f["breakout"] and up4 > 0.06:
+            want[f["k"], "logit_value"] = ("up", 4)
+        for name, a, b, edge in (("logit_edge_06", "gate_up_2", "gate_down", 0.06), ("logit_edge_10", "strict_up_2", "strict_down", 0.10)):
+            if f[a] and up2 > edge:
+                want[f["k"], name] = ("up", 2)
+            elif f[b] and dn2 > edge:
+                want[f["k"], name] = ("down", 2)
+    assert got == want
+
+
 def test_uncapped_equals_fold_without_binding_size(spark):
     rng = random.Random(3)
     rows = [(0, i, 0.1, p := rng.uniform(0.2, 0.8), 1e12, (rng.random() < 0.5) - p) for i in range(40)]
@@ -247,7 +357,7 @@ def test_walk_forward_uses_only_the_past(spark):
 
 
 def test_scores(spark):
-    df = spark.createDataFrame([("a", 110.0, 0.1, None, 0.5), ("b", 90.0, None, 2.0, 0.4)], "s string, total_return double, max_drawdown double, profit_factor double, worst double").withColumn("one", F.lit(1))
+    df = spark.createDataFrame([("a", 110.0, 0.1, None, 0.5), ("b", 90.0, None, 2.0, 0.4)], "s string, total_return double, max_drawdown double, profit_factor double, worst_144 double").withColumn("one", F.lit(1))
     got = {r["s"]: r["score"] for r in scoring.rank_score(df, scoring.SCORES["framework"], ["one"]).collect()}
     assert got == {"a": pytest.approx(0.35 + 0.25 + 0.10 + 0.20), "b": pytest.approx(0.175 + 0.125 + 0.20 + 0.10)}
 

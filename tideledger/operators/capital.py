@@ -103,7 +103,7 @@ def path_metrics(log: DataFrame, groups: DataFrame, by: list[str], sizes: tuple[
         windows = F.first("total") - (s - 1)
 
         def share(holds: Column, full: Column = full, windows: Column = windows) -> Column:
-            return F.sum(F.when(holds, full).otherwise(0)) / windows
+            return F.sum(F.when(holds, full).otherwise(0)) / F.nullif(windows, F.lit(0))
 
         table += [
             F.min(F.when(full > 0, F.col(f"v{s}"))).alias(f"worst_{s}"), share(F.col(f"v{s}") > 0).alias(f"share_positive_{s}"), share(F.col(f"v{s}") > 0.10).alias(f"share_over_10_{s}"), share(F.col(f"a{s}") > 0).alias(f"active_{s}"),
