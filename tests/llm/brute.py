@@ -39,22 +39,26 @@ def contamination(text, items):
     return len(w), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)
 
 
-class Bigrams:
-    def __init__(self, texts):
-        self.pair, self.total, self.count = Counter(), Counter(), Counter()
+class Ngrams:
+    """Interpolated modified Kneser-Ney by dictionaries: counts at the highest order, numbers of different words before below."""
+
+    def __init__(self, texts, order):
+        self.order, self.times = order, Counter()
+        top = Counter()
         for t in texts:
-            before = 0
-            for w in [*tokens(t), 1]:
-                self.pair[before, w] += 1
-                self.total[before] += 1
-                self.count[w] += 1
-                before = w
-        self.kinds, self.after = Counter(), defaultdict(Counter)
-        for (h, w), c in self.pair.items():
-            self.kinds[w] += 1
-            self.after[h][min(c, 3)] += 1
-        self.d2, self.d1 = self._discounts(self.pair), self._discounts(self.kinds)
-        self.n = sum(self.count.values())
+            line = [0] * (order - 1) + [*tokens(t), 1]
+            for i in range(order - 1, len(line)):
+                top[tuple(line[i - order + 1 : i + 1])] += 1
+                self.times[line[i]] += 1
+        self.n = sum(self.times.values())
+        self.counts = {order: top}
+        for m in range(order - 1, 0, -1):
+            self.counts[m] = Counter(g[1:] for g in self.counts[m + 1])
+        self.after = {m: defaultdict(Counter) for m in self.counts}
+        for m, c in self.counts.items():
+            for g, k in c.items():
+                self.after[m][g[:-1]][g[-1]] = k
+        self.d = {m: self._discounts(c) for m, c in self.counts.items()}
 
     @staticmethod
     def _discounts(counts):
@@ -64,30 +68,24 @@ class Bigrams:
         d = [1 - 2 * y * n2 / n1 if n1 and n2 else 0.5, 2 - 3 * y * n3 / n2 if n2 and n3 else 1.0, 3 - 4 * y * n4 / n3 if n3 and n4 else 1.5]
         return [0.0, *(min(max(x, 0.05 * i), 0.95 * i) for i, x in enumerate(d, 1))]
 
-    def word(self, w):
-        v, k = len(self.count), sum(self.kinds.values())
-        if not k:
-            return 1 / (v + 1)
-        free = sum(self.d1[min(c, 3)] for c in self.kinds.values()) / k
-        return max(self.kinds[w] - self.d1[min(self.kinds[w], 3)], 0) / k + free / (v + 1)
-
-    def probability(self, h, w):
-        if not self.total[h]:
-            return self.word(w)
-        c = self.pair[h, w]
-        gamma = sum(self.d2[i] * n for i, n in self.after[h].items()) / self.total[h]
-        return max(c - self.d2[min(c, 3)], 0) / self.total[h] + gamma * self.word(w)
+    def probability(self, context, w):
+        m = len(context) + 1
+        seen, d = self.after[m].get(context), self.d[m]
+        lower = self.probability(context[1:], w) if m > 1 else 1 / (len(self.times) + 1)
+        if not seen:
+            return lower
+        total = sum(seen.values())
+        return max(seen[w] - d[min(seen[w], 3)], 0) / total + sum(d[min(k, 3)] for k in seen.values()) / total * lower
 
     def score(self, text):
         base = score = 0.0
-        known, before = 0, 0
-        every = [*tokens(text), 1]
-        for w in every:
-            base += math.log10((self.count[w] + 0.1) / (self.n + 0.1 * (len(self.count) + 1)))
-            score += math.log10(self.probability(before, w))
-            known += self.count[w] > 0
-            before = w
-        return len(every), known, base, score
+        known, line = 0, [0] * (self.order - 1) + [*tokens(text), 1]
+        for i in range(self.order - 1, len(line)):
+            w = line[i]
+            base += math.log10((self.times[w] + 0.1) / (self.n + 0.1 * (len(self.times) + 1)))
+            score += math.log10(self.probability(tuple(line[i - self.order + 1 : i]), w))
+            known += self.times[w] > 0
+        return len(line) - self.order + 1, known, base, score
 
 
 def remainder(doc_id, n):

@@ -93,9 +93,10 @@ def test_op1_every_shared_window_has_a_fingerprint(shared, left, right):
 
 
 def test_op2(spark, tables, rows):
-    model = brute.Bigrams([r[1] for r in rows if brute.remainder(r[0], 10)])
-    found = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)): r for r in queries.op2_lm_scoring(spark, tables).collect()}
-    assert len(rows) == queries.op2_lm_scoring(spark, tables).count()
+    model = brute.Ngrams([r[1] for r in rows if brute.remainder(r[0], 10)], ngram_lm.ORDER)
+    got = queries.op2_lm_scoring(spark, tables).collect()
+    assert len(got) == len(rows)
+    found = {(r["doc_id"], r["n_tokens"], round(r["score"], 6)): r for r in got}
     for r in rows:
         n, known, base, score = model.score(r[1])
         row = found[r[0], n, round(score, 6)]
@@ -103,18 +104,62 @@ def test_op2(spark, tables, rows):
         assert row["base_score"] == pytest.approx(base, rel=1e-9)
 
 
+@pytest.mark.parametrize("order,step,held,block", [(1, 12, 3_000_000, 1_200_000), (2, 12, 40, 300), (3, 2, 40, 300), (4, 12, 3_000_000, 1_200_000)])
+def test_op2_orders_and_steps(spark, rows, monkeypatch, order, step, held, block):
+    monkeypatch.setattr(ngram_lm, "STEP_BITS", step)
+    for texts in ([r[1] for r in rows[:40]], []):
+        docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+        model = ngram_lm.trained(docs, order=order)
+        plain = brute.Ngrams(texts, order)
+        every = [r[1] for r in rows[:60]]
+        got = {r["doc_id"]: r for r in ngram_lm.scores(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string"), model).collect()}
+        for i, t in enumerate(every):
+            n, known, base, score = plain.score(t)
+            assert (got[i]["n_tokens"], got[i]["n_known"]) == (n, known)
+            assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and got[i]["score"] == pytest.approx(score, rel=1e-9, abs=1e-9)
+        model.files.delete()
+
+
+def test_op2_bounded_merges_give_the_same_sums(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_lm, "HELD_ROWS", 50)
+    rng = np.random.default_rng(3)
+    words = np.sort(rng.choice(2**48, 90, replace=False).astype(np.uint64))
+    codes = ngram_lm.Codes(words[:30], words[:2], 4)
+    rows = [rng.integers(0, 90, (40, 2)) for _ in range(30)]
+    blocks = [ngram_lm._pack(*(codes.of(words[r[:, j]]) for j in (0, 1)), np.ones(40, np.uint64)) for r in rows]
+    got = Counter()
+    for coded, (n,) in ngram_lm._pieces(iter(blocks), 2, codes):
+        for a, b, k in zip(*(codes.words(c).tolist() for c in coded), n.tolist(), strict=True):
+            got[a, b] += k
+    assert got == Counter((int(words[a]), int(words[b])) for r in rows for a, b in r)
+
+
 def test_op2_probabilities_sum_to_one():
-    model = brute.Bigrams(["a b a c", "b a b", "c"])
-    for h in (0, "a", "b", "c", "unseen"):
-        assert sum(model.probability(h, w) for w in [*model.count, "unknown"]) == pytest.approx(1)
+    model = brute.Ngrams(["a b a c", "b a b", "c"], 3)
+    for h in ((0, 0), (0, "a"), ("a", "b"), ("b", "a"), ("c", "unseen")):
+        assert sum(model.probability(h, w) for w in [*model.times, "unknown"]) == pytest.approx(1)
 
 
-def test_op2_blocks_round_trip():
+def test_op2_blocks_and_tables_round_trip():
     import numpy as np
 
-    for c in ([0], [1, 255, 254], [1] * 500 + [70_000], list(range(1000)), [2**47, 3]):
+    for c in ([0], [1, 255, 254], [1] * 500 + [70_000], list(range(1000)), [2**47, 3], [2**63]):
         a = np.array(c, np.uint64)
         assert (ngram_lm._unpack(ngram_lm._pack(a, a))[1] == a).all()
+    # grams that share 32 bits of their hash, and counts beyond four bytes
+    hashes = np.sort(np.array([5 << 32 | i << 24 for i in range(200)] + [2**40, 2**63], np.uint64))
+    values = np.arange(len(hashes), dtype=np.uint64) * np.uint64(10**8) * np.uint64(10**3)
+    raw = np.concatenate([np.ascontiguousarray(x).view(np.uint8) for x in ngram_lm._table(hashes, [values])])
+
+    class One:
+        mapped = True
+        read = staticmethod(lambda name: raw)
+
+    model = ngram_lm.KneserNey(3, One(), frozenset(["3-0"]), ngram_lm.Codes(np.array([1], np.uint64), np.zeros(0, np.uint64), 4), {})
+    high, low, columns, big = model._arrays("3-0", 1)
+    assert (high == hashes >> np.uint64(32)).all() and (columns[0] == np.minimum(values, 255)).all() and (big[0][1] == values[values > 254]).all()
 
 
 def test_op2_a_shard_that_cannot_be_read_fails(spark, tables, monkeypatch):
@@ -122,8 +167,7 @@ def test_op2_a_shard_that_cannot_be_read_fails(spark, tables, monkeypatch):
 
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     model = ngram_lm.trained(docs)
-    unseen = np.array([12345], np.uint64)
-    assert model._arrays("pairs-none", (np.uint64, np.uint32)) is None and not model.scored(unseen, unseen)[2].any()
+    assert model._arrays("3-none", 1) is None and not model.scored(np.array([12345], np.uint64), np.array([0, 1]))[2].any()
 
     def broken(self, name):
         raise OSError(28, "No space left on device")
@@ -131,11 +175,11 @@ def test_op2_a_shard_that_cannot_be_read_fails(spark, tables, monkeypatch):
     monkeypatch.setattr(ngram_lm.SharedArrays, "read", broken)
     model._maps.clear()
     with pytest.raises(OSError):
-        model.scored(np.array([ngram_lm.END]), np.array([ngram_lm.BEGIN]))
+        model.scored(np.array([ngram_lm.END]), np.array([0, 1]))
     monkeypatch.undo()
     model.files.delete()
     with pytest.raises(OSError):
-        model.scored(np.array([ngram_lm.END]), np.array([ngram_lm.BEGIN]))
+        model.scored(np.array([ngram_lm.END]), np.array([0, 1]))
 
 
 def test_op3(spark, tables, rows):

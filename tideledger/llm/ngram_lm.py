@@ -1,35 +1,44 @@
-"""Interpolated modified Kneser-Ney language model of word pairs.
-
-Counting: every task turns its texts into word hashes (48 bits), counts the
-pairs it has and sends each shard of the pairs' hash space one packed block for
-about a million tokens; a shard's blocks are merged and written to the shared
-folder as a sorted array of pair hashes with their counts. A word's counts (as
-a word, as a context, as a continuation) go on as packed blocks to shards of
-words, which become sorted arrays as well. Only sums reach the driver.
-
-Scoring: workers map the arrays into memory, sort the pairs of a batch and look
+"""Interpolated modified Kneser-Ney language model of word n-grams.
+
+Counting: words are 48-bit hashes. A first pass counts them; the most frequent
+ones have codes of two bytes. Every task then turns its texts into n-grams of
+``order`` words, counts the distinct ones of about a million tokens and sends
+each shard one packed block. A shard's blocks are merged and written to the
+shared folder as sorted arrays of n-gram hashes with their counts; what the
+shard has of each shorter gram, as a context and as a continuation, goes on as
+packed blocks to the next level's shards, down to single words. Only the sums
+and the code table (of fixed size) reach the driver.
+
+Scoring: workers map the arrays into memory, sort the grams of a batch and look
 each shard's share up in order.
 
-    p(w | h) = max(c(h w) - D, 0) / c(h) + g(h) p(w)
-    p(w)     = max(k(w) - D', 0) / K + g' / (V + 1)
+    p_m(w | h) = max(c_m(h w) - D_m, 0) / c_m(h) + g_m(h) p_(m-1)(w | h'),  h' = h without its first word
+    p_1(w)     = max(c_1(w) - D_1, 0) / C_1 + g_1 / (V + 1)
 
-with k(w) the number of different words before w, K their sum, V the number of
-known words; the discounts D (by count 1, 2, 3 and more) come from the counts
-of counts (Chen and Goodman), and g is what they set free.
+c_m(h w) is how often the gram stands there at the highest order and the number of
+different words before it below; c_m(h) their sum over w; V is the number of
+known words. The discounts D (by count 1, 2, 3 and more) come from each level's
+counts of counts (Chen and Goodman), and g is what they set free. Every text
+is read after order - 1 begin marks, which belong to the context like words.
 
-A pair's shard depends on its first word and on two bits of its second, so that
-a word which begins a third of all pairs is four shards at least.
+A gram's shard depends on the last word of its context, so that most of what is
+known of a shorter gram meets in one place; of words with more than HOT mean
+shards of tokens it depends on the whole gram, which deals them over all shards.
+With many shards blocks are dealt in steps of STEP_BITS bits, so that they stay
+large and no step has more than 2**STEP_BITS targets.
 
 Cases: null is an empty text, which is the end token alone; an unknown word has
-its share of g'; a context that was never seen leaves p(w); without any training
-text V = N = 0 and every probability is 1; a null id counts as held out.
+its share of g_1; a context that was never seen leaves the next lower order;
+without any training text V = N = 0 and every probability is 1; a null id
+counts as held out. Arrays hold 40 bits of a gram's hash beside its shard: in
+a shard of a million grams one of a million unknown grams is taken for another.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,17 +48,28 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import new_folder
+from .shared import in_batches, kept, new_folder
 from .textbatch import BLANK_WORD, LOWER, chunks, mix, span_hashes, spans, utf8
 
+ORDER = 3
 WORD_BITS = 48
 _WORD = np.uint64((1 << WORD_BITS) - 1)
 #: Hashes of the end token and of what stands before the first word; no word has them but by chance.
 END, BEGIN = np.uint64(0x0E0F0E0F0E0F), np.uint64(0x0B0E0B0E0B0E)
 TOKENS_A_BLOCK = 1_200_000
-#: Bytes of text for each shard, and the most shards.
-SHARD_BYTES = 4 << 20
-MAX_SHARDS = 1 << 14
+#: Rows of unmerged blocks that a merging task holds.
+HELD_ROWS = 3_000_000
+#: Words with a code of two bytes.
+CODED = (1 << 16) - 1
+#: Bytes of text for each shard.
+SHARD_BYTES = 8 << 20
+STEP_BITS = 12
+#: Times a shard's mean of tokens from which on a word's grams are dealt over all shards.
+HOT = 4
+#: Bytes of text that are scored together: the more, the fewer looks into each shard.
+SCORED_BYTES = 2 << 20
+#: Bytes of arrays that a worker holds of a store that can't be mapped.
+HELD_BYTES = 128 << 20
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -78,18 +98,18 @@ class SharedArrays:
                 out.write(np.ascontiguousarray(a).view(np.uint8).data)
         files.move(part, f"{root}/{name}")
 
+    @property
+    def mapped(self) -> bool:
+        return isinstance(self._open()[0], fs.LocalFileSystem)
+
     def read(self, name: str) -> np.ndarray:
-        """The bytes, mapped; from a store that can't be mapped by way of a file that is gone once it is open."""
+        """The bytes: mapped, or of a store that can't be mapped in memory."""
         files, root = self._open()
         path = f"{root}/{name}"
         if isinstance(files, fs.LocalFileSystem):
             return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
-        with tempfile.NamedTemporaryFile() as copy:
-            with files.open_input_stream(path) as src:
-                while block := src.read(1 << 22):
-                    copy.write(block)
-            copy.flush()
-            return np.memmap(copy.name, np.uint8, "r") if copy.tell() else np.zeros(0, np.uint8)
+        with files.open_input_stream(path) as src:
+            return np.frombuffer(src.readall(), np.uint8)
 
     def names(self) -> frozenset[str]:
         """The files that were written whole."""
@@ -101,107 +121,171 @@ class SharedArrays:
         files.delete_dir(root)
 
 
-def tokens(data: np.ndarray, byte_off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each token and of the one before, and the texts' offsets; every text ends with END."""
+def tokens(data: np.ndarray, byte_off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each token and the texts' offsets; every text ends with END."""
     lower = LOWER[data]
     starts, ends, off = spans(lower, byte_off, BLANK_WORD)
     words = span_hashes(lower, starts, ends) & _WORD
     texts = len(off) - 1
     out = np.full(len(words) + texts, END, np.uint64)
     out[np.arange(len(words)) + np.repeat(np.arange(texts), np.diff(off))] = words
-    to = off + np.arange(texts + 1)
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[to[:-1]] = BEGIN
-    return out, before, to
-
-
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * np.uint64(0x9E3779B97F4A7C15) + mix(second))
-
-
-def pair_shard(first: np.ndarray, second: np.ndarray, bits: int) -> np.ndarray:
-    return (((first >> np.uint64(WORD_BITS - bits + 2)) << np.uint64(2)) | (second & np.uint64(3))).astype(np.int64)
-
+    return out, off + np.arange(texts + 1)
+
+
+def grams(now: np.ndarray, to: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each token the words of its gram, first to last; BEGIN before a text's first word."""
+    place = np.arange(len(now)) - np.repeat(to[:-1], np.diff(to))
+    out = []
+    for back in range(order - 1, 0, -1):
+        before = np.full(len(now), BEGIN, np.uint64)
+        inside = place >= back
+        before[inside] = now[np.flatnonzero(inside) - back]
+        out.append(before)
+    return [*out, now]
+
+
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(words[0]), 0x9E3779B97F4A7C15 + len(words), np.uint64)
+    for w in words:
+        h = mix(h * np.uint64(0xD1342543DE82EF95) + mix(w))
+    return h
+
+
+@dataclass(frozen=True)
+class Codes:
+    """Numbers for words: the frequent ones' ranks, of the others their hash above these; and which are hot."""
+
+    hashes: np.ndarray
+    hot: np.ndarray
+    bits: int
+
+    def __post_init__(self) -> None:
+        order = np.argsort(self.hashes)
+        object.__setattr__(self, "_order", order)
+        object.__setattr__(self, "_sorted", self.hashes[order])
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self._sorted, words)
+        at[at == len(self._sorted)] = 0
+        return np.where(self._sorted[at] == words, self._order[at].astype(np.uint64), words + np.uint64(CODED + 1))
+
+    def words(self, codes: np.ndarray) -> np.ndarray:
+        known = codes <= CODED
+        out = codes - np.uint64(CODED + 1)
+        out[known] = self.hashes[codes[known].astype(np.int64)]
+        return out
 
-def word_shard(words: np.ndarray, bits: int) -> np.ndarray:
-    return (words >> np.uint64(WORD_BITS - bits)).astype(np.int64)
+    def shard(self, words: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        by = words[max(len(words) - 2, 0)]
+        if len(self.hot):
+            at = np.minimum(np.searchsorted(self.hot, by), len(self.hot) - 1)
+            by = np.where(self.hot[at] == by, hashes, by)
+        return (mix(by ^ np.uint64(0x5DEECE66D)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers in as many bytes each as their largest needs."""
+    """Columns of numbers in as many bytes each as most need, the few larger ones apart, compressed."""
     out = [np.array([len(columns), len(columns[0])], np.uint32).tobytes()]
     for c in columns:
-        width = max(1, (int(c.max()).bit_length() + 7) // 8) if len(c) else 1
-        # a few large counts among small ones are kept apart
-        big = np.flatnonzero(c > 254) if width in (2, 3, 4) else np.zeros(0, np.int64)
-        if width in (2, 3, 4) and 12 * len(big) < (width - 1) * len(c):
-            out.append(np.array([0, len(big)], np.uint32).tobytes())
-            out += [np.minimum(c, 255).astype(np.uint8).tobytes(), big.astype(np.uint32).tobytes(), c[big].astype(np.uint64).tobytes()]
-        else:
-            out.append(np.array([width, 0], np.uint32).tobytes())
-            out.append(np.ascontiguousarray(c.astype(np.uint64)).view(np.uint8).reshape(-1, 8)[:, :width].tobytes())
-    return b"".join(out)
+        need = [int((c >> np.uint64(8 * width)).astype(bool).sum()) if len(c) else 0 for width in range(8)]
+        width = min(range(1, 9), key=lambda w: w * len(c) + (12 * need[w] if w < 8 else 0))
+        big = np.flatnonzero(c >> np.uint64(8 * width)) if width < 8 and need[width] else np.zeros(0, np.int64)
+        out.append(np.array([width, len(big)], np.uint32).tobytes())
+        low = np.ascontiguousarray(c.astype(np.uint64)).view(np.uint8).reshape(-1, 8)
+        # byte by byte, which compresses better than number by number
+        out += [np.ascontiguousarray(low[:, b]).tobytes() for b in range(width)]
+        out += [big.astype(np.uint32).tobytes(), c[big].astype(np.uint64).tobytes()]
+    raw = b"".join(out)
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
-    columns, rows = np.frombuffer(block, np.uint32, 2)
+    size = int(np.frombuffer(block, np.uint32, 1)[0])
+    raw = pa.decompress(memoryview(block)[4:], size, codec="zstd", asbytes=True)
+    columns, rows = np.frombuffer(raw, np.uint32, 2).tolist()
     at, out = 8, []
     for _ in range(columns):
-        width, big = np.frombuffer(block, np.uint32, 2, at).tolist()
+        width, big = np.frombuffer(raw, np.uint32, 2, at).tolist()
         at += 8
-        if width:
-            wide = np.zeros((rows, 8), np.uint8)
-            wide[:, :width] = np.frombuffer(block, np.uint8, int(rows) * width, at).reshape(-1, width)
-            at += int(rows) * width
-            out.append(wide.view(np.uint64).ravel())
-        else:
-            c = np.frombuffer(block, np.uint8, rows, at).astype(np.uint64)
-            at += int(rows)
-            where = np.frombuffer(block, np.uint32, big, at)
-            at += 4 * big
-            c[where] = np.frombuffer(block, np.uint64, big, at)
-            at += 8 * big
-            out.append(c)
+        wide = np.zeros((rows, 8), np.uint8)
+        for b in range(width):
+            wide[:, b] = np.frombuffer(raw, np.uint8, rows, at)
+            at += rows
+        c = wide.view(np.uint64).ravel()
+        where = np.frombuffer(raw, np.uint32, big, at)
+        at += 4 * big
+        c[where] = np.frombuffer(raw, np.uint64, big, at)
+        at += 8 * big
+        out.append(c)
     return out
 
 
-def _blocks(shard: list[int], kind: list[int], block: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())], names=["shard", "kind", "block"])
+_BLOCK = "shard int, kind int, block binary"
+#: What a block holds beside the grams' codes: counts of grams, what is known of them as contexts, words' counts; sums.
+_GRAMS, _CONTEXTS, _COUNTS, _SUMS = range(4)
+#: Columns of a gram: times (words only), count or different words before, and as a context sum and numbers of words seen after it once, twice, more often.
+_FIELDS = ("times", "count", "total", "once", "twice", "more")
+_OF_KIND = {_GRAMS: (1,), _CONTEXTS: (2, 3, 4, 5), _COUNTS: (0,)}
 
 
-_BLOCK = "shard int, kind int, block binary"
-_PAIRS, _CONTEXTS, _WORDS, _SUMS = range(4)
+def _summed(keys: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted distinct keys, the columns of their first rows and the values' sums."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0)
+    return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
+
+
+def _dealt(kind: int, coded: list[np.ndarray], values: list[np.ndarray], codes: Codes, bits: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Packed blocks by the first ``bits`` bits of the shard, sorted by the context from its last word back."""
+    words = [codes.words(c) for c in coded]
+    shard = codes.shard(words, gram_hash(words)) >> (codes.bits - bits)
+    order = np.lexsort((*coded[:-1], shard))
+    shard, coded, values = shard[order], [c[order] for c in coded], [v[order] for v in values]
+    cut = np.flatnonzero(np.diff(shard, prepend=-1))
+    ids = shard[cut].tolist()
+    blocks = [_pack(*(x[a:b] for x in (*coded, *values))) for a, b in zip(cut, [*cut[1:], len(shard)], strict=True)]
+    return ids, [kind] * len(ids), blocks
+
 
+def _batch(ids: list[int], kinds: list[int], blocks: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blocks, pa.binary())], names=["shard", "kind", "block"])
 
-def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Packed blocks of distinct pairs by shard: first words, how many second words each has, second words, counts."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """word, n: how often each word stands in a stretch of texts."""
+    held: list[np.ndarray] = []
     size = 0
 
     def flush() -> pa.RecordBatch:
-        second = np.concatenate([x[0] for x in held])
-        first = np.concatenate([x[1] for x in held])
+        words, n = np.unique(np.concatenate(held), return_counts=True)
         held.clear()
-        _, at, n = np.unique(pair_hash(first, second), return_index=True, return_counts=True)
-        first, second = first[at], second[at]
-        shard = pair_shard(first, second, bits)
-        order = np.argsort((shard.astype(np.uint64) << np.uint64(WORD_BITS)) | first)
-        first, second, n, shard = first[order], second[order], n[order], shard[order]
-        cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        ids, blocks = [], []
-        for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
-            heads = np.flatnonzero(np.diff(first[a:b], prepend=first[a] + np.uint64(1)) != 0)
-            follow = np.diff(np.append(heads, b - a))
-            ids.append(int(shard[a]))
-            # two parts, as their columns differ in length
-            head, tail = _pack(first[a:b][heads], follow), _pack(second[a:b], n[a:b])
-            blocks.append(np.uint32(len(head)).tobytes() + head + tail)
-        return _blocks(ids, [_PAIRS] * len(ids), blocks)
+        return pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+
+    for batch in chunks(batches):
+        held.append(tokens(*utf8(batch.column("text")))[0])
+        size += len(held[-1])
+        if size >= TOKENS_A_BLOCK:
+            yield flush()
+            size = 0
+    if held:
+        yield flush()
+
+
+def _counted(batches: Iterator[pa.RecordBatch], order: int, codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed blocks of the distinct grams of a stretch of texts."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        words = [np.concatenate(x) for x in zip(*held, strict=True)]
+        held.clear()
+        _, at, n = np.unique(gram_hash(words), return_index=True, return_counts=True)
+        return _batch(*_dealt(_GRAMS, [codes.of(w[at]) for w in words], [n.astype(np.uint64)], codes, bits))
 
     for batch in chunks(batches):
-        now, before, _ = tokens(*utf8(batch.column("text")))
-        held.append((now, before))
+        now, to = tokens(*utf8(batch.column("text")))
+        held.append(grams(now, to, order))
         size += len(now)
         if size >= TOKENS_A_BLOCK:
             yield flush()
@@ -210,107 +294,131 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         yield flush()
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(shard, kind, blocks) for rows that come sorted by these."""
-    key, blocks = None, []
+def _coded_counts(batches: Iterator[pa.RecordBatch], codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for s, k, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if key != (s, k):
-                if key is not None:
-                    yield (*key, blocks)
-                key, blocks = (s, k), []
-            blocks.append(b)
-    if key is not None:
-        yield (*key, blocks)
-
-
-def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-    """Sorted distinct keys and the values' sums."""
-    order = np.argsort(keys)
-    keys = keys[order]
-    at = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)) != 0) if len(keys) else np.zeros(0, np.int64)
-    return [keys[at], *(np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values)]
-
-
-def _count_of_counts(c: np.ndarray) -> np.ndarray:
-    return np.array([(c == i).sum() for i in (1, 2, 3, 4)], np.uint64)
-
-
-def _merged_pairs(batches: Iterator[pa.RecordBatch], files: SharedArrays, bits: int) -> Iterator[pa.RecordBatch]:
-    """Writes each shard's pairs; passes on what the shard has of each word as context and as continuation."""
-    for shard, _, blocks in _runs(batches):
-        firsts, seconds, counts = [], [], []
-        for block in blocks:
-            size = int(np.frombuffer(block, np.uint32, 1)[0])
-            head, follow = _unpack(block[4 : 4 + size])
-            second, n = _unpack(block[4 + size :])
-            firsts.append(np.repeat(head, follow.astype(np.int64)))
-            seconds.append(second)
-            counts.append(n)
-        first, second, n = map(np.concatenate, (firsts, seconds, counts))
-        pair = pair_hash(first, second)
-        order = np.argsort(pair)
-        at = np.flatnonzero(np.diff(pair[order], prepend=pair[order[0]] + np.uint64(1)) != 0)
-        c = np.add.reduceat(n[order], at)
-        chosen = order[at]
-        files.write(f"pairs-{shard}", pair[chosen], np.minimum(c, 0xFFFFFFFF).astype(np.uint32))
-        first, second = first[chosen], second[chosen]
-        one = np.ones(len(c), np.uint64)
-        context = _summed(first, c, (c == 1).astype(np.uint64), (c == 2).astype(np.uint64), (c >= 3).astype(np.uint64))
-        word = _summed(second, c, one)
-        ids, kinds, out = [shard], [_SUMS], [_pack(_count_of_counts(c))]
-        for kind, columns in ((_CONTEXTS, context), (_WORDS, word)):
-            of = word_shard(columns[0], bits)
-            cut = np.flatnonzero(np.diff(of, prepend=-1))
-            for a, b in zip(cut, [*cut[1:], len(of)], strict=True):
-                ids.append(int(of[a]))
-                kinds.append(kind)
-                out.append(_pack(*(x[a:b] for x in columns)))
-        yield _blocks(ids, kinds, out)
-
-
-#: Columns of a word's entry after its hash: count, different words before; as context count and numbers of words seen after it once, twice, more often.
-_FIELDS = ("count", "kinds", "total", "once", "twice", "more")
-_TOTALS = ("tokens", "words", "kinds", *(f"pair_{i}" for i in (1, 2, 3, 4)), *(f"kind_{i}" for i in (1, 2, 3, 4)), "kind_more")
-
-
-def _merged_words(batches: Iterator[pa.RecordBatch], files: SharedArrays) -> Iterator[pa.RecordBatch]:
-    """Writes each shard's words; passes on the sums over the shard."""
-    totals = dict.fromkeys(_TOTALS, 0)
-    open_shard: int | None = None
-    parts: list[list[np.ndarray]] = []
-
-    def close() -> None:
-        columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        words, *fields = _summed(*columns)
-        files.write(f"words-{open_shard}", words, *fields)
-        count, kinds = fields[0], fields[1]
-        totals["tokens"] += int(count.sum())
-        totals["words"] += int((count > 0).sum())
-        totals["kinds"] += int(kinds.sum())
-        for i, n in enumerate(_count_of_counts(kinds), 1):
-            totals[f"kind_{i}"] += int(n)
-        totals["kind_more"] += int((kinds >= 3).sum())
+        if batch.num_rows:
+            words, n = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("word", "n"))
+            yield _batch(*_dealt(_COUNTS, [codes.of(words)], [n], codes, bits))
+
+
+def _redealt(batches: Iterator[pa.RecordBatch], level: int, codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of coarse shards as blocks of finer ones, equal grams summed up."""
+    for (_, kind), blocks in _runs(batches):
+        if kind == _SUMS:
+            for block in blocks:
+                yield _batch([0], [kind], [block])
+            continue
+        for coded, values in _pieces(blocks, level, codes):
+            yield _batch(*_dealt(kind, coded, values, codes, bits))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], Iterator[bytes]]]:
+    """((shard, kind), its blocks) for rows that come sorted by these; the blocks are read as they are asked for."""
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
+    ahead = next(rows, None)
+    while ahead is not None:
+        key = ahead[:2]
+
+        def same(key: tuple[int, int] = key) -> Iterator[bytes]:
+            nonlocal ahead
+            while ahead is not None and ahead[:2] == key:
+                block = ahead[2]
+                ahead = next(rows, None)
+                yield block
+
+        mine = same()
+        yield key, mine
+        for _ in mine:
+            pass
+
+
+def _pieces(blocks: Iterator[bytes], level: int, codes: Codes) -> Iterator[tuple[list[np.ndarray], list[np.ndarray]]]:
+    """Codes and values of blocks of one kind, equal grams summed up within stretches of HELD_ROWS rows."""
+    held: list[list[np.ndarray]] = []
+
+    def merged() -> tuple[list[np.ndarray], list[np.ndarray]]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        coded, values = columns[:level], columns[level:]
+        _, coded, values = _summed(gram_hash([codes.words(c) for c in coded]), coded, values)
+        return coded, values
+
+    size = 0
+    for block in blocks:
+        held.append(_unpack(block))
+        size += len(held[-1][0])
+        if size > HELD_ROWS:
+            coded, values = merged()
+            held[:] = [[*coded, *values]]
+            size = len(coded[0])
+            if size > HELD_ROWS // 2:
+                yield coded, values
+                held.clear()
+                size = 0
+    if held:
+        yield merged()
+
+
+def _count_of_counts(c: np.ndarray) -> list[int]:
+    return [*(int((c == i).sum()) for i in (1, 2, 3, 4)), int((c >= 3).sum()), int(c.sum())]
+
+
+def _table(hashes: np.ndarray, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The arrays of a file: sizes; large values' places and values; 40 bits of the sorted hashes; a byte for each value."""
+    big = [np.flatnonzero(c > 254) for c in columns]
+    out = [np.array([len(hashes), *map(len, big)], np.uint64)]
+    out += [x for c, b in zip(columns, big, strict=True) for x in (b.astype(np.uint64), c[b].astype(np.uint64))]
+    out += [(hashes >> np.uint64(32)).astype(np.uint32), (hashes >> np.uint64(24)).astype(np.uint8)]
+    return out + [np.minimum(c, 255).astype(np.uint8) for c in columns]
+
+
+def _fields(level: int, order: int) -> tuple[str, ...]:
+    """What a level's arrays hold."""
+    return (("times",) if level == 1 else ()) + ("count",) + (_FIELDS[2:] if level < order else ())
+
+
+def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int, order: int, codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
+    """Writes each shard's grams; passes on what it has of the grams one word shorter, and the level's counts of counts."""
+    shard, parts = None, []
+
+    def close() -> Iterator[pa.RecordBatch]:
+        coded = [np.concatenate([p[0][i] for p in parts]) for i in range(level)]
+        values = [np.concatenate([p[1][i] for p in parts]) for i in range(len(_FIELDS))]
         parts.clear()
+        hashes, coded, values = _summed(gram_hash([codes.words(c) for c in coded]), coded, values)
+        if order == 1:
+            values[1] = values[0]
+        by_name = dict(zip(_FIELDS, values, strict=True))
+        files.write(f"{level}-{shard}", *_table(hashes, [by_name[f] for f in _fields(level, order)]))
+        c = by_name["count"]
+        sums = [level, *_count_of_counts(c), int(by_name["times"].sum()), int((by_name["times"] > 0).sum())]
+        yield _batch([0], [_SUMS], [_pack(*(np.array([x], np.uint64) for x in sums))])
+        if level == 1:
+            return
+        real = c > 0
+        coded, c = [x[real] for x in coded], c[real]
+        one = np.ones(len(c), np.uint64)
+        for kind, part, own in ((_CONTEXTS, coded[:-1], [c, *((x).astype(np.uint64) for x in (c == 1, c == 2, c >= 3))]), (_GRAMS, coded[1:], [one])):
+            _, part, own = _summed(gram_hash([codes.words(x) for x in part]), part, own)
+            yield _batch(*_dealt(kind, part, own, codes, bits))
 
-    for shard, kind, blocks in _runs(batches):
+    for (at, kind), blocks in _runs(batches):
         if kind == _SUMS:
-            for b in blocks:
-                for i, n in enumerate(_unpack(b)[0], 1):
-                    totals[f"pair_{i}"] += int(n)
+            for block in blocks:
+                yield _batch([0], [_SUMS], [block])
             continue
-        if open_shard is not None and shard != open_shard and parts:
-            close()
-        open_shard = shard
-        for b in blocks:
-            key, *v = _unpack(b)
-            none = np.zeros(len(key), np.uint64)
-            parts.append([key, *v, none, none, none, none] if kind == _WORDS else [key, none, none, *v])
-        if len(parts) > 64:
-            parts[:] = [_summed(*[np.concatenate(c) for c in zip(*parts, strict=True)])]
+        if parts and at != shard:
+            yield from close()
+        shard = at
+        for coded, values in _pieces(blocks, level, codes):
+            full = [np.zeros(len(coded[0]), np.uint64) for _ in _FIELDS]
+            for i, v in zip(_OF_KIND[kind], values, strict=True):
+                full[i] = v
+            parts.append((coded, full))
     if parts:
-        close()
-    yield pa.RecordBatch.from_arrays([pa.array([totals[n]], pa.int64()) for n in _TOTALS], names=list(_TOTALS))
+        yield from close()
+
+
+_SUM_NAMES = ("level", "n1", "n2", "n3", "n4", "more", "sum", "tokens", "words")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -322,103 +430,162 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """A counted model: where its arrays are, which there are, and its sums."""
+    """A counted model: where its arrays are, which there are, its code table and its sums by level."""
 
+    order: int
     files: SharedArrays
     shards: frozenset[str]
-    pair_bits: int
-    word_bits: int
-    totals: dict[str, int]
-    _maps: dict[str, list[np.ndarray]] = field(default_factory=dict, repr=False)
+    codes: Codes
+    sums: dict[int, dict[str, int]]
+    _maps: OrderedDict = field(default_factory=OrderedDict, repr=False)
+    _held: int = 0
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_maps": {}}
+        return self.__dict__ | {"_maps": OrderedDict(), "_held": 0}
 
-    def _arrays(self, name: str, widths: tuple[type, ...]) -> list[np.ndarray] | None:
-        """The columns of a file, mapped once for each worker; None if no such shard was written. A file that can't be read fails the task."""
+    @property
+    def totals(self) -> dict[str, int]:
+        return self.sums.get(1, dict.fromkeys(_SUM_NAMES, 0))
+
+    def _arrays(self, name: str, width: int) -> tuple | None:
+        """The arrays of a file with ``width`` columns, mapped once for each worker; None if no such shard was written. A file that can't be read fails the task."""
         if name not in self.shards:
             return None
-        if name not in self._maps:
-            raw = self.files.read(name)
-            rows, at, out = len(raw) // sum(np.dtype(w).itemsize for w in widths), 0, []
-            for w in widths:
-                size = rows * np.dtype(w).itemsize
-                out.append(raw[at : at + size].view(w))
-                at += size
-            self._maps[name] = out
+        if name in self._maps:
+            self._maps.move_to_end(name)
+            return self._maps[name]
+        raw = self.files.read(name)
+        sizes = np.array(raw[: 8 * (1 + width)]).view(np.uint64).tolist()
+        n, at, big = sizes[0], 8 * (1 + width), []
+        for m in sizes[1:]:
+            big.append((raw[at : at + 8 * m].view(np.uint64), raw[at + 8 * m : at + 16 * m].view(np.uint64)))
+            at += 16 * m
+        high = raw[at : at + 4 * n].view(np.uint32)
+        at += 4 * n
+        low = raw[at : at + n]
+        at += n
+        self._maps[name] = (high, low, [raw[at + j * n : at + (j + 1) * n] for j in range(width)], big)
+        if not self.files.mapped:
+            self._held += len(raw)
+            while self._held > HELD_BYTES and len(self._maps) > 1:
+                _, (h, _, columns, old) = self._maps.popitem(last=False)
+                self._held -= 5 * len(h) + len(h) * len(columns) + sum(16 * len(b[0]) for b in old)
         return self._maps[name]
 
-    def _found(self, prefix: str, widths: tuple[type, ...], keys: np.ndarray, shard: np.ndarray) -> list[np.ndarray]:
-        """For keys sorted within their shards (shards ascending) the values that stand beside them, or 0."""
-        out = [np.zeros(len(keys), np.int64) for _ in widths[1:]]
+    def _found(self, words: list[np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """For grams: the values of each distinct one by field (0 where there is none), and each gram's number among these."""
+        level = len(words)
+        hashes, first, back = np.unique(gram_hash(words), return_index=True, return_inverse=True)
+        shard = self.codes.shard([w[first] for w in words], hashes)
+        names = _fields(level, self.order)
+        out = {f: np.zeros(len(hashes), np.int64) for f in names}
+        order = np.argsort(shard, kind="stable")
+        keys, shard = hashes[order], shard[order]
+        high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8)
         cut = np.flatnonzero(np.diff(shard, prepend=-1))
         for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
-            columns = self._arrays(f"{prefix}-{int(shard[a])}", widths)
-            if columns is None:
+            arrays = self._arrays(f"{level}-{int(shard[a])}", len(names))
+            if arrays is None:
                 continue
-            here = columns[0]
-            at = np.searchsorted(here, keys[a:b])
-            at[at == len(here)] = 0
-            hit = here[at] == keys[a:b]
-            for o, c in zip(out, columns[1:], strict=True):
-                o[a:b][hit] = c[at[hit]].astype(np.int64)
-        return out
-
-    def scored(self, now: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            highs, lows, columns, big = arrays
+            at = np.searchsorted(highs, high[a:b])
+            hit = np.zeros(b - a, bool)
+            here = np.flatnonzero(at < len(highs))
+            # several grams may share the first 32 bits: the next ones are looked at too
+            while len(here):
+                here = here[highs[at[here]] == high[a:b][here]]
+                same = lows[at[here]] == low[a:b][here]
+                hit[here[same]] = True
+                here = here[~same]
+                at[here] += 1
+                here = here[at[here] < len(highs)]
+            where = at[hit]
+            to = order[a:b][hit]
+            for f, c, (places, values) in zip(names, columns, big, strict=True):
+                v = c[where].astype(np.int64)
+                large = np.flatnonzero(v == 255)
+                if len(large):
+                    v[large] = values[np.searchsorted(places, where[large].astype(np.uint64))].astype(np.int64)
+                out[f][to] = v
+        return out, back
+
+    def scored(self, now: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: log10 probability, log10 of its base share, whether it is known."""
         t = self.totals
-        words, back = np.unique(np.concatenate([now, before]), return_inverse=True)
-        count, kinds, total, once, twice, more = self._found("words", (np.uint64,) * 7, words, word_shard(words, self.word_bits))
-        d2 = discounts(*(t[f"pair_{i}"] for i in (1, 2, 3, 4)))
-        d1 = discounts(*(t[f"kind_{i}"] for i in (1, 2, 3, 4)))
-        if t["kinds"]:
-            free = (d1[1] * t["kind_1"] + d1[2] * t["kind_2"] + d1[3] * t["kind_more"]) / t["kinds"]
-            p1 = np.maximum(kinds - d1[np.minimum(kinds, 3)], 0) / t["kinds"] + free / (t["words"] + 1)
+        words = grams(now, to, self.order)
+        found, back = self._found(words[-1:])
+        times, c = found["times"][back], found["count"][back]
+        d = discounts(*(t[f"n{i}"] for i in (1, 2, 3, 4)))
+        if t["sum"]:
+            free = (d[1] * t["n1"] + d[2] * t["n2"] + d[3] * t["more"]) / t["sum"]
+            p = np.maximum(c - d[np.minimum(c, 3)], 0) / t["sum"] + free / (t["words"] + 1)
         else:
-            p1 = np.full(len(words), 1.0 / (t["words"] + 1))
-        gamma = np.where(total > 0, (d2[1] * once + d2[2] * twice + d2[3] * more) / np.maximum(total, 1), 1.0)
-
-        at_now, at_before = back[: len(now)], back[len(now) :]
-        pairs, first_at, pair_back = np.unique(pair_hash(before, now), return_index=True, return_inverse=True)
-        shard = pair_shard(before[first_at], now[first_at], self.pair_bits)
-        order = np.argsort(shard, kind="stable")
-        c = np.zeros(len(pairs), np.int64)
-        (c[order],) = self._found("pairs", (np.uint64, np.uint32), pairs[order], shard[order])
-        c = c[pair_back]
-        h = total[at_before]
-        p = np.where(h > 0, np.maximum(c - d2[np.minimum(c, 3)], 0) / np.maximum(h, 1), 0.0) + gamma[at_before] * p1[at_now]
-        n = count[at_now]
-        base = np.log10((n + 0.1) / (t["tokens"] + 0.1 * (t["words"] + 1)))
-        return np.log10(p), base, n > 0
-
-
-def trained(docs: DataFrame, text: str = "text") -> KneserNey:
-    """Counts the texts of ``docs`` into a model in the shared folder."""
+            p = np.full(len(now), 1.0 / (t["words"] + 1))
+        for level in range(2, self.order + 1):
+            s = self.sums.get(level, dict.fromkeys(_SUM_NAMES, 0))
+            d = discounts(*(s[f"n{i}"] for i in (1, 2, 3, 4)))
+            gram = words[self.order - level :]
+            found, back = self._found(gram)
+            c = found["count"][back]
+            found, back = self._found(gram[:-1])
+            h = found["total"]
+            gamma = np.where(h > 0, (d[1] * found["once"] + d[2] * found["twice"] + d[3] * found["more"]) / np.maximum(h, 1), 1.0)
+            h = h[back]
+            p = np.where(h > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(h, 1), 0.0) + gamma[back] * p
+        base = np.log10((times + 0.1) / (t["tokens"] + 0.1 * (t["words"] + 1)))
+        return np.log10(p), base, times > 0
+
+
+def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
+    """Counts the texts of ``docs`` into a model of ``order`` words in the shared folder."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(max(4, int(size // SHARD_BYTES).bit_length()), MAX_SHARDS.bit_length() - 1)
-    word_bits = max(2, bits - 2)
+    bits = max(4, int(size // SHARD_BYTES).bit_length())
+    counts = kept(in_batches(texts, _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    top = counts.orderBy(F.desc("n"), "word").limit(CODED - 1).collect()
+    hashes = np.array([int(BEGIN), *(r["word"] for r in top)], np.uint64)
+    hot = np.sort(np.array([int(BEGIN), *(r["word"] for r in top if r["n"] > HOT * total / (1 << bits))], np.uint64))
+    codes = Codes(hashes, hot, bits)
+    shared = spark.sparkContext.broadcast(codes)
     files = SharedArrays(new_folder(spark, "kneser-ney"))
     files.create()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    steps = [*range(STEP_BITS, bits, STEP_BITS), bits]
 
-    def by_shard(blocks: DataFrame) -> DataFrame:
+    def by_shard(blocks: DataFrame, level: int) -> DataFrame:
+        """Blocks of a level by shard, dealt in as many steps as there are."""
+        for b in steps[1:]:
+            blocks = in_batches(blocks.repartition(tasks, "shard").sortWithinPartitions("shard", "kind"), lambda x, b=b: _redealt(x, level, shared.value, b), _BLOCK)
         return blocks.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
 
-    pairs = by_shard(texts.mapInArrow(lambda b: _counted(b, bits), _BLOCK)).mapInArrow(lambda b: _merged_pairs(b, files, word_bits), _BLOCK)
-    sums = by_shard(pairs).mapInArrow(lambda b: _merged_words(b, files), ", ".join(f"{n} long" for n in _TOTALS))
-    row = sums.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in _TOTALS)).first()
-    return KneserNey(files, files.names(), bits, word_bits, {n: int(row[n]) for n in _TOTALS})
+    first = steps[0]
+    blocks = in_batches(texts, lambda x: _counted(x, order, shared.value, first), _BLOCK) if order > 1 else None
+    for level in range(order, 0, -1):
+        if level == 1:
+            coded = in_batches(counts, lambda x: _coded_counts(x, shared.value, first), _BLOCK)
+            blocks = coded if blocks is None else blocks.unionByName(coded)
+        blocks = in_batches(by_shard(blocks, level), lambda x, level=level: _merged(x, files, level, order, shared.value, first), _BLOCK)
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column("block").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in _unpack(block)], names=list(_SUM_NAMES))
+
+    sums = in_batches(blocks, opened, ", ".join(f"{n} long" for n in _SUM_NAMES))
+    rows = sums.groupBy("level").agg(*(F.sum(n).alias(n) for n in _SUM_NAMES[1:])).collect()
+    return KneserNey(order, files, files.names(), codes, {r["level"]: {n: int(r[n]) for n in _SUM_NAMES} for r in rows})
 
 
 def scores(docs: DataFrame, model: KneserNey, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every document, in one pass without a shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
-            now, before, to = tokens(*utf8(batch.column("text")))
-            p, base, known = model.scored(now, before)
+        for batch in chunks(batches, limit=SCORED_BYTES):
+            now, to = tokens(*utf8(batch.column("text")))
+            p, base, known = shared.value.scored(now, to)
             of, n = np.repeat(np.arange(batch.num_rows), np.diff(to)), batch.num_rows
             sums = [np.bincount(of, weights=w, minlength=n) for w in (base, p)]
             yield pa.RecordBatch.from_arrays(
@@ -426,4 +593,4 @@ def scores(docs: DataFrame, model: KneserNey, doc_id: str = "doc_id", text: str
                 names=["doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(score, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return in_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), score, "doc_id long, n_tokens long, n_known long, base_score double, score double")

@@ -29,11 +29,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ngram_lm.trained(docs.where(~ngram_lm.held_out()))
-    scored = ngram_lm.scores(docs, model).withColumn("held_out", ngram_lm.held_out()).withColumn("train_tokens", F.lit(model.totals["tokens"]).cast("long"))
-    # scored once, so that the model's files can go
-    out = kept(scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
-    model.files.delete()
-    return out
+    try:
+        scored = ngram_lm.scores(docs, model).withColumn("held_out", ngram_lm.held_out()).withColumn("train_tokens", F.lit(model.totals["tokens"]).cast("long"))
+        # scored once, so that the model's files can go
+        return kept(scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"))
+    finally:
+        model.files.delete()
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
