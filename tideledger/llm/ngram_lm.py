@@ -56,16 +56,16 @@ WORD_BITS = 48
 _WORD = np.uint64((1 << WORD_BITS) - 1)
 #: Hashes of the end token and of what stands before the first word; no word has them but by chance.
 END, BEGIN = np.uint64(0x0E0F0E0F0E0F), np.uint64(0x0B0E0B0E0B0E)
-TOKENS_A_BLOCK = 1_200_000
+TOKENS_A_BLOCK = 1_000_000
 #: Rows of unmerged blocks that a merging task holds.
-HELD_ROWS = 3_000_000
+HELD_ROWS = 800_000
 #: Words with a code of two bytes.
 CODED = (1 << 16) - 1
 #: Bytes of text for each shard.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 STEP_BITS = 12
 #: Times a shard's mean of tokens from which on a word's grams are dealt over all shards.
-HOT = 4
+HOT = 2
 #: Bytes of text that are scored together: the more, the fewer looks into each shard.
 SCORED_BYTES = 2 << 20
 #: Bytes of arrays that a worker holds of a store that can't be mapped.
@@ -132,23 +132,25 @@ def tokens(data: np.ndarray, byte_off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, off + np.arange(texts + 1)
 
 
-def grams(now: np.ndarray, to: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each token the words of its gram, first to last; BEGIN before a text's first word."""
+def grams(now: np.ndarray, to: np.ndarray, order: int, begin: np.uint64 = BEGIN) -> list[np.ndarray]:
+    """For each token the words (or what stands for them) of its gram, first to last; ``begin`` before a text's first word."""
     place = np.arange(len(now)) - np.repeat(to[:-1], np.diff(to))
     out = []
     for back in range(order - 1, 0, -1):
-        before = np.full(len(now), BEGIN, np.uint64)
+        before = np.full(len(now), begin, np.uint64)
         inside = place >= back
         before[inside] = now[np.flatnonzero(inside) - back]
         out.append(before)
     return [*out, now]
 
 
-def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+def gram_hash(words: list[np.ndarray], mixed: bool = False) -> np.ndarray:
+    """A hash of each gram; ``mixed``: the words come mixed already."""
     h = np.full(len(words[0]), 0x9E3779B97F4A7C15 + len(words), np.uint64)
     for w in words:
-        h = mix(h * np.uint64(0xD1342543DE82EF95) + mix(w))
-    return h
+        h = h * np.uint64(0xD1342543DE82EF95) + (w if mixed else mix(w))
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 @dataclass(frozen=True)
@@ -175,8 +177,8 @@ class Codes:
         out[known] = self.hashes[codes[known].astype(np.int64)]
         return out
 
-    def shard(self, words: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
-        by = words[max(len(words) - 2, 0)]
+    def shard(self, by: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """By the last word of the context, or of hot ones by the whole gram."""
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, by), len(self.hot) - 1)
             by = np.where(self.hot[at] == by, hashes, by)
@@ -225,7 +227,7 @@ _BLOCK = "shard int, kind int, block binary"
 _GRAMS, _CONTEXTS, _COUNTS, _SUMS = range(4)
 #: Columns of a gram: times (words only), count or different words before, and as a context sum and numbers of words seen after it once, twice, more often.
 _FIELDS = ("times", "count", "total", "once", "twice", "more")
-_OF_KIND = {_GRAMS: (1,), _CONTEXTS: (2, 3, 4, 5), _COUNTS: (0,)}
+_OF_KIND = {_GRAMS: ("count",), _CONTEXTS: _FIELDS[2:], _COUNTS: ("times",)}
 
 
 def _summed(keys: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -236,10 +238,14 @@ def _summed(keys: np.ndarray, columns: list[np.ndarray], values: list[np.ndarray
     return keys[at], [c[order[at]] for c in columns], [np.add.reduceat(v[order], at) if len(at) else v[:0] for v in values]
 
 
-def _dealt(kind: int, coded: list[np.ndarray], values: list[np.ndarray], codes: Codes, bits: int) -> tuple[list[int], list[int], list[bytes]]:
+def _hashes(coded: list[np.ndarray], codes: Codes) -> np.ndarray:
+    return gram_hash([codes.words(c) for c in coded])
+
+
+def _dealt(kind: int, coded: list[np.ndarray], values: list[np.ndarray], codes: Codes, bits: int, hashes: np.ndarray | None = None) -> tuple[list[int], list[int], list[bytes]]:
     """Packed blocks by the first ``bits`` bits of the shard, sorted by the context from its last word back."""
-    words = [codes.words(c) for c in coded]
-    shard = codes.shard(words, gram_hash(words)) >> (codes.bits - bits)
+    hashes = _hashes(coded, codes) if hashes is None else hashes
+    shard = codes.shard(codes.words(coded[max(len(coded) - 2, 0)]), hashes) >> (codes.bits - bits)
     order = np.lexsort((*coded[:-1], shard))
     shard, coded, values = shard[order], [c[order] for c in coded], [v[order] for v in values]
     cut = np.flatnonzero(np.diff(shard, prepend=-1))
@@ -278,14 +284,15 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, codes: Codes, bits:
     size = 0
 
     def flush() -> pa.RecordBatch:
-        words = [np.concatenate(x) for x in zip(*held, strict=True)]
+        hashes, *coded = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        _, at, n = np.unique(gram_hash(words), return_index=True, return_counts=True)
-        return _batch(*_dealt(_GRAMS, [codes.of(w[at]) for w in words], [n.astype(np.uint64)], codes, bits))
+        hashes, at, n = np.unique(hashes, return_index=True, return_counts=True)
+        return _batch(*_dealt(_GRAMS, [c[at] for c in coded], [n.astype(np.uint64)], codes, bits, hashes))
 
     for batch in chunks(batches):
         now, to = tokens(*utf8(batch.column("text")))
-        held.append(grams(now, to, order))
+        hashes = gram_hash(grams(mix(now), to, order, mix(np.array([BEGIN]))[0]), mixed=True)
+        held.append([hashes, *grams(codes.of(now), to, order, np.uint64(0))])
         size += len(now)
         if size >= TOKENS_A_BLOCK:
             yield flush()
@@ -339,7 +346,7 @@ def _pieces(blocks: Iterator[bytes], level: int, codes: Codes) -> Iterator[tuple
     def merged() -> tuple[list[np.ndarray], list[np.ndarray]]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
         coded, values = columns[:level], columns[level:]
-        _, coded, values = _summed(gram_hash([codes.words(c) for c in coded]), coded, values)
+        _, coded, values = _summed(_hashes(coded, codes), coded, values)
         return coded, values
 
     size = 0
@@ -381,16 +388,17 @@ def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int,
     shard, parts = None, []
 
     def close() -> Iterator[pa.RecordBatch]:
+        names = _fields(level, order)
         coded = [np.concatenate([p[0][i] for p in parts]) for i in range(level)]
-        values = [np.concatenate([p[1][i] for p in parts]) for i in range(len(_FIELDS))]
+        values = [np.concatenate([p[1].get(f, np.zeros(len(p[0][0]), np.uint64)) for p in parts]) for f in names]
         parts.clear()
-        hashes, coded, values = _summed(gram_hash([codes.words(c) for c in coded]), coded, values)
+        hashes, coded, values = _summed(_hashes(coded, codes), coded, values)
+        by_name = dict(zip(names, values, strict=True))
         if order == 1:
-            values[1] = values[0]
-        by_name = dict(zip(_FIELDS, values, strict=True))
-        files.write(f"{level}-{shard}", *_table(hashes, [by_name[f] for f in _fields(level, order)]))
-        c = by_name["count"]
-        sums = [level, *_count_of_counts(c), int(by_name["times"].sum()), int((by_name["times"] > 0).sum())]
+            by_name["count"] = by_name["times"]
+        files.write(f"{level}-{shard}", *_table(hashes, [by_name[f] for f in names]))
+        c, times = by_name["count"], by_name.get("times", np.zeros(0, np.uint64))
+        sums = [level, *_count_of_counts(c), int(times.sum()), int((times > 0).sum())]
         yield _batch([0], [_SUMS], [_pack(*(np.array([x], np.uint64) for x in sums))])
         if level == 1:
             return
@@ -398,8 +406,8 @@ def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int,
         coded, c = [x[real] for x in coded], c[real]
         one = np.ones(len(c), np.uint64)
         for kind, part, own in ((_CONTEXTS, coded[:-1], [c, *((x).astype(np.uint64) for x in (c == 1, c == 2, c >= 3))]), (_GRAMS, coded[1:], [one])):
-            _, part, own = _summed(gram_hash([codes.words(x) for x in part]), part, own)
-            yield _batch(*_dealt(kind, part, own, codes, bits))
+            met, part, own = _summed(_hashes(part, codes), part, own)
+            yield _batch(*_dealt(kind, part, own, codes, bits, met))
 
     for (at, kind), blocks in _runs(batches):
         if kind == _SUMS:
@@ -410,10 +418,7 @@ def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int,
             yield from close()
         shard = at
         for coded, values in _pieces(blocks, level, codes):
-            full = [np.zeros(len(coded[0]), np.uint64) for _ in _FIELDS]
-            for i, v in zip(_OF_KIND[kind], values, strict=True):
-                full[i] = v
-            parts.append((coded, full))
+            parts.append((coded, dict(zip(_OF_KIND[kind], values, strict=True))))
     if parts:
         yield from close()
 
@@ -476,7 +481,7 @@ class KneserNey:
         """For grams: the values of each distinct one by field (0 where there is none), and each gram's number among these."""
         level = len(words)
         hashes, first, back = np.unique(gram_hash(words), return_index=True, return_inverse=True)
-        shard = self.codes.shard([w[first] for w in words], hashes)
+        shard = self.codes.shard(words[max(level - 2, 0)][first], hashes)
         names = _fields(level, self.order)
         out = {f: np.zeros(len(hashes), np.int64) for f in names}
         order = np.argsort(shard, kind="stable")
