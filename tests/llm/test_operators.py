@@ -258,7 +258,54 @@ def test_op6_longer_rules_suppress_what_they_contain(spark):
     texts = ["Licensed under the Apache License, Version 2.0", "GNU Lesser General Public License v2.1", "SPDX-License-Identifier: GPL-3.0-or-later", "the mitigation of licences", "BSD 3-clause"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     labels = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
-    assert labels == {0: "apache,apache-2.0", 1: "lgpl-2.1", 2: "gpl-3.0", 3: "", 4: "bsd-3-clause"}
+    assert labels == {0: "apache,apache-2.0", 1: "lgpl-2.1", 2: "gpl-3.0-or-later", 3: "", 4: "bsd-3-clause"}
+
+
+TEXTS = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "bsd,bsd-3-clause": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software",
+    "apache-2.0": "You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "gpl,gpl-3.0-or-later": "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl,lgpl-2.1": "released under the LGPL v2.1",
+    "cc-by-4.0": "see https://creativecommons.org/licenses/by/4.0/ for terms",
+    "gpl-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "proprietary": "Copyright (c) 2019 Example Works Ltd. All rights reserved.",
+    "": "the as is of it and the redistributions",
+}
+
+
+def plain_labels(text):
+    """Every rule on its own by Python's patterns, then suppression by comparing every two matches."""
+    import re
+
+    flat = " ".join(["", *brute.words(text), ""]) or " "
+    found = []
+    for number, priority, _, _, pattern, label, _, _ in licenses.rules():
+        found += [(m.start(), m.end(), priority, number, label) for m in re.finditer(pattern, flat)]
+
+    def hidden(a, b):
+        if b[2] < a[2] or b[1] < a[1]:
+            return False
+        return (b[0], -b[1], -b[2], b[3]) < (a[0], -a[1], -a[2], a[3])
+
+    own = {a[4] for a in found if not any(hidden(a, b) for b in found)}
+    return ",".join(sorted(own | set(filter(None, brute.licences(text)[4].split(",")))))
+
+
+def test_op6_texts_and_notices(spark, rows):
+    texts = [*TEXTS.values(), *(r[1] for r in rows), " ".join(TEXTS.values()), " x ".join([*TEXTS.values()] * 40), "MIT License " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs).collect()}
+    assert [labels[i] for i in range(len(TEXTS))] == list(TEXTS)
+    for i, t in enumerate(texts[:-2]):
+        assert labels[i] == plain_labels(t), t
+    assert labels[len(texts) - 1] == "mit" and set(labels[len(texts) - 2].split(",")) >= {x for k in TEXTS for x in k.split(",") if x}
+
+
+def test_op6_rules_are_unlike():
+    every = [(r[4], r[2]) for r in licenses.rules()]
+    assert len(set(every)) > 500 and len({x[2] for x in licenses.SIGNATURES}) == len(licenses.SIGNATURES)
 
 
 def test_op7(spark, tables, rows):

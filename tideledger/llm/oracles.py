@@ -46,7 +46,7 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"({n}, {p}, '{k}', '{r}', '{label}', {s}::DOUBLE)" for n, p, k, r, label, s, _ in licenses.rules())
+    values = ", ".join(f"({n}, {p}, '{k}', '{r}', '{label}', {s}::DOUBLE)" for n, p, k, _, r, label, s, _ in licenses.rules())
     bases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE_PHRASES)
     gate = " OR ".join(f"contains(flat, '{x}')" for x in ("licen", " spdx ", " cc ", *(f" {p}" for p in licenses.LONE), *(f" {p} " for p, _ in licenses.BASE_PHRASES)))
     return f"""
