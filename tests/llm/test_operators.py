@@ -445,7 +445,22 @@ def test_op9_every_prefix(parts):
     text = "".join(parts)
     table = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
     assert mine.table(text) == table and mine.count(text) == table[-1]
-    assert table[mine.fits(text, 3)] <= 3
+    for budget in (0, 1, 3, 7):
+        assert mine.fits(text, budget) == next((i for i, n in enumerate(table) if n > budget), len(table)) - 1
+
+
+def test_op9_long_runs_take_linear_time():
+    import time
+
+    mine = token_prefix.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    began = time.time()
+    for text in ("'" * 20_000, "'re" * 7_000, " " * 20_000 + "a", "a\n \n" * 5_000, "word <|endoftext|>" * 1_000, "x" * 20_000):
+        table = mine.table(text)
+        assert len(table) == len(text) + 1 and table[-1] == len(library.encode(text, add_special_tokens=False).ids)
+        for i in (1, len(text) // 2, len(text) // 2 + 1, len(text) - 1):
+            assert table[i] == len(library.encode(text[:i], add_special_tokens=False).ids)
+    assert time.time() - began < 30
 
 
 def test_op9_truncation(spark, rows):

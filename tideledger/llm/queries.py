@@ -76,8 +76,8 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = token_prefix.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+    counts = token_prefix.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), F.col("fits").alias("chars_within_limit"))
 
 
 def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

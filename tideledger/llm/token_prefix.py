@@ -17,20 +17,25 @@ vocabulary is one token wherever it stands, as in the library's default.
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches
 from .textbatch import chunks, utf8
 
 #: White space as the library's pattern has it (fixed values: the White_Space property of Unicode).
 _WS = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _BLANK = regex.compile(rf"[{_WS}]+")
+#: Endings of three characters: cut by one they are an apostrophe and a letter (fixed values).
+_LONG_ENDINGS = ("'re", "'ve", "'ll")
 
 #: Entries a worker keeps of pieces it has met; beyond that it starts afresh.
 PIECES_KEPT = 400_000
@@ -119,56 +124,81 @@ class PrefixCounter:
             at = m.end()
         yield text[at:], False
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text: the last entry of its table."""
-        known, total = self._counts, 0
+    def pieces(self, text: str) -> tuple[list[str], list[int]]:
+        """The stored table at piece ends: the pieces (special strings among them) and the tokens of the text up to each one's end."""
+        known, parts, counts = self._counts, [], []
         for segment, is_special in self._segments(text):
             if is_special:
-                total += 1
+                parts.append(segment)
+                counts.append(1)
                 continue
-            for piece in _PIECE.findall(segment):
-                n = known.get(piece)
-                total += self._piece_count(piece) if n is None else n
-        return total
+            found = _PIECE.findall(segment)
+            parts += found
+            counts += [known.get(x) or self._piece_count(x) for x in found]
+        return parts, list(accumulate(counts))
+
+    def count(self, text: str) -> int:
+        """Tokens of the whole text: the last entry of its table."""
+        _, ends = self.pieces(text)
+        return ends[-1] if ends else 0
+
+    def _prefixes(self, parts: list[str], ends: list[int], j: int) -> list[int]:
+        """Tokens of the text up to each code point of piece ``j``, as if it were cut there; the last entry is the table's own."""
+        piece, under = parts[j], ends[j - 1] if j else 0
+        if self.special and self.special.fullmatch(piece):
+            # a part of the special string is ordinary text: only the two pieces before it may read on into it
+            k = max(0, j - 2)
+            while k < j and any(self.special.fullmatch(x) for x in parts[k:j]):
+                k += 1
+            lead, base = "".join(parts[k:j]), ends[k - 1] if k else 0
+            out = [base + sum(map(self._piece_count, _PIECE.findall(lead + piece[:i]))) for i in range(1, len(piece))]
+            return [*out, ends[j]]
+        sizes = list(accumulate(len(c.encode("utf-8")) for c in piece))
+        own = self.piece_table(piece.encode("utf-8"))
+        out = [under + own[n] for n in sizes]
+        blank = len(piece) if _BLANK.fullmatch(piece) else int(piece[0] == " ")
+        if blank and j and _BLANK.fullmatch(parts[j - 1]):
+            # a cut among blanks makes them one piece with the blanks before
+            run = parts[j - 1] + piece[:blank]
+            whole = self.piece_table(run.encode("utf-8"))
+            base, at = ends[j - 2] if j > 1 else 0, len(parts[j - 1].encode("utf-8"))
+            out[:blank] = [base + whole[at + n] for n in sizes[:blank]]
+        if piece in _LONG_ENDINGS:
+            # cut short it is no ending: the apostrophe, then a letter
+            out[1] = under + self._piece_count(piece[0]) + self._piece_count(piece[1])
+        # the end of the text is the table's own; before it a cut after blanks is a cut among blanks
+        if j + 1 == len(parts) or blank < len(piece):
+            out[-1] = ends[j]
+        return out
 
     def table(self, text: str) -> list[int]:
         """Tokens of text[:i] for every i from 0 to len(text)."""
+        parts, ends = self.pieces(text)
         out = [0]
-        base = 0
-        for segment, is_special in self._segments(text):
-            if is_special:
-                # a part of the special string is ordinary text after what stands before it
-                lead = text[: len(out) - 1]
-                out += [self.count(lead + segment[:i]) for i in range(1, len(segment))] + [base + 1]
-                base += 1
-                continue
-            before, pieces = base, list(_PIECE.finditer(segment))
-            for j, m in enumerate(pieces):
-                piece = m.group()
-                # white space just before may go with a cut-off piece: then both are looked at together
-                back = j > 0 and _BLANK.fullmatch(pieces[j - 1].group()) is not None
-                plain = not back and not piece.startswith("'")
-                if plain:
-                    counts, at = self.piece_table(piece.encode("utf-8")), 0
-                    for c in piece:
-                        at += len(c.encode("utf-8"))
-                        out.append(before + counts[at])
-                else:
-                    start = pieces[j - 1].start() if back else m.start()
-                    under = before - (self._piece_count(pieces[j - 1].group()) if back else 0)
-                    for i in range(1, len(piece) + 1):
-                        out.append(under + sum(map(self._piece_count, _PIECE.findall(segment[start : m.start() + i]))))
-                before += self._piece_count(piece)
-                out[-1] = before if m.end() == len(segment) else out[-1]
-            base = before
+        for j in range(len(parts)):
+            out += self._prefixes(parts, ends, j)
         return out
 
-    def fits(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix that starts a run of prefixes all within ``budget`` tokens."""
-        if self.count(text) <= budget:
+    def fits(self, text: str, budget: int, table: tuple[list[str], list[int]] | None = None) -> int:
+        """Code points of the longest prefix that starts a run of prefixes all within ``budget`` tokens, read from the table at piece ends (``pieces``).
+
+        Only pieces that could pass the budget are looked into.
+        """
+        parts, ends = table or self.pieces(text)
+        if not parts:
+            return 0
+        # a prefix that ends in a piece has at most a token a byte of it and of the blanks before
+        most = 8 * max(map(len, parts))
+        if ends[-1] + most <= budget:
             return len(text)
-        table = self.table(text)
-        return next((i for i, n in enumerate(table) if n > budget), len(table)) - 1
+        first = bisect_right(ends, budget - most)
+        at = sum(map(len, parts[:first]))
+        for j in range(first, len(parts)):
+            over = next((i for i, n in enumerate(self._prefixes(parts, ends, j)) if n > budget), None)
+            if over is not None:
+                return at + over
+            at += len(parts[j])
+        return len(text)
 
 
 @lru_cache(maxsize=2)
@@ -177,18 +207,24 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens of every document, in one pass without a shuffle."""
+def token_counts(docs: DataFrame, tokenizer: str, budget: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens of every document, and with a budget fits (code points that stay within it): all read from the text's table, in one pass without a shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count_of = counter(tokenizer)
+        own = counter(tokenizer)
         for batch in chunks(batches):
             _, offsets = utf8(batch.column("text"))
-            n_bytes = offsets[1:] - offsets[:-1]
-            n_tokens = [count_of.count(t) if t else 0 for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            n_tokens, fits = [], []
+            for t in batch.column("text").to_pylist():
+                table = own.pieces(t) if t else ([], [])
+                n_tokens.append(table[1][-1] if t else 0)
+                if budget is not None:
+                    fits.append(own.fits(t, budget, table) if t else 0)
+            columns = [batch.column("doc_id"), pa.array(offsets[1:] - offsets[:-1], pa.int64()), pa.array(n_tokens, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns + ([pa.array(fits, pa.int64())] if budget is not None else []), names=names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    names = ["doc_id", "n_bytes", "n_tokens"] + (["fits"] if budget is not None else [])
+    return in_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), count, ", ".join(f"{n} long" for n in names))
 
 
 def prefix_tables(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -196,11 +232,11 @@ def prefix_tables(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count_of = counter(tokenizer)
-        for batch in chunks(batches, limit=1 << 18):
+        for batch in chunks(batches):
             rows = pa.array([count_of.table(t or "") for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), rows], names=["doc_id", "prefix_tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tables, "doc_id long, prefix_tokens array<long>")
+    return in_batches(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), tables, "doc_id long, prefix_tokens array<long>")
 
 
 def truncated(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
@@ -214,4 +250,4 @@ def truncated(docs: DataFrame, tokenizer: str, budget: int) -> DataFrame:
             at = batch.schema.get_field_index(column)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(cut, schema)
+    return in_batches(docs, cut, schema)
