@@ -176,3 +176,47 @@ def personal(text):
             out.append(("card", m))
     out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return [f"{k}:{m.start()}:{m.end()}" for k, m in out]
+
+
+def slot_shares(text):
+    """Share of a text's n-grams in each slot, a dictionary for each group; the slot of a gram by the operators' hash of it alone."""
+    import numpy as np
+
+    from tideledger.llm import hashed_features as h
+    from tideledger.llm.textbatch import LOWER, gram_hashes, span_hashes
+
+    data = (text or "").encode()
+    lower = bytes(LOWER[np.frombuffer(data, np.uint8)].tolist())
+    hashes = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in re.findall(rb"[^\x20\x09-\x0d]+", lower)]
+    words = [x >> (64 - h.SLOT_BITS) for x in hashes]
+    pairs = [h._SAME_WORD if a == b else h.SLOTS + (int(gram_hashes(np.array([a, b], np.uint64), 2)[0]) >> (64 - h.SLOT_BITS)) for a, b in zip(hashes, hashes[1:])]
+
+    def character(codes, group):
+        return [group * h.SLOTS + ((c * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - h.SLOT_BITS)) for c in codes]
+
+    kinds = [int(h._CLASS[b]) for b in data]
+    three = character([data[i] << 16 | data[i + 1] << 8 | data[i + 2] for i in range(len(data) - 2)], 2)
+    four = character([kinds[i] << 15 | kinds[i + 1] << 10 | kinds[i + 2] << 5 | kinds[i + 3] for i in range(len(data) - 3)], 3)
+    return [{k: n / len(g) for k, n in Counter(map(int, g)).items()} for g in (words, pairs, three, four)]
+
+
+def raw_score(text, weights):
+    return sum(share * weights[slot] for group in slot_shares(text) for slot, share in group.items())
+
+
+def random_runs(text, encoding):
+    """Runs of key characters that take too many tokens, away from the fixed patterns' spans."""
+    text = text or ""
+    taken = [tuple(map(int, x.split(":")[1:])) for x in secrets(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        run = m[0]
+        if any(a < m.end() and m.start() < b for a, b in taken) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+            continue
+        if len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-fA-F]+", run) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+            continue
+        parts = [p for p in re.split("[_/=+-]+", run) if p]
+        plain = run[0].isalnum() and all(re.fullmatch("[A-Z]{2,}|[A-Za-z][a-z]*|[0-9]{1,8}", p) for p in parts)
+        if not plain and len(run) / len(encoding.encode_ordinary(run)) < 2.4:
+            out.append(f"random:{m.start()}:{m.end()}")
+    return out

@@ -182,6 +182,23 @@ def test_op2_a_shard_that_cannot_be_read_fails(spark, tables, monkeypatch):
         model.scored(np.array([ngram_lm.END]), np.array([0, 1]))
 
 
+def test_hashes_of_long_texts_in_stretches(monkeypatch):
+    import numpy as np
+
+    from tideledger.llm import textbatch
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 100, 4000).astype(np.uint8)
+    cuts = np.sort(rng.choice(4000, 40, replace=False))
+    starts, ends = np.array([0, *cuts]), np.array([*cuts, 4000])
+    want = textbatch.span_hashes(data, starts, ends)
+    monkeypatch.setattr(textbatch, "HASH_BYTES", 64)
+    textbatch._powers.cache_clear()
+    got = textbatch.span_hashes(data, starts, ends)
+    textbatch._powers.cache_clear()
+    assert (got == want).all()
+
+
 def test_op3(spark, tables, rows):
     found = queries.op3_source_mix(spark, tables).collect()
     assert len(found) == len(rows)
@@ -240,6 +257,20 @@ def test_op5(spark, tables, rows):
         assert brute.sha(",".join(base)) == r["base_sha256"]
 
 
+def test_op5_random_spans_against_brute_force(spark, rows):
+    rng = __import__("random").Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    texts = [r[1] for r in rows]
+    for _ in range(150):
+        key = "".join(rng.choice(letters) for _ in range(rng.randint(18, 44)))
+        name = rng.choice(["-", "_", "/"]).join(rng.choice(["user", "Default", "USER", "2024", "path", "v2"]) for _ in range(rng.randint(3, 8)))
+        texts.append(f"see {key} and {name}, token={key[:8]} d41d8cd98f00b204e9800998ecf8427e {key}-{name}")
+    encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
+    for i, t in enumerate(texts):
+        assert [x for x in found[i].split(",") if x.startswith("random")] == brute.random_runs(t, encoding), t
+
+
 def test_op5_random_strings():
     encoding = secrets._encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert secrets.is_random("xK9vQ2mWzL7pRt4YbN8cJf3H", encoding) and secrets.is_random("A-" * 20_000 + "1a1b", encoding)
@@ -477,6 +508,64 @@ def test_op10(spark, tables, rows):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in found)
 
 
+def test_op4_verdict_against_brute_force(spark, tables, rows):
+    import math
+
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_rules.trained(docs, labels)
+    weights = [w / (1 << 24) for w in model.weights.tolist()]
+    got = {(r["doc_id"], r["n_words"], r["word_chars"]): r for r in quality_rules.quality_rules(docs, model).collect()}
+    for r in rows:
+        n, chars, *_, failed = brute.quality(r[1])
+        p = 1 / (1 + math.exp(-(model.slope * brute.raw_score(r[1], weights) + model.offset)))
+        row = got[r[0], n, chars]
+        assert row["probability"] == pytest.approx(p, rel=1e-6) and row["kept"] == (not failed and row["probability"] >= 0.5)
+
+
+def test_op10_against_a_brute_bradley_terry_fit(spark, tables, rows):
+    import math
+
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{tables}/{t}.parquet") for t in ("documents", "labels"))
+    model = pairwise_quality.trained(docs, labels)
+    weights = model.weights / float(1 << 24)
+    # preference pairs are good less bad, each good row PAIRS times
+    text = {r[0]: r[1] for r in rows if r[0] is not None}
+    quality = {}
+    for d, q, _ in cases.labels(rows):
+        if d in text and q in (0, 1):
+            quality[d] = min(q, quality.get(d, 1))
+    shares = {d: np.zeros(len(weights)) for d in quality}
+    for d in quality:
+        for group in brute.slot_shares(text[d]):
+            for slot, share in group.items():
+                shares[d][slot] += share
+    from tideledger.llm.hashed_features import sampled, vectors
+
+    data = vectors(sampled(docs, labels, pairwise_quality.PER_CLASS)[0], "quality", "doc_id")
+    pairs = [(np.array(r["features"].toArray()), r["label"]) for r in pairwise_quality.preference_pairs(data, sum(q == 0 for q in quality.values())).collect()]
+    assert len(pairs) == pairwise_quality.PAIRS * sum(quality.values())
+    differences = {tuple(np.round(shares[a] - shares[b], 9)) for a in quality for b in quality if quality[a] == 1 and quality[b] == 0}
+    assert all(tuple(np.round(x * (2 * y - 1), 9)) in differences for x, y in pairs)
+    # the weights are where the logistic loss with its penalty on scaled weights is least
+    x, y = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+    scale = x.std(axis=0, ddof=1)
+    loss = lambda w: float(np.mean(np.logaddexp(0, -(2 * y - 1) * (x @ w))) + 0.003 / 2 * ((w * scale) ** 2).sum())
+    best, step, on = np.zeros(len(weights)), 2.0, scale > 0
+    z = x[:, on] / scale[on]
+    u = np.zeros(on.sum())
+    for _ in range(4000):
+        p = 1 / (1 + np.exp(-np.clip(z @ u, -500, 500)))
+        g = z.T @ (p - y) / len(y) + 0.003 * u
+        u = u - step / max(1.0, np.linalg.norm(z, 2) ** 2 / len(y)) * g
+    best[on] = u / scale[on]
+    assert loss(weights) <= loss(best) * 1.02 + 1e-4
+    score = lambda t: 1 / (1 + math.exp(-(model.slope * (brute.raw_score(t, weights.tolist()) - model.threshold) + math.log(0.7 / 0.3))))
+    got = Counter((r["doc_id"], round(r["score"], 5)) for r in pairwise_quality.quality_scores(docs, model).collect())
+    assert got == Counter((r[0], round(score(r[1]), 5)) for r in rows)
+
+
 DATA = Path("/root/testdata/sf0.01")
 
 

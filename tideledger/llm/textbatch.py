@@ -8,12 +8,15 @@ above is a word byte), so words can be found bytewise.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 18
+#: Bytes that are hashed together.
+HASH_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C55)
@@ -89,31 +92,49 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for a stretch of HASH_BYTES, whatever the length of texts."""
+    up, down = np.full(HASH_BYTES + 1, _BASE), np.full(HASH_BYTES + 1, _U(pow(int(_BASE), -1, 1 << 64)))
+    up[0] = down[0] = _U(1)
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, kept for the longest chunk so far."""
-    if not _POWERS or len(_POWERS[0][0]) <= size:
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        n = CHUNK_BYTES + 1 if size <= CHUNK_BYTES else 1 << size.bit_length()
-        up, down = np.full(n, _BASE), np.full(n, inverse)
-        up[0] = down[0] = _U(1)
-        _POWERS[:] = [(np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))]
-    return _POWERS[0]
+_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
 
 
-_BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * _U(0xD1342543DE82EF95))
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Of each span the sum of its bytes' values times powers of the base, from the first byte on; at most HASH_BYTES of data."""
+    up, down = _powers()
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+    return (total[ends] - total[starts]) * down[starts]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, equal for equal bytes wherever they stand."""
+    """A 64-bit hash of each span of bytes (in ascending order), equal for equal bytes wherever they stand."""
     if len(starts) == 0:
         return np.zeros(0, np.uint64)
-    up, down = _powers(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _BASE)
+    if len(data) <= HASH_BYTES:
+        sums = _polynomials(data, starts, ends)
+    else:
+        sums, i = np.zeros(len(starts), np.uint64), 0
+        while i < len(starts):
+            at = int(starts[i])
+            j = int(np.searchsorted(ends, at + HASH_BYTES, side="right"))
+            if j > i:
+                sums[i:j] = _polynomials(data[at : int(ends[j - 1])], starts[i:j] - at, ends[i:j] - at)
+                i = j
+                continue
+            # a span longer than a stretch: its stretches' sums, each by the power that it stands at
+            power, step = _U(1), _powers()[0][HASH_BYTES]
+            with np.errstate(over="ignore"):
+                for a in range(at, int(ends[i]), HASH_BYTES):
+                    part = data[a : min(a + HASH_BYTES, int(ends[i]))]
+                    sums[i] += _polynomials(part, np.array([0]), np.array([len(part)]))[0] * power
+                    power = power * step
+            i += 1
+    return mix(sums + (ends - starts).astype(np.uint64) * _BASE)
 
 
 def gram_hashes(words: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
