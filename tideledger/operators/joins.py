@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Intervals (some 50 bytes each) that a range join broadcasts.
+MAX_INTERVALS = 100_000
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str], tolerance: int, prefix: str, tie: str | None = None) -> DataFrame:
     """Each left row with the last right row of its series at or before it, within ``tolerance``; values are prefixed.
 
@@ -39,7 +43,10 @@ def asof_many(left: DataFrame, providers: dict[str, tuple[DataFrame, list[str]]]
 
 
 def in_intervals(df: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str, closed_below: bool = False) -> DataFrame:
-    """Rows with every interval they lie in: (lo, hi], or [lo, hi]. The intervals are a fixed small table."""
+    """Rows with every interval they lie in: (lo, hi], or [lo, hi]. Intervals are broadcast up to MAX_INTERVALS; more are an error, not a nested loop over the network."""
+    n = intervals.count()
+    if n > MAX_INTERVALS:
+        raise ValueError(f"{n} intervals; at most {MAX_INTERVALS} can be joined by range")
     low = F.col(x) >= F.col(lo) if closed_below else F.col(x) > F.col(lo)
     return df.join(F.broadcast(intervals), low & (F.col(x) <= F.col(hi)))
 

@@ -25,7 +25,7 @@ def completed(table: DataFrame, bucket: str, labels: list[str], counts: list[str
     """Every label once, in order, with zero counts where the table has none."""
     spark = table.sparkSession
     every = spark.createDataFrame(list(enumerate(labels)), f"{bucket}_order int, {bucket} string")
-    return F.broadcast(every).join(table, bucket, "left").fillna(0, counts)
+    return every.join(table, bucket, "left").fillna(0, counts)
 
 
 def bucket_table(df: DataFrame, bucket: Column, labels: list[str], name: str, measures: dict[str, Column]) -> DataFrame:
@@ -41,7 +41,7 @@ def surface(df: DataFrame, a: Column, a_labels: list[str], b: Column, b_labels:
     grid = spark.createDataFrame([(x, y) for x in a_labels for y in b_labels], "a string, b string")
     table = df.select(a.alias("a"), b.alias("b"), *(m.alias(k) for k, m in measures.items())).where("a is not null and b is not null")
     table = table.groupBy("a", "b").agg(F.count("*").alias("n"), *(F.avg(k).alias(k) for k in measures))
-    return F.broadcast(grid).join(table, ["a", "b"], "left").fillna(0, ["n"])
+    return grid.join(table, ["a", "b"], "left").fillna(0, ["n"])
 
 
 THRESHOLDS = [10, 20, 30, 40, 50, 75, 100]
