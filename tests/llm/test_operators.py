@@ -554,11 +554,11 @@ def test_op10_against_a_brute_bradley_terry_fit(spark, tables, rows):
     loss = lambda w: float(np.mean(np.logaddexp(0, -(2 * y - 1) * (x @ w))) + 0.003 / 2 * ((w * scale) ** 2).sum())
     best, step, on = np.zeros(len(weights)), 2.0, scale > 0
     z = x[:, on] / scale[on]
-    u = np.zeros(on.sum())
+    u, widest = np.zeros(on.sum()), max(1.0, np.linalg.norm(z, 2) ** 2 / len(y))
     for _ in range(4000):
         p = 1 / (1 + np.exp(-np.clip(z @ u, -500, 500)))
         g = z.T @ (p - y) / len(y) + 0.003 * u
-        u = u - step / max(1.0, np.linalg.norm(z, 2) ** 2 / len(y)) * g
+        u = u - step / widest * g
     best[on] = u / scale[on]
     assert loss(weights) <= loss(best) * 1.02 + 1e-4
     score = lambda t: 1 / (1 + math.exp(-(model.slope * (brute.raw_score(t, weights.tolist()) - model.threshold) + math.log(0.7 / 0.3))))
