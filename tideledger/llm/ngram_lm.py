@@ -6,8 +6,12 @@ ones have codes of two bytes. Every task then turns its texts into n-grams of
 each shard one packed block. A shard's blocks are merged and written to the
 shared folder as sorted arrays of n-gram hashes with their counts; what the
 shard has of each shorter gram, as a context and as a continuation, goes on as
-packed blocks to the next level's shards, down to single words. Only the sums
-and the code table (of fixed size) reach the driver.
+packed blocks to the next level's shards, down to single words. Blocks wait in
+a table of the shared folder in 2**PART_BITS parts by the first bits of their
+shard; a level's parts are shuffled and merged one after the other, and a part's
+blocks and shuffle files go before the next part, so that the disk holds the
+arrays and one level's blocks. Only the sums and the code table (of fixed size)
+reach the driver.
 
 Scoring: workers map the arrays into memory, sort the grams of a batch and look
 each shard's share up in order.
@@ -48,7 +52,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_batches, kept, new_folder
+from .shared import delete_folder, in_batches, kept, new_folder, shuffles_freed
 from .textbatch import BLANK_WORD, LOWER, chunks, mix, span_hashes, spans, utf8
 
 ORDER = 3
@@ -64,6 +68,8 @@ CODED = (1 << 16) - 1
 #: Bytes of text for each shard.
 SHARD_BYTES = 4 << 20
 STEP_BITS = 12
+#: Parts of a level that are merged one after the other, in bits; fewer where there are few shards.
+PART_BITS = 2
 #: Times a shard's mean of tokens from which on a word's grams are dealt over all shards.
 HOT = 2
 #: Bytes of text that are scored together: the more, the fewer looks into each shard.
@@ -516,27 +522,29 @@ class KneserNey:
 
     def scored(self, now: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each token: log10 probability, log10 of its base share, whether it is known."""
-        t = self.totals
-        words = grams(now, to, self.order)
+        t, n = self.totals, len(now)
+        # one gram more, of begin marks alone: what stands before a text's first word
+        words = [np.append(w, BEGIN) for w in grams(now, to, self.order)]
+        before = np.arange(-1, n - 1)
+        before[to[:-1][np.diff(to) > 0]] = n
         found, back = self._found(words[-1:])
-        times, c = found["times"][back], found["count"][back]
+        times, c = found["times"][back[:n]], found["count"][back[:n]]
         d = discounts(*(t[f"n{i}"] for i in (1, 2, 3, 4)))
         if t["sum"]:
             free = (d[1] * t["n1"] + d[2] * t["n2"] + d[3] * t["more"]) / t["sum"]
             p = np.maximum(c - d[np.minimum(c, 3)], 0) / t["sum"] + free / (t["words"] + 1)
         else:
-            p = np.full(len(now), 1.0 / (t["words"] + 1))
+            p = np.full(n, 1.0 / (t["words"] + 1))
         for level in range(2, self.order + 1):
             s = self.sums.get(level, dict.fromkeys(_SUM_NAMES, 0))
             d = discounts(*(s[f"n{i}"] for i in (1, 2, 3, 4)))
-            gram = words[self.order - level :]
-            found, back = self._found(gram)
-            c = found["count"][back]
-            found, back = self._found(gram[:-1])
-            h = found["total"]
-            gamma = np.where(h > 0, (d[1] * found["once"] + d[2] * found["twice"] + d[3] * found["more"]) / np.maximum(h, 1), 1.0)
-            h = h[back]
-            p = np.where(h > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(h, 1), 0.0) + gamma[back] * p
+            # a token's context is the next shorter gram of the token before it, which is found already
+            h, gamma, context = found["total"], d[1] * found["once"] + d[2] * found["twice"] + d[3] * found["more"], back[before]
+            gamma = np.where(h > 0, gamma / np.maximum(h, 1), 1.0)[context]
+            h = h[context]
+            found, back = self._found(words[self.order - level :])
+            c = found["count"][back[:n]]
+            p = np.where(h > 0, np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(h, 1), 0.0) + gamma * p
         base = np.log10((times + 0.1) / (t["tokens"] + 0.1 * (t["words"] + 1)))
         return np.log10(p), base, times > 0
 
@@ -544,7 +552,21 @@ class KneserNey:
 def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
     """Counts the texts of ``docs`` into a model of ``order`` words in the shared folder."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(text).alias("text"))
+    files, waiting = SharedArrays(new_folder(spark, "kneser-ney")), new_folder(spark, "kneser-ney-blocks")
+    files.create()
+    try:
+        with shuffles_freed(spark):
+            return _trained(docs.select(F.col(text).alias("text")), order, files, waiting)
+    except BaseException:
+        files.delete()
+        raise
+    finally:
+        delete_folder(spark, waiting)
+
+
+def _trained(texts: DataFrame, order: int, files: SharedArrays, waiting: str) -> KneserNey:
+    """``waiting``: a folder for the blocks of levels that are still to be merged."""
+    spark = texts.sparkSession
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(4, int(size // SHARD_BYTES).bit_length())
     counts = kept(in_batches(texts, _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
@@ -554,10 +576,17 @@ def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNe
     hot = np.sort(np.array([int(BEGIN), *(r["word"] for r in top if r["n"] > HOT * total / (1 << bits))], np.uint64))
     codes = Codes(hashes, hot, bits)
     shared = spark.sparkContext.broadcast(codes)
-    files = SharedArrays(new_folder(spark, "kneser-ney"))
-    files.create()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     steps = [*range(STEP_BITS, bits, STEP_BITS), bits]
+    first, part_bits = steps[0], min(PART_BITS, bits - 4)
+
+    def put(blocks: DataFrame, level: int) -> None:
+        """Adds blocks to those that wait for a level; small row groups, as a reader holds one of them at a time."""
+        rows = blocks.withColumn("part", F.shiftright("shard", first - part_bits)).write.mode("append").partitionBy("part")
+        rows.options(**{"compression": "none", "parquet.block.size": 16 << 20, "parquet.enable.dictionary": "false"}).parquet(f"{waiting}/{level}")
+
+    def put_in(level: int) -> DataFrame:
+        return spark.read.schema(f"{_BLOCK}, part int").parquet(f"{waiting}/{level}")
 
     def by_shard(blocks: DataFrame, level: int) -> DataFrame:
         """Blocks of a level by shard, dealt in as many steps as there are."""
@@ -565,20 +594,22 @@ def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNe
             blocks = in_batches(blocks.repartition(tasks, "shard").sortWithinPartitions("shard", "kind"), lambda x, b=b: _redealt(x, level, shared.value, b), _BLOCK)
         return blocks.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
 
-    first = steps[0]
-    blocks = in_batches(texts, lambda x: _counted(x, order, shared.value, first), _BLOCK) if order > 1 else None
+    if order > 1:
+        put(in_batches(texts, lambda x: _counted(x, order, shared.value, first), _BLOCK), order)
     for level in range(order, 0, -1):
         if level == 1:
-            coded = in_batches(counts, lambda x: _coded_counts(x, shared.value, first), _BLOCK)
-            blocks = coded if blocks is None else blocks.unionByName(coded)
-        blocks = in_batches(by_shard(blocks, level), lambda x, level=level: _merged(x, files, level, order, shared.value, first), _BLOCK)
+            put(in_batches(counts, lambda x: _coded_counts(x, shared.value, first), _BLOCK), level)
+        for part in range(1 << part_bits):
+            blocks = by_shard(put_in(level).where(F.col("part") == part).drop("part"), level)
+            put(in_batches(blocks, lambda x, level=level: _merged(x, files, level, order, shared.value, first), _BLOCK), level - 1)
+            delete_folder(spark, f"{waiting}/{level}/part={part}")
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.column("block").to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in _unpack(block)], names=list(_SUM_NAMES))
 
-    sums = in_batches(blocks, opened, ", ".join(f"{n} long" for n in _SUM_NAMES))
+    sums = in_batches(put_in(0).select("block"), opened, ", ".join(f"{n} long" for n in _SUM_NAMES))
     rows = sums.groupBy("level").agg(*(F.sum(n).alias(n) for n in _SUM_NAMES[1:])).collect()
     return KneserNey(order, files, files.names(), codes, {r["level"]: {n: int(r[n]) for n in _SUM_NAMES} for r in rows})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session asks for fewer; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+_FREE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +45,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a query that runs within go when it ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_FREE_CONF, "false")
+    spark.conf.set(_FREE_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_FREE_CONF, before)
+
+
 def in_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow over batches bounded in bytes, not only in rows: a worker's memory doesn't grow with the length of texts."""
     conf = df.sparkSession.conf
