@@ -549,6 +549,16 @@ class KneserNey:
         return np.log10(p), base, times > 0
 
 
+def _frequent(counts: DataFrame) -> DataFrame:
+    """The most frequent words, CODED - 1 at most: all above the least step of the counts' logarithm where that many stand."""
+    step = F.floor(16 * F.log2(F.col("n"))).cast("int")
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True)
+    words = np.cumsum([r["words"] for r in steps])
+    within = int(np.searchsorted(words, CODED - 1, side="right"))
+    least = steps[within - 1]["step"] if within else 1 << 30
+    return counts.where(step >= least).orderBy("word")
+
+
 def trained(docs: DataFrame, text: str = "text", order: int = ORDER) -> KneserNey:
     """Counts the texts of ``docs`` into a model of ``order`` words in the shared folder."""
     spark = docs.sparkSession
@@ -571,7 +581,7 @@ def _trained(texts: DataFrame, order: int, files: SharedArrays, waiting: str) ->
     bits = max(4, int(size // SHARD_BYTES).bit_length())
     counts = kept(in_batches(texts, _word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    top = counts.orderBy(F.desc("n"), "word").limit(CODED - 1).collect()
+    top = _frequent(counts).collect()
     hashes = np.array([int(BEGIN), *(r["word"] for r in top)], np.uint64)
     hot = np.sort(np.array([int(BEGIN), *(r["word"] for r in top if r["n"] > HOT * total / (1 << bits))], np.uint64))
     codes = Codes(hashes, hot, bits)
