@@ -30,6 +30,7 @@ BLOCK = 4096
 PARTS = 512
 MAX_TIMES = 3
 CHUNK = 1 << 16
+#: Cells of the cumulative weights, at least.
 CELLS = 1024
 BROADCAST_SOURCES = 100_000
 PHI = 0.6180339887498949
@@ -74,18 +75,19 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return table.select("number", "source", "source_size", "weight", "target", "block", "n_blocks", (F.col("hi") - F.col("slots")).alias("lo"), "hi")
 
 
-def schedule(sources: DataFrame, slots: int) -> DataFrame:
-    """slot, number (of the source), rank (of the slot within its source)."""
-    spark = sources.sparkSession
+def schedule(sources: DataFrame, slots: int, number: int = 1) -> DataFrame:
+    """slot, number (of the source), rank (of the slot within its source); ``number``: how many sources there are, at most."""
+    spark, cells = sources.sparkSession, max(CELLS, number)
+    hint = F.broadcast if number <= BROADCAST_SOURCES else (lambda df: df)
     big, small = F.floor(F.col("id") / (1 << 20)), F.col("id") % (1 << 20)
     turn = big * F.lit(PHI_20)
     point = turn - F.floor(turn) + small * F.lit(PHI)
     place = ((point - F.floor(point)) * F.lit(float(slots))).alias("place")
-    width = F.lit(max(1.0, slots / CELLS))
+    width = F.lit(max(1.0, slots / cells))
     points = spark.range(slots).select(F.col("id").alias("slot"), place).withColumn("cell", F.floor(F.col("place") / width))
-    # each source stands in the cells that its stretch of weights touches: points meet sources by cell
+    # each source stands in the cells that its stretch of weights touches, in all no more than cells and sources: points meet sources by cell
     stretches = sources.where("hi > lo").select("number", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("cell"))
-    drawn = points.join(F.broadcast(stretches), "cell").where("place >= lo and place < hi").select("slot", "number", F.floor(F.col("slot") / CHUNK).alias("chunk"))
+    drawn = points.join(hint(stretches), "cell").where("place >= lo and place < hi").select("slot", "number", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     in_chunk = drawn.withColumn("at", F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1)
     counts = drawn.groupBy("number", "chunk").agg(F.count("*").alias("n"))
     ahead = Window.partitionBy("number").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,7 +106,7 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", tex
     few = total["n"] <= BROADCAST_SOURCES
     hint = F.broadcast if few else (lambda df: df)
 
-    takes = schedule(sources, total["slots"] or 0).join(hint(sources.select("number", "n_blocks")), "number")
+    takes = schedule(sources, total["slots"] or 0, total["n"]).join(hint(sources.select("number", "n_blocks")), "number")
     takes = takes.where(F.col("rank") < MAX_TIMES * F.col("n_blocks")).groupBy("number", (F.col("rank") % F.col("n_blocks")).alias("piece")).agg(F.count("*").alias("times"))
 
     name = [F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none")]
