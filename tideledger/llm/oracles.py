@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import best_position, licenses, mixing, spherical_caps
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -66,5 +66,27 @@ FROM f LEFT JOIN bs USING (k) LEFT JOIN ow USING (k)
 """
 
 
+SPHERICAL_CAPS = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS k, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+p AS (SELECT a.k AS a, b.k AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k WHERE list_cosine_similarity(a.e, b.e) >= {spherical_caps.MIN_COSINE}),
+r(k, s) AS (SELECT k, k FROM v UNION SELECT p.b, r.s FROM r JOIN p ON p.a = r.k)
+SELECT v.vec_id, CAST((SELECT count(*) FROM p WHERE p.a = v.k) AS BIGINT) AS n_links, min(o.vec_id) AS component_id, coalesce(v.vec_id = min(o.vec_id), false) AS kept
+FROM v JOIN r ON r.k = v.k JOIN v AS o ON o.k = r.s GROUP BY v.k, v.vec_id
+"""
+
+BEST_POSITION = f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, list_distinct({_WORDS}) AS w FROM benchmark),
+n AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+f AS (SELECT k, term, count(*)::BIGINT AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY ALL),
+t AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM f, n GROUP BY term, docs),
+m AS (SELECT k, doc_id, 10 + (90 * len(w)::BIGINT * docs) // words AS m FROM d, n WHERE len(w) > 0),
+s AS (SELECT q, item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM (SELECT q, item_id, unnest(w) AS term FROM b) JOIN t USING (term) JOIN f USING (term) JOIN m USING (k) GROUP BY q, item_id, k, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) <= {best_position.TOP}
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": DECONTAMINATION, "op3_source_mix": MIXTURE, "op6_license_scan": _license_sql()}
+    return {"op1_decontamination": DECONTAMINATION, "op3_source_mix": MIXTURE, "op6_license_scan": _license_sql(), "op11_spherical_caps": SPHERICAL_CAPS, "op13_best_position": BEST_POSITION}

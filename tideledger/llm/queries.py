@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, ngram_lm, pairwise_quality, pii, quality_rules, secrets, simhash, token_prefix
+from . import best_position, decontaminate, licenses, mixing, ngram_lm, pairwise_quality, pii, quality_rules, secrets, simhash, spherical_caps, token_prefix, whitening
 from .shared import kept, table
 
 TOKEN_LIMIT = 1024
@@ -87,6 +87,18 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.quality_scores(docs, model).select("doc_id", fold.alias("held_out"), "score", "predicted")
 
 
+def op11_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_position.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontamination, op2_lm_scoring, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_license_scan, op7_simhash, op8_pii, op9_token_counts, op10_pairwise_quality)
+    found = (op1_decontamination, op2_lm_scoring, op3_source_mix, op4_quality_rules, op5_secret_scan, op6_license_scan, op7_simhash, op8_pii, op9_token_counts, op10_pairwise_quality, op11_spherical_caps, op12_whitening, op13_best_position)
     return {f.__name__: f for f in found}
