@@ -37,6 +37,7 @@ def empty(spark, tmp_path_factory):
     spark.createDataFrame([], cases.SCHEMA).write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{at}/embeddings.parquet")
     return at
 
 
