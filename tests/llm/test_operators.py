@@ -335,6 +335,45 @@ def test_op6_texts_and_notices(spark, rows):
     assert labels[len(texts) - 1] == "mit" and set(labels[len(texts) - 2].split(",")) >= {x for k in TEXTS for x in k.split(",") if x}
 
 
+def shortest(pattern):
+    """A text that the pattern matches: first branches, least repetitions, no optional parts."""
+    from re import _parser as parser
+
+    def text(parts):
+        out = []
+        for op, arg in parts:
+            name = str(op)
+            if name == "LITERAL":
+                out.append(chr(arg))
+            elif name == "NOT_LITERAL":
+                out.append("q")
+            elif name == "IN":
+                out.append({"LITERAL": lambda a: chr(a), "RANGE": lambda a: chr(a[0]), "NEGATE": lambda a: "q"}[str(arg[0][0])](arg[0][1]))
+            elif name == "BRANCH":
+                out.append(text(arg[1][0]))
+            elif name == "SUBPATTERN":
+                out.append(text(arg[3]))
+            elif name == "MAX_REPEAT":
+                out.append(text(arg[2]) * arg[0])
+            else:
+                raise ValueError(name)
+        return "".join(out)
+
+    return text(parser.parse(pattern)).strip()
+
+
+def test_op6_every_rule_fires_alone(spark):
+    every = licenses.rules()
+    texts = [shortest(r[4]) for r in every]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.license_scan(docs).collect()}
+    for i, t in enumerate(texts):
+        assert found[i][0] == plain_labels(t) and found[i][0] and found[i][1] > 0, (every[i], t, found[i])
+    # the label of a signature is there, or that of a longer one over the same words
+    alone = [i for i, r in enumerate(every) if r[5] in found[i][0].split(",")]
+    assert len(alone) > 0.95 * len(every)
+
+
 def test_op6_rules_are_unlike():
     every = [(r[4], r[2]) for r in licenses.rules()]
     assert len(set(every)) > 500 and len({x[2] for x in licenses.SIGNATURES}) == len(licenses.SIGNATURES)

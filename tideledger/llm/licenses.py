@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, in DataFrame expressions only.
 
 A text is lower-cased and reduced to its words with one space between. Keywords
-gate the rules: a text without any of them is never looked at by a pattern, and
-a rule only looks at texts with its keyword. A match is an interval of the
+gate the rules: each rule has one without which it can't match, as the beginning
+of a word, and only looks at texts with it. A match is an interval of the
 reduced text; it is suppressed if an interval of a rule of the same or a higher
 priority contains it (equal intervals: higher priority, then the rule's order).
 What remains gives the labels and the score.
@@ -82,12 +82,6 @@ LICENCES = (
     ("proprietary", "proprietary", "rights", "all rights reserved"),
 )
 
-#: Beginnings of what licences say without the word licence (fixed values).
-LONE = (
-    "cc0", "bsd", "unlicense", "wtfpl", "gnu gpl", "gnu lgpl", "gnu agpl", "gpl", "lgpl", "agpl", "public domain", "creative commons", "creativecommons", "all rights reserved", "permission is hereby",
-    "permission to use", "permission to copy", "redistribution", "advertising material", "as is", "free software", "mpl 2", "everyone is permitted", "copyright notice", "copyleft", "no warranty",
-)
-
 #: Texts and notices: label, what a text must hold, pattern, score (fixed values). Each is a clause of its licence.
 SIGNATURES = (
     # grants
@@ -119,7 +113,7 @@ SIGNATURES = (
     ("ncsa", "ncsa", "university of illinois ncsa open source license", 0.9),
     ("curl", "permission to use", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", 0.85),
     ("postgresql", "permission to use", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", 0.95),
-    ("python", "python software foundation", "psf hereby grants licensee a nonexclusive royalty free world wide license", 0.9),
+    ("python", "psf hereby grants", "psf hereby grants licensee a nonexclusive royalty free world wide license", 0.9),
     ("openssl", "openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit", 0.9),
     ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 0.85),
     # disclaimers and general clauses
@@ -128,8 +122,8 @@ SIGNATURES = (
     ("bsd", "copyright holders and contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties", 0.85),
     ("bsd", "regents and contributors", "this software is provided by the regents and contributors as is and any express or implied warranties", 0.85),
     ("bsd", "possibility of such damage", "even if advised of the possibility of such damage", 0.6),
-    ("permissive", "distributed as is", "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 0.9),
-    ("permissive", "copyright notice", "this file is offered as is without any warranty", 0.8),
+    ("permissive", "copying and distribution of this file", "copying and distribution of this file with or without modification are permitted in any medium without royalty provided the copyright notice and this notice are preserved", 0.9),
+    ("permissive", "this file is offered", "this file is offered as is without any warranty", 0.8),
     # apache
     ("apache-2.0", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", 0.98),
     ("apache-2.0", "compliance with the license", "you may not use this file except in compliance with the license", 0.8),
@@ -139,7 +133,8 @@ SIGNATURES = (
     ("apache-2.0", "more contributor license", "licensed to the apache software foundation asf under one or more contributor license agreements", 0.9),
     ("apache-2.0", "grant of patent license", "grant of patent license subject to the terms and conditions of this license each contributor hereby grants to you", 0.9),
     ("apache-2.0", "apache", "apache 2 0 licen[cs]ed?", 0.85),
-    ("apache-2.0", "apache", "(?:asl|apache) (?:version )?2(?: 0)? licen[cs]e", 0.85),
+    ("apache-2.0", "asl", "asl (?:version )?2(?: 0)? licen[cs]e", 0.85),
+    ("apache-2.0", "apache", "apache (?:version )?2(?: 0)? licen[cs]e", 0.85),
     # gnu
     ("gpl-1.0-or-later", "general public license", "under the terms of the gnu general public license as published by the free software foundation either version 1(?: of the license)? or(?: at your option)? any later version", 0.98),
     ("gpl-2.0-or-later", "general public license", "under the terms of the gnu general public license as published by the free software foundation either version 2(?: 0)?(?: of the license)? or(?: at your option)? any later version", 0.98),
@@ -226,16 +221,16 @@ SIGNATURES = (
     ("proprietary", "proprietary and confidential", "proprietary and confidential", 0.9),
     ("proprietary", "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited", 0.95),
     ("proprietary", "without the prior written", "may not be (?:reproduced|copied|distributed)(?: or (?:reproduced|copied|distributed|transmitted))? (?:[^ ]+ ){0,6}without the prior written (?:permission|consent)", 0.85),
-    ("proprietary", "end user license", "end user licen[cs]e agreement(?: eula)?", 0.8),
-    ("commercial", "commercial license", "(?:a|under a) commercial licen[cs]e(?: is| from)?", 0.7),
+    ("proprietary", "end user licen", "end user licen[cs]e agreement(?: eula)?", 0.8),
+    ("commercial", "commercial licen", "(?:a|under a) commercial licen[cs]e(?: is| from)?", 0.7),
     # source available
-    ("busl-1.1", "business source license", "business source licen[cs]e(?: version)?(?: 1 1)?", 0.9),
+    ("busl-1.1", "business source licen", "business source licen[cs]e(?: version)?(?: 1 1)?", 0.9),
     ("sspl-1.0", "server side public", "server side public licen[cs]e(?: version)?(?: v?1)?(?: 0)?", 0.9),
-    ("elastic-2.0", "elastic license", "elastic licen[cs]e(?: version)?(?: v?2)?(?: 0)?", 0.85),
+    ("elastic-2.0", "elastic licen", "elastic licen[cs]e(?: version)?(?: v?2)?(?: 0)?", 0.85),
     ("polyform", "polyform", "polyform (?:non ?commercial|shield|perimeter|strict|small business|internal use|free trial) licen[cs]e(?: 1 0 0)?", 0.9),
     ("commons-clause", "commons clause", "commons clause(?: licen[cs]e)?(?: condition)?(?: v?1 0)?", 0.85),
     # model licences
-    ("openrail", "responsible ai license", "responsible ai licen[cs]e(?:s)?(?: openrail)?", 0.85),
+    ("openrail", "responsible ai licen", "responsible ai licen[cs]e(?:s)?(?: openrail)?", 0.85),
     ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?openrail(?: m| s)?(?: v?1)?", 0.85),
 )
 
@@ -303,11 +298,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     base = F.lit(False)
     for phrase, _ in BASE_PHRASES:
         base = base | F.contains("flat", F.lit(f" {phrase} "))
-    # the cheap tests come first: only texts with a keyword as a word reach the patterns
-    gate = base | F.contains("flat", F.lit("licen")) | F.contains("flat", F.lit(" spdx ")) | F.contains("flat", F.lit(" cc "))
-    for lone in LONE:
-        gate = gate | F.contains("flat", F.lit(f" {lone}"))
-    rows = flat.withColumn("n_words", n_words).withColumn("base", base).withColumn("flat", F.when(gate, F.col("flat")))
+    rows = flat.withColumn("n_words", n_words).withColumn("base", base)
     rows = rows.withColumn("words", F.when(F.col("base"), F.split(F.trim("flat"), " ")))
     for i, (phrase, _) in enumerate(BASE_PHRASES):
         rows = rows.withColumn(f"at_{i}", F.when(F.col("base"), _places("words", phrase)))
@@ -316,7 +307,7 @@ def license_scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     rows = rows.withColumn("every", every).select(
         "key", "doc_id", "flat", "n_words", F.size("every").cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"), F.sort_array(labels).alias("base_list")
     )
-    found_words = F.when(F.col("flat").isNotNull(), F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("flat"), F.concat(F.lit(" "), k))))
+    found_words = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.col("flat"), F.concat(F.lit(" "), k)))
     one = ["key", "doc_id", "n_words", "n_base", "first_word", "last_word", "base_list"]
     gated = rows.select(*one, "flat", F.posexplode_outer(found_words).alias("at", "keyword"))
     # patterns are compiled for a text only where the words they can't do without are there

@@ -48,7 +48,6 @@ SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS
 def _license_sql() -> str:
     values = ", ".join(f"({n}, {p}, '{k}', '{r}', '{label}', {s}::DOUBLE)" for n, p, k, _, r, label, s, _ in licenses.rules())
     bases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE_PHRASES)
-    gate = " OR ".join(f"contains(flat, '{x}')" for x in ("licen", " spdx ", " cc ", *(f" {p}" for p in licenses.LONE), *(f" {p} " for p, _ in licenses.BASE_PHRASES)))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
 f AS (SELECT *, CASE WHEN len(w) = 0 THEN ' ' ELSE ' ' || array_to_string(w, ' ') || ' ' END AS flat FROM d),
@@ -56,7 +55,7 @@ bp(phrase, label) AS (VALUES {bases}),
 ba AS (SELECT k, i - 1 AS pos, label FROM f, bp, unnest(range(1, len(w) + 1)) AS x(i) WHERE contains(flat, ' ' || phrase || ' ') AND array_to_string(w[i : i + len(string_split(phrase, ' ')) - 1], ' ') = phrase),
 bs AS (SELECT k, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list(DISTINCT label)) AS base_list FROM ba GROUP BY k),
 ru(rule, priority, keyword, pattern, label, points) AS (VALUES {values}),
-tr AS (SELECT k, ru.*, regexp_extract_all(flat, pattern) AS hits, regexp_split_to_array(flat, pattern) AS parts FROM f JOIN ru ON contains(flat, ' ' || keyword) WHERE {gate}),
+tr AS (SELECT k, ru.*, regexp_extract_all(flat, pattern) AS hits, regexp_split_to_array(flat, pattern) AS parts FROM f JOIN ru ON contains(flat, ' ' || keyword)),
 mt AS (SELECT k, rule, priority, label, points, list_sum([len(p) FOR p IN parts[1:j]]) + coalesce(list_sum([len(h) FOR h IN hits[1 : j - 1]]), 0) AS a, list_sum([len(p) FOR p IN parts[1:j]]) + list_sum([len(h) FOR h IN hits[1:j]]) AS z FROM tr, unnest(range(1, len(hits) + 1)) AS x(j)),
 st AS (SELECT * FROM mt m WHERE NOT EXISTS (SELECT 1 FROM mt o WHERE o.k = m.k AND o.priority >= m.priority AND o.z >= m.z AND (o.a < m.a OR o.a = m.a AND (o.z > m.z OR o.z = m.z AND (o.priority > m.priority OR o.priority = m.priority AND o.rule < m.rule))))),
 ow AS (SELECT k, list(DISTINCT label) AS own, max(points) AS points FROM st GROUP BY k)
