@@ -619,6 +619,27 @@ def test_quality_models_on_held_out_rows(spark):
     assert sum(r["kept"] for r in good) >= 0.9 * len(good)
 
 
+def test_batch_bound_in_other_units(spark, tables):
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(conf)
+    try:
+        for asked, holds in (("64m", str(4 << 20)), ("1k", "1k")):
+            spark.conf.set(conf, asked)
+            assert queries.op7_simhash(spark, tables).count() > 0
+            assert spark.conf.get(conf) == holds
+    finally:
+        spark.conf.set(conf, before)
+
+
+def test_labelled_sample_of_an_id_with_two_texts(spark):
+    from tideledger.llm.hashed_features import sampled
+
+    rows = [(1, "one"), (1, "two"), (1, None), (2, "x")]
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    got_ = {tuple(sorted((r["doc_id"], r["text"], r["quality"]) for r in sampled(spark.createDataFrame(part, "doc_id long, text string").repartition(3), labels, 5)[0].collect())) for part in (rows, rows[::-1])}
+    assert len(got_) == 1 and [x[2] for x in next(iter(got_))] == [0, 1]
+
+
 def test_pii_scan_is_linear():
     import time
 
@@ -632,10 +653,19 @@ def test_pii_scan_is_linear():
 def test_pipeline(spark, tables, rows):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, tables)
-        assert out.columns == docs.columns, name
         before, after = docs.collect(), out.collect()
+        if name == "source_mix":
+            want = {(r["doc_id"], r["source_size"], round(r["target"], 6), r["taken"]) for r in mixing.mixture(docs).collect() if r["taken"] > 0}
+            assert want == {(r["doc_id"], r["source_size"], round(r["target"], 6), r["taken"]) for r in after} and after
+            assert {(r["doc_id"], r["text"]) for r in after} <= {(r["doc_id"], r["text"]) for r in before}
+            break
+        assert out.columns == docs.columns, name
+        if name == "quality_rules":
+            model = quality_rules.trained(docs, spark.read.parquet(f"{tables}/labels.parquet"))
+            verdict = Counter(r["doc_id"] for r in quality_rules.quality_rules(docs, model).collect() if r["kept"])
+            assert Counter(r["doc_id"] for r in after) == verdict and not any(brute.quality(r["text"])[-1] for r in after)
         if name == "simhash_near_dedup":
             prints = {r["doc_id"]: brute.simhash(r["text"]) for r in before}
             comp = dict(zip(prints, brute.components([(d, prints[d]) for d in prints]), strict=True))

@@ -135,7 +135,7 @@ def vectors(docs: DataFrame, *keep: str) -> DataFrame:
 def sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
     """Documents with a quality label, at most ``per_class`` of each class by the hash of their ids, and the size of each class.
 
-    Of labels that repeat for a document the lowest counts; of documents that repeat one is taken.
+    Of labels that repeat for a document the lowest counts; of documents that repeat an id the text of least hash.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = (F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id"))
@@ -146,7 +146,8 @@ def sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFra
     chosen = chosen.select(F.col("doc_id").alias("_labelled"), "quality")
     totals = {int(r["quality"]): int(r["count"]) for r in known.groupBy("quality").count().collect()}
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
-    return rows.dropDuplicates(["doc_id"]), totals
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    return rows.groupBy("doc_id", "quality").agg(least).select("doc_id", "text", "quality"), totals
 
 
 def logistic_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

@@ -1,22 +1,24 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of terms.
 
 Fixed patterns find e-mail addresses, IP addresses, card and telephone numbers;
-these are the protected entities. Other words may give an entity away without
-it: over the whole corpus the operator counts in how many documents a term stands
-together with an entity, and in how many it stands at all. A term t discloses an
-entity e if
-
-* with e it has at least ``MIN_CONTEXTS`` contexts of which no two are alike: near e
-  each place of t is one, and a document with t elsewhere only is one (the words
-  around t; copies and near copies of a passage share ``LIKE`` of these or more,
-  so they count once, however many there are),
+these are the protected entities. Entities that stand in exactly the same documents
+are one subject (a person's address and number, the addresses of a list that is
+copied). Other words may give a subject away without it: over the whole corpus the
+operator counts in how many documents a term stands together with a subject, and in
+how many it stands at all. A term t discloses a subject e if
+
+* with e it has ``MIN_CONTEXTS`` contexts of which no two are alike: near an entity of e
+  each place of t is one (the words around it), and a document with t elsewhere only
+  is one (the words around all its places); copies and near copies of a passage share
+  ``LIKE`` of these or more, so they count once, however many there are. Whether there
+  are such contexts is searched in full, so more documents never take them away,
 * P(e | t) >= ``MIN_SHARE``: most documents with t have e, and
-* log2 P(e | t) / P(e) >= ``MIN_BITS``: that is far more than by chance; of an
-  entity so common that it has hardly as many bits itself, half of its own bits
+* log2 P(e | t) / P(e) >= ``MIN_BITS``: that is far more than by chance; of a
+  subject so common that it has hardly as many bits itself, half of its own bits
   will do, if ``MIN_BITS`` a context all in all speak against chance.
 
-A term that discloses any entity is a span of kind ``term`` wherever it stands, in
-documents without the entity as well; ``sanitised`` puts a general placeholder in
+A term that discloses any subject is a span of kind ``term`` wherever it stands, in
+documents without the subject as well; ``sanitised`` puts a general placeholder in
 place of every span.
 
 Cases: null counts as empty text; rows that repeat give results that repeat; in
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rows import fresh, row_key
@@ -42,17 +44,15 @@ NEAR_WORDS = 8
 MIN_CONTEXTS = 3
 #: Share of the lesser of two contexts from which they count as alike.
 LIKE = 1 / 3
-#: Contexts that tell apart documents in which a term stands nowhere near the entity.
-FAR_CONTEXTS = 4
+#: Contexts of a pair that are compared at once are three slices of this many.
+SLICE = 640
 MIN_SHARE = 0.5
 MIN_BITS = 6.0
 #: Bits of the map of candidate terms, whatever their number: 8 MB.
 MAP_BITS = 1 << 26
-#: In place of an entity: any; no entity has it but by chance.
-ANY = np.uint64(0x0A0E0A0E0A0E0A0E)
-#: Pairs of entity and term, or terms, that a task counts together before it passes them on.
+#: Terms that a task counts together before it passes them on.
 HELD_PAIRS = 500_000
-#: Disclosing pairs (16 bytes each) up to which they may be broadcast.
+#: Disclosing pairs or terms (16 bytes each) up to which they may be broadcast.
 BROADCAST_ROWS = 500_000
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -166,46 +166,28 @@ def _signed(*columns: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.asarray(c).astype(np.uint64).view(np.int64)) for c in columns]
 
 
-def _entity_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """entity, in how many documents, how often."""
+def _document_entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, entity, how often: each entity of each document."""
     for batch in chunks(batches):
-        held = [_entities(t, found) for t in batch.column("text").to_pylist() if t and (found := base_spans(t))]
+        rows = batch.column("row").to_pylist()
+        held = [(r, *_entities(t, found)) for r, t in zip(rows, batch.column("text").to_pylist(), strict=True) if t and (found := base_spans(t))]
         if held:
-            who, at = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
-            times = np.bincount(at, weights=np.concatenate([n for _, n in held]))
-            yield pa.RecordBatch.from_arrays(_signed(who, np.bincount(at), times), names=["entity", "documents", "times"])
+            row = np.repeat(np.array([r for r, _, _ in held], np.int64), [len(w) for _, w, _ in held])
+            yield pa.RecordBatch.from_arrays([pa.array(row), *_signed(*(np.concatenate([x[i] for x in held]) for i in (1, 2)))], names=["row", "entity", "times"])
 
 
-def _pair_counts(batches: Iterator[pa.RecordBatch], entities: _Map) -> Iterator[pa.RecordBatch]:
-    """entity, term, in how many documents together, how often the term stands there: of each entity of the map all words of its documents; under ANY, of all these documents."""
-
-    def flush() -> pa.RecordBatch:
-        who, term, times = (np.concatenate([x[i] for x in held]) for i in range(3))
-        held.clear()
-        order = np.lexsort((term, who))
-        who, term, times = who[order], term[order], times[order]
-        at = np.flatnonzero((np.diff(who, prepend=~who[:1]) != 0) | (np.diff(term, prepend=~term[:1]) != 0))
-        return pa.RecordBatch.from_arrays(_signed(who[at], term[at], np.diff(np.append(at, len(who))), np.add.reduceat(times, at)), names=["entity", "term", "together", "times"])
-
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    size = 0
+def _document_terms(batches: Iterator[pa.RecordBatch], entities: _Map) -> Iterator[pa.RecordBatch]:
+    """row, term, how often: the words of each document with an entity of the map."""
     for batch in chunks(batches):
         for i, t in enumerate(batch.column("text").to_pylist()):
             found = base_spans(t) if t else []
-            who = _entities(t, found)[0] if found else np.zeros(0, np.uint64)
-            who = who[entities.has(who)]
-            if not len(who):
+            if not found or not entities.has(_entities(t, found)[0]).any():
                 continue
             h, start, end, _ = _words(batch.column("text").slice(i, 1))
             terms, n = np.unique(h[_outside(start, end, found)], return_counts=True)
-            for w in (*who, ANY) if len(terms) else ():
-                held.append((np.full(len(terms), w), terms, n))
-                size += len(terms)
-                if size >= HELD_PAIRS:
-                    yield flush()
-                    size = 0
-    if held:
-        yield flush()
+            if len(terms):
+                row = np.full(len(terms), batch.column("row")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row), *_signed(terms, n)], names=["row", "term", "times"])
 
 
 def _term_documents(docs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -241,38 +223,38 @@ def _term_documents(docs: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_FOUND = "key long, doc_id long, base array<struct<kind:string,start:int,end:int>>"
-_HITS = ", term array<long>, start array<int>, end array<int>, of array<struct<entity:long,term:long,contexts:array<array<long>>>>"
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.list_(pa.int64()))]))
+_FAR = pa.list_(pa.struct([("term", pa.int64()), ("context", pa.list_(pa.int64()))]))
+_FOUND = "key long, row long, doc_id long, base array<struct<kind:string,start:int,end:int>>"
+_HITS = ", term array<long>, start array<int>, end array<int>, near array<struct<entity:long,term:long,context:array<long>>>, far array<struct<term:long,context:array<long>>>"
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         base = [[{"kind": k, "start": s, "end": e} for k, s, e in base_spans(t)] if t else [] for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("doc_id"), pa.array(base, _SPANS)], names=["key", "doc_id", "base"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("row"), batch.column("doc_id"), pa.array(base, _SPANS)], names=["key", "row", "doc_id", "base"])
 
 
-def _contexts(text: str, found: list[tuple[str, int, int]], entities: _Map, words: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> Iterator[dict]:
-    """Contexts of the terms at ``at`` with each entity of the map: one by one near the entity; of a term that is nowhere near it, some for the whole document."""
+def _contexts(text: str, found: list[tuple[str, int, int]], entities: _Map, words: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[list[dict], list[dict]]:
+    """Of the terms at ``at``: the words around each place near an entity of the map, by entity; and the words around all places of each term."""
     values = _hash([text[s:e] for _, s, e in found])
     ours = entities.has(values)
-    places: dict[int, list[int]] = {}
-    for v, (_, s, _) in zip(values[ours].view(np.int64).tolist(), [x for x, y in zip(found, ours, strict=True) if y], strict=True):
-        places.setdefault(v, []).append(int(np.searchsorted(end, s, side="right")))
-    around: dict[int, list[tuple[int, list[int]]]] = {}
+    lines = np.searchsorted(end, np.array([s for _, s, _ in found])[ours], side="right")
+    order = np.argsort(lines, kind="stable")
+    lines, values = lines[order], values[ours][order].view(np.int64)
+    near: set[tuple] = set()
+    far: dict[int, list[np.ndarray]] = {}
+    if not len(lines):
+        return [], []
     for j in at.tolist():
-        near = np.unique(words[max(0, j - NEAR_WORDS) : j + NEAR_WORDS + 1])
-        around.setdefault(int(words[j].view(np.int64)), []).append((j, near[near != words[j]].view(np.int64).tolist()))
-    for entity, before in places.items():
-        lines = np.sort(np.array(before))
-        for term, contexts in around.items():
-            # words j of lines - NEAR_WORDS <= j < lines + NEAR_WORDS
-            beside = [c for j, c in contexts if np.searchsorted(lines, j - NEAR_WORDS, side="right") < np.searchsorted(lines, j + NEAR_WORDS, side="right")]
-            if beside:
-                yield from ({"entity": entity, "term": term, "contexts": [c]} for c in {tuple(c) for c in beside})
-            else:
-                # chosen by what they hold, so that copies with few changes choose some alike
-                least = sorted((sum(c) % (1 << 64), tuple(c)) for _, c in contexts)
-                yield {"entity": entity, "term": term, "contexts": [c for _, c in dict.fromkeys(least)][:FAR_CONTEXTS]}
+        around = np.unique(words[max(0, j - NEAR_WORDS) : j + NEAR_WORDS + 1])
+        around = around[around != words[j]].view(np.int64)
+        term = int(words[j].view(np.int64))
+        far.setdefault(term, []).append(around)
+        # lines - NEAR_WORDS <= j < lines + NEAR_WORDS
+        beside = values[np.searchsorted(lines, j - NEAR_WORDS, side="right") : np.searchsorted(lines, j + NEAR_WORDS, side="right")]
+        near |= {(e, term, tuple(around.tolist())) for e in set(beside.tolist())}
+    return [{"entity": e, "term": t, "context": c} for e, t, c in near], [{"term": t, "context": np.unique(np.concatenate(c))} for t, c in far.items()]
 
 
 def _places(batches: Iterator[pa.RecordBatch], entities: _Map, wanted: _Map) -> Iterator[pa.RecordBatch]:
@@ -280,7 +262,7 @@ def _places(batches: Iterator[pa.RecordBatch], entities: _Map, wanted: _Map) ->
     for batch in chunks(batches):
         h, start, end, offsets = _words(batch.column("text"))
         hit = wanted.has(h)
-        base, terms, starts, ends, of = [], [], [], [], []
+        base, terms, starts, ends, near, far = [], [], [], [], [], []
         for i, t in enumerate(batch.column("text").to_pylist()):
             found = base_spans(t) if t else []
             base.append([{"kind": k, "start": s, "end": e} for k, s, e in found])
@@ -293,17 +275,21 @@ def _places(batches: Iterator[pa.RecordBatch], entities: _Map, wanted: _Map) ->
             terms.append(w[at].view(np.int64))
             starts.append(s[at])
             ends.append(e[at])
-            of.append(list(_contexts(t, found, entities, w, s, e, at)) if found and len(at) else [])
+            beside, all_over = _contexts(t, found, entities, w, e, at) if found and len(at) else ([], [])
+            near.append(beside)
+            far.append(all_over)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("key"),
+                batch.column("row"),
                 batch.column("doc_id"),
                 pa.array(base, _SPANS),
                 pa.array(terms, pa.list_(pa.int64())),
                 *(pa.array(x, pa.list_(pa.int32())) for x in (starts, ends)),
-                pa.array(of, pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("contexts", pa.list_(pa.list_(pa.int64())))]))),
+                pa.array(near, _NEAR),
+                pa.array(far, _FAR),
             ],
-            names=["key", "doc_id", "base", "term", "start", "end", "of"],
+            names=["key", "row", "doc_id", "base", "term", "start", "end", "near", "far"],
         )
 
 
@@ -312,55 +298,135 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _in_unlike_contexts(contexts: DataFrame) -> DataFrame:
-    """entity, term of pairs with MIN_CONTEXTS contexts of which no two are alike: the largest, then the largest unlike all before."""
-    pair = ["entity", "term"]
-    rest = contexts.select(*pair, F.filter("contexts", lambda c: F.size(c) > 0).alias("contexts")).where(F.size("contexts") > 0)
-
-    def alike(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(a, b)) >= LIKE * F.least(F.size(a), F.size(b))
-
-    for _ in range(MIN_CONTEXTS - 1):
-        words = F.size(F.flatten("contexts")).alias("size")
-        first = rest.groupBy(*pair).agg(F.max(F.struct(words, F.col("contexts").alias("first"))).alias("x")).select(*pair, "x.first")
-        like_first = F.exists("contexts", lambda a: F.exists("first", lambda b: alike(a, b)))
-        rest = rest.join(_small(kept(first), BROADCAST_ROWS // 10), pair).where(~like_first).select(*pair, "contexts")
-    return rest.select(*pair).distinct()
+def three_unlike(contexts: list[np.ndarray]) -> bool:
+    """Whether three of the contexts (sets of words, none empty) are unlike each other."""
+    sizes = np.array([len(c) for c in contexts])
+    if len(contexts) < MIN_CONTEXTS:
+        return False
+    owner = np.repeat(np.arange(len(contexts)), sizes)
+    _, word, times = np.unique(np.concatenate(contexts), return_inverse=True, return_counts=True)
+    often = times > 1
+    number = np.cumsum(often) - 1
+    use = often[word]
+    owner, word = owner[use], number[word[use]]
+    shared = np.zeros((len(contexts), len(contexts)), np.float32)
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    for lo in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(word, [lo, lo + 2048])
+        has = np.zeros((len(contexts), 2048), np.float32)
+        has[owner[a:b], word[a:b] - lo] = 1
+        shared += has @ has.T
+    unlike = (shared < LIKE * np.minimum(sizes[:, None], sizes[None, :])).astype(np.float32)
+    np.fill_diagonal(unlike, 0)
+    most = np.flatnonzero(unlike[int(unlike.sum(axis=1).argmax())])
+    return bool(unlike[np.ix_(most, most)].any() or ((unlike @ unlike > 0) & (unlike > 0)).any())
+
+
+def _cells_with_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """subject, term of every cell (rows come sorted by subject, term and cell) that holds three unlike contexts."""
+    held: list[np.ndarray] = []
+    at: tuple | None = None
+    out: list[tuple] = []
+
+    def closed() -> None:
+        if at is not None and out[-1:] != [at[:2]] and three_unlike(held):
+            out.append(at[:2])
+
+    for batch in batches:
+        key = zip(*(batch.column(c).to_pylist() for c in ("subject", "term", "cell")), strict=True)
+        offsets, flat = np.asarray(batch.column("context").offsets), np.asarray(batch.column("context").values)
+        for i, k in enumerate(key):
+            if k != at:
+                closed()
+                held, at = [], k
+            held.append(flat[offsets[i] : offsets[i + 1]])
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out[:-1]], pa.int64()) for i in (0, 1)], names=["subject", "term"])
+            del out[:-1]
+    closed()
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["subject", "term"])
 
 
-def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, base and terms (arrays of kind, start, end) of every document."""
+def _in_unlike_contexts(contexts: DataFrame) -> DataFrame:
+    """subject, term of pairs with three contexts of which no two are alike.
+
+    A pair's distinct contexts are dealt in slices; first each slice is searched,
+    then, for pairs that have none so far, every three slices together, which
+    meets every three contexts.
+    """
+    pair = ["subject", "term"]
+    rows = kept(contexts.where(F.size("context") > 0).select(*pair, "context").distinct())
+    counts = rows.groupBy(*pair).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONTEXTS).withColumn("slices", F.ceil(F.col("n") / SLICE).cast("int"))
+    sliced = rows.join(counts, pair).withColumn("slice", F.pmod(F.xxhash64("context"), F.col("slices")).cast("long"))
+
+    def searched(cells: DataFrame) -> DataFrame:
+        dealt = cells.select(*pair, "cell", "context").repartition(*pair, "cell").sortWithinPartitions(*pair, "cell")
+        return in_batches(dealt, _cells_with_three, "subject long, term long").distinct()
+
+    first = kept(searched(sliced.withColumn("cell", F.col("slice"))))
+    rest = sliced.where("slices > 1").join(first, pair, "left_anti")
+    # each slice with every two others; with every one other where there are just two
+    others = F.expr("""
+        CASE WHEN slices = 2 THEN array(0L)
+        ELSE flatten(transform(sequence(0, slices - 2), b -> transform(sequence(b + 1, slices - 1), c -> IF(b = slice OR c = slice, NULL,
+             array_sort(array(slice, bigint(b), bigint(c)))[0] * slices * slices + array_sort(array(slice, bigint(b), bigint(c)))[1] * slices + array_sort(array(slice, bigint(b), bigint(c)))[2])))) END
+    """)
+    cells = rest.withColumn("cell", F.explode(F.filter(others, lambda x: x.isNotNull())))
+    return first.unionByName(searched(cells)).distinct()
+
+
+def _likely(texts: DataFrame, total: int) -> tuple[DataFrame, DataFrame] | None:
+    """(row, entity, subject) of documents with recurring entities, and the pairs (subject, term) of which the term has most of its documents with the subject, far more than by chance."""
+    every = kept(in_batches(texts, _document_entities, "row long, entity long, times long"))
+    # the same documents: as many, and equal sums of two hashes of them
+    sums = [F.sum(F.xxhash64(F.lit(i), "row").cast("decimal(20,0)")) for i in (1, 2)]
+    entities = every.groupBy("entity").agg(F.count("*").alias("n"), F.sum("times").alias("seen"), *(x.alias(f"s{i}") for i, x in enumerate(sums))).where(F.col("seen") >= MIN_CONTEXTS)
+    named = kept(entities.select("entity", "n", F.xxhash64("n", "s0", "s1").alias("subject")))
+    if named.isEmpty():
+        return None
+    known = _Map(named, "entity")
+    whose = kept(every.join(_small(named, BROADCAST_ROWS), "entity").select("row", "entity", "subject", "n").distinct())
+    words = kept(in_batches(texts, lambda b: _document_terms(b, known), "row long, term long, times long"))
+    # a term stands in at least as many documents as in those with any such entity, so its share is no more than of these
+    rare = words.groupBy("term").agg(F.count("*").alias("at_least"), F.sum("times").alias("seen")).where(F.col("seen") >= MIN_CONTEXTS).drop("seen")
+    met = words.join(rare, "term").join(whose.select("row", "subject", "n").distinct(), "row").where(MIN_SHARE * F.col("at_least") <= F.col("n"))
+    pairs = met.groupBy("subject", "term", "at_least", F.col("n").alias("n_subject")).agg(F.count("*").alias("together"), F.sum("times").alias("seen"))
+    pairs = kept(pairs.where((F.col("seen") >= MIN_CONTEXTS) & (F.col("together") >= MIN_SHARE * F.col("at_least"))).drop("at_least", "seen"))
+    if pairs.isEmpty():
+        return None
+    p, n = F.col("n_subject") / F.lit(float(total)), F.greatest("n", "together")
+    share = F.col("together") / n
+    bits = F.log2(share / p)
+    # how unlikely it is that chance put so many of the term's documents among the subject's
+    evidence = F.col("together") * bits + F.when(share < 1, (n - F.col("together")) * F.log2((1 - share) / (1 - p))).otherwise(0.0)
+    hot = (bits > 0) & (bits >= -F.log2(p) / 2) & (evidence >= MIN_BITS * MIN_CONTEXTS)
+    likely = pairs.join(_term_documents(texts, pairs), "term").where((share >= MIN_SHARE) & ((bits >= MIN_BITS) | hot)).select("subject", "term")
+    return whose, kept(likely)
+
+
+def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: bool = False) -> DataFrame:
+    """doc_id, base and terms (arrays of kind, start, end) of every document; with ``row`` its row_key too."""
+    out = [*(["row"] if row else []), "doc_id", "base"]
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>").alias("terms")
-    keyed = docs.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    texts = docs.select(F.col(text).alias("text"))
-    counts = in_batches(texts, _entity_counts, "entity long, documents long, times long").groupBy("entity").agg(F.sum("documents").alias("n_entity"), F.sum("times").alias("seen"))
-    entities = kept(counts.where(F.col("seen") >= MIN_CONTEXTS).select("entity", "n_entity"))
-    total = texts.count()
-    likely = None
-    if not entities.isEmpty():
-        known = _Map(entities, "entity")
-        pairs = in_batches(texts, lambda b: _pair_counts(b, known), "entity long, term long, together long, times long")
-        any_entity = F.col("entity") == F.lit(int(ANY))
-        pairs = kept(pairs.groupBy("entity", "term").agg(F.sum("together").alias("together"), F.sum("times").alias("times")).where(any_entity | (F.col("times") >= MIN_CONTEXTS)))
-        # a term stands in at least as many documents as in those with any such entity, so its share is no more than of these
-        at_least = pairs.where(any_entity).select("term", F.col("together").alias("at_least"))
-        pairs = kept(pairs.where(~any_entity).join(at_least, "term").where(F.col("together") >= MIN_SHARE * F.col("at_least")).select("entity", "term", "together"))
-        p, n = F.col("n_entity") / F.lit(float(total)), F.greatest("n", "together")
-        share = F.col("together") / n
-        bits = F.log2(share / p)
-        # how unlikely it is that chance put so many of the term's documents among the entity's
-        evidence = F.col("together") * bits + F.when(share < 1, (n - F.col("together")) * F.log2((1 - share) / (1 - p))).otherwise(0.0)
-        hot = (bits > 0) & (bits >= -F.log2(p) / 2) & (evidence >= MIN_BITS * MIN_CONTEXTS)
-        if not pairs.isEmpty():
-            likely = kept(
-                pairs.join(_term_documents(texts, pairs), "term").join(entities, "entity").where((share >= MIN_SHARE) & ((bits >= MIN_BITS) | hot)).select("entity", "term")
-            )
-    if likely is None or likely.isEmpty():
-        return in_batches(keyed, _base, _FOUND).select("doc_id", "base", none)
-    whose, wanted = _Map(likely, "entity"), _Map(likely, "term")
-    found = kept(in_batches(keyed, lambda b: _places(b, whose, wanted), _FOUND + _HITS))
-    contexts = found.where(F.size("of") > 0).select(F.explode("of").alias("x")).select("x.*").join(_small(likely, BROADCAST_ROWS), ["entity", "term"], "left_semi")
-    disclosing = kept(_in_unlike_contexts(kept(contexts)).select("term").distinct())
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    keyed = named.select(F.monotonically_increasing_id().alias("key"), row_key().alias("row"), "doc_id", "text")
+    texts = named.select(row_key().alias("row"), "text")
+    pairs = _likely(texts, texts.count())
+    if pairs is None or pairs[1].isEmpty():
+        return in_batches(keyed, _base, _FOUND).select(*out, none)
+    whose, likely = pairs
+    likely = _small(likely, BROADCAST_ROWS)
+    subjects = kept(whose.join(likely, "subject", "left_semi").select("row", "entity", "subject"))
+    entities, wanted = _Map(subjects, "entity"), _Map(likely, "term")
+    found = kept(in_batches(keyed, lambda b: _places(b, entities, wanted), _FOUND + _HITS))
+    names = subjects.select("entity", "subject").distinct()
+    near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.*").join(names, "entity").join(likely, ["subject", "term"], "left_semi")
+    near = kept(near.select("subject", "term", "row", "context"))
+    far = found.where(F.size("far") > 0).select("row", F.explode("far").alias("x")).select("row", "x.*").join(likely, "term")
+    far = far.join(subjects.select("row", "subject").distinct(), ["row", "subject"], "left_semi").join(near, ["row", "subject", "term"], "left_anti")
+    contexts = near.unionByName(far.select("subject", "term", "row", "context"))
+    disclosing = kept(_in_unlike_contexts(contexts).select("term").distinct())
     spans_of = (
         found.where(F.size("term") > 0)
         .select("key", F.explode(F.arrays_zip("term", "start", "end")).alias("x"))
@@ -369,7 +435,7 @@ def personal_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy("key")
         .agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), F.col("start"), F.col("end")))).alias("terms"))
     )
-    return found.join(spans_of, "key", "left").select("doc_id", "base", F.coalesce("terms", none).alias("terms"))
+    return found.join(spans_of, "key", "left").select(*out, F.coalesce("terms", none).alias("terms"))
 
 
 #: What stands in place of a span (fixed values).
@@ -393,13 +459,13 @@ def replaced(text: str, found: list[tuple[str, int, int]]) -> str:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data and disclosing terms generalised and ``n_chars`` (if there) counted anew."""
-    found = personal_spans(docs.select(row_key().alias("k"), "text"), doc_id="k")
+    found = personal_spans(docs.select("doc_id", "text"), row=True)
     # fixed patterns are found again where a text is written out; only disclosing terms come from the corpus
-    row, own = fresh("_row", docs), fresh("_terms", docs)
-    extra = kept(found.where(F.size("terms") > 0).groupBy(F.col("doc_id").alias(row)).agg(F.first("terms").alias(own)))
+    row, who, own = fresh("_row", docs), fresh("_id", docs), fresh("_terms", docs)
+    extra = kept(found.where(F.size("terms") > 0).groupBy(F.col("row").alias(row), F.col("doc_id").alias(who)).agg(F.first("terms").alias(own)))
     if extra.count() <= BROADCAST_ROWS // 10:
         extra = F.broadcast(extra)
-    with_terms = docs.join(extra, row_key() == F.col(row), "left").drop(row)
+    with_terms = docs.join(extra, (row_key() == F.col(row)) & F.col("doc_id").eqNullSafe(F.col(who)), "left").drop(row, who)
     schema = docs.schema
     names = schema.names
 

@@ -57,10 +57,14 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
 
 
 def in_batches(df: DataFrame, task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow over batches bounded in bytes, not only in rows: a worker's memory doesn't grow with the length of texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get(_BATCH_CONF).rstrip("b")) > BATCH_BYTES:
-        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    """mapInArrow over batches bounded in bytes, not only in rows: a worker's memory doesn't grow with the length of texts.
+
+    The bound is the session's own setting, lowered if it is higher (and left so: Spark reads it when the query runs).
+    """
+    spark = df.sparkSession
+    set_to = spark.conf.get(_BATCH_CONF)
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(set_to) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(task, schema)
 
 
