@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Intervals (some 50 bytes each) that a range join broadcasts.
-MAX_INTERVALS = 100_000
+#: Level of intervals without an end, which have a cell for everything.
+_ENDLESS = 1100
 
 
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_t: str, right_t: str, values: list[str], tolerance: int, prefix: str, tie: str | None = None) -> DataFrame:
@@ -43,12 +43,32 @@ def asof_many(left: DataFrame, providers: dict[str, tuple[DataFrame, list[str]]]
 
 
 def in_intervals(df: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str, closed_below: bool = False) -> DataFrame:
-    """Rows with every interval they lie in: (lo, hi], or [lo, hi]. Intervals are broadcast up to MAX_INTERVALS; more are an error, not a nested loop over the network."""
-    n = intervals.count()
-    if n > MAX_INTERVALS:
-        raise ValueError(f"{n} intervals; at most {MAX_INTERVALS} can be joined by range")
+    """Rows with every interval they lie in: (lo, hi], or [lo, hi]; an end that is null holds nothing, one that is infinite is none.
+
+    An interval stands in the cells that it touches, two as a rule, of the power
+    of two that is its length or the next above; a row stands in its cell of
+    each power that there is (few: lengths that differ by a million times have
+    20). Both meet by equality of power and cell, whatever the number of
+    intervals, and each pair once.
+    """
+    a, b = F.col(lo).cast("double"), F.col(hi).cast("double")
+    length = b - a
+    # cells no finer than doubles of that size tell apart
+    fine = F.ceil(F.log2(F.greatest(F.abs(a), F.abs(b), F.lit(1e-300)))) - 50
+    level = F.when(length == float("inf"), _ENDLESS).otherwise(F.greatest(fine, F.coalesce(F.ceil(F.log2(F.when(length > 0, length))), fine)))
+    placed = intervals.where((length >= 0) | (a == b)).withColumn("_level", F.when(a == b, fine).otherwise(level).cast("int"))
+
+    def cell(v: Column) -> Column:
+        return F.when(F.col("_level") == _ENDLESS, 0).otherwise(F.floor(v * F.pow(F.lit(2.0), -F.col("_level"))).cast("long"))
+
+    cells = placed.withColumn("_cell", F.explode(F.sequence(cell(a), cell(b))))
+    levels = [r["_level"] for r in placed.select("_level").distinct().collect()]
+    rows = df.where(F.col(x).isNotNull()).withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    # a row far beyond the cells that a power's intervals can be in is in none of them
+    v = F.col(x).cast("double")
+    rows = rows.where((F.col("_level") == _ENDLESS) | (F.abs(v) * F.pow(F.lit(2.0), -F.col("_level")) < 2.0**52)).withColumn("_cell", cell(v))
     low = F.col(x) >= F.col(lo) if closed_below else F.col(x) > F.col(lo)
-    return df.join(F.broadcast(intervals), low & (F.col(x) <= F.col(hi)))
+    return rows.join(cells, ["_level", "_cell"]).where(low & (F.col(x) <= F.col(hi))).drop("_level", "_cell")
 
 
 def gridded(df: DataFrame, name: str, values: list) -> DataFrame:

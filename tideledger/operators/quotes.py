@@ -77,5 +77,5 @@ def prepared(raw: DataFrame) -> DataFrame:
         }
     )
     time = "ts_iso" if "ts_iso" in df.columns else "ts_utc"
-    order = [c for c in ("ts_utc", "source_file", "ord") if c in df.columns]
+    order = [c for c in ("ts_utc", "source_file", "source_order", "ord") if c in df.columns]
     return keep_last(df.repartition("market_id"), ["market_id", time], order)

@@ -258,17 +258,38 @@ def registry() -> list[Rule]:
     return [r for r in catalogue() if r.name in REGISTRY]
 
 
+#: Comparisons in a word of bits.
+_WORD = 62
+
+
+def comparisons(rules: list[Rule]) -> list[str]:
+    """The distinct comparisons that the rules' predicates are conjunctions of."""
+    return list(dict.fromkeys(c.strip() for r in rules for c in r.predicate.split(" and ")))
+
+
 def signals(events: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
     """key, rule, family, side, minute, fraction, price, size, unit_pnl: a row for each event and rule that fires.
 
-    One projection finds for each rule's name the number of its part of least
+    A predicate is a conjunction; each distinct comparison is evaluated once, as
+    a bit of a word, and a rule is a mask of bits that have to be set. One
+    projection finds for each rule's name the number of its part of least
     priority that holds; what doesn't fire is dropped before any shuffle. What
     a part says (side, minute, size) is a table of fixed size, met by number.
     """
+    bit = {c: i for i, c in enumerate(comparisons(rules))}
+    words = [[c for c in bit if bit[c] // _WORD == w] for w in range(len(bit) // _WORD + 1)]
+    sums = [" | ".join(f"IF({c}, {1 << bit[c] % _WORD}L, 0L)" for c in word) or "0L" for word in words]
     by_name: dict[str, list[int]] = {}
     for i in sorted(range(len(rules)), key=lambda i: rules[i].priority):
         by_name.setdefault(rules[i].name, []).append(i)
-    fired = [F.expr("CASE " + " ".join(f"WHEN {rules[i].predicate} THEN {i}" for i in parts) + " END") for parts in by_name.values()]
+
+    def holds(rule: Rule) -> str:
+        masks = [0] * len(words)
+        for c in rule.predicate.split(" and "):
+            masks[bit[c.strip()] // _WORD] |= 1 << bit[c.strip()] % _WORD
+        return " AND ".join(f"_w{w} & {m}L = {m}L" for w, m in enumerate(masks) if m)
+
+    cases = ", ".join("CASE " + " ".join(f"WHEN {holds(rules[i])} THEN {i}" for i in parts) + " END" for parts in by_name.values())
     qualities = sorted({r.quality for r in rules if r.hi is not None})
     legs = [f"{leg}{m}" for leg in ("up", "dn") for m in MOVES_AT]
     hit = events.select(
@@ -277,8 +298,8 @@ def signals(events: DataFrame, rules: list[Rule], key: list[str]) -> DataFrame:
         F.array(*(f"{leg}{m}" for leg in ("usz", "dsz") for m in MOVES_AT)).alias("_size"),
         F.array(*(f"pay_{leg}" for leg in legs)).alias("_pay"),
         F.array(F.lit(0.0), *(F.col(q).cast("double") for q in qualities)).alias("_quality"),
-        F.explode(F.filter(F.array(*fired), lambda i: i.isNotNull())).alias("_part"),
-    )
+        *(F.expr(s).alias(f"_w{w}") for w, s in enumerate(sums)),
+    ).selectExpr(*(f"`{k}`" for k in key), "_price", "_size", "_pay", "_quality", f"explode(filter(array({cases}), i -> i IS NOT NULL)) AS _part")
     parts = [(i, r.name, r.family, r.side, r.minute, float(r.lo), float(r.lo if r.hi is None else r.hi), 0 if r.hi is None else 1 + qualities.index(r.quality), legs.index(f"{'up' if r.side == 'up' else 'dn'}{r.minute}")) for i, r in enumerate(rules)]
     table = events.sparkSession.createDataFrame(parts, "_part int, rule string, family string, side string, minute int, _lo double, _hi double, _q int, _leg int")
     met = hit.join(F.broadcast(table), "_part")

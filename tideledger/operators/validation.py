@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scoring import best_of
+from .windows import ranged
 
 
 def split_50_25_25(df: DataFrame, series: list[str], order: list[str], latest: int = 864) -> DataFrame:
     """Rows with each split they are in (train, validation, test, full, latest) and their number within it."""
-    n = F.count("*").over(Window.partitionBy(*series))
-    i = F.row_number().over(Window.partitionBy(*series).orderBy(*order)) - 1
-    rows = df.withColumns({"_n": n, "_i": i})
+    rows = ranged(df, series, order, "_i", "_n")
     i1 = F.greatest(F.lit(1), F.floor(F.col("_n") * 0.5))
     i2 = F.greatest(i1 + 1, F.floor(F.col("_n") * 0.75))
     tail = F.greatest(F.lit(0), F.col("_n") - latest)
@@ -30,9 +29,8 @@ def split_50_25_25(df: DataFrame, series: list[str], order: list[str], latest: i
 
 def time_split(df: DataFrame, series: list[str], order: list[str], share: float = 0.7, least: int = 20) -> DataFrame:
     """Adds ``train``: the first share of a series' rows; none where the series has fewer than ``least``."""
-    n = F.count("*").over(Window.partitionBy(*series))
-    i = F.row_number().over(Window.partitionBy(*series).orderBy(*order))
-    return df.withColumn("train", (n >= least) & (i <= F.floor(n * share)))
+    rows = ranged(df, series, order, "_i", "_n")
+    return rows.withColumn("train", (F.col("_n") >= least) & (F.col("_i") < F.floor(F.col("_n") * share))).drop("_i", "_n")
 
 
 def run_coverage(rows: DataFrame, run: str, file: str) -> DataFrame:

@@ -1,16 +1,40 @@
-"""Ordered computations within a series. Every window is partitioned by its series."""
+"""Ordered computations within a series. Every window is partitioned by its series, or by stretches of it where a series may be everything."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def numbered(df: DataFrame, series: list[str], order: list[str], name: str = "n") -> DataFrame:
     """Rows numbered from 0 within their series."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*series).orderBy(*order)) - 1)
 
 
+def ranged(df: DataFrame, series: list[str], order: list[str], name: str = "n", total: str | None = None, stretch: str | None = None) -> DataFrame:
+    """Rows numbered from 0 within their series (null is one too) without a window over it; ``total`` names a column for the series' number of rows.
+
+    Rows are dealt by ranges of series and order, so one series alone is many
+    tasks; a row's number is its place in its range plus the rows of the series
+    in the ranges before, of which there is a row for each range and series.
+    Rows come sorted; ``stretch`` names a column for the number of the range.
+    """
+    laid = df.repartitionByRange(*series, *order).sortWithinPartitions(*series, *order)
+    laid = cut(laid.withColumn("_at", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_at", 33).cast("int"))
+    counts = laid.groupBy(*series, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    every = Window.partitionBy(*series) if series else Window.partitionBy(F.lit(0))
+    before = every.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(series)), F.col("_range").alias("_in"), "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_base"), F.sum("_rows").over(every).alias("_all"))
+    same = F.col("_range") == F.col("_in")
+    for i, c in enumerate(series):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    out = laid.join(counts, same).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first"))
+    out = out.withColumns({n: F.col(c) for n, c in ((total, "_all"), (stretch, "_range")) if n})
+    return out.drop("_at", "_range", "_in", "_first", "_base", "_all", *(f"_s{i}" for i in range(len(series))))
+
+
 def autocorrelation(df: DataFrame, series: list[str], order: list[str], y: str, lags: list[int]) -> DataFrame:
     """series, lag, autocorr: correlation of y with itself ``lag`` rows before."""
     along = Window.partitionBy(*series).orderBy(*order)
@@ -157,9 +181,8 @@ def sliding_compound(events: DataFrame, series: list[str], order: list[str], r:
 
 def recent_tail(df: DataFrame, series: list[str], order: list[str], last: int) -> DataFrame:
     """Adds ``recent``: whether a row is among the last ``last`` of its series, if that has as many."""
-    back = Window.partitionBy(*series).orderBy(*(F.desc(c) for c in order))
-    total = F.count("*").over(Window.partitionBy(*series))
-    return df.withColumn("recent", (F.row_number().over(back) <= last) & (total >= last))
+    rows = ranged(df, series, order, "_n", "_total")
+    return rows.withColumn("recent", (F.col("_n") >= F.col("_total") - last) & (F.col("_total") >= last)).drop("_n", "_total")
 
 
 def running_total(df: DataFrame, series: list[str], order: list[str], x: str, name: str) -> DataFrame:

@@ -19,16 +19,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def micros(ts: str) -> F.Column:
+    """Microseconds since 1970 of a time without a zone, whatever the session's zone."""
+    days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
+    seconds = days * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return seconds * 1_000_000 + (F.expr(f"extract(second from {ts})") * 1_000_000).cast("long")
+
+
 def raw_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes as they would come from files, before preparation, with t (microseconds) and ord."""
     e = read(spark, sf_dir, "events")
-    days = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long")
-    seconds = days * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60
     k = F.get_json_object("props", "$.k").cast("int")
     eid, half = F.col("event_id"), 1 + F.col("user_id") % 3
     spread = 2 * half + eid % 3
     q = e.select(
-        "event_id", "event_type", "ts", (seconds * 1_000_000 + (F.expr("extract(second from ts)") * 1_000_000).cast("long")).alias("t"), k.alias("k"), half.alias("half"), spread.alias("spread_dn"), F.col("value").alias("final_price")
+        "event_id", "event_type", "ts", micros("ts").alias("t"), k.alias("k"), half.alias("half"), spread.alias("spread_dn"), F.col("value").alias("final_price")
     ).withColumn("hs", F.floor(F.col("t") / 3_600_000_000).cast("long") * 3600)
     first = F.first("final_price").over(Window.partitionBy("hs").orderBy("t", "event_id"))
     half = F.col("half")

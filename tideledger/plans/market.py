@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import capital, features, joins, models, quotes, rules, scoring, tables, validation, windows
+from ..sources import tables as sources
+from ..sources.shared import cut, scratch
 from . import fixtures as X
 
 QUERIES: dict = {}
@@ -62,6 +64,11 @@ def label_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rules.labelled(feature_rows(spark, sf))
 
 
+def event_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled markets with an outcome, worked out once: what follows plans from their rows."""
+    return cut(label_rows(spark, sf).where("outcome is not null"))
+
+
 def with_rows(ctes: str, body: str) -> str:
     return f"WITH {ctes} {body}"
 
@@ -371,7 +378,7 @@ def _backoff_sql(levels: list | None = None, y: str = "outcome") -> str:
 
 @query(_backoff_sql())
 def backoff_mean(spark, sf):
-    rows = label_rows(spark, sf).where("outcome is not null")
+    rows = event_rows(spark, sf)
     return windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, chunk=F.floor(F.col("first_t") / _CHUNK_US)).select("market_id", *d("q"), *n("q_n"), "q_level")
 
 
@@ -389,15 +396,16 @@ def _ew_sql(levels: list[list[str]], table: str, series: str, key: str, order: s
 
 @query(with_rows(X.LABELS + ", r AS (SELECT * FROM l WHERE outcome IS NOT NULL)", _ew_sql(_LEVELS, "r", "run_name", "market_id", "first_t, market_id", "outcome", 20)))
 def ew_backoff_mean(spark, sf):
-    rows = label_rows(spark, sf).where("outcome is not null")
+    rows = event_rows(spark, sf)
     return windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS).select("market_id", *d("q"), *n("q_n"), "q_level")
 
 
 _BASE = [r for r in rules.catalogue() if r.name in ("drop_all", "classic_up", "m2_flat_down", "switch_1", "mix_active", "mix_adaptive", "momentum_down", "breakout_asia", "entry3_drop10", "mom_up_30", "trend_down")]
 
 
-def signal_rows(spark: SparkSession, sf: str, chosen=None) -> DataFrame:
-    return rules.signals(label_rows(spark, sf).where("outcome is not null"), chosen or rules.catalogue(), ["market_id", "run_name", "first_t", "session", "outcome"])
+def signal_rows(spark: SparkSession, sf: str, chosen=None, rows: DataFrame | None = None) -> DataFrame:
+    """Signals of the events; ``rows`` are the event_rows where there are some already."""
+    return rules.signals(event_rows(spark, sf) if rows is None else rows, chosen or rules.catalogue(), ["market_id", "run_name", "first_t", "session", "outcome"])
 
 
 def _signal_ctes(chosen) -> str:
@@ -444,7 +452,7 @@ def _fair_sql() -> str:
 
 @query(_fair_sql())
 def fair_value_selector(spark, sf):
-    rows = label_rows(spark, sf).where("outcome is not null")
+    rows = event_rows(spark, sf)
     rows = windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
     best = rules.best_micro(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_n", "q_down", "q_n")
     return best.select("market_id", "micro", "side", "minute", *d("edge", "score"))
@@ -508,33 +516,34 @@ def compound_uncapped(spark, sf):
 _SIZES = (48, 144, 288)
 
 
-def placed(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, list[str]]:
-    """market_id, the groups an event is in and its number n there, total; and the groups' columns. Events are one row a market."""
-    ev = feature_rows(spark, sf).where("outcome is not null").select("market_id", "run_name", "first_t").withColumn("part", F.lit("all"))
+def placed(rows: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
+    """market_id, the groups an event is in and its number n there, total; and the groups' columns. Events are one row a market, numbered by ranges."""
+    ev = rows.select("market_id", "run_name", "first_t").withColumn("part", F.lit("all"))
     order = ["first_t", "market_id"]
     if kind == "split":
-        ev, by = validation.split_50_25_25(ev, ["part"], order, 100), ["split"]
+        by, found = ["split"], validation.split_50_25_25(ev, ["part"], order, 100).withColumn("n", F.col("ordinal"))
+        found = found.join(F.broadcast(found.groupBy("split").agg(F.count("*").alias("total"))), "split")
     elif kind == "fold":
         folds = validation.run_folds(ev.select("run_name").distinct(), 2)
-        ev, by = ev.join(F.broadcast(folds), "run_name"), ["fold_id", "split"]
-    elif kind == "latest":
-        back = windows.numbered(ev, ["part"], [F.desc("first_t"), F.desc("market_id")], "back")
-        ev, by = back.where("back < 60"), ["part"]
+        by, found = ["fold_id", "split"], windows.ranged(ev.join(F.broadcast(folds), "run_name"), ["fold_id", "split"], order, total="total")
     else:
         by = ["run_name"] if kind == "run" else ["part"]
-    out = windows.numbered(ev, by, order).select("market_id", *by, F.col("n").cast("long").alias("n"))
-    return out.withColumn("total", F.count("*").over(Window.partitionBy(*by))), by
+        found = windows.ranged(ev, by, order, total="total")
+        if kind == "latest":
+            found = found.withColumn("n", F.col("n") - F.greatest(F.lit(0), F.col("total") - 60)).where("n >= 0").withColumn("total", F.least(F.lit(60).cast("long"), "total"))
+    return found.select("market_id", *by, F.col("n").cast("long").alias("n"), F.col("total").cast("long").alias("total")), by
 
 
-def strategy_metrics(spark: SparkSession, sf: str, kind: str, signals: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+def strategy_metrics(rows: DataFrame, kind: str, signals: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
     """Metrics of each strategy (column rule) in each group, its capital restarted and its events numbered anew; strategies without a trade have a row too."""
-    ev, by = placed(spark, sf, kind)
+    ev, by = placed(rows, kind)
+    ev = cut(ev)
     mild = F.col("rule") == "mix_active"
-    rows = signals.select("market_id", "rule", "fraction", "price", "size", "unit_pnl").join(ev, "market_id")
-    rows = rows.withColumns({"quota": F.when(mild, 14).otherwise(10), "wait": F.when(mild, 6).otherwise(8)})
-    log = capital.trade_log(rows, [*by, "rule"], ["n"], quota=F.col("quota"), cooldown=F.col("wait"))
-    groups = joins.gridded(ev.select(*by, "total").distinct(), "rule", names)
-    return capital.path_metrics(log, groups, [*by, "rule"], _SIZES, 288), by
+    fired = signals.select("market_id", "rule", "fraction", "price", "size", "unit_pnl").join(ev, "market_id")
+    fired = fired.withColumns({"quota": F.when(mild, 14).otherwise(10), "wait": F.when(mild, 6).otherwise(8)})
+    log = cut(capital.trade_log(fired, [*by, "rule"], ["n"], quota=F.col("quota"), cooldown=F.col("wait")))
+    groups = cut(joins.gridded(ev.select(*by, "total").distinct(), "rule", names))
+    return cut(capital.path_metrics(log, groups, [*by, "rule"], _SIZES, 288)), by
 
 
 _EVENTS = {
@@ -603,7 +612,8 @@ def _exact(m: DataFrame) -> DataFrame:
 
 
 def _static_metrics(spark: SparkSession, sf: str, kind: str) -> tuple[DataFrame, list[str]]:
-    m, by = strategy_metrics(spark, sf, kind, signal_rows(spark, sf, rules.registry()), sorted(rules.REGISTRY))
+    rows = event_rows(spark, sf)
+    m, by = strategy_metrics(rows, kind, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY))
     return _exact(m), by
 
 
@@ -679,9 +689,9 @@ def run_folds(spark, sf):
     return validation.run_folds(validation.complete_runs(coverage(spark, sf)).where("is_complete"), 3)
 
 
-def fold_metrics(spark: SparkSession, sf: str, signals: DataFrame, names: list[str]) -> DataFrame:
+def fold_metrics(rows: DataFrame, signals: DataFrame, names: list[str]) -> DataFrame:
     """fold_id, split, strategy, family, metrics and the validation score."""
-    m, by = strategy_metrics(spark, sf, "fold", signals, names)
+    m, by = strategy_metrics(rows, "fold", signals, names)
     m = _exact(m).withColumn("total_return", F.round("total_return", 9)).withColumnRenamed("rule", "strategy")
     return scoring.walk_forward_score(m, by).withColumn("score", F.round("score", 9))
 
@@ -692,7 +702,8 @@ _WF_SQL = _metrics_sql("fold", rules.registry()) + _WF_SCORED
 
 @query(_WF_SQL + f" SELECT CAST(fold_id AS BIGINT) AS fold_id, split, strategy, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'worst_48', 'score')} FROM sc SEMI JOIN best USING (fold_id, strategy)")
 def walk_forward_select(spark, sf):
-    m = fold_metrics(spark, sf, signal_rows(spark, sf, rules.registry()), sorted(rules.REGISTRY))
+    rows = event_rows(spark, sf)
+    m = fold_metrics(rows, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY))
     return validation.selected(m, "score").select("fold_id", "split", "strategy", *n("trades"), *d("total_return", "max_drawdown", "worst_48", "score"))
 
 
@@ -701,7 +712,8 @@ _ROLLUP = ("avg_return", "median_return", "min_return", "share_positive", "avg_d
 
 @query(_WF_SQL + f", tr2 AS (SELECT strategy, count(DISTINCT fold_id) AS folds, avg(total_return) AS avg_return, median(total_return) AS median_return, min(total_return) AS min_return, avg(CASE WHEN total_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share_positive, avg(max_drawdown) AS avg_drawdown, max(max_drawdown) AS max_drawdown, avg(profit_factor) AS profit_factor FROM sc WHERE split = 'test' GROUP BY strategy), cn AS (SELECT strategy, count(*) AS selected FROM best GROUP BY strategy), ro AS (SELECT 1 AS one, tr2.*, coalesce(selected, 0) AS selected FROM tr2 LEFT JOIN cn USING (strategy)) SELECT strategy, CAST(folds AS BIGINT) AS folds, {', '.join(f'round({c}, 6) AS {c}' for c in _ROLLUP)}, CAST(selected AS BIGINT) AS selected, round({_ranked_sql('test', 'one')}, 6) AS score FROM ro")
 def walk_forward_rollup(spark, sf):
-    m = fold_metrics(spark, sf, signal_rows(spark, sf, rules.registry()), sorted(rules.REGISTRY))
+    rows = event_rows(spark, sf)
+    m = fold_metrics(rows, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY))
     t = validation.test_rollup(m, validation.selected(m, "score")).withColumn("one", F.lit(1))
     return scoring.rank_score(t, scoring.SCORES["test"], ["one"]).select("strategy", *n("folds"), *d(*_ROLLUP), *n("selected"), *d("score"))
 
@@ -837,7 +849,7 @@ def capital_trade_log(spark, sf):
 
 
 def _dynamic_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = windows.backoff_mean(label_rows(spark, sf).where("outcome is not null"), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
+    rows = windows.backoff_mean(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
     rows = rules.with_base_health(rows.withColumn("q_down", 1.0 - F.col("q_up")), ["run_name"], ["first_t", "market_id"])
     return rules.signals(rows, rules.DYNAMIC, ["market_id"])
 
@@ -866,7 +878,7 @@ _SEEN = f""", c AS ({_MICRO_ROWS}), w AS (SELECT *, power(2.0::DOUBLE, (row_numb
 
 def _state_query(name: str, robust: bool) -> None:
     def run(spark, sf):
-        rows = rules.candidate_state(rules.micro_candidates(label_rows(spark, sf).where("outcome is not null"), ["market_id", "run_name", "first_t"]))
+        rows = rules.candidate_state(rules.micro_candidates(event_rows(spark, sf), ["market_id", "run_name", "first_t"]))
         best = rules.state_selected(rows, ["run_name"], ["first_t", "market_id"], ["market_id"], ["state"], robust=robust)
         return best.select("market_id", "micro", "side", "minute", *d("mean_pnl"), *n("support"))
 
@@ -900,7 +912,7 @@ def _switch_sql() -> str:
 @query(_switch_sql())
 def fair_switch(spark, sf):
     order = ["first_t", "market_id"]
-    rows = label_rows(spark, sf).where("outcome is not null").withColumn("lost", 1.0 - F.col("outcome"))
+    rows = event_rows(spark, sf).withColumn("lost", 1.0 - F.col("outcome"))
     rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", rules.SWITCH_UP, 20, 12, "q_up")
     rows = windows.ew_backoff_mean(rows, ["run_name"], order, "lost", rules.SWITCH_DOWN, 20, 12, "q_down")
     best = rules.fair_switch(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_up_n", "q_down", "q_down_n")
@@ -915,7 +927,7 @@ def _with_q(sql_tail: str) -> str:
 
 
 def _q_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = windows.backoff_mean(label_rows(spark, sf).where("outcome is not null"), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
+    rows = windows.backoff_mean(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
     return rows.withColumn("q_down", 1.0 - F.col("q_up"))
 
 
@@ -944,16 +956,16 @@ def model_rule_predicates(spark, sf):
 _INPUTS = ["m1", "m2", "m4", "prob0", "prob2", "pm", "up2", "dn2", "usz2", "dsz2", "imb", "sell_imb", "dep", "bpu", "bp", "spread", "spread_dn", "overround", "n_early", "trades2", "vol", "eff", "drawdown", "high_move"]
 
 
-def logit_rows(spark: SparkSession, sf: str) -> DataFrame:
+def logit_rows(events: DataFrame) -> DataFrame:
     """Labelled events with q_up and q_down of the walk-forward regression: refitted every 30 events on the 1,400 before, from 120 on, weights halving in 250."""
-    rows = windows.numbered(label_rows(spark, sf).where("outcome is not null").withColumn("part", F.lit("all")), ["part"], ["first_t", "market_id"])
+    rows = windows.ranged(events.withColumn("part", F.lit("all")), ["part"], ["first_t", "market_id"])
     scored = models.walk_forward_logit(rows, ["part"], "n", "outcome", _INPUTS, every=30, warm_up=120, lookback=1400, half_life=250)
     return scored.withColumnRenamed("q", "q_up").withColumn("q_down", 1.0 - F.col("q_up")).drop("n", "part")
 
 
 @query()
 def model_rule_signals(spark, sf):
-    rows = logit_rows(spark, sf)
+    rows = cut(logit_rows(event_rows(spark, sf)))
     fired = rules.signals(rows, rules.MODEL, ["market_id", "q_up"]).select("market_id", "q_up", "rule", "side", "minute", "price")
     found = rules.micro_candidates(rows, ["market_id"])
     chosen = [rules.edge_selected(found, ["market_id"], "q_up", margin, cap).withColumn("rule", F.lit(f"logit_{name}")) for name, margin, cap in _EDGES]
@@ -965,15 +977,16 @@ def model_rule_signals(spark, sf):
 def walk_forward_models(spark, sf):
     """Walk-forward selection over the whole registry, model rules included."""
     key = ["market_id", "run_name", "first_t", "session", "outcome"]
-    both = signal_rows(spark, sf, rules.registry()).unionByName(rules.signals(logit_rows(spark, sf), [r for r in rules.MODEL if r.name in rules.MODEL_REGISTRY], key))
-    m = fold_metrics(spark, sf, both, sorted((*rules.REGISTRY, *rules.MODEL_REGISTRY)))
+    rows = event_rows(spark, sf)
+    both = signal_rows(spark, sf, rules.registry(), rows).unionByName(rules.signals(logit_rows(rows), [r for r in rules.MODEL if r.name in rules.MODEL_REGISTRY], key))
+    m = fold_metrics(rows, both, sorted((*rules.REGISTRY, *rules.MODEL_REGISTRY)))
     return validation.selected(m, "score").select("fold_id", "split", "strategy", *n("trades"), *d("total_return", "max_drawdown", "score"))
 
 
 @query()
 def model_value_signals(spark, sf):
     """Base rate, regression and forest of the first 70 % against the prices of the rest, with and without a buffer."""
-    rows = validation.time_split(label_rows(spark, sf).where("outcome is not null and m2 is not null"), ["run_name"], ["first_t", "market_id"])
+    rows = validation.time_split(event_rows(spark, sf).where("m2 is not null"), ["run_name"], ["first_t", "market_id"])
     columns = ["m2", "prob2", "imb", "eff", "vol"]
     filled = models.median_imputed(rows, columns, "train")
     scored = models.compared_models(filled, "train", "outcome", [c for c in columns if c in filled.columns], trees=300)
@@ -1002,7 +1015,7 @@ def _regime_sql() -> str:
 
 @query(_regime_sql())
 def regime_value_signals(spark, sf):
-    rows = label_rows(spark, sf).where("outcome is not null").withColumn("lost", 1.0 - F.col("outcome"))
+    rows = event_rows(spark, sf).withColumn("lost", 1.0 - F.col("outcome"))
     for name, bucket, y in (("q_up", "up_bucket", "outcome"), ("q_down", "down_bucket", "lost")):
         rows = windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], y, _regime_levels(bucket), name=name)
     return rules.signals(rows, rules.REGIME_VALUE, ["market_id"]).select("market_id", "rule", "side", *d("price", "unit_pnl"))
@@ -1023,8 +1036,9 @@ _GRID = [r for r in rules.catalogue() if r.family == "session" or r.name in ("co
 )
 def sizing_grid(spark, sf):
     """Session, gate and combo rules times four sizes: 8 trades in 48 events (6 when guarded), combos wait 6 events after two losses."""
-    ev, _ = placed(spark, sf, "part")
-    rows = joins.gridded(signal_rows(spark, sf, _GRID), "sizing", list(rules.SIZES)).join(ev.select("market_id", "n"), "market_id")
+    events = event_rows(spark, sf)
+    ev, _ = placed(events, "part")
+    rows = joins.gridded(signal_rows(spark, sf, _GRID, events), "sizing", list(rules.SIZES)).join(ev.select("market_id", "n"), "market_id")
     rows = rows.withColumns({"quota": F.when(F.col("rule") == "combo_guarded", 6).otherwise(8), "wait": F.when(F.col("rule").startswith("combo"), 6).otherwise(0)})
     return capital.capital_fold(rows, ["rule", "sizing"], ["n"], fraction="sizing", quota=F.col("quota"), window=48, cooldown=F.col("wait")).select("rule", "sizing", *n("trades"), *d("ending"))
 
@@ -1045,9 +1059,9 @@ def _selector_sql() -> str:
 @query(_selector_sql())
 def selector_fold(spark, sf):
     """The fair-value selector's choices from event 40 on, 10 % of the capital each."""
-    ev, _ = placed(spark, sf, "part")
+    rows = event_rows(spark, sf)
+    ev, _ = placed(rows, "part")
     order = ["first_t", "market_id"]
-    rows = label_rows(spark, sf).where("outcome is not null")
     rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", _LEVELS).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
     best = rules.best_micro(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_n", "q_down", "q_n")
     trades = best.join(ev.select("market_id", "n"), "market_id").where("n >= 40").withColumns({"fraction": F.lit(0.10), "part": F.lit("all")})
@@ -1064,8 +1078,9 @@ def selector_fold(spark, sf):
     )
 )
 def event_return_windows(spark, sf):
-    events = joins.gridded(feature_rows(spark, sf).where("outcome is not null").select("market_id", "run_name", "first_t"), "rule", sorted({r.name for r in _BASE}))
-    fired = signal_rows(spark, sf, _BASE).withColumn("r", F.col("fraction") * F.col("unit_pnl") / F.col("price"))
+    rows = event_rows(spark, sf)
+    events = joins.gridded(rows.select("market_id", "run_name", "first_t"), "rule", sorted({r.name for r in _BASE}))
+    fired = signal_rows(spark, sf, _BASE, rows).withColumn("r", F.col("fraction") * F.col("unit_pnl") / F.col("price"))
     dense = capital.event_returns(events, fired, ["market_id", "rule"], "r")
     out = windows.sliding_compound(dense, ["rule", "run_name"], ["first_t", "market_id"], "r", 48)
     return out.select("rule", "run_name", *n("n_windows"), *d("worst", "active_rate"))
@@ -1091,30 +1106,28 @@ _RAW = ("buy_up_cents", "sell_up_size", "trade_count_1s", "final_price")
 
 
 @query("""WITH e AS (SELECT event_id, epoch_us(ts) AS t, CAST(json_extract_string(props, '$.k') AS INT) AS k, 1 + user_id % 3 AS half, event_type, value, CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) * 3600 AS hs, 'run-' || CAST(CAST(floor((day(ts) + 6) / 7) AS INT) AS VARCHAR) AS run_name FROM events)
- SELECT run_name, 'm-' || CAST(hs + 3600 AS VARCHAR) AS slug, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts_iso, CAST(least(99, k + half) AS DOUBLE) AS buy_up_cents, CASE WHEN event_id % 11 <> 0 THEN CAST(40 + (event_id * 29) % 600 AS DOUBLE) END AS sell_up_size, CAST(event_id % 9 AS DOUBLE) AS trade_count_1s, round(value, 6) AS final_price
+ SELECT run_name, 'm-' || CAST(hs + 3600 AS VARCHAR) AS slug, strftime(make_timestamp(t), '%Y-%m-%dT%H:%M:%S') || '+00:00' AS ts_iso, CAST(least(99, k + half) AS DOUBLE) AS buy_up_cents, CASE WHEN event_id % 11 <> 0 THEN CAST(40 + (event_id * 29) % 600 AS DOUBLE) END AS sell_up_size,
+ CASE WHEN hs // 3600 % 3 <> 0 THEN CAST(event_id % 9 AS DOUBLE) END AS trade_count_1s, round(value + CASE WHEN event_id % 10 = 0 THEN 5 ELSE 0 END, 6) AS final_price
  FROM e QUALIFY row_number() OVER (PARTITION BY run_name, hs, t ORDER BY event_type DESC, event_id DESC) = 1""")
 def scan_runs(spark, sf):
-    """Quotes written as CSV files, a folder for each run with text numbers, padded headers, other names, blank and repeated rows, then scanned, named, typed and cleaned."""
-    from ..sources import tables as sources
-
+    """Quotes written as CSV files, a folder for each run, with text numbers, padded headers, other names, blank rows, and rows of a time that stand again further down; every third market's files have their columns in another order, one less and one more. They are scanned by name, typed and cleaned."""
     raw = X.raw_quotes(spark, sf).select("run_name", "slug", "ts_iso", "ord", *_RAW, F.when(F.col("source_file") == "aa.csv", "a").otherwise("b").alias("layer"))
-    once = raw.where("layer = 'b'").withColumn("rank", F.row_number().over(Window.partitionBy("run_name", "slug", "ts_iso").orderBy(F.desc("ord")))).where("rank = 1").drop("rank")
-    repeated = once.unionByName(once.where("ord % 10 = 0"))
-    blank = once.where("ord % 50 = 0").select("run_name", *(F.lit(None).cast("string").alias(c) for c in once.columns if c != "run_name"))
-    out = repeated.select(*(F.col(c).cast("string").alias(c) for c in repeated.columns)).unionByName(blank).drop("layer", "ord")
-    at = f"{_scratch(spark)}/quotes"
-    sources.written(out.toDF(*(f" {c} " if c in _RAW else {"slug": "Slug"}.get(c, c) for c in out.columns)), at, "csv", ["run_name"])
-    scanned = quotes.aliased(quotes.trimmed_headers(sources.run_files(spark, at)), {"slug": ["slug"]})
-    cleaned = sources.merged_run(quotes.with_columns(scanned, ["level_count_bid_up"]))
-    return cleaned.select("run_name", "slug", "ts_iso", *d(*_RAW))
-
-
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where that is unset."""
-    import uuid
-
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{at.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    once = raw.where("layer = 'b'").withColumn("rank", F.row_number().over(Window.partitionBy("run_name", "slug", "ts_iso").orderBy(F.desc("ord")))).where("rank = 1").drop("rank", "layer")
+    again = once.where("ord % 10 = 0").withColumn("final_price", F.col("final_price") + 5)
+    lines = once.withColumn("place", F.lit(0)).unionByName(again.withColumn("place", F.lit(1)))
+    lines = lines.withColumn("third", (F.element_at(F.split("slug", "-"), -1).cast("long") - 3600) / 3600 % 3 == 0)
+    blank = lines.where("ord % 50 = 0").select("run_name", "place", "third", *(F.lit(None).cast("string").alias(c) for c in lines.columns if c not in ("run_name", "place", "third")))
+    lines = cut(lines.select("run_name", "place", "third", *(F.col(c).cast("string").alias(c) for c in lines.columns if c not in ("run_name", "place", "third"))).unionByName(blank))
+    with scratch(spark) as at:
+        for third, columns in ((False, ["slug", "ts_iso", *_RAW]), (True, ["note", *reversed(_RAW), "ts_iso", "slug"])):
+            chosen = lines.where(F.col("third") == third).withColumn("note", F.concat(F.lit("n"), F.col("ord"))).drop(*(["trade_count_1s"] if third else []))
+            # a run's rows in one file, in order: what stands again comes last
+            chosen = chosen.repartition("run_name").sortWithinPartitions("run_name", "place")
+            chosen = chosen.select("run_name", *(F.col(c).alias(f" {c} " if c in _RAW else {"slug": "Slug"}.get(c, c)) for c in columns if c in chosen.columns))
+            sources.written(chosen, f"{at}/{'third' if third else 'rest'}", "csv", ["run_name"])
+        scanned = quotes.aliased(sources.run_files(spark, at), {"slug": ["slug"]})
+        cleaned = sources.merged_run(quotes.with_columns(scanned, ["level_count_bid_up"]))
+        return cut(cleaned.select("run_name", "slug", "ts_iso", *d(*_RAW)))
 
 
 @query("""WITH b AS (SELECT event_id, epoch_us(ts) AS t, value FROM events), p AS (SELECT event_id, t FROM b WHERE event_id % 3 = 0), x AS (SELECT t, value, row_number() OVER (PARTITION BY t ORDER BY event_id DESC) AS rn FROM b WHERE event_id % 5 = 1), y AS (SELECT t, value * 2 AS value, row_number() OVER (PARTITION BY t ORDER BY event_id DESC) AS rn FROM b WHERE event_id % 7 = 2),
@@ -1122,19 +1135,17 @@ def _scratch(spark: SparkSession) -> str:
  SELECT j.event_id, spot__value, CASE WHEN j.t - y.t <= 300000000 THEN round(y.value, 6) END AS vol__value, 'spot:merged,vol:merged,other:missing: value' AS status FROM j ASOF LEFT JOIN (SELECT * FROM y WHERE rn = 1) y ON j.t >= y.t""")
 def provider_merge(spark, sf):
     """Provider series written as CSV (one with ts_utc, one with timestamp, one without its value) and merged as of each event within five minutes."""
-    from ..sources import tables as sources
-
     e = X.read(spark, sf, "events").select("event_id", "value", F.expr("cast(ts as string)").alias("time"), F.expr("unix_micros(cast(ts as timestamp))").alias("t"))
     last = Window.partitionBy("t").orderBy(F.desc("event_id"))
     found = {}
-    for name, step, at, time, factor in (("spot", 5, 1, "ts_utc", 1), ("vol", 7, 2, "timestamp", 2), ("other", 50, 3, "timestamp", 1)):
-        series = e.where(F.col("event_id") % step == at).withColumn("r", F.row_number().over(last)).where("r = 1")
-        path = f"{_scratch(spark)}/{name}.csv"
-        sources.written(series.select(F.col("time").alias(time), (F.col("value") * factor).alias("value" if name != "other" else "amount")), path, "csv")
-        loaded = sources.provider_series(spark, path).withColumn("t", F.unix_micros("ts_utc"))
-        found[name] = (loaded, ["value"])
-    merged, status = joins.asof_many(e.where("event_id % 3 = 0").select("event_id", "t"), found, [], "t", "t", 300_000_000)
-    return merged.select("event_id", *d("spot__value", "vol__value"), F.lit(",".join(f"{a}:{b}" for a, b in status)).alias("status"))
+    with scratch(spark) as folder:
+        for name, step, at, time, factor in (("spot", 5, 1, "ts_utc", 1), ("vol", 7, 2, "timestamp", 2), ("other", 50, 3, "timestamp", 1)):
+            series = e.where(F.col("event_id") % step == at).withColumn("r", F.row_number().over(last)).where("r = 1")
+            path = f"{folder}/{name}.csv"
+            sources.written(series.select(F.col("time").alias(time), (F.col("value") * factor).alias("value" if name != "other" else "amount")), path, "csv")
+            found[name] = (sources.provider_series(spark, path).withColumn("t", F.unix_micros("ts_utc")), ["value"])
+        merged, status = joins.asof_many(e.where("event_id % 3 = 0").select("event_id", "t"), found, [], "t", "t", 300_000_000)
+        return cut(merged.select("event_id", *d("spot__value", "vol__value"), F.lit(",".join(f"{a}:{b}" for a, b in status)).alias("status")))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, '{kind}' AS category, '{text}' AS meaning, (SELECT CAST(count({c}) AS BIGINT) FROM f) AS n" for c, kind, text in features.catalogue() if c not in ("volume2",)).join((f"WITH {X.FEATURES} ", "")))
@@ -1148,10 +1159,22 @@ def feature_catalogue(spark, sf):
 @query(with_rows(X.QUOTES, f"SELECT run_name, CAST(count(*) FILTER (WHERE event_id_null IS NULL) AS BIGINT) AS rows, CAST(count(DISTINCT slug) AS BIGINT) AS markets FROM (SELECT *, NULL AS event_id_null FROM p) GROUP BY run_name"))
 def run_metadata(spark, sf):
     """Counts of each run written as JSON and as Parquet, and read back."""
-    from ..sources import tables as sources
-
     q = prepared(spark, sf)
-    at = _scratch(spark)
-    sources.metadata_written(q.groupBy("run_name").agg(F.count("*").alias("rows"), F.countDistinct("slug").alias("markets")), f"{at}/meta")
-    sources.written(spark.read.json(f"{at}/meta"), f"{at}/table")
-    return sources.loaded(spark, f"{at}/table").select("run_name", *n("rows", "markets"))
+    with scratch(spark) as at:
+        sources.metadata_written(q.groupBy("run_name").agg(F.count("*").alias("rows"), F.countDistinct("slug").alias("markets")), f"{at}/meta")
+        sources.written(spark.read.json(f"{at}/meta"), f"{at}/table")
+        return cut(sources.loaded(spark, f"{at}/table").select("run_name", *n("rows", "markets")))
+
+
+@query("""WITH v AS (SELECT event_id, epoch_us(ts) / 1e6::DOUBLE AS t, value FROM events), p AS (SELECT * FROM v WHERE event_id % 4 = 0),
+ i AS (SELECT l_orderkey * 8 + l_linenumber AS id, 1704067200 + (l_partkey * 7919 + l_linenumber * 104729 + l_orderkey * 31) % 2592000 AS lo, CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) * CAST(pow(3, l_linenumber - 1) AS BIGINT) END AS len FROM lineitem)
+ SELECT id, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM i JOIN p ON p.t > i.lo AND p.t <= i.lo + i.len GROUP BY id""")
+def interval_index(spark, sf):
+    """Quotes within each line's stretch of time (seconds to hours, some empty): as many intervals as the table has lines."""
+    points = X.read(spark, sf, "events").where("event_id % 4 = 0").select((X.micros("ts") / 1e6).alias("t"), "value")
+    line = F.col("l_linenumber")
+    lo = 1704067200 + (F.col("l_partkey") * 7919 + line * 104729 + F.col("l_orderkey") * 31) % 2592000
+    length = F.when(line == 7, 0).otherwise(F.col("l_quantity").cast("long") * F.pow(F.lit(3), line - 1).cast("long"))
+    intervals = X.read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + line).alias("id"), lo.alias("lo"), (lo + length).alias("hi"))
+    met = joins.in_intervals(points, "t", intervals, "lo", "hi")
+    return met.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
