@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -391,16 +391,18 @@ def with_base_health(events: DataFrame, series: list[str], order: list[str], las
     return events.where(~drop).unionByName(base, allowMissingColumns=True)
 
 
-def state_selected(candidates: DataFrame, series: list[str], order: list[str], key: list[str], state: list[str], unit_pnl: str = "unit_pnl", half_life: float = 25, least: int = 12, robust: bool = False) -> DataFrame:
+def state_selected(candidates: DataFrame, series: list[str], order: list[str], key: list[str], state: list[str], unit_pnl: str = "unit_pnl", half_life: float = 25, least: int = 12, robust: bool = False, chunk: Column | None = None) -> DataFrame:
     """Per event the candidate whose state had the best exponentially weighted profit so far, if that is above 0.
 
     History is the earlier candidates of the same micro-trade in the same state.
     The robust form asks for 20 of them, 55 % won and 2 cents, and rewards support.
     """
-    from .windows import ew_mean
+    from .windows import backoff_mean, ew_mean
 
-    before = Window.partitionBy(*series, "micro", *state).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = ew_mean(candidates.where(F.col(state[0]).isNotNull()), [*series, "micro", *state], order, unit_pnl, half_life, "mean_pnl").withColumn("won", F.avg((F.col(unit_pnl) > 0).cast("double")).over(before))
+    known = candidates.where(F.col(state[0]).isNotNull()).withColumn("_won", (F.col(unit_pnl) > 0).cast("double"))
+    seen = ew_mean(known, [*series, "micro", *state], order, unit_pnl, half_life, "mean_pnl", chunk)
+    if robust:
+        seen = backoff_mean(seen, [*series, "micro", *state], order, "_won", [[]], 1, "won", chunk)
     support = F.col("mean_pnl_n")
     seen = seen.where((support >= least) & (F.col("mean_pnl") > 0)).withColumn("score", F.col("mean_pnl"))
     if robust:

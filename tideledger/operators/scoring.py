@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import percent_rank
+from ..sources.shared import cut
+from .windows import running
 
 
 @dataclass(frozen=True)
@@ -34,12 +35,40 @@ SCORES = {
 
 def rank_score(df: DataFrame, parts: tuple[Part, ...], partition: list[str], name: str = "score") -> DataFrame:
     """Adds the weighted sum of percent ranks within the partition; a missing column's fill ranks in its place."""
-    total = F.lit(0.0)
-    for p in parts:
-        x = F.col(p.column).cast("double")
-        x = F.coalesce(x, F.lit(float(p.fill))) if p.fill is not None else x
-        total = total + F.lit(p.weight) * percent_rank(-x if p.better == "low" else x, partition)
-    return df.withColumn(name, total)
+    return rank_scores(df, {name: parts}, partition)
+
+
+def rank_scores(df: DataFrame, scores: dict[str, tuple[Part, ...]], partition: list[str]) -> DataFrame:
+    """Adds each of ``scores`` (name: parts), null where one of its parts is.
+
+    All measures lie in one table of (measure, value): equal values (after
+    rounding to 12 digits) are counted, the counts are summed along each
+    measure's values by ranges, and a value's mid-rank goes back to the rows
+    that have it, so neither a partition nor a value has to fit in a task.
+    """
+    wanted = list(dict.fromkeys((p.column, p.better, p.fill) for parts in scores.values() for p in parts))
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+
+    def value(column: str, better: str, fill: float | None) -> Column:
+        x = F.col(column).cast("double")
+        x = F.coalesce(x, F.lit(float(fill))) if fill is not None else x
+        return F.round(-x if better == "low" else x, 12) + 0.0
+
+    long = rows.select("_row", F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(partition)), F.lit(1).alias("x"))).alias("_group"), F.posexplode(F.array(*(value(*w) for w in wanted))).alias("_part", "_v"))
+    long = long.where("_v is not null")
+    counts = running(long.groupBy("_group", "_part", "_v").agg(F.count("*").alias("_c")), ["_group", "_part"], ["_v"], {"_upto": "_c"}, {"_all": "_c"})
+    ranks = long.join(counts, ["_group", "_part", "_v"]).select("_row", "_part", ((F.col("_upto") - (F.col("_c") - 1) / 2.0) / F.col("_all")).alias("_rank"))
+    place = {w: i for i, w in enumerate(wanted)}
+    totals = []
+    for name, parts in scores.items():
+        weights = [F.when(F.col("_part") == place[p.column, p.better, p.fill], F.lit(p.weight) * F.col("_rank")) for p in parts]
+        there = F.lit(True)
+        total = F.lit(0.0)
+        for w in weights:
+            there, total = there & (F.count(w) > 0), total + F.sum(w)
+        totals.append(F.when(there, total).alias(name))
+    found = ranks.groupBy("_row").agg(*totals)
+    return rows.drop(*scores).join(found, "_row", "left").drop("_row")
 
 
 def walk_forward_score(df: DataFrame, partition: list[str], name: str = "score") -> DataFrame:

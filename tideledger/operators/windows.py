@@ -35,6 +35,27 @@ def ranged(df: DataFrame, series: list[str], order: list[str], name: str = "n",
     return out.drop("_at", "_range", "_in", "_first", "_base", "_all", *(f"_s{i}" for i in range(len(series))))
 
 
+def running(df: DataFrame, series: list[str], order: list[str], sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """Adds running sums along each series, the row's own included (``sums``: name to column), and sums over all of it (``totals``).
+
+    Rows are dealt by ranges: sums are taken within a range, beside those of the
+    series' ranges before, of which there is a row each.
+    """
+    totals = totals or {}
+    rows = ranged(df, series, order, "_i", stretch="_stretch")
+    within = Window.partitionBy(*series, "_stretch").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    parts = rows.groupBy(*series, "_stretch").agg(*(F.sum(c).alias(f"_p{i}") for i, c in enumerate(sums.values())), *(F.sum(c).alias(f"_t{i}") for i, c in enumerate(totals.values())))
+    every = Window.partitionBy(*series) if series else Window.partitionBy(F.lit(0))
+    before = every.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(series)), F.col("_stretch").alias("_in"), *(F.coalesce(F.sum(f"_p{i}").over(before), F.lit(0)).alias(f"_b{i}") for i in range(len(sums))), *(F.sum(f"_t{i}").over(every).alias(f"_a{i}") for i in range(len(totals))))
+    same = F.col("_stretch") == F.col("_in")
+    for i, c in enumerate(series):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    out = rows.withColumns({name: F.sum(c).over(within) for name, c in sums.items()}).join(bases, same)
+    out = out.withColumns({**{name: F.coalesce(F.col(name), F.lit(0)) + F.col(f"_b{i}") for i, name in enumerate(sums)}, **{name: F.col(f"_a{i}") for i, name in enumerate(totals)}})
+    return out.drop("_i", "_stretch", "_in", *(f"_s{i}" for i in range(len(series))), *(f"_b{i}" for i in range(len(sums))), *(f"_a{i}" for i in range(len(totals))))
+
+
 def autocorrelation(df: DataFrame, series: list[str], order: list[str], y: str, lags: list[int]) -> DataFrame:
     """series, lag, autocorr: correlation of y with itself ``lag`` rows before."""
     along = Window.partitionBy(*series).orderBy(*order)
@@ -67,69 +88,71 @@ def _all_there(keys: list[str]) -> Column:
     return out
 
 
-def backoff_mean(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], least: int = 10, name: str = "q", chunk: Column | None = None) -> DataFrame:
-    """Mean of y over the earlier rows that share a key, from the first level with ``least`` rows; a null key shares with none.
+def _history(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], chunk: Column | None, half_life: float | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a row's number ``_row``, and for each row and level whose keys are there (_row, _level from 1) the count ``_n`` and mean ``_q`` of y over the earlier rows of its key.
 
-    Adds ``name``, its support (``name``_n) and level (``name``_level, 0 if none).
-    ``chunk`` cuts the order into stretches (it never falls along it): sums are
-    then taken in two steps, over the chunks before and within the chunk, so a
-    key with many rows is as many tasks as it has chunks.
+    All levels lie in one table of (row, level), so they share their shuffles.
+    ``chunk`` cuts the order into stretches (it never falls along it): counts,
+    sums and a row's number in its key are taken within the chunk, beside those
+    of the key's chunks before, of which there is a row each; a key with many
+    rows is as many tasks as it has chunks.
+
+    Weights that halve every ``half_life`` rows of the key grow within blocks of
+    60 half-lives and start again: what lies more than a block back weighs less
+    than 2**-60, so a row's sums are those of its block and of the one before.
     """
-    columns = df.columns
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_chunk", F.lit(0) if chunk is None else chunk))
+    keys = [F.when(_all_there(keys), F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate([*series, *keys])), F.lit(1).alias("x")))) for keys in levels]
+    long = rows.select("_row", "_chunk", *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(y).cast("double").alias("_y"), F.posexplode(F.array(*keys)).alias("_level", "_key"))
+    long = long.where("_key is not null").withColumn("_level", F.col("_level") + 1)
+    by, order = ["_level", "_key"], [f"_o{i}" for i in range(len(order))]
+    along = Window.partitionBy(*by, "_chunk").orderBy(*order)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    local = long.withColumns({"_n": F.count("_y").over(before), "_s": F.coalesce(F.sum("_y").over(before), F.lit(0.0)), "_k": F.row_number().over(along) - 1})
+    chunks = long.groupBy(*by, "_chunk").agg(F.count("*").alias("_rows"), F.count("_y").alias("_cn"), F.sum("_y").alias("_cs"))
+    ahead = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*by, "_chunk", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"_b{c}") for c in ("_rows", "_cn", "_cs")))
     if chunk is not None:
-        df = df.withColumn("_chunk", chunk)
-    ok = []
-    for i, keys in enumerate(levels, 1):
-        by = [*series, *keys]
-        within = Window.partitionBy(*by, *(["_chunk"] if chunk is not None else [])).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        df = df.withColumns({f"_n{i}": F.count(y).over(within), f"_s{i}": F.coalesce(F.sum(y).over(within), F.lit(0.0))})
-        if chunk is not None:
-            sums = df.groupBy(*by, "_chunk").agg(F.count(y).alias("_n"), F.sum(y).alias("_s"))
-            before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-            sums = sums.select(*(F.col(c).alias(f"_k{j}") for j, c in enumerate(by)), F.col("_chunk").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_bs"))
-            same = F.col("_chunk") == F.col("_at")
-            for j, c in enumerate(by):
-                same = same & F.col(c).eqNullSafe(F.col(f"_k{j}"))
-            df = df.join(sums, same, "left").withColumns({f"_n{i}": F.col(f"_n{i}") + F.col("_bn"), f"_s{i}": F.col(f"_s{i}") + F.col("_bs")}).drop("_at", "_bn", "_bs", *(f"_k{j}" for j in range(len(by))))
-        ok.append(_all_there(keys) & (F.col(f"_n{i}") >= least))
-    q = F.coalesce(*(F.when(k, F.col(f"_s{i}") / F.col(f"_n{i}")) for i, k in enumerate(ok, 1)))
-    n = F.coalesce(*(F.when(k, F.col(f"_n{i}")) for i, k in enumerate(ok, 1)), F.lit(0))
-    level = F.coalesce(*(F.when(k, i) for i, k in enumerate(ok, 1)), F.lit(0))
-    return df.select(*columns, q.alias(name), n.alias(f"{name}_n"), level.alias(f"{name}_level"))
-
-
-def ew_mean(df: DataFrame, series: list[str], order: list[str], y: str, half_life: float, name: str) -> DataFrame:
-    """Mean of y over a series' earlier rows, weights halving every ``half_life`` rows; adds ``name`` and ``name``_n.
-
-    Weights grow within blocks of 60 half-lives and start again: what lies more
-    than a block back weighs less than 2**-60, so nothing overflows.
-    """
+        local = local.join(chunks, [*by, "_chunk"]).withColumns({"_n": F.col("_n") + F.col("_b_cn"), "_s": F.col("_s") + F.col("_b_cs"), "_k": F.col("_k") + F.col("_b_rows")})
+    if half_life is None:
+        return rows, local.select("_row", "_level", "_n", F.when(F.col("_n") > 0, F.col("_s") / F.col("_n")).alias("_q"))
     size = int(60 * half_life)
-    df = numbered(df, series, order, "_k").withColumn("_b", F.floor(F.col("_k") / size))
+    local = local.select("_row", *by, "_n", "_k", "_y", F.floor(F.col("_k") / size).alias("_b"))
     w = F.pow(F.lit(2.0), (F.col("_k") % size) / F.lit(float(half_life)))
-    df = df.withColumns({"_w": F.when(F.col(y).isNotNull(), w), "_wy": w * F.col(y)})
-    here = Window.partitionBy(*series, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    back = Window.partitionBy(*series).orderBy("_b").rangeBetween(-1, -1)
+    local = local.withColumns({"_w": F.when(F.col("_y").isNotNull(), w), "_wy": w * F.col("_y")})
+    blocks = local.groupBy(*by, (F.col("_b") + 1).alias("_b")).agg(F.sum("_w").alias("_pw"), F.sum("_wy").alias("_pwy"))
+    here = Window.partitionBy(*by, "_b").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    sums = local.withColumns({"_w": F.coalesce(F.sum("_w").over(here), F.lit(0.0)), "_wy": F.coalesce(F.sum("_wy").over(here), F.lit(0.0))}).join(blocks, [*by, "_b"], "left")
+    weight, total = (F.col(c) + F.coalesce(p, F.lit(0.0)) * 2.0**-60 for c, p in (("_w", "_pw"), ("_wy", "_pwy")))
+    return rows, sums.select("_row", "_level", "_n", F.when(weight > 0, total / weight).alias("_q"))
+
+
+def _backed_off(df: DataFrame, history: tuple[DataFrame, DataFrame], least: int, name: str) -> DataFrame:
+    """``df``'s columns with mean, support and level of the first level with ``least`` rows."""
+    rows, found = history
+    first = found.where(F.col("_n") >= least).groupBy("_row").agg(F.min(F.struct("_level", "_q", "_n")).alias("_x"))
+    out = rows.join(first, "_row", "left")
+    return out.select(*df.columns, F.col("_x._q").alias(name), F.coalesce("_x._n", F.lit(0)).alias(f"{name}_n"), F.coalesce("_x._level", F.lit(0)).alias(f"{name}_level"))
+
+
+def backoff_mean(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], least: int = 10, name: str = "q", chunk: Column | None = None) -> DataFrame:
+    """Mean of y over the earlier rows that share a key, from the first level with ``least`` rows; a null key shares with none.
+
+    Adds ``name``, its support (``name``_n) and level (``name``_level, 0 if none).
+    ``chunk`` cuts the order into stretches, so that a key with many rows is many tasks.
+    """
+    return _backed_off(df, _history(df, series, order, y, levels, chunk, None), least, name)
 
-    def total(c: str) -> Column:
-        return F.coalesce(F.sum(c).over(here), F.lit(0.0)) + F.coalesce(F.sum(c).over(back), F.lit(0.0)) * 2.0**-60
 
-    weight = total("_w")
-    every = Window.partitionBy(*series).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumns({name: F.when(weight > 0, total("_wy") / weight), f"{name}_n": F.count(y).over(every)}).drop("_k", "_b", "_w", "_wy")
+def ew_mean(df: DataFrame, series: list[str], order: list[str], y: str, half_life: float, name: str, chunk: Column | None = None) -> DataFrame:
+    """Mean of y over a series' earlier rows, weights halving every ``half_life`` rows; adds ``name`` and ``name``_n. ``chunk`` as in backoff_mean."""
+    rows, found = _history(df, series, order, y, [[]], chunk, half_life)
+    return rows.join(found, "_row").select(*df.columns, F.col("_q").alias(name), F.col("_n").alias(f"{name}_n"))
 
 
-def ew_backoff_mean(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], half_life: float = 20, least: int = 10, name: str = "q") -> DataFrame:
+def ew_backoff_mean(df: DataFrame, series: list[str], order: list[str], y: str, levels: list[list[str]], half_life: float = 20, least: int = 10, name: str = "q", chunk: Column | None = None) -> DataFrame:
     """As backoff_mean, with exponential weights among the rows that share the key."""
-    columns = df.columns
-    for i, keys in enumerate(levels, 1):
-        df = ew_mean(df, [*series, *keys], order, y, half_life, f"_q{i}")
-        df = df.withColumn(f"_ok{i}", _all_there(keys) & (F.col(f"_q{i}_n") >= least))
-    numbers = range(1, len(levels) + 1)
-    q = F.coalesce(*(F.when(F.col(f"_ok{i}"), F.col(f"_q{i}")) for i in numbers))
-    n = F.coalesce(*(F.when(F.col(f"_ok{i}"), F.col(f"_q{i}_n")) for i in numbers), F.lit(0))
-    level = F.coalesce(*(F.when(F.col(f"_ok{i}"), i) for i in numbers), F.lit(0))
-    return df.select(*columns, q.alias(name), n.alias(f"{name}_n"), level.alias(f"{name}_level"))
+    return _backed_off(df, _history(df, series, order, y, levels, chunk, half_life), least, name)
 
 
 def rolling_health(trades: DataFrame, series: list[str], order: list[str], pnl: str, last: int = 20, least: int = 8) -> DataFrame:

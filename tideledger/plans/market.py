@@ -361,6 +361,13 @@ def model_trade_metrics(spark, sf):
 
 #: A week: stretches in which expanding sums are taken.
 _CHUNK_US = 7 * 86_400_000_000
+
+
+def _week() -> Column:
+    """The stretch of time that history is summed in."""
+    return F.floor(F.col("first_t") / _CHUNK_US)
+
+
 _LEVELS = [["regime", "move_bucket", "up_bucket"], ["regime", "imb_sign"], ["regime"], []]
 
 
@@ -379,7 +386,7 @@ def _backoff_sql(levels: list | None = None, y: str = "outcome") -> str:
 @query(_backoff_sql())
 def backoff_mean(spark, sf):
     rows = event_rows(spark, sf)
-    return windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, chunk=F.floor(F.col("first_t") / _CHUNK_US)).select("market_id", *d("q"), *n("q_n"), "q_level")
+    return windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, chunk=_week()).select("market_id", *d("q"), *n("q_n"), "q_level")
 
 
 def _ew_sql(levels: list[list[str]], table: str, series: str, key: str, order: str, y: str, half_life: int, z: str = "z", least: int = 10) -> str:
@@ -397,7 +404,7 @@ def _ew_sql(levels: list[list[str]], table: str, series: str, key: str, order: s
 @query(with_rows(X.LABELS + ", r AS (SELECT * FROM l WHERE outcome IS NOT NULL)", _ew_sql(_LEVELS, "r", "run_name", "market_id", "first_t, market_id", "outcome", 20)))
 def ew_backoff_mean(spark, sf):
     rows = event_rows(spark, sf)
-    return windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS).select("market_id", *d("q"), *n("q_n"), "q_level")
+    return windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, chunk=_week()).select("market_id", *d("q"), *n("q_n"), "q_level")
 
 
 _BASE = [r for r in rules.catalogue() if r.name in ("drop_all", "classic_up", "m2_flat_down", "switch_1", "mix_active", "mix_adaptive", "momentum_down", "breakout_asia", "entry3_drop10", "mom_up_30", "trend_down")]
@@ -453,7 +460,7 @@ def _fair_sql() -> str:
 @query(_fair_sql())
 def fair_value_selector(spark, sf):
     rows = event_rows(spark, sf)
-    rows = windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
+    rows = windows.ew_backoff_mean(rows, ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, chunk=_week()).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
     best = rules.best_micro(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_n", "q_down", "q_n")
     return best.select("market_id", "micro", "side", "minute", *d("edge", "score"))
 
@@ -639,8 +646,7 @@ def score_tables(spark, sf):
     """Strategies that traded (the robustness merge leaves the others out) with the six scores and their goal flags."""
     m, by = _static_metrics(spark, sf, "part")
     m = m.where("trades > 0")
-    for name, z in _TABLES.items():
-        m = scoring.rank_score(m, _scaled(name), by, z)
+    m = scoring.rank_scores(m, {z: _scaled(name) for name, z in _TABLES.items()}, by)
     flags = {"calm": F.col("max_drawdown") < 0.30, "never_down": F.col("worst_48") > 0, "always_over_10": F.col("worst_144") > 0.10, "recent_up": F.col("recent_return") > 0}
     return m.select("rule", *n("trades"), *d("ending", "max_drawdown", "worst_144", "share_over_10_144", "active_144", "p10_return", "recent_return", *_TABLES.values()), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
 
@@ -849,7 +855,7 @@ def capital_trade_log(spark, sf):
 
 
 def _dynamic_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = windows.backoff_mean(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
+    rows = windows.backoff_mean(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up", chunk=_week())
     rows = rules.with_base_health(rows.withColumn("q_down", 1.0 - F.col("q_up")), ["run_name"], ["first_t", "market_id"])
     return rules.signals(rows, rules.DYNAMIC, ["market_id"])
 
@@ -879,7 +885,7 @@ _SEEN = f""", c AS ({_MICRO_ROWS}), w AS (SELECT *, power(2.0::DOUBLE, (row_numb
 def _state_query(name: str, robust: bool) -> None:
     def run(spark, sf):
         rows = rules.candidate_state(rules.micro_candidates(event_rows(spark, sf), ["market_id", "run_name", "first_t"]))
-        best = rules.state_selected(rows, ["run_name"], ["first_t", "market_id"], ["market_id"], ["state"], robust=robust)
+        best = rules.state_selected(rows, ["run_name"], ["first_t", "market_id"], ["market_id"], ["state"], robust=robust, chunk=_week())
         return best.select("market_id", "micro", "side", "minute", *d("mean_pnl"), *n("support"))
 
     run.__name__ = name
@@ -913,8 +919,8 @@ def _switch_sql() -> str:
 def fair_switch(spark, sf):
     order = ["first_t", "market_id"]
     rows = event_rows(spark, sf).withColumn("lost", 1.0 - F.col("outcome"))
-    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", rules.SWITCH_UP, 20, 12, "q_up")
-    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "lost", rules.SWITCH_DOWN, 20, 12, "q_down")
+    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", rules.SWITCH_UP, 20, 12, "q_up", _week())
+    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "lost", rules.SWITCH_DOWN, 20, 12, "q_down", _week())
     best = rules.fair_switch(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_up_n", "q_down", "q_down_n")
     return best.select("market_id", "mode", "micro", "side", "minute", *d("edge", "score"))
 
@@ -927,7 +933,7 @@ def _with_q(sql_tail: str) -> str:
 
 
 def _q_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = windows.backoff_mean(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up")
+    rows = windows.backoff_mean(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"], "outcome", _LEVELS, name="q_up", chunk=_week())
     return rows.withColumn("q_down", 1.0 - F.col("q_up"))
 
 
@@ -1017,7 +1023,7 @@ def _regime_sql() -> str:
 def regime_value_signals(spark, sf):
     rows = event_rows(spark, sf).withColumn("lost", 1.0 - F.col("outcome"))
     for name, bucket, y in (("q_up", "up_bucket", "outcome"), ("q_down", "down_bucket", "lost")):
-        rows = windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], y, _regime_levels(bucket), name=name)
+        rows = windows.backoff_mean(rows, ["run_name"], ["first_t", "market_id"], y, _regime_levels(bucket), name=name, chunk=_week())
     return rules.signals(rows, rules.REGIME_VALUE, ["market_id"]).select("market_id", "rule", "side", *d("price", "unit_pnl"))
 
 
@@ -1062,7 +1068,7 @@ def selector_fold(spark, sf):
     rows = event_rows(spark, sf)
     ev, _ = placed(rows, "part")
     order = ["first_t", "market_id"]
-    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", _LEVELS).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
+    rows = windows.ew_backoff_mean(rows, ["run_name"], order, "outcome", _LEVELS, chunk=_week()).withColumn("q_down", 1.0 - F.col("q")).withColumnRenamed("q", "q_up")
     best = rules.best_micro(rules.micro_candidates(rows, ["market_id"]), ["market_id"], "q_up", "q_n", "q_down", "q_n")
     trades = best.join(ev.select("market_id", "n"), "market_id").where("n >= 40").withColumns({"fraction": F.lit(0.10), "part": F.lit("all")})
     return capital.trade_log(trades, ["part"], ["n"]).select(*n("n"), *d("capital_after"))
