@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import look_back
+from .quantiles import quantiles
 
 
 def median_imputed(df: DataFrame, columns: list[str], train: str) -> DataFrame:
     """Nulls filled with the training rows' exact medians; columns without any training value are dropped."""
-    medians = df.agg(*(F.median(F.when(F.col(train), F.col(c))).alias(f"_med_{c}") for c in columns))
-    known = medians.first().asDict()
-    empty = [c for c in columns if known[f"_med_{c}"] is None]
-    return df.fillna({c: float(known[f"_med_{c}"]) for c in columns if c not in empty}).drop(*empty)
+    known = {c: q[0.5] for c, q in quantiles(df.where(F.col(train)), columns, [0.5]).items()}
+    empty = [c for c in columns if known[c] is None]
+    return df.fillna({c: float(known[c]) for c in columns if c not in empty}).drop(*empty)
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.ndarray:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, log_loss
 from .joins import gridded
+from .quantiles import quantiles
 
 
 def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,9 +17,9 @@ def missingness(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def distribution(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, n, mean, median, p90 of each numeric column, in one pass."""
-    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.percentile(c, F.lit(0.9)).alias("p90")).alias(c) for c in columns))
-    return one.select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+    """column, n, mean, median, p90 of each numeric column."""
+    found = quantiles(df, columns, [0.5, 0.9])
+    return df.sparkSession.createDataFrame([(c, q["n"], q["mean"], q[0.5], q[0.9]) for c, q in found.items()], "column string, n long, mean double, median double, p90 double")
 
 
 def completed(table: DataFrame, bucket: str, labels: list[str], counts: list[str]) -> DataFrame:

@@ -56,29 +56,50 @@ def running(df: DataFrame, series: list[str], order: list[str], sums: dict[str,
     return out.drop("_i", "_stretch", "_in", *(f"_s{i}" for i in range(len(series))), *(f"_b{i}" for i in range(len(sums))), *(f"_a{i}" for i in range(len(totals))))
 
 
+def _pairs(rows: DataFrame, series: list[str], y: str, lags: list[int]) -> DataFrame:
+    """series, lag, _y, _before: each numbered row (``_i``) with the one ``lag`` rows before, met by number."""
+    key = F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(series)), F.lit(1).alias("x")))
+    here = rows.select(*series, key.alias("_key"), "_i", F.col(y).alias("_y"))
+    back = here.select("_key", F.col("_y").alias("_before"), F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), (F.col("_i") + k).alias("_i")) for k in lags))).alias("_x")).select("_key", "_before", "_x.*")
+    return here.join(back, ["_key", "_i"]).drop("_key", "_i")
+
+
 def autocorrelation(df: DataFrame, series: list[str], order: list[str], y: str, lags: list[int]) -> DataFrame:
     """series, lag, autocorr: correlation of y with itself ``lag`` rows before."""
-    along = Window.partitionBy(*series).orderBy(*order)
-    lagged = df.withColumns({f"_lag{k}": F.lag(y, k).over(along) for k in lags})
-    wide = lagged.groupBy(*series).agg(*(F.corr(y, f"_lag{k}").alias(f"_c{k}") for k in lags))
-    pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"_c{k}").alias("autocorr")) for k in lags)))
-    return wide.select(*series, pairs.alias("x")).select(*series, "x.*")
+    rows = ranged(df.select(*series, *order, y), series, order, "_i")
+    found = _pairs(rows, series, y, lags).groupBy(*series, "lag").agg(F.corr("_y", "_before").alias("autocorr"))
+    every = df.select(*series).distinct().withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
+    return every.join(found, [*series, "lag"], "left")
 
 
 def transitions(df: DataFrame, series: list[str], order: list[str], y: str) -> DataFrame:
     """before, after, n, share: how often one state follows another, and its share of the first state's rows."""
-    along = Window.partitionBy(*series).orderBy(*order)
-    pairs = df.withColumn("before", F.lag(y).over(along)).where("before is not null").groupBy("before", F.col(y).alias("after")).agg(F.count("*").alias("n"))
+    rows = ranged(df.select(*series, *order, y), series, order, "_i")
+    pairs = _pairs(rows, series, y, [1]).where("_before is not null").groupBy(F.col("_before").alias("before"), F.col("_y").alias("after")).agg(F.count("*").alias("n"))
     return pairs.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("before")))
 
 
 def longest_run(df: DataFrame, series: list[str], order: list[str], holds: Column) -> DataFrame:
-    """series, longest: the longest run of rows where ``holds``."""
-    along = Window.partitionBy(*series).orderBy(*order)
-    marked = df.withColumn("_on", F.coalesce(holds, F.lit(False))).withColumn("_i", F.row_number().over(along))
-    marked = marked.withColumn("_island", F.col("_i") - F.row_number().over(Window.partitionBy(*series, "_on").orderBy(*order)))
-    runs = marked.where("_on").groupBy(*series, "_island").agg(F.count("*").alias("_len"))
-    return df.select(*series).distinct().join(runs.groupBy(*series).agg(F.max("_len").alias("longest")), series, "left").fillna(0, ["longest"])
+    """series, longest: the longest run of rows where ``holds``.
+
+    A stretch of a series is summed up as its length, the runs that it begins
+    and ends with and its longest; a series' stretches, one for each range that
+    it is dealt over, are joined in a fold.
+    """
+    rows = ranged(df.withColumn("_on", F.coalesce(holds, F.lit(False))).select(*series, *order, "_on"), series, order, "_i", stretch="_stretch")
+    by = [*series, "_stretch"]
+    # a run's rows have the same number of rows before them that aren't of one
+    off = F.count(F.when(~F.col("_on"), 1)).over(Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    runs = rows.withColumn("_off", off).groupBy(*by, "_off").agg(F.count(F.when(F.col("_on"), 1)).alias("_len"), F.count(F.when(~F.col("_on"), 1)).alias("_first"))
+    parts = runs.groupBy(*by).agg(F.sum(F.col("_len") + F.col("_first")).alias("len"), F.max("_len").alias("best"), F.max(F.when(F.col("_off") == 0, F.col("_len"))).alias("head"), F.max_by("_len", "_off").alias("tail"))
+    part = F.struct(F.col("_stretch").alias("s"), "len", "best", F.coalesce("head", F.lit(0)).cast("long").alias("head"), "tail")
+    start = F.struct(F.lit(0).cast("long").alias("best"), F.lit(0).cast("long").alias("tail"))
+
+    def joined(acc: Column, x: Column) -> Column:
+        tail = F.when(x["head"] == x["len"], acc["tail"] + x["len"]).otherwise(x["tail"])
+        return F.struct(F.greatest(acc["best"], x["best"], acc["tail"] + x["head"]).alias("best"), tail.alias("tail"))
+
+    return parts.groupBy(*series).agg(F.array_sort(F.collect_list(part)).alias("_parts")).select(*series, F.aggregate("_parts", start, joined)["best"].alias("longest"))
 
 
 def _all_there(keys: list[str]) -> Column:
@@ -177,29 +198,60 @@ def hit_rate(trades: DataFrame, series: list[str], order: list[str], won: Column
 
 
 def drawdowns(returns: DataFrame, series: list[str], order: list[str], r: str) -> DataFrame:
-    """Adds wealth (from 1), its peak so far and the drawdown from it."""
-    so_far = Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = returns.withColumn("wealth", F.product(1.0 + F.col(r)).over(so_far))
-    return out.withColumn("peak", F.max("wealth").over(so_far)).withColumn("drawdown", (F.col("peak") - F.col("wealth")) / F.col("peak"))
+    """Adds wealth (from 1), its peak so far and the drawdown from it.
+
+    Within a stretch wealth and peak start from 1; a stretch's product and peak
+    are carried to those behind it, of which a series has one for each range.
+    """
+    rows = ranged(returns, series, order, "_i", stretch="_stretch")
+    by = [*series, "_stretch"]
+    so_far = Window.partitionBy(*by).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_w", F.product(1.0 + F.col(r)).over(so_far)).withColumn("_p", F.max("_w").over(so_far))
+    ends = local.groupBy(*by).agg(F.max_by("_w", "_i").alias("_all"), F.max_by("_p", "_i").alias("_top"))
+    every = Window.partitionBy(*series) if series else Window.partitionBy(F.lit(0))
+    before = every.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_from", F.coalesce(F.product("_all").over(before), F.lit(1.0)))
+    ends = ends.withColumn("_high", F.max(F.col("_from") * F.col("_top")).over(before))
+    ends = ends.select(*(F.col(c).alias(f"_s{i}") for i, c in enumerate(series)), F.col("_stretch").alias("_in"), "_from", "_high")
+    same = F.col("_stretch") == F.col("_in")
+    for i, c in enumerate(series):
+        same = same & F.col(c).eqNullSafe(F.col(f"_s{i}"))
+    out = local.join(ends, same).withColumn("wealth", F.col("_from") * F.col("_w")).withColumn("peak", F.greatest("_high", F.col("_from") * F.col("_p")))
+    out = out.withColumn("drawdown", (F.col("peak") - F.col("wealth")) / F.col("peak"))
+    return out.drop("_i", "_stretch", "_w", "_p", "_in", "_from", "_high", *(f"_s{i}" for i in range(len(series))))
 
 
 def sliding_compound(events: DataFrame, series: list[str], order: list[str], r: str, size: int) -> DataFrame:
-    """Per series: count, worst, median, shares above 0 and 10 %, and active share of the compounded returns over each full window of events."""
-    frame = Window.partitionBy(*series).orderBy(*order).rowsBetween(-(size - 1), 0)
-    full = events.withColumns(
-        {"_n": F.count("*").over(frame), "_c": F.product(1.0 + F.coalesce(r, F.lit(0.0))).over(frame) - 1.0, "_a": F.count(r).over(frame)}
-    )
-    ok = F.col("_n") == size
-    c = F.when(ok, F.col("_c"))
-    return full.groupBy(*series).agg(
+    """Per series: count, worst, median, shares above 0 and 10 %, and active share of the compounded returns over each full window of events.
+
+    A series' rows fall in blocks as long as a window. A window is the end of
+    one block and the beginning of the next: its product is that of the one
+    from its first row on, times that of the other up to its last.
+    """
+    rows = ranged(events.select(*series, *order, F.col(r).cast("double").alias("_r")), series, order, "_i").withColumn("_block", F.floor(F.col("_i") / size))
+    along = Window.partitionBy(*series, "_block").orderBy("_i")
+    one, there = 1.0 + F.coalesce("_r", F.lit(0.0)), F.col("_r").isNotNull().cast("long")
+    head, tail = along.rowsBetween(Window.unboundedPreceding, 0), along.rowsBetween(0, Window.unboundedFollowing)
+    key = F.to_json(F.struct(*(F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(series)), F.lit(1).alias("x")))
+    sums = rows.withColumns({"_up": F.product(one).over(head), "_a": F.sum(there).over(head), "_down": F.product(one).over(tail), "_b": F.sum(there).over(tail), "_key": key})
+    # the window that begins at a row ends size - 1 rows on, in the next block unless it is a block
+    begins = sums.select("_key", (F.col("_i") + size - 1).alias("_i"), F.col("_down").alias("_d"), F.col("_b").alias("_e"))
+    full = sums.select(*series, "_key", "_i", "_up", "_a").join(begins, ["_key", "_i"])
+    whole = F.col("_i") % size == size - 1
+    c = F.when(whole, F.col("_up")).otherwise(F.col("_up") * F.col("_d")) - 1.0
+    active = F.when(whole, F.col("_a")).otherwise(F.col("_a") + F.col("_e")) > 0
+    full = full.withColumns({"_c": c, "_on": active})
+    c = F.col("_c")
+    found = full.groupBy(*series).agg(
         F.count(c).alias("n_windows"),
         F.min(c).alias("worst"),
         F.median(c).alias("median"),
         F.avg((c > 0).cast("double")).alias("share_positive"),
         F.avg((c >= 0).cast("double")).alias("share_not_negative"),
         F.avg((c > 0.10).cast("double")).alias("share_over_10"),
-        F.avg(F.when(ok, (F.col("_a") > 0).cast("double"))).alias("active_rate"),
+        F.avg(F.col("_on").cast("double")).alias("active_rate"),
     )
+    return events.select(*series).distinct().join(found, series, "left").fillna(0, ["n_windows"])
 
 
 def recent_tail(df: DataFrame, series: list[str], order: list[str], last: int) -> DataFrame:
