@@ -15,27 +15,34 @@ START = 100.0
 STEP = ("i", "cost", "pnl", "before", "after", "drawdown")
 
 
-def capital_fold(trades: DataFrame, by: list[str], order: list[str], fraction: str = "fraction", price: str = "price", size: str = "size", unit_pnl: str = "unit_pnl", quota: Column | int | None = None, window: int = 144, cooldown: Column | int = 0, ordinal: str = "n", steps: bool = False) -> DataFrame:
+def capital_fold(trades: DataFrame, by: list[str], order: list[str], fraction: str = "fraction", price: str = "price", size: str = "size", unit_pnl: str = "unit_pnl", quota: Column | int | None = None, window: int = 144, cooldown: Column | int = 0, ordinal: str = "n", steps: bool = False, wide_quota: Column | int | None = None, wide_window: int = 864) -> DataFrame:
     """trades, ending, total_return, max_drawdown of each key, and with ``steps`` its path: an array of the order columns and STEP.
 
     A trade costs min(capital * fraction, capital, size * price). With a quota
-    no more than that many trades are taken among the last ``window`` events;
-    after two losses in a row the next ``cooldown`` events are skipped
-    (``ordinal`` numbers the events, also those without a trade). Both may
+    no more than that many trades are taken among the last ``window`` events,
+    with a wide quota no more than that among the last ``wide_window``; after two losses in a row the next ``cooldown`` events are skipped
+    (``ordinal`` numbers the events, also those without a trade). All may
     differ by key.
     """
-    limited = quota is not None or not isinstance(cooldown, int) or cooldown > 0
-    limits = [(F.lit(2**31 - 1) if quota is None else quota if isinstance(quota, Column) else F.lit(quota)).cast("long").alias("q"), (F.lit(cooldown) if isinstance(cooldown, int) else cooldown).cast("long").alias("c")]
+    limited = quota is not None or wide_quota is not None or not isinstance(cooldown, int) or cooldown > 0
+    reach = max(window, wide_window) if wide_quota is not None else window
+    limits = [(F.lit(2**31 - 1) if x is None else x if isinstance(x, Column) else F.lit(x)).cast("long").alias(n) for n, x in (("q", quota), ("wq", wide_quota), ("c", cooldown))]
     row = F.struct(*(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), *(F.col(c).cast("double").alias(n) for c, n in ((fraction, "f"), (price, "p"), (size, "s"), (unit_pnl, "u"))), (F.col(ordinal) if limited else F.lit(0)).cast("long").alias("i"), *limits)
     usable = trades.where(F.col(price).isNotNull() & (F.col(price) > 0) & F.col(size).isNotNull() & F.col(unit_pnl).isNotNull() & (F.col(fraction) > 0))
     lists = usable.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_trades"))
     path = "array<struct<" + ", ".join([*(f"o{i}: {trades.schema[c].dataType.simpleString()}" for i, c in enumerate(order)), "i: bigint", *(f"{n}: double" for n in STEP[1:])]) + ">>"
     start = F.struct(F.lit(START).alias("b"), F.lit(START).alias("peak"), F.lit(0.0).alias("dd"), F.lit(0).alias("k"), F.lit(0).alias("losses"), F.lit(-1).cast("long").alias("until"), F.array().cast("array<long>").alias("taken"), F.array().cast(path).alias("path"))
 
+    def since(taken: Column, after: Column) -> Column:
+        return F.filter(taken, lambda i: i > after)
+
     def step(s, x):
-        recent = F.filter(s["taken"], lambda i: i > x["i"] - window) if limited else s["taken"]
+        recent = F.filter(s["taken"], lambda i: i > x["i"] - reach) if limited else s["taken"]
+        within = {w: recent if w == reach else since(recent, x["i"] - w) for w in (window, wide_window)}
         cost = F.least(s["b"] * x["f"], s["b"], x["s"] * x["p"])
-        allowed = (cost > 0) & (x["i"] > s["until"]) & (F.size(recent) < x["q"]) if limited else cost > 0
+        allowed = (cost > 0) & (x["i"] > s["until"]) & (F.size(within[window]) < x["q"]) if limited else cost > 0
+        if wide_quota is not None:
+            allowed = allowed & (F.size(within[wide_window]) < x["wq"])
         pnl = cost / x["p"] * x["u"]
         after = s["b"] + pnl
         peak = F.greatest(s["peak"], after)

@@ -409,3 +409,27 @@ def state_selected(candidates: DataFrame, series: list[str], order: list[str], k
         seen = seen.where((support >= 20) & (F.col("won") >= 0.55) & (F.col("mean_pnl") > 0.02)).withColumn("score", F.col("mean_pnl") + 0.01 * F.least(F.lit(20), support) / 20.0)
     best = F.max_by(F.struct("micro", "side", "minute", "mean_pnl", support.alias("support")), F.struct("score", "micro"))
     return seen.groupBy(*key).agg(best.alias("x")).select(*key, "x.*")
+
+
+#: Trades allowed in 144 events and in 864, and events skipped after two losses, by set of strategies; "" holds for those not named (fixed values).
+LIMITS = {
+    "framework": {"": (10, None, 8), "mix_active": (14, None, 6)},
+    "final": {"": (14, None, 6), "mix_conservative": (10, None, 10), "mix_adaptive": (10, None, 6), "logit_overlay": (10, None, 10)},
+    "refresh": {"": (10, 18, 8), "mix_conservative": (10, 28, 10), "mix_balanced": (14, 28, 6), "mix_adaptive": (10, 28, 6), "mix_active": (14, 28, 6), "logit_overlay": (10, 28, 10)},
+}
+#: The strategies of a set that need no model (fixed names).
+SETS = {
+    "final": ("mix_conservative", "mix_balanced", "mix_adaptive", "mix_active"),
+    "refresh": ("mix_conservative", "mix_balanced", "mix_adaptive", "mix_active", "guarded", "guarded_adaptive", "shock_absorber", "milddrop_core_light", "asia_london", "early_and_mild"),
+}
+
+
+def limit_columns(limits: dict[str, tuple], rule: str = "rule") -> list[Column]:
+    """quota, wide quota (null if none has one) and wait of each row's rule."""
+    out = []
+    for i in range(3):
+        value = F.lit(limits[""][i])
+        for name, row in limits.items():
+            value = F.when(F.col(rule) == name, row[i]).otherwise(value) if name else value
+        out.append(value)
+    return out

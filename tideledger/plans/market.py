@@ -523,15 +523,21 @@ def compound_uncapped(spark, sf):
 _SIZES = (48, 144, 288)
 
 
-def placed(rows: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
-    """market_id, the groups an event is in and its number n there, total; and the groups' columns. Events are one row a market, numbered by ranges."""
+def complete(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs that have as many files as any; a run's files are the days of each source (the repeated quotes are no file of their own)."""
+    raw = X.raw_quotes(spark, sf).where("source_file <> 'aa.csv'").withColumn("file", F.concat("source_file", F.floor(F.col("t") / 86_400_000_000)))
+    return validation.complete_runs(validation.run_coverage(raw, "run_name", "file")).where("is_complete")
+
+
+def placed(rows: DataFrame, kind: str, runs: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """market_id, the groups an event is in and its number n there, total; and the groups' columns. Events are one row a market, numbered by ranges; folds are of ``runs``."""
     ev = rows.select("market_id", "run_name", "first_t").withColumn("part", F.lit("all"))
     order = ["first_t", "market_id"]
     if kind == "split":
         by, found = ["split"], validation.split_50_25_25(ev, ["part"], order, 100).withColumn("n", F.col("ordinal"))
         found = found.join(F.broadcast(found.groupBy("split").agg(F.count("*").alias("total"))), "split")
     elif kind == "fold":
-        folds = validation.run_folds(ev.select("run_name").distinct(), 2)
+        folds = cut(validation.run_folds(runs, 1))
         by, found = ["fold_id", "split"], windows.ranged(ev.join(F.broadcast(folds), "run_name"), ["fold_id", "split"], order, total="total")
     else:
         by = ["run_name"] if kind == "run" else ["part"]
@@ -541,14 +547,15 @@ def placed(rows: DataFrame, kind: str) -> tuple[DataFrame, list[str]]:
     return found.select("market_id", *by, F.col("n").cast("long").alias("n"), F.col("total").cast("long").alias("total")), by
 
 
-def strategy_metrics(rows: DataFrame, kind: str, signals: DataFrame, names: list[str]) -> tuple[DataFrame, list[str]]:
+def strategy_metrics(rows: DataFrame, kind: str, signals: DataFrame, names: list[str], limits: str = "framework", runs: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
     """Metrics of each strategy (column rule) in each group, its capital restarted and its events numbered anew; strategies without a trade have a row too."""
-    ev, by = placed(rows, kind)
+    ev, by = placed(rows, kind, runs)
     ev = cut(ev)
-    mild = F.col("rule") == "mix_active"
+    quota, wide, wait = rules.limit_columns(rules.LIMITS[limits])
     fired = signals.select("market_id", "rule", "fraction", "price", "size", "unit_pnl").join(ev, "market_id")
-    fired = fired.withColumns({"quota": F.when(mild, 14).otherwise(10), "wait": F.when(mild, 6).otherwise(8)})
-    log = cut(capital.trade_log(fired, [*by, "rule"], ["n"], quota=F.col("quota"), cooldown=F.col("wait")))
+    fired = fired.withColumns({"quota": quota, "wide": wide, "wait": wait})
+    doubly = any(x[1] for x in rules.LIMITS[limits].values())
+    log = cut(capital.trade_log(fired, [*by, "rule"], ["n"], quota=F.col("quota"), cooldown=F.col("wait"), wide_quota=F.col("wide") if doubly else None, wide_window=_SIZES[-1]))
     groups = cut(joins.gridded(ev.select(*by, "total").distinct(), "rule", names))
     return cut(capital.path_metrics(log, groups, [*by, "rule"], _SIZES, 288)), by
 
@@ -560,13 +567,19 @@ _EVENTS = {
     "fold": ("fold_id, split", "SELECT market_id, fold_id, split, first_t FROM l JOIN fr USING (run_name) WHERE outcome IS NOT NULL"),
     "split": ("split", "SELECT market_id, split, first_t FROM sp"),
 }
-_FOLD_RUNS = ", runs AS (SELECT run_name, row_number() OVER (ORDER BY run_name) - 1 AS i, count(*) OVER () AS k FROM (SELECT DISTINCT run_name FROM l WHERE outcome IS NOT NULL)), fo AS (SELECT i - 1 AS fold_id, i AS pos FROM runs WHERE i >= 2 AND i < k - 1), fr AS (SELECT fold_id, CASE WHEN i < pos THEN 'train' WHEN i = pos THEN 'validation' ELSE 'test' END AS split, run_name FROM fo JOIN runs ON runs.i <= pos + 1)"
+_FOLD_RUNS = ", cv AS (SELECT run_name, count(DISTINCT source_file || CAST(t // 86400000000 AS VARCHAR)) AS files FROM p GROUP BY run_name), runs AS (SELECT run_name, row_number() OVER (ORDER BY run_name) - 1 AS i, count(*) OVER () AS k FROM cv WHERE files = (SELECT max(files) FROM cv)), fo AS (SELECT i AS fold_id, i AS pos FROM runs WHERE i >= 1 AND i < k - 1), fr AS (SELECT fold_id, CASE WHEN i < pos THEN 'train' WHEN i = pos THEN 'validation' ELSE 'test' END AS split, run_name FROM fo JOIN runs ON runs.i <= pos + 1)"
 _SPLIT_ROWS = ", sz AS (SELECT market_id, first_t, row_number() OVER (ORDER BY first_t, market_id) - 1 AS i, count(*) OVER () AS c FROM l WHERE outcome IS NOT NULL), sb AS (SELECT *, greatest(1, floor(c * 0.5)) AS i1, greatest(greatest(1, floor(c * 0.5)) + 1, floor(c * 0.75)) AS i2 FROM sz), sp AS (SELECT market_id, first_t, 'train' AS split FROM sb WHERE i < i1 UNION ALL SELECT market_id, first_t, 'validation' FROM sb WHERE i >= i1 AND i < i2 UNION ALL SELECT market_id, first_t, 'test' FROM sb WHERE i >= i2 UNION ALL SELECT market_id, first_t, 'full' FROM sb UNION ALL SELECT market_id, first_t, 'latest' FROM sb WHERE i >= greatest(0, c - 100))"
 _WIN = ("worst", "share_positive", "share_over_10", "active")
 
 
-def _metrics_sql(kind: str, chosen) -> str:
+def _metrics_sql(kind: str, chosen, limits: str = "framework") -> str:
     """CTE ``me``: the same metrics by a recursive fold and windows over every event of every strategy."""
+
+    def limit(i: int) -> str:
+        rows = rules.LIMITS[limits]
+        value = lambda x: 2**31 - 1 if x is None else x
+        return "CASE rule " + " ".join(f"WHEN '{name}' THEN {value(row[i])}" for name, row in rows.items()) + f" ELSE {value(rows[''][i])} END"
+
     by, rows = _EVENTS[kind]
     key = f"{by}, rule"
     on = " AND ".join(f"fold.{c} = tr.{c}" for c in key.split(", "))
@@ -579,11 +592,11 @@ def _metrics_sql(kind: str, chosen) -> str:
     first = _signal_ctes(chosen).replace("\nl AS (", "\nl AS MATERIALIZED (").replace(", s AS (", ", s AS MATERIALIZED (")
     extra = {"fold": _FOLD_RUNS, "split": _SPLIT_ROWS}.get(kind, "")
     return f"""WITH RECURSIVE {first}{extra}, e0 AS ({rows}), ev AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY first_t, market_id) - 1 AS n, count(*) OVER (PARTITION BY {by}) AS total FROM e0),
- tr AS MATERIALIZED (SELECT {key}, n, fraction AS f, price, size, unit_pnl, CASE WHEN rule = 'mix_active' THEN 14 ELSE 10 END AS quota, CASE WHEN rule = 'mix_active' THEN 6 ELSE 8 END AS wait, row_number() OVER (PARTITION BY {key} ORDER BY n) AS k
+ tr AS MATERIALIZED (SELECT {key}, n, fraction AS f, price, size, unit_pnl, {limit(0)} AS quota, {limit(1)} AS wide, {limit(2)} AS wait, row_number() OVER (PARTITION BY {key} ORDER BY n) AS k
    FROM (SELECT market_id, rule, fraction, price, size, unit_pnl FROM s) JOIN ev USING (market_id) WHERE price > 0 AND size IS NOT NULL AND unit_pnl IS NOT NULL AND fraction > 0),
  fold AS (SELECT DISTINCT {key}, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS n, false AS ok, 100.0::DOUBLE AS b, 100.0::DOUBLE AS before, 0.0::DOUBLE AS cost, 0.0::DOUBLE AS pnl, 0 AS losses, CAST(-1 AS BIGINT) AS until, CAST([] AS BIGINT[]) AS taken FROM tr
    UNION ALL SELECT {key}, k, n, ok, CASE WHEN ok THEN b + pnl ELSE b END, b, cost, pnl, CASE WHEN NOT ok THEN losses WHEN pnl < 0 AND losses = 0 THEN 1 ELSE 0 END, CASE WHEN ok AND pnl < 0 AND losses >= 1 THEN n + wait ELSE until END, CASE WHEN ok THEN list_append(recent, n) ELSE recent END
-   FROM (SELECT *, cost > 0 AND n > until AND len(recent) < quota AS ok FROM (SELECT {', '.join('fold.' + c for c in key.split(', '))}, tr.k, tr.n, tr.quota, tr.wait, b, losses, until, least(b * f, b, size * price) AS cost, least(b * f, b, size * price) / price * unit_pnl AS pnl, [i FOR i IN taken IF i > tr.n - 144] AS recent FROM fold JOIN tr ON {on} AND tr.k = fold.k + 1))),
+   FROM (SELECT *, cost > 0 AND n > until AND len([i FOR i IN recent IF i > n - 144]) < quota AND len(recent) < wide AS ok FROM (SELECT {', '.join('fold.' + c for c in key.split(', '))}, tr.k, tr.n, tr.quota, tr.wide, tr.wait, b, losses, until, least(b * f, b, size * price) AS cost, least(b * f, b, size * price) / price * unit_pnl AS pnl, [i FOR i IN taken IF i > tr.n - {_SIZES[-1]}] AS recent FROM fold JOIN tr ON {on} AND tr.k = fold.k + 1))),
  sx AS MATERIALIZED (SELECT {key}, n, cost, pnl, pnl / before AS r, b AS after FROM fold WHERE ok),
  nm(rule) AS (VALUES {names}), gr AS (SELECT {', '.join('ev.' + c for c in by.split(', '))}, nm.rule, n, total FROM ev CROSS JOIN nm),
  de AS (SELECT gr.*, cost, pnl, r, after FROM gr LEFT JOIN sx USING ({key}, n)),
@@ -651,6 +664,24 @@ def score_tables(spark, sf):
     return m.select("rule", *n("trades"), *d("ending", "max_drawdown", "worst_144", "share_over_10_144", "active_144", "p10_return", "recent_return", *_TABLES.values()), *(F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()))
 
 
+def _set_query(kind: str, score: str):
+    chosen = [r for r in rules.catalogue() if r.name in rules.SETS[kind]]
+    shown = ("ending", "max_drawdown", "worst_144", "recent_return")
+
+    def run(spark, sf):
+        rows = event_rows(spark, sf)
+        m, by = strategy_metrics(rows, "part", signal_rows(spark, sf, chosen, rows), sorted(rules.SETS[kind]), kind)
+        return scoring.rank_score(_exact(m), _scaled(score), by).select("rule", *n("trades"), *d(*shown, "score"))
+
+    run.__name__ = f"{kind}_scores"
+    run.__doc__ = f"The {kind} set's strategies under its own quotas and waits, ranked by its score."
+    query(_metrics_sql("part", chosen, kind) + f" SELECT rule, CAST(trades AS BIGINT) AS trades, {rd(*shown)}, round({_ranked_sql(score, 'part')}, 6) AS score FROM me")(run)
+
+
+_set_query("final", "mix")
+_set_query("refresh", "refresh")
+
+
 @query(_metrics_sql("split", rules.registry()) + f", sc AS (SELECT *, round({_ranked_sql('framework', 'split')}, 9) AS score FROM me), best AS (SELECT rule FROM sc WHERE split = 'validation' ORDER BY score DESC, round(total_return, 9) DESC, rule LIMIT 1) SELECT split, rule, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'worst_144', 'score')} FROM sc SEMI JOIN best USING (rule)")
 def framework_select(spark, sf):
     """The strategy that scores best on the validation split, on every split."""
@@ -695,9 +726,9 @@ def run_folds(spark, sf):
     return validation.run_folds(validation.complete_runs(coverage(spark, sf)).where("is_complete"), 3)
 
 
-def fold_metrics(rows: DataFrame, signals: DataFrame, names: list[str]) -> DataFrame:
-    """fold_id, split, strategy, family, metrics and the validation score."""
-    m, by = strategy_metrics(rows, "fold", signals, names)
+def fold_metrics(rows: DataFrame, signals: DataFrame, names: list[str], runs: DataFrame) -> DataFrame:
+    """fold_id, split, strategy, family, metrics and the validation score; folds are of the complete runs only."""
+    m, by = strategy_metrics(rows, "fold", signals, names, runs=runs)
     m = _exact(m).withColumn("total_return", F.round("total_return", 9)).withColumnRenamed("rule", "strategy")
     return scoring.walk_forward_score(m, by).withColumn("score", F.round("score", 9))
 
@@ -709,7 +740,7 @@ _WF_SQL = _metrics_sql("fold", rules.registry()) + _WF_SCORED
 @query(_WF_SQL + f" SELECT CAST(fold_id AS BIGINT) AS fold_id, split, strategy, CAST(trades AS BIGINT) AS trades, {rd('total_return', 'max_drawdown', 'worst_48', 'score')} FROM sc SEMI JOIN best USING (fold_id, strategy)")
 def walk_forward_select(spark, sf):
     rows = event_rows(spark, sf)
-    m = fold_metrics(rows, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY))
+    m = fold_metrics(rows, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY), complete(spark, sf))
     return validation.selected(m, "score").select("fold_id", "split", "strategy", *n("trades"), *d("total_return", "max_drawdown", "worst_48", "score"))
 
 
@@ -719,7 +750,7 @@ _ROLLUP = ("avg_return", "median_return", "min_return", "share_positive", "avg_d
 @query(_WF_SQL + f", tr2 AS (SELECT strategy, count(DISTINCT fold_id) AS folds, avg(total_return) AS avg_return, median(total_return) AS median_return, min(total_return) AS min_return, avg(CASE WHEN total_return > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS share_positive, avg(max_drawdown) AS avg_drawdown, max(max_drawdown) AS max_drawdown, avg(profit_factor) AS profit_factor FROM sc WHERE split = 'test' GROUP BY strategy), cn AS (SELECT strategy, count(*) AS selected FROM best GROUP BY strategy), ro AS (SELECT 1 AS one, tr2.*, coalesce(selected, 0) AS selected FROM tr2 LEFT JOIN cn USING (strategy)) SELECT strategy, CAST(folds AS BIGINT) AS folds, {', '.join(f'round({c}, 6) AS {c}' for c in _ROLLUP)}, CAST(selected AS BIGINT) AS selected, round({_ranked_sql('test', 'one')}, 6) AS score FROM ro")
 def walk_forward_rollup(spark, sf):
     rows = event_rows(spark, sf)
-    m = fold_metrics(rows, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY))
+    m = fold_metrics(rows, signal_rows(spark, sf, rules.registry(), rows), sorted(rules.REGISTRY), complete(spark, sf))
     t = validation.test_rollup(m, validation.selected(m, "score")).withColumn("one", F.lit(1))
     return scoring.rank_score(t, scoring.SCORES["test"], ["one"]).select("strategy", *n("folds"), *d(*_ROLLUP), *n("selected"), *d("score"))
 
@@ -985,7 +1016,7 @@ def walk_forward_models(spark, sf):
     key = ["market_id", "run_name", "first_t", "session", "outcome"]
     rows = event_rows(spark, sf)
     both = signal_rows(spark, sf, rules.registry(), rows).unionByName(rules.signals(logit_rows(rows), [r for r in rules.MODEL if r.name in rules.MODEL_REGISTRY], key))
-    m = fold_metrics(rows, both, sorted((*rules.REGISTRY, *rules.MODEL_REGISTRY)))
+    m = fold_metrics(rows, both, sorted((*rules.REGISTRY, *rules.MODEL_REGISTRY)), complete(spark, sf))
     return validation.selected(m, "score").select("fold_id", "split", "strategy", *n("trades"), *d("total_return", "max_drawdown", "score"))
 
 
