@@ -54,7 +54,7 @@ def in_intervals(df: DataFrame, x: str, intervals: DataFrame, lo: str, hi: str,
     a, b = F.col(lo).cast("double"), F.col(hi).cast("double")
     length = b - a
     # cells no finer than doubles of that size tell apart
-    fine = F.ceil(F.log2(F.greatest(F.abs(a), F.abs(b), F.lit(1e-300)))) - 50
+    fine = F.greatest(F.lit(-1000), F.ceil(F.log2(F.greatest(F.abs(a), F.abs(b), F.lit(1e-300)))) - 50)
     level = F.when(length == float("inf"), _ENDLESS).otherwise(F.greatest(fine, F.coalesce(F.ceil(F.log2(F.when(length > 0, length))), fine)))
     placed = intervals.where((length >= 0) | (a == b)).withColumn("_level", F.when(a == b, fine).otherwise(level).cast("int"))
 

@@ -82,6 +82,6 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[st
         for share in shares:
             place = share * (found["n"] - 1)
             lo, hi = int(place // 1), int(-(-place // 1))
-            found[share] = None if not found["n"] else at[n, lo] if lo == hi else (hi - place) * at[n, lo] + (place - lo) * at[n, hi]
+            found[share] = None if not found["n"] else at[n, lo] if at[n, lo] == at[n, hi] else (hi - place) * at[n, lo] + (place - lo) * at[n, hi]
         out[c] = found
     return out
