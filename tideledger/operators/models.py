@@ -7,7 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import look_back
 from .quantiles import quantiles
 
 
@@ -36,31 +35,42 @@ def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float) -> np.n
 def walk_forward_logit(df: DataFrame, series: list[str], n: str, y: str, columns: list[str], every: int = 25, warm_up: int = 60, lookback: int = 1000, half_life: float = 200, penalty: float = 1.0) -> DataFrame:
     """Adds ``q``: the probability from a regression on the look-back before the row's block of ``every`` rows.
 
-    The look-back rows meet their blocks in a join, each block is fitted on its
-    own, and the coefficients score the rows in an expression. A block without
-    both outcomes, or within the warm-up, has no probability.
+    A series is dealt in stretches as long as the look-back, each with the
+    stretch before it, so every row goes to two tasks; a task slides over its
+    stretch and fits each block, and the coefficients score the rows in an
+    expression. A block without both outcomes, or within the warm-up, has no
+    probability.
     """
     rows = df.withColumn("_start", (F.floor(F.col(n) / every) * every).cast("long"))
-    blocks = rows.where(F.col("_start") >= warm_up).select(*series, "_start").distinct()
-    train = look_back(df.where(F.col(y).isNotNull()).select(*series, n, y, *columns), n, blocks, "_start", lookback, series)
+    stretch = -(-lookback // every) * every
+    at = F.floor(F.col(n) / stretch).cast("long")
+    dealt = df.select(*series, F.col(n).cast("long").alias("_n"), F.col(y).cast("double").alias("_y"), *columns, F.explode(F.array(at, at + 1)).alias("_stretch"))
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        out = part[[*series, "_start"]].iloc[:1].copy()
-        part = part.sort_values(n)
-        x, target = part[columns].astype(float), part[y].to_numpy(float)
-        x = x.fillna(x.median()).fillna(0.0).to_numpy()
-        center, scale = x.mean(axis=0), x.std(axis=0)
-        scale[scale == 0] = 1.0
-        beta = None
-        if len(set(target)) == 2:
-            age = part["_start"].to_numpy(float) - 1 - part[n].to_numpy(float)
-            beta = _fitted((x - center) / scale, target, 0.5 ** (age / half_life), penalty)
-        out["_beta"] = [None if beta is None else [beta[0] - float((beta[1:] * center / scale).sum()), *(beta[1:] / scale)]]
-        out["_fill"] = [list(np.nan_to_num(np.median(x, axis=0)))]
-        return out
+        part = part.sort_values("_n")
+        number = part["_n"].to_numpy()
+        starts = np.unique(number[number >= part["_stretch"].iloc[0] * stretch] // every * every)
+        past = part[part["_y"].notna()]
+        when, target, inputs = past["_n"].to_numpy(), past["_y"].to_numpy(float), past[columns].astype(float)
+        out = []
+        for start in starts[starts >= warm_up]:
+            lo, hi = np.searchsorted(when, [start - lookback, start])
+            if lo == hi:
+                continue
+            x = inputs.iloc[lo:hi]
+            x = x.fillna(x.median()).fillna(0.0).to_numpy()
+            center, scale = x.mean(axis=0), x.std(axis=0)
+            scale[scale == 0] = 1.0
+            beta = None
+            if len(set(target[lo:hi])) == 2:
+                age = start - 1.0 - when[lo:hi]
+                beta = _fitted((x - center) / scale, target[lo:hi], 0.5 ** (age / half_life), penalty)
+                beta = [beta[0] - float((beta[1:] * center / scale).sum()), *(beta[1:] / scale)]
+            out.append((*part[series].iloc[0], start, beta, list(np.nan_to_num(np.median(x, axis=0)))))
+        return pd.DataFrame(out, columns=[*series, "_start", "_beta", "_fill"])
 
     keys = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
-    models = train.groupBy(*series, "_start").applyInPandas(fit, f"{keys}, _start long, _beta array<double>, _fill array<double>")
+    models = dealt.groupBy(*series, "_stretch").applyInPandas(fit, f"{keys}, _start long, _beta array<double>, _fill array<double>")
     z = F.get("_beta", F.lit(0))
     for i, c in enumerate(columns):
         z = z + F.get("_beta", F.lit(i + 1)) * F.coalesce(F.col(c).cast("double"), F.get("_fill", F.lit(i)))

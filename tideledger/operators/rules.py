@@ -433,3 +433,25 @@ def limit_columns(limits: dict[str, tuple], rule: str = "rule") -> list[Column]:
             value = F.when(F.col(rule) == name, row[i]).otherwise(value) if name else value
         out.append(value)
     return out
+
+
+#: Rules of the bankroll grid: moves at minute 2, and values over the backoff probability (fixed predicates).
+BANKROLL = [
+    *(Rule(f"bank_drop{t}", "bank", "down", 2, f"m2 <= -{t}") for t in (10, 20, 30)),
+    Rule("bank_rise", "bank", "up", 2, RISE),
+    Rule("bank_interval", "bank", "down", 2, "m2 > -30 and m2 <= -10"),
+    Rule("bank_interval", "bank", "up", 2, RISE, priority=1),
+    *model_value("backoff", 0.0),
+    *model_value("backoff", 0.02),
+]
+#: Sizings of the grid: a share of the capital, or a share of Kelly's fraction; what is won with where no model says (fixed values).
+SIZINGS = (("fixed_10pct", 0.10, None), ("fixed_20pct", 0.20, None), ("full_kelly", None, 1.0), ("half_kelly", None, 0.5), ("quarter_kelly", None, 0.25))
+CONSTANT_Q = 0.55
+
+
+def sized(signals: DataFrame, q: Column, sizings: tuple = SIZINGS) -> DataFrame:
+    """Signals times sizings, with column sizing and the fraction of the capital that each stakes given the probability ``q`` to win."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("sizing"), F.lit(fixed).cast("double").alias("fixed"), F.lit(share).cast("double").alias("share")) for n, fixed, share in sizings))).alias("_x")
+    rows = signals.withColumn("_q", q).select("*", each)
+    fraction = F.coalesce("_x.fixed", F.col("_x.share") * C.kelly(F.col("_q"), F.col("price")))
+    return rows.withColumns({"sizing": F.col("_x.sizing"), "fraction": fraction}).drop("_x", "_q")

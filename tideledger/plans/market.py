@@ -763,17 +763,34 @@ def median_impute(spark, sf):
 
 @query()
 def walk_forward_logit(spark, sf):
-    f = windows.numbered(feature_rows(spark, sf).where("outcome is not null"), ["run_name"], ["first_t", "market_id"])
+    f = windows.ranged(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"])
     scored = models.walk_forward_logit(f, ["run_name"], "n", "outcome", ["m2", "prob2", "imb", "eff", "vol"], warm_up=40)
     return scored.select("market_id", *n("n"), *d("q", "outcome"))
 
 
+@query()
+def walk_forward_each(spark, sf):
+    """The regression refitted at every event, from 60 on."""
+    f = windows.ranged(event_rows(spark, sf), ["run_name"], ["first_t", "market_id"])
+    scored = models.walk_forward_logit(f, ["run_name"], "n", "outcome", ["m2", "prob2", "imb", "eff", "vol"], every=1, warm_up=60)
+    return scored.select("market_id", *n("n"), *d("q", "outcome"))
+
+
+@query(with_rows(X.FEATURES, ", ev AS (SELECT run_name, outcome, row_number() OVER (PARTITION BY run_name ORDER BY first_t, market_id) - 1 AS n FROM f WHERE outcome IS NOT NULL), bl AS (SELECT DISTINCT run_name, n // 25 * 25 AS start FROM ev) SELECT bl.run_name, CAST(start AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS n, round(avg(outcome), 6) AS up_rate FROM bl JOIN ev ON ev.run_name = bl.run_name AND ev.n >= start - 60 AND ev.n < start GROUP BY bl.run_name, start"))
+def look_back_rates(spark, sf):
+    """Share of Up among the 60 events before each block of 25."""
+    f = windows.ranged(feature_rows(spark, sf).where("outcome is not null").select("run_name", "market_id", "first_t", "outcome"), ["run_name"], ["first_t", "market_id"])
+    blocks = f.select("run_name", (F.floor(F.col("n") / 25) * 25).alias("start")).distinct()
+    back = joins.look_back(f, "n", blocks, "start", 60, ["run_name"])
+    return back.groupBy("run_name", "start").agg(F.count("*").alias("n"), F.round(F.avg("outcome"), 6).alias("up_rate"))
+
+
 @query()
 def model_comparison(spark, sf):
     f = validation.time_split(feature_rows(spark, sf).where("outcome is not null and m2 is not null"), ["run_name"], ["first_t", "market_id"])
     columns = ["m2", "prob2", "imb", "eff", "vol"]
     filled = models.median_imputed(f, columns, "train")
-    scored = models.compared_models(filled, "train", "outcome", [c for c in columns if c in filled.columns], trees=50)
+    scored = models.compared_models(filled, "train", "outcome", [c for c in columns if c in filled.columns], trees=300)
     tagged = scored.select("outcome", F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("p")) for m in ("base", "logit", "forest")))).alias("x")).select("outcome", "x.*")
     return tables.probability_metrics(tagged, ["model"], "p", "outcome").select("model", *n("n"), *d("brier", "log_loss", "accuracy"))
 
@@ -1215,3 +1232,49 @@ def interval_index(spark, sf):
     intervals = X.read(spark, sf, "lineitem").select((F.col("l_orderkey") * 8 + line).alias("id"), lo.alias("lo"), (lo + length).alias("hi"))
     met = joins.in_intervals(points, "t", intervals, "lo", "hi")
     return met.groupBy("id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query(with_rows(X.QUOTES, "SELECT slug, t, source_file, round(final_price + CASE WHEN ord % 10 = 0 THEN 5 ELSE 0 END, 6) AS final_price FROM p"))
+def stream_keep_last(spark, sf):
+    """Quotes as a stream of files, each quote that stands again further down replaced by the last; a quote far ahead moves the watermark past all others."""
+    from ..streaming.quotes import last_of_each
+
+    raw = X.raw_quotes(spark, sf).select("slug", "t", F.timestamp_micros("t").alias("ts_utc"), "source_file", "ord", "final_price", F.lit(0).alias("place"))
+    again = raw.where("ord % 10 = 0 and source_file <> 'aa.csv'").withColumns({"final_price": F.col("final_price") + 5, "place": F.lit(1)})
+    ahead = raw.limit(1).withColumns({"slug": F.lit("ahead"), "ts_utc": F.timestamp_seconds(F.lit(4_000_000_000))})
+    with scratch(spark) as at:
+        sources.written(raw.unionByName(again), f"{at}/in/quotes")
+        ahead.write.parquet(f"{at}/in/ahead")
+        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 50).parquet(f"{at}/in")
+        found = last_of_each(stream, ["slug"], ["source_file", "ord", "place"], late="40 days")
+        found.writeStream.format("parquet").option("checkpointLocation", f"{at}/state").option("path", f"{at}/out").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        return cut(spark.read.parquet(f"{at}/out").where("slug <> 'ahead'").select("slug", *n("t"), "source_file", *d("final_price")))
+
+
+def _bankroll_sql() -> str:
+    signals = _signal_ctes(rules.BANKROLL)[len(X.LABELS) :].replace("FROM l WHERE outcome IS NOT NULL)", "FROM r)")
+    sizings = ", ".join(f"('{n}', {'NULL' if a is None else a}::DOUBLE, {'NULL' if b is None else b}::DOUBLE)" for n, a, b in rules.SIZINGS)
+    names = ", ".join(f"('{n}')" for n in sorted({r.name for r in rules.BANKROLL}))
+    return _with_q(signals).replace("WITH ", "WITH RECURSIVE ", 1) + f""", ev AS (SELECT market_id, q_up AS q, row_number() OVER (ORDER BY first_t, market_id) - 1 AS n FROM r), sz(sizing, fixed, share) AS (VALUES {sizings}),
+ g AS (SELECT rule, sizing, n, price, size, unit_pnl, fixed, share, CASE WHEN starts_with(rule, 'value') THEN CASE WHEN side = 'up' THEN q ELSE 1 - q END ELSE {rules.CONSTANT_Q}::DOUBLE END AS q FROM s JOIN ev USING (market_id) CROSS JOIN sz WHERE price > 0 AND size > 0 AND unit_pnl IS NOT NULL),
+ gf AS (SELECT *, coalesce(fixed, share * CASE WHEN price < 1 THEN greatest((q - price) / (1 - price), 0) ELSE 0 END) AS f FROM g),
+ tr AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rule, sizing ORDER BY n) AS k FROM gf WHERE f > 0),
+ fold AS (SELECT DISTINCT rule, sizing, CAST(0 AS BIGINT) AS k, 100.0::DOUBLE AS b, 100.0::DOUBLE AS peak, 0.0::DOUBLE AS dd, 0.0::DOUBLE AS ret FROM tr
+   UNION ALL SELECT rule, sizing, k, a, greatest(peak, a), greatest(dd, (greatest(peak, a) - a) / greatest(peak, a)), ret + unit_pnl / price FROM (SELECT fold.rule, fold.sizing, tr.k, peak, dd, ret, price, unit_pnl, b + least(b * f, b, size * price) / price * unit_pnl AS a FROM fold JOIN tr ON tr.rule = fold.rule AND tr.sizing = fold.sizing AND tr.k = fold.k + 1)),
+ e AS (SELECT rule, sizing, max(k) AS trades, max_by(b, k) AS ending, max_by(dd, k) AS max_drawdown, max_by(ret, k) / max(k) AS avg_return FROM fold GROUP BY rule, sizing), na(rule) AS (VALUES {names})
+ SELECT na.rule, sz.sizing, CAST(coalesce(trades, 0) AS BIGINT) AS trades, round(coalesce(ending, 100), 6) AS ending, round(coalesce(max_drawdown, 0), 6) AS max_drawdown, round(avg_return, 6) AS avg_return FROM na CROSS JOIN sz LEFT JOIN en USING (rule, sizing)""".replace(" e AS (SELECT rule, sizing, max(k)", " en AS (SELECT rule, sizing, max(k)")
+
+
+@query(_bankroll_sql())
+def bankroll_grid(spark, sf):
+    """Five rules on moves and the value rules, each with fixed, full, half and quarter Kelly sizes inside the fold; without a model the chance to win is 0.55."""
+    rows = cut(_q_rows(spark, sf))
+    ev, _ = placed(rows, "part")
+    fired = rules.signals(rows, rules.BANKROLL, ["market_id", "q_up"]).join(ev.select("market_id", "n"), "market_id")
+    side = F.when(F.col("side") == "up", F.col("q_up")).otherwise(1.0 - F.col("q_up"))
+    trades = rules.sized(fired, F.when(F.col("rule").startswith("value"), side).otherwise(rules.CONSTANT_Q))
+    log = capital.trade_log(trades, ["rule", "sizing"], ["n"])
+    found = log.groupBy("rule", "sizing").agg(F.count("*").alias("trades"), F.max_by("capital_after", "n").alias("ending"), F.max("drawdown").alias("max_drawdown"), F.avg(F.col("pnl") / F.col("cost")).alias("avg_return"))
+    grid = spark.createDataFrame([(r, x[0]) for r in sorted({r.name for r in rules.BANKROLL}) for x in rules.SIZINGS], "rule string, sizing string")
+    out = grid.join(found, ["rule", "sizing"], "left").fillna({"trades": 0, "ending": capital.START, "max_drawdown": 0.0})
+    return out.select("rule", "sizing", *n("trades"), *d("ending", "max_drawdown", "avg_return"))

@@ -19,3 +19,13 @@ def market_windows(quotes: DataFrame, key: list[str], time: str = "ts_utc", leng
 def first_of_each(quotes: DataFrame, key: list[str], time: str = "ts_utc", late: str = "1 minute") -> DataFrame:
     """The first quote of each key within the watermark (a batch's keep_last keeps the last)."""
     return quotes.withWatermark(time, late).dropDuplicatesWithinWatermark(key)
+
+
+def last_of_each(quotes: DataFrame, key: list[str], order: list[str], time: str = "ts_utc", late: str = "1 minute") -> DataFrame:
+    """The last quote of each key and time under ``order`` (nulls first), as a batch's keep_last.
+
+    The state is the last quote so far of each key and time that the watermark
+    hasn't passed; once it has, the quote goes out and the state with it.
+    """
+    last = F.max_by(F.struct(*quotes.columns), F.struct(*order)).alias("_last")
+    return quotes.withWatermark(time, late).groupBy(*key, F.col(time).alias("_time")).agg(last).select("_last.*")
