@@ -1,5 +1,6 @@
 """Scans by header, interval joins, and everything that is taken by stretches, against plain statements."""
 
+import datetime as dt
 import math
 import os
 import random
@@ -300,3 +301,50 @@ def test_scratch_goes_when_done(spark):
         spark.range(3).write.parquet(f"{at}/x")
         assert os.path.isdir(at.removeprefix("file://"))
     assert not os.path.exists(at.removeprefix("file://"))
+
+
+def test_stream_of_last_quotes_is_the_batch(spark, tmp_path):
+    from tideledger.operators.quotes import keep_last
+    from tideledger.streaming.quotes import last_of_each
+
+    rng = random.Random(10)
+    schema = "slug string, ts_utc timestamp, source_file string, ord int, price double"
+    rows = [(rng.choice(["a", "b", None]), dt.datetime(2024, 1, 1, 0, rng.randrange(60), rng.randrange(3)), rng.choice(["x", "y", None]), i, float(i)) for i in range(300)]
+    for k in range(3):
+        spark.createDataFrame(rows[100 * k : 100 * k + 100], schema).write.parquet(f"{tmp_path}/in/{k}")
+    spark.createDataFrame([("late", dt.datetime(2030, 1, 1), "x", 0, 0.0)], schema).write.parquet(f"{tmp_path}/in/9")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 5).parquet(f"{tmp_path}/in")
+    query = last_of_each(stream, ["slug"], ["source_file", "ord"], late="2 hours").writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/ck").option("path", f"{tmp_path}/out").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted(map(str, spark.read.parquet(f"{tmp_path}/out").collect()))
+    assert got == sorted(map(str, keep_last(spark.createDataFrame(rows, schema), ["slug", "ts_utc"], ["source_file", "ord"]).collect())) and len(got) > 100
+
+
+def test_sizes_by_kelly(spark):
+    df = spark.createDataFrame([(0.5, 0.75), (0.9, 0.75), (1.0, 0.75), (0.5, None)], "price double, p double")
+    got = {(r["price"], r["p"], r["sizing"]): r["fraction"] for r in rules.sized(df, F.col("p")).collect()}
+    assert (got[0.5, 0.75, "full_kelly"], got[0.5, 0.75, "quarter_kelly"], got[0.5, 0.75, "fixed_10pct"]) == (0.5, 0.125, 0.1)
+    assert got[0.9, 0.75, "half_kelly"] == got[1.0, 0.75, "half_kelly"] == 0.0 and not got[0.5, None, "full_kelly"]
+
+
+def test_training_windows_by_stretches(spark):
+    rng = random.Random(11)
+    rows = [(s, i, rng.gauss(0, 1), rng.gauss(0, 1) if i % 5 else None, rng.choice([0.0, 1.0, 1.0, None])) for s in ("a", "b") for i in range(150)]
+    df = spark.createDataFrame(rows, "s string, n int, x double, z double, y double")
+    got = {(r["s"], r["n"]): r["q"] for r in models.walk_forward_logit(df, ["s"], "n", "y", ["x", "z"], every=4, warm_up=10, lookback=30, half_life=15).collect()}
+    for s in ("a", "b"):
+        for n in (8, 12, 33, 64, 90, 149):
+            start = n // 4 * 4
+            past = [r for r in rows if r[0] == s and start - 30 <= r[1] < start and r[4] is not None]
+            if start < 10:
+                assert got[s, n] is None
+                continue
+            fill = statistics.median(r[3] for r in past if r[3] is not None)
+            x = np.array([[r[2], fill if r[3] is None else r[3]] for r in past])
+            beta = models._fitted((x - x.mean(axis=0)) / x.std(axis=0), np.array([r[4] for r in past]), np.array([0.5 ** ((start - 1 - r[1]) / 15) for r in past]), 1.0)
+            row = next(r for r in rows if r[0] == s and r[1] == n)
+            here = (np.array([row[2], fill if row[3] is None else row[3]]) - x.mean(axis=0)) / x.std(axis=0)
+            fill_all = np.median(x, axis=0)[1]
+            if row[3] is None:
+                here = (np.array([row[2], fill_all]) - x.mean(axis=0)) / x.std(axis=0)
+            assert math.isclose(got[s, n], 1 / (1 + math.exp(-(beta[0] + here @ beta[1:]))), rel_tol=1e-6)

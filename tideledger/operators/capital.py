@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import drawdowns
+
 START = 100.0
 #: What a step of the path holds.
 STEP = ("i", "cost", "pnl", "before", "after", "drawdown")
@@ -72,11 +74,10 @@ def uncapped(trades: DataFrame, by: list[str], order: list[str], fraction: str =
 
     ``also`` are further aggregates of the trades, taken in the same pass.
     """
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    path = trades.withColumn("_b", START * F.product(1.0 + F.col(fraction) * F.col(unit_pnl) / F.col(price)).over(so_far))
-    path = path.withColumn("_peak", F.greatest(F.lit(START), F.max("_b").over(so_far)))
-    last = F.max_by("_b", F.struct(*order))
-    return path.groupBy(*by).agg(F.count("*").alias("trades"), last.alias("ending"), (last / START - 1.0).alias("total_return"), F.max((F.col("_peak") - F.col("_b")) / F.col("_peak")).alias("max_drawdown"), *also)
+    path = drawdowns(trades.withColumn("_r", F.col(fraction) * F.col(unit_pnl) / F.col(price)), by, order, "_r")
+    peak = F.greatest(F.lit(1.0), F.col("peak"))
+    last = F.max_by(START * F.col("wealth"), F.struct(*order))
+    return path.groupBy(*by).agg(F.count("*").alias("trades"), last.alias("ending"), (last / START - 1.0).alias("total_return"), F.max((peak - F.col("wealth")) / peak).alias("max_drawdown"), *also)
 
 
 def trade_log(trades: DataFrame, by: list[str], order: list[str], **fold) -> DataFrame:

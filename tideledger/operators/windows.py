@@ -192,9 +192,12 @@ def rolling_health(trades: DataFrame, series: list[str], order: list[str], pnl:
 
 
 def hit_rate(trades: DataFrame, series: list[str], order: list[str], won: Column, least: int = 8) -> DataFrame:
-    """Share of earlier trades won; null with fewer than ``least``."""
-    before = Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return trades.withColumn("hit_rate", F.when(F.count("*").over(before) >= least, F.avg(won.cast("double")).over(before)))
+    """Share of earlier trades won, of those known; null with fewer than ``least``."""
+    marked = trades.withColumns({"_one": F.lit(1), "_seen": won.isNotNull().cast("int"), "_own": F.coalesce(won, F.lit(False)).cast("int")})
+    sums = running(marked, series, order, {"_n": "_one", "_known": "_seen", "_won": "_own"})
+    known = F.col("_known") - F.col("_seen")
+    rate = F.when((F.col("_n") > least) & (known > 0), (F.col("_won") - F.col("_own")) / known)
+    return sums.withColumn("hit_rate", rate).drop("_one", "_seen", "_own", "_n", "_known", "_won")
 
 
 def drawdowns(returns: DataFrame, series: list[str], order: list[str], r: str) -> DataFrame:
@@ -261,7 +264,8 @@ def recent_tail(df: DataFrame, series: list[str], order: list[str], last: int) -
 
 
 def running_total(df: DataFrame, series: list[str], order: list[str], x: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.sum(x).over(Window.partitionBy(*series).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    """Adds the sum of x from the series' first row to this one."""
+    return running(df, series, order, {name: x})
 
 
 def percent_rank(x: Column, partition: list[str]) -> Column:
