@@ -144,7 +144,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     keyed = docs.select((F.monotonically_increasing_id() if key is None else key).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     marks = in_batches(keyed, lambda batches: _marked(batches, short, wanted.value), _MARKS)
-    side = tests.where("fp is not null").select(F.col("fp").alias("fp_key"), F.col("len").alias("i_len"), F.col("wins").alias("i_wins"), F.col("doc_id").alias("item_id")).distinct()
+    # items that share a passage are one row, whose ids a hit takes along
+    side = tests.where("fp is not null").groupBy(F.col("fp").alias("fp_key"), F.col("len").alias("i_len"), F.col("wins").alias("i_wins")).agg(F.array_sort(F.collect_set(F.col("doc_id").cast("string"))).alias("i_items"))
     if sizes["n"] <= BROADCAST_ROWS:
         side = F.broadcast(side)
     # a document without fingerprints joins nothing; its own key keeps such rows apart
@@ -154,9 +155,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         lambda s: s.isNotNull(),
     )
     hits = joined.withColumn("at", F.when(F.col("fp").isNotNull() & (F.col("len") == F.col("i_len")), same)).withColumn("at", F.when(F.size("at") > 0, F.col("at")))
-    rows = hits.select("key", "doc_id", "n_words", F.when(F.col("at").isNotNull(), F.col("item_id")).alias("item_id"), F.col("len"), F.explode_outer("at").alias("s"))
+    rows = hits.select("key", "doc_id", "n_words", F.when(F.col("at").isNotNull(), F.col("i_items")).alias("items"), F.col("len"), F.explode_outer("at").alias("s"))
     per_doc = rows.groupBy("key", "doc_id", "n_words").agg(
-        F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.sort_array(F.collect_set(F.when(F.col("s").isNotNull(), F.struct(F.col("s").alias("start"), F.col("len").alias("len"))))).alias("spans"),
     )
     covered = F.aggregate(
