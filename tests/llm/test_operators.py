@@ -137,6 +137,25 @@ def test_op2_bounded_merges_give_the_same_sums(monkeypatch):
     assert got == Counter((int(words[a]), int(words[b])) for r in rows for a, b in r)
 
 
+@pytest.mark.parametrize("mapped", [True, False])
+def test_op2_holds_few_files_of_thousands(monkeypatch, mapped):
+    import numpy as np
+
+    monkeypatch.setattr(ngram_lm, "MAPS", 16)
+
+    class Many:
+        def read(self, name):
+            n = int(name.split("-")[1])
+            return np.concatenate([np.ascontiguousarray(x).view(np.uint8) for x in ngram_lm._table(np.array([n << 24], np.uint64), [np.array([n], np.uint64)])])
+
+    Many.mapped = mapped
+    model = ngram_lm.KneserNey(3, Many(), frozenset(f"3-{i}" for i in range(5000)), ngram_lm.Codes(np.array([1], np.uint64), np.zeros(0, np.uint64), 4), {})
+    for i in (*range(5000), 0, 4999):
+        _, _, columns, big = model._arrays(f"3-{i}", 1)
+        assert (big[0][1][0] if columns[0][0] == 255 else columns[0][0]) == i
+        assert len(model._maps) <= 16
+
+
 def test_op2_probabilities_sum_to_one():
     model = brute.Ngrams(["a b a c", "b a b", "c"], 3)
     for h in ((0, 0), (0, "a"), ("a", "b"), ("b", "a"), ("c", "unseen")):

@@ -76,6 +76,8 @@ HOT = 2
 SCORED_BYTES = 2 << 20
 #: Bytes of arrays that a worker holds of a store that can't be mapped.
 HELD_BYTES = 128 << 20
+#: Files that a worker has mapped at a time, well below what a system allows for a process; the one not looked into for longest goes.
+MAPS = 8192
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -459,7 +461,7 @@ class KneserNey:
         return self.sums.get(1, dict.fromkeys(_SUM_NAMES, 0))
 
     def _arrays(self, name: str, width: int) -> tuple | None:
-        """The arrays of a file with ``width`` columns, mapped once for each worker; None if no such shard was written. A file that can't be read fails the task."""
+        """The arrays of a file with ``width`` columns, mapped by each worker, MAPS at a time; None if no such shard was written. A file that can't be read fails the task."""
         if name not in self.shards:
             return None
         if name in self._maps:
@@ -476,11 +478,10 @@ class KneserNey:
         low = raw[at : at + n]
         at += n
         self._maps[name] = (high, low, [raw[at + j * n : at + (j + 1) * n] for j in range(width)], big)
-        if not self.files.mapped:
-            self._held += len(raw)
-            while self._held > HELD_BYTES and len(self._maps) > 1:
-                _, (h, _, columns, old) = self._maps.popitem(last=False)
-                self._held -= 5 * len(h) + len(h) * len(columns) + sum(16 * len(b[0]) for b in old)
+        self._held += 0 if self.files.mapped else len(raw)
+        while (self._held > HELD_BYTES or len(self._maps) > MAPS) and len(self._maps) > 1:
+            _, (h, _, columns, old) = self._maps.popitem(last=False)
+            self._held -= 0 if self.files.mapped else 5 * len(h) + len(h) * len(columns) + sum(16 * len(b[0]) for b in old)
         return self._maps[name]
 
     def _found(self, words: list[np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
