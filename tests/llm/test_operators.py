@@ -625,6 +625,71 @@ def test_op10_against_a_brute_bradley_terry_fit(spark, tables, rows):
     assert got == Counter((r[0], round(score(r[1]), 5)) for r in rows)
 
 
+def test_op10_learns_from_every_labelled_row(spark):
+    import random
+
+    import numpy as np
+
+    from tideledger.llm.hashed_features import raw_scores
+    from tideledger.llm.textbatch import utf8
+
+    rng = random.Random(5)
+    plain, loud = "plain words of a good text that says much".split(), "BUY now $$$ win".split()
+    rows = [(i, " ".join(rng.choice(loud if rng.random() < (0.3 if i % 16 else 0.6) else plain) for _ in range(rng.randint(3, 12)))) for i in range(1800)]
+    quality = [int(i % 16 > 0) for i, _ in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pairwise_quality.trained(docs, spark.createDataFrame([(i, q) for (i, _), q in zip(rows, quality, strict=True)], "doc_id long, quality int"))
+    import pyarrow as pa
+
+    x = np.sort(raw_scores(*utf8(pa.array([t for _, t in rows])), model.weights))
+    n_bad = quality.count(0)
+    assert sum(quality) > 1500 and model.threshold == (x[n_bad - 1] + x[n_bad]) / 2
+
+
+@pytest.mark.parametrize(("n_good", "n_bad"), [(40, 9), (3, 20), (7, 1), (1, 1)])
+def test_op10_blocks_hold_every_pair(spark, n_good, n_bad):
+    import numpy as np
+
+    from tideledger.llm.hashed_features import count_rows, vectors
+    from tideledger.llm.shared import in_batches
+
+    pairs = max(pairwise_quality.PAIRS, -(-n_bad // n_good))
+    rows = spark.createDataFrame([(i, "a b " * (i % 5) + f"w{i} " + "x" * (300 * (i == 2)), int(i < n_good)) for i in range(n_good + n_bad)], "doc_id long, text string, quality int")
+    plain = pairwise_quality.preference_pairs(vectors(rows, "quality", "doc_id"), n_bad, pairs).collect()
+    met = pairwise_quality.drawn(rows, n_good, n_bad, pairs).collect()
+    assert len(plain) == len(met) == n_good * pairs
+    assert {r["good"] for r in met} == set(range(n_good)) and {r["bad"] for r in met} == set(range(n_bad))
+    deal = pairwise_quality.Deal(n_good, n_bad, pairs, block=4)
+    counted = pairwise_quality.numbered(in_batches(rows, lambda x: count_rows(x, ("doc_id", "quality")), "doc_id long, quality int, counts binary"))
+    blocks = pairwise_quality._blocks(counted, deal)
+    assert blocks.count() == -(-len(plain) // 4)
+    x, y = np.array([r["features"].toArray() for r in plain]), np.array([2 * r["label"] - 1 for r in plain])
+    w = np.random.default_rng(3).normal(size=x.shape[1])
+    loss, gradient = pairwise_quality._loss(blocks, deal, w)
+    lead = y * (x @ w)
+    assert loss == pytest.approx(float(np.logaddexp(0, -lead).mean()))
+    assert np.allclose(gradient, -(y / (1 + np.exp(lead))) @ x / len(y), atol=1e-12)
+    assert np.allclose(pairwise_quality._spread(blocks, deal), x.std(axis=0, ddof=1), atol=1e-7)
+
+
+def test_op10_threshold_is_the_exact_quantile(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    for values, extra in (([i / 7 for i in range(9)], 0), ([1e9, 1.0, 1.0 + 2**-52, -3.5], 5), ([2.0], 1)):
+        rows = [(rng.randint(0, 1), rng.choice(values)) for _ in range(60)] + [(0, values[0]), (1, values[-1])]
+        seen = {c: sum(q == c for q, _ in rows) for c in (0, 1)}
+        totals = {0: seen[0] + extra, 1: seen[1]}
+        rows.sort(key=lambda r: (r[1], r[0]))
+        at = np.cumsum([totals[q] * seen[1 - q] for q, _ in rows])
+        i = int(np.searchsorted(at, totals[0] * seen[0] * seen[1]))
+        x = [r[1] for r in rows]
+        got_ = pairwise_quality._threshold(spark.createDataFrame(rows, "quality int, x double").repartition(3), totals, seen)
+        assert got_ == (x[i] + x[min(i + 1, len(x) - 1)]) / 2
+
+
 DATA = Path("/root/testdata/sf0.01")
 
 

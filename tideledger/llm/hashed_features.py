@@ -11,7 +11,7 @@ dealt to batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -132,39 +132,87 @@ def vectors(docs: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, as_vector("slots", "shares").alias("features"))
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """Documents with a quality label, at most ``per_class`` of each class by the hash of their ids, and the size of each class.
+def sampled(docs: DataFrame, labels: DataFrame, per_class: int | None) -> tuple[DataFrame, dict[int, int]]:
+    """Documents with a quality label, at most ``per_class`` of each class by the hash of their ids (None: all), and the size of each class.
 
     Of labels that repeat for a document the lowest counts; of documents that repeat an id the text of least hash.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    totals = {int(r["quality"]): int(r["count"]) for r in known.groupBy("quality").count().collect()}
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    if per_class is None:
+        return texts.join(known, "doc_id").groupBy("doc_id", "quality").agg(least).select("doc_id", "text", "quality"), totals
     order = (F.xxhash64(F.lit("sample"), "doc_id"), F.col("doc_id"))
     chosen = None
     for c in (0, 1):
         part = known.where(F.col("quality") == c).orderBy(*order).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.select(F.col("doc_id").alias("_labelled"), "quality")
-    totals = {int(r["quality"]): int(r["count"]) for r in known.groupBy("quality").count().collect()}
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
-    least = F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled")).drop("_labelled")
     return rows.groupBy("doc_id", "quality").agg(least).select("doc_id", "text", "quality"), totals
 
 
-def logistic_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a weighted one-dimensional logistic fit with smoothed targets, by Newton steps."""
-    up, down = weight[y == 1].sum(), weight[y == 0].sum()
-    scale = float(np.std(x)) or 1.0
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts of slots (a row a text), compressed: a byte each, the few of 255 and more with their places behind."""
+    flat = counts.ravel()
+    big = np.flatnonzero(flat > 254)
+    raw = np.minimum(flat, 255).astype(np.uint8).tobytes() + big.astype(np.uint32).tobytes() + flat[big].astype(np.uint32).tobytes()
+    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked_counts(block: bytes, rows: int, dtype: type = np.float64) -> np.ndarray:
+    raw = pa.decompress(memoryview(block)[4:], int(np.frombuffer(block, np.uint32, 1)[0]), codec="zstd", asbytes=True)
+    counts = np.frombuffer(raw, np.uint8, rows * SIZE).astype(dtype)
+    places, values = np.frombuffer(raw, np.uint32, offset=rows * SIZE).reshape(2, -1)
+    counts[places] = values
+    return counts.reshape(rows, SIZE)
+
+
+def group_shares(counts: np.ndarray) -> np.ndarray:
+    """What one n-gram of each group counts in a text's shares."""
+    return 1.0 / np.maximum(counts.reshape(-1, GROUPS, SLOTS).sum(axis=2), 1)
+
+
+def count_rows(batches: Iterator[pa.RecordBatch], keep: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The packed counts of each text's slots, with the columns ``keep``."""
+    for chunk in chunks(batches):
+        # short texts are many in a chunk
+        for at in range(0, chunk.num_rows, 512):
+            batch = chunk.slice(at, 512)
+            data, byte_off = utf8(batch.column("text"))
+            counts = np.zeros(batch.num_rows * SIZE, np.int64)
+            for slots, off in slots_of(data, byte_off):
+                counts += np.bincount(text_of(off) * SIZE + slots, minlength=len(counts))
+            rows = pa.array([packed_counts(c) for c in counts.reshape(-1, SIZE)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), rows], names=[*keep, "counts"])
+
+
+def line_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int, scale: float, a: float, b: float) -> np.ndarray:
+    """What rows add to the gradient and to the second derivatives of the fit of ``line_fit`` over ``n`` rows."""
     z = x / scale
-    target = np.where(y == 1, (len(y) - 1.0) / len(y), 1.0 / len(y))
+    target = np.where(y == 1, (n - 1.0) / n, 1.0 / n)
+    p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
+    r, w = weight * (p - target), weight * p * (1 - p) + 1e-9
+    return np.array([(r * z).sum(), r.sum(), (w * z * z).sum(), (w * z).sum(), w.sum()])
+
+
+def line_fit(sums: Callable[[float, float], np.ndarray], scale: float, up: float, down: float) -> tuple[float, float]:
+    """Slope and offset of a weighted one-dimensional logistic fit with smoothed targets, by Newton steps over ``line_sums``."""
     a, b = 1.0, float(np.log(max(up, 1e-9) / max(down, 1e-9)))
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
-        g = np.array([(weight * (p - target) * z).sum() + 1e-3 * a, (weight * (p - target)).sum()])
-        w = weight * p * (1 - p) + 1e-9
-        h = np.array([[(w * z * z).sum() + 1e-3, (w * z).sum()], [(w * z).sum(), w.sum() + 1e-6]])
+        s = sums(a, b)
+        g = np.array([s[0] + 1e-3 * a, s[1]])
+        h = np.array([[s[2] + 1e-3, s[3]], [s[3], s[4] + 1e-6]])
         step = np.linalg.solve(h, g)
         step *= min(1.0, 4.0 / max(1e-9, float(np.abs(step).max())))
         a, b = a - step[0], b - step[1]
         if np.abs(step).max() < 1e-9:
             break
     return a / scale, b
+
+
+def logistic_line(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """``line_fit`` of rows that are at hand."""
+    scale = float(np.std(x)) or 1.0
+    return line_fit(lambda a, b: line_sums(x, y, weight, len(y), scale, a, b), scale, weight[y == 1].sum(), weight[y == 0].sum())
