@@ -182,6 +182,36 @@ def test_op2_blocks_and_tables_round_trip():
     assert (high == hashes >> np.uint64(32)).all() and (columns[0] == np.minimum(values, 255)).all() and (big[0][1] == values[values > 254]).all()
 
 
+def test_op2_blocks_are_packed_together(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 5000
+    columns = [rng.integers(0, 200, n).astype(np.uint64), rng.integers(0, 1 << 48, n).astype(np.uint64), np.where(rng.random(n) < 0.01, 1 << 63, 7).astype(np.uint64)]
+    cut = np.array([0, 1, 2, 700, 4999])
+    blocks = ngram_lm._packs(columns, cut)
+    for block, a, b in zip(blocks, cut, [*cut[1:], n], strict=True):
+        assert all((x == c[a:b]).all() for x, c in zip(ngram_lm._unpack(block), columns, strict=True))
+    # all blocks of a deal are laid out in one pass over each column, whatever their number
+    passes = []
+    monkeypatch.setattr(ngram_lm, "_packs", lambda *x, packs=ngram_lm._packs: passes.append(1) or packs(*x))
+    codes = ngram_lm.Codes(columns[1][:30], np.zeros(0, np.uint64), 6)
+    ids, _, blocks = ngram_lm._dealt(ngram_lm._GRAMS, [codes.of(columns[1]), codes.of(columns[1][::-1])], [columns[0]], codes, 6)
+    assert len(ids) == len(set(ids)) == len(blocks) == 64 and len(passes) == 1
+    assert sorted(np.concatenate([codes.words(ngram_lm._unpack(b)[0]) for b in blocks]).tolist()) == sorted(columns[1].tolist())
+
+
+def test_op2_codes_of_words_that_begin_alike():
+    import numpy as np
+
+    words = np.concatenate([np.arange(50, dtype=np.uint64), np.uint64(1 << 47) + np.arange(50, dtype=np.uint64) * np.uint64(3), np.array([(1 << 48) - 1], np.uint64)])
+    known = np.random.default_rng(1).permutation(words)[:60]
+    number = {w: i for i, w in enumerate(known.tolist())}
+    codes = ngram_lm.Codes(known, np.zeros(0, np.uint64), 4)
+    assert codes.of(words).tolist() == [number.get(w, w + ngram_lm.CODED + 1) for w in words.tolist()]
+    assert (codes.words(codes.of(words)) == words).all()
+
+
 def test_op2_a_shard_that_cannot_be_read_fails(spark, tables, monkeypatch):
     import numpy as np
 

@@ -45,6 +45,7 @@ import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,8 @@ TOKENS_A_BLOCK = 1_000_000
 HELD_ROWS = 800_000
 #: Words with a code of two bytes.
 CODED = (1 << 16) - 1
+#: First bits of a word by which its code is looked up.
+INDEX_BITS = 20
 #: Bytes of text for each shard.
 SHARD_BYTES = 4 << 20
 STEP_BITS = 12
@@ -115,7 +118,8 @@ class SharedArrays:
         files, root = self._open()
         path = f"{root}/{name}"
         if isinstance(files, fs.LocalFileSystem):
-            return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
+            # a plain array over the map: slices of it cost less
+            return np.asarray(np.memmap(path, np.uint8, "r")) if os.path.getsize(path) else np.zeros(0, np.uint8)
         with files.open_input_stream(path) as src:
             return np.frombuffer(src.readall(), np.uint8)
 
@@ -174,10 +178,23 @@ class Codes:
         object.__setattr__(self, "_order", order)
         object.__setattr__(self, "_sorted", self.hashes[order])
 
+    @cached_property
+    def _begins(self) -> np.ndarray:
+        """Where the words with each first INDEX_BITS bits begin among the sorted ones."""
+        return np.searchsorted(self._sorted, np.arange((1 << INDEX_BITS) + 1, dtype=np.uint64) << np.uint64(WORD_BITS - INDEX_BITS)).astype(np.int32)
+
     def of(self, words: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self._sorted, words)
-        at[at == len(self._sorted)] = 0
-        return np.where(self._sorted[at] == words, self._order[at].astype(np.uint64), words + np.uint64(CODED + 1))
+        first = words >> np.uint64(WORD_BITS - INDEX_BITS)
+        out = words + np.uint64(CODED + 1)
+        at, end = self._begins[first], self._begins[first + np.uint64(1)]
+        here = np.flatnonzero(at < end)
+        at, end = at[here], end[here]
+        while len(here):
+            hit = self._sorted[at] == words[here]
+            out[here[hit]] = self._order[at[hit]]
+            more = ~hit & (at + 1 < end)
+            here, at, end = here[more], at[more] + 1, end[more]
+        return out
 
     def words(self, codes: np.ndarray) -> np.ndarray:
         known = codes <= CODED
@@ -193,20 +210,34 @@ class Codes:
         return (mix(by ^ np.uint64(0x5DEECE66D)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of numbers in as many bytes each as most need, the few larger ones apart, compressed."""
-    out = [np.array([len(columns), len(columns[0])], np.uint32).tobytes()]
+def _packs(columns: list[np.ndarray], cut: np.ndarray) -> list[bytes]:
+    """A block for each stretch of rows that begins at ``cut``: columns of numbers in as many bytes each as most need, the few larger ones apart, compressed."""
+    n, laid = len(columns[0]), []
     for c in columns:
-        need = [int((c >> np.uint64(8 * width)).astype(bool).sum()) if len(c) else 0 for width in range(8)]
-        width = min(range(1, 9), key=lambda w: w * len(c) + (12 * need[w] if w < 8 else 0))
-        big = np.flatnonzero(c >> np.uint64(8 * width)) if width < 8 and need[width] else np.zeros(0, np.int64)
-        out.append(np.array([width, len(big)], np.uint32).tobytes())
+        full = max(1, (int(c.max()).bit_length() + 7) // 8 if n else 1)
+        need = [np.count_nonzero(c >> np.uint64(8 * w)) for w in range(full)]
+        width = min(range(1, full + 1), key=lambda w: w * n + (12 * need[w] if w < full else 0))
+        big = np.flatnonzero(c >> np.uint64(8 * width)) if width < full else np.zeros(0, np.int64)
         low = np.ascontiguousarray(c.astype(np.uint64)).view(np.uint8).reshape(-1, 8)
         # byte by byte, which compresses better than number by number
-        out += [np.ascontiguousarray(low[:, b]).tobytes() for b in range(width)]
-        out += [big.astype(np.uint32).tobytes(), c[big].astype(np.uint64).tobytes()]
-    raw = b"".join(out)
-    return np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True)
+        planes = [np.ascontiguousarray(low[:, b]) for b in range(width)]
+        laid.append((width, planes, big, c[big].astype(np.uint64), np.searchsorted(big, [*cut, n]).tolist()))
+    out = []
+    for i, (a, b) in enumerate(zip(cut.tolist(), [*cut[1:].tolist(), n], strict=True)):
+        parts = [np.array([len(columns), b - a], np.uint32)]
+        for width, planes, big, values, at in laid:
+            lo, hi = at[i], at[i + 1]
+            parts.append(np.array([width, hi - lo], np.uint32))
+            parts += [p[a:b] for p in planes]
+            if hi > lo:
+                parts += [(big[lo:hi] - a).astype(np.uint32), values[lo:hi]]
+        raw = b"".join(parts)
+        out.append(np.uint32(len(raw)).tobytes() + pa.compress(raw, codec="zstd", asbytes=True))
+    return out
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    return _packs(list(columns), np.zeros(1, np.int64))[0]
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
@@ -251,15 +282,19 @@ def _hashes(coded: list[np.ndarray], codes: Codes) -> np.ndarray:
 
 
 def _dealt(kind: int, coded: list[np.ndarray], values: list[np.ndarray], codes: Codes, bits: int, hashes: np.ndarray | None = None) -> tuple[list[int], list[int], list[bytes]]:
-    """Packed blocks by the first ``bits`` bits of the shard, sorted by the context from its last word back."""
+    """Packed blocks by the first ``bits`` bits of the shard; within, equal contexts stand together, by their last word (which compresses better)."""
     hashes = _hashes(coded, codes) if hashes is None else hashes
     shard = codes.shard(codes.words(coded[max(len(coded) - 2, 0)]), hashes) >> (codes.bits - bits)
-    order = np.lexsort((*coded[:-1], shard))
+    key, left = shard.astype(np.uint64) << np.uint64(64 - bits), 64 - bits
+    for c in reversed(coded[-3:-1]):
+        # the first words of longer contexts, and of rare words all but some bits, are left out: the order needn't be exact
+        left -= (64 - bits) // 2
+        key |= (c & np.uint64((1 << (64 - bits) // 2) - 1)) << np.uint64(left)
+    order = np.argsort(key)
     shard, coded, values = shard[order], [c[order] for c in coded], [v[order] for v in values]
     cut = np.flatnonzero(np.diff(shard, prepend=-1))
     ids = shard[cut].tolist()
-    blocks = [_pack(*(x[a:b] for x in (*coded, *values))) for a, b in zip(cut, [*cut[1:], len(shard)], strict=True)]
-    return ids, [kind] * len(ids), blocks
+    return ids, [kind] * len(ids), _packs([*coded, *values], cut)
 
 
 def _batch(ids: list[int], kinds: list[int], blocks: list[bytes]) -> pa.RecordBatch:
@@ -294,8 +329,11 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, codes: Codes, bits:
     def flush() -> pa.RecordBatch:
         hashes, *coded = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        hashes, at, n = np.unique(hashes, return_index=True, return_counts=True)
-        return _batch(*_dealt(_GRAMS, [c[at] for c in coded], [n.astype(np.uint64)], codes, bits, hashes))
+        order = np.argsort(hashes)
+        hashes = hashes[order]
+        at = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] ^ np.uint64(1)) != 0)
+        n = np.diff(at, append=len(hashes))
+        return _batch(*_dealt(_GRAMS, [c[order[at]] for c in coded], [n.astype(np.uint64)], codes, bits, hashes[at]))
 
     for batch in chunks(batches):
         now, to = tokens(*utf8(batch.column("text")))
@@ -487,15 +525,22 @@ class KneserNey:
     def _found(self, words: list[np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """For grams: the values of each distinct one by field (0 where there is none), and each gram's number among these."""
         level = len(words)
-        hashes, first, back = np.unique(gram_hash(words), return_index=True, return_inverse=True)
-        shard = self.codes.shard(words[max(level - 2, 0)][first], hashes)
+        hashes = gram_hash(words)
+        shard = self.codes.shard(words[max(level - 2, 0)], hashes)
+        # by shard and hash in one sort; with 24 bits of shards at most all 40 bits that arrays hold stay in the key
+        keys = (shard.astype(np.uint64) << np.uint64(64 - self.codes.bits)) | (hashes >> np.uint64(self.codes.bits))
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.diff(keys, prepend=keys[:1] ^ np.uint64(1)) != 0
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(new) - 1
+        first = order[new]
+        hashes, shard = hashes[first], shard[first]
         names = _fields(level, self.order)
         out = {f: np.zeros(len(hashes), np.int64) for f in names}
-        order = np.argsort(shard, kind="stable")
-        keys, shard = hashes[order], shard[order]
-        high, low = (keys >> np.uint64(32)).astype(np.uint32), (keys >> np.uint64(24)).astype(np.uint8)
+        high, low = (hashes >> np.uint64(32)).astype(np.uint32), (hashes >> np.uint64(24)).astype(np.uint8)
         cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        for a, b in zip(cut, [*cut[1:], len(shard)], strict=True):
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
             arrays = self._arrays(f"{level}-{int(shard[a])}", len(names))
             if arrays is None:
                 continue
@@ -512,11 +557,11 @@ class KneserNey:
                 at[here] += 1
                 here = here[at[here] < len(highs)]
             where = at[hit]
-            to = order[a:b][hit]
+            to = a + np.flatnonzero(hit)
             for f, c, (places, values) in zip(names, columns, big, strict=True):
                 v = c[where].astype(np.int64)
-                large = np.flatnonzero(v == 255)
-                if len(large):
+                if len(places):
+                    large = np.flatnonzero(v == 255)
                     v[large] = values[np.searchsorted(places, where[large].astype(np.uint64))].astype(np.int64)
                 out[f][to] = v
         return out, back
