@@ -348,10 +348,23 @@ def _counted(batches: Iterator[pa.RecordBatch], order: int, codes: Codes, bits:
 
 
 def _coded_counts(batches: Iterator[pa.RecordBatch], codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
+    """Packed blocks of words' counts, some HELD_ROWS words dealt together."""
+    held: list[list[np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        words, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        return _batch(*_dealt(_COUNTS, [codes.of(words)], [n], codes, bits))
+
     for batch in batches:
-        if batch.num_rows:
-            words, n = (batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("word", "n"))
-            yield _batch(*_dealt(_COUNTS, [codes.of(words)], [n], codes, bits))
+        held.append([batch.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("word", "n")])
+        size += batch.num_rows
+        if size >= HELD_ROWS:
+            yield flush()
+            size = 0
+    if size:
+        yield flush()
 
 
 def _redealt(batches: Iterator[pa.RecordBatch], level: int, codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
@@ -432,6 +445,15 @@ def _fields(level: int, order: int) -> tuple[str, ...]:
 def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int, order: int, codes: Codes, bits: int) -> Iterator[pa.RecordBatch]:
     """Writes each shard's grams; passes on what it has of the grams one word shorter, and the level's counts of counts."""
     shard, parts = None, []
+    # what goes on of the shards that are closed: dealt together, so that blocks stay large where there are many shards
+    waiting: dict[int, list] = {_CONTEXTS: [], _GRAMS: []}
+    rows = dict.fromkeys(waiting, 0)
+
+    def dealt(kind: int) -> pa.RecordBatch:
+        met, part, own = zip(*waiting[kind], strict=True)
+        waiting[kind], rows[kind] = [], 0
+        part, own = ([np.concatenate(c) for c in zip(*x, strict=True)] for x in (part, own))
+        return _batch(*_dealt(kind, part, own, codes, bits, np.concatenate(met)))
 
     def close() -> Iterator[pa.RecordBatch]:
         names = _fields(level, order)
@@ -452,8 +474,10 @@ def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int,
         coded, c = [x[real] for x in coded], c[real]
         one = np.ones(len(c), np.uint64)
         for kind, part, own in ((_CONTEXTS, coded[:-1], [c, *((x).astype(np.uint64) for x in (c == 1, c == 2, c >= 3))]), (_GRAMS, coded[1:], [one])):
-            met, part, own = _summed(_hashes(part, codes), part, own)
-            yield _batch(*_dealt(kind, part, own, codes, bits, met))
+            if waiting[kind] and rows[kind] + len(c) > HELD_ROWS:
+                yield dealt(kind)
+            waiting[kind].append(_summed(_hashes(part, codes), part, own))
+            rows[kind] += len(waiting[kind][-1][0])
 
     for (at, kind), blocks in _runs(batches):
         if kind == _SUMS:
@@ -467,6 +491,9 @@ def _merged(batches: Iterator[pa.RecordBatch], files: SharedArrays, level: int,
             parts.append((coded, dict(zip(_OF_KIND[kind], values, strict=True))))
     if parts:
         yield from close()
+    for kind in waiting:
+        if waiting[kind]:
+            yield dealt(kind)
 
 
 _SUM_NAMES = ("level", "n1", "n2", "n3", "n4", "more", "sum", "tokens", "words")
@@ -540,30 +567,39 @@ class KneserNey:
         out = {f: np.zeros(len(hashes), np.int64) for f in names}
         high, low = (hashes >> np.uint64(32)).astype(np.uint32), (hashes >> np.uint64(24)).astype(np.uint8)
         cut = np.flatnonzero(np.diff(shard, prepend=-1))
-        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], strict=True):
-            arrays = self._arrays(f"{level}-{int(shard[a])}", len(names))
-            if arrays is None:
+        for a, b, number in zip(cut.tolist(), [*cut[1:].tolist(), len(shard)], shard[cut].tolist(), strict=True):
+            arrays = self._arrays(f"{level}-{number}", len(names))
+            if arrays is None or not len(arrays[0]):
                 continue
+            # few calls: with many shards each has few of a batch's grams
             highs, lows, columns, big = arrays
-            at = np.searchsorted(highs, high[a:b])
-            hit = np.zeros(b - a, bool)
-            here = np.flatnonzero(at < len(highs))
-            # several grams may share the first 32 bits: the next ones are looked at too
-            while len(here):
-                here = here[highs[at[here]] == high[a:b][here]]
-                same = lows[at[here]] == low[a:b][here]
-                hit[here[same]] = True
-                here = here[~same]
-                at[here] += 1
-                here = here[at[here] < len(highs)]
-            where = at[hit]
-            to = a + np.flatnonzero(hit)
+            top, last = high[a:b], low[a:b]
+            at = highs.searchsorted(top)
+            here = (highs.take(at, mode="clip") == top).nonzero()[0]
+            at = at[here]
+            same = lows.take(at) == last[here]
+            if not same.all():
+                # several grams may share the first 32 bits: the next ones are looked at too
+                more, next_at = here[~same], at[~same] + 1
+                here, at = here[same], at[same]
+                while len(more):
+                    inside = next_at < len(highs)
+                    more, next_at = more[inside], next_at[inside]
+                    alike = highs[next_at] == top[more]
+                    more, next_at = more[alike], next_at[alike]
+                    same = lows[next_at] == last[more]
+                    here, at = np.append(here, more[same]), np.append(at, next_at[same])
+                    more, next_at = more[~same], next_at[~same] + 1
+            if not len(here):
+                continue
+            to = here + a
             for f, c, (places, values) in zip(names, columns, big, strict=True):
-                v = c[where].astype(np.int64)
-                if len(places):
-                    large = np.flatnonzero(v == 255)
-                    v[large] = values[np.searchsorted(places, where[large].astype(np.uint64))].astype(np.int64)
+                v = c.take(at)
                 out[f][to] = v
+                if len(places):
+                    large = (v == 255).nonzero()[0]
+                    if len(large):
+                        out[f][to[large]] = values[places.searchsorted(at[large].astype(np.uint64))]
         return out, back
 
     def scored(self, now: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
